@@ -7,6 +7,7 @@ here (ASCII, and the letters from U+00C0 to U+00FF); any other text goes to the
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import re
@@ -18,9 +19,9 @@ from quern.llm.hashing import ranges
 SAFE = re.compile(r"[\x20-\x7e\t\n\rÀ-ÿ]*")
 LETTER = r"A-Za-zÀ-ÖØ-öø-ÿ"
 SUFFIX = r"'s|'t|'re|'ve|'m|'ll|'d"
-#: The files' own splitting patterns, over the characters of SAFE.
-BYTE_LEVEL = re.compile(rf"{SUFFIX}| ?[{LETTER}]+| ?[0-9]+| ?[^ \t\n\r0-9{LETTER}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
-WORD_LEVEL = re.compile(rf"{SUFFIX}|[{LETTER}]+|[0-9]|[^ \t\n\r0-9{LETTER}]+")
+#: The files' own splitting patterns, over the characters of SAFE; letters stand first, as no suffix begins with one.
+BYTE_LEVEL = re.compile(rf" ?[{LETTER}]+|{SUFFIX}| ?[0-9]+| ?[^ \t\n\r0-9{LETTER}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+WORD_LEVEL = re.compile(rf"[{LETTER}]+|{SUFFIX}|[0-9]|[^ \t\n\r0-9{LETTER}]+")
 #: Pieces that a worker remembers; beyond that it starts anew.
 REMEMBERED = 400_000
 
@@ -37,6 +38,12 @@ class Pieces(dict):
         return n
 
 
+@functools.cache
+def worker_encoder(path: str, end: int) -> Encoder:
+    """The encoder of this Python worker, which its tasks share."""
+    return Encoder(path, end)
+
+
 class Encoder:
     """ids(texts) for one tokenizer file; `lower` for a file that lower-cases and drops white space."""
 
@@ -49,6 +56,9 @@ class Encoder:
         self.lower = self.tokenizer.normalizer is not None
         self.pattern = WORD_LEVEL if self.lower else BYTE_LEVEL
         self.end, self.remembered = end, remembered
+        tokens = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
+        self.edge = np.zeros(tokens[-1][1] + 1, bool)
+        self.edge[[i for t, i in tokens if (t.endswith("</w>") if self.lower else t.startswith("Ġ"))]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -57,20 +67,39 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def counted(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, ids in each). Pieces of letters are encoded many at a time; a token shows where a piece begins or ends."""
+        plain = [i for i, p in enumerate(new) if (p.isalpha() if self.lower else p[0] == " " and p[1:].isalpha())]
+        others = sorted(set(range(len(new))).difference(plain))
+        counts = np.zeros(len(new), np.int64)
+        joint = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        ids = [np.array(x, np.uint32) for x in self.whole([(" " if self.lower else "").join(new[i] for i in x) for x in joint])]
+        for x, got in zip(joint, ids, strict=True):
+            edges = np.flatnonzero(self.edge[got])
+            if len(edges) != len(x):
+                raise ValueError("the tokenizer does not mark its pieces")
+            counts[x] = np.diff(edges, prepend=-1) if self.lower else np.diff(edges, append=len(got))
+        alone = self.whole([new[i] for i in others])
+        counts[others] = [len(x) for x in alone]
+        flat = np.concatenate([*ids, np.fromiter(itertools.chain.from_iterable(alone), np.uint32)])
+        order = np.concatenate([plain, others]).astype(np.int64)
+        starts = np.empty(len(new), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return flat[ranges(starts, counts)], counts
+
     def learn(self) -> None:
         """Encodes the pieces seen for the first time."""
         new, self.pieces.new = self.pieces.new, []
         if not new:
             return
-        ids = self.whole(new)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids, counts = self.counted(new)
         had, n = len(self.pieces) - len(new), int(counts.sum())
         used = int(self.starts[had])
         while len(self.flat) < used + n:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.starts) < had + len(new) + 1:
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.flat[used : used + n] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, n)
+        self.flat[used : used + n] = ids
         self.starts[had + 1 : had + len(new) + 1] = used + np.cumsum(counts)
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ CAPACITY = 2048
 #: Longest piece of a rest: small pieces let differencing level the windows.
 PIECE = 512
 #: Ids in a block: enough windows to level, few enough to difference quickly.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 17
 END = 1
 
 
@@ -129,7 +129,7 @@ def pack(df: DataFrame, path: str, keep: str = "doc_id", text: str = "text", cap
         schema = schema.add("ids", "array<int>", False)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = encoders.Encoder(path, end), Packer(capacity, piece, block)
+        encoder, packer = encoders.worker_encoder(path, end), Packer(capacity, piece, block)
         first = TaskContext.get().partitionId() << 40
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import common, credentials, packing, warc
+from quern.llm import common, credentials, jaccard_join, oracles, packing, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,18 +32,23 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False)
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_credentials": op3_credentials,
     "op4_packing": op4_packing,
+    "op8_substrings": op8_substrings,
+    "op10_jaccard": op10_jaccard,
 }
 ORACLES = {
-    "op1_warc": """
-        WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
-        SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
-        FROM f
-    """,
+    "op1_warc": oracles.WARC,
+    "op8_substrings": oracles.SUBSTRINGS,
+    "op10_jaccard": oracles.JACCARD,
 }
