@@ -10,8 +10,11 @@
 4. Verification meets the two texts, applies the suffix filter (their n-grams in ranges of hash bound the overlap), and
    counts the common n-grams.
 
+A star's centre is the member with the fewest rarer n-grams before the shared one: of edited copies, whose edits are rare,
+that is the one nearest to the original, so its star joins most of them, and few pairs are left to the exhaustive step.
+
 Hot groups: copies collapse to a class before anything is paired, per task already; the members of one class's star are
-salted over tasks; components come from salted joins. The count table has `CELLS` entries whatever the input.
+salted over tasks; components come from salted joins. The count table only orders n-grams; its size is bounded.
 
 Defined results: words are runs of bytes other than ASCII white space, ASCII letters lower-cased; a text of fewer words
 than n has its whole word sequence as its one n-gram; a text without words (or null) has an empty set and links with
@@ -20,6 +23,7 @@ nothing; repeated rows are documents of their own; of null ids no component is n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +39,10 @@ from quern.llm.components import components, salted_join
 WORDS = 5
 #: The threshold as a fraction, so that whole numbers decide it.
 NUMERATOR, DENOMINATOR = 80, 100
-CELLS = 1 << 16
-BAND = 1 << 10
+#: The count table has a cell for so many n-grams, about, and 2**MOST_CELL_BITS cells (bytes, as it travels) at most.
+PER_CELL = 64
+LEAST_CELL_BITS, MOST_CELL_BITS = 12, 24
+BAND_BITS = 12
 #: Bytes of prefix rows in a part.
 PART_BYTES = 24 << 20
 STAR_SALTS = 64
@@ -78,48 +84,62 @@ def least_overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarra
     return -(-num * (a + b) // (num + den))
 
 
-def profile(docs: DataFrame, n: int) -> DataFrame:
+def cell_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> H.U(64 - bits)).astype(np.int64)
+
+
+def profile(docs: DataFrame, n: int, bits: int) -> DataFrame:
     """Rows (doc_id, node, size) of all documents, and rows (band, counts) of the n-gram counts."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.int64)
+        import zstandard
+
+        counts = np.zeros(1 << bits, np.uint32)
         names = ["doc_id", "node", "size", "band", "counts"]
         for chunk in chunked(batches, "text"):
             hashes, first = sets(chunk, "text", n)
-            counts += np.bincount((hashes >> H.U(48)).astype(np.int64) % CELLS, minlength=CELLS)
+            cells, many = np.unique(cell_of(hashes, bits), return_counts=True)
+            counts[cells] += many.astype(np.uint32)
             k = chunk.num_rows
             columns = [chunk.column(0), pa.array(set_digests(hashes, first)), pa.array(np.diff(first).astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        bands = [b for b in range(CELLS // BAND) if counts[b * BAND : (b + 1) * BAND].any()]
-        k = len(bands)
-        if k:
-            data = [counts[b * BAND : (b + 1) * BAND].tobytes() for b in bands]
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(bands, pa.int32()), pa.array(data, pa.binary())], names=names)
+        bands = counts.reshape(-1, 1 << BAND_BITS)
+        used = np.flatnonzero(bands.any(1))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for at in range(0, len(used), 64):
+            some = used[at : at + 64]
+            k = len(some)
+            data = [pack(bands[b].tobytes()) for b in some]
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(some.astype(np.int32)), pa.array(data, pa.binary())], names=names)
 
     return docs.mapInArrow(apply, "doc_id long, node long, size int, band int, counts binary")
 
 
-def cell_counts(profiled: DataFrame) -> np.ndarray:
-    """The count table: CELLS numbers, summed by band on the executors."""
+def cell_ranks(profiled: DataFrame, bits: int) -> np.ndarray:
+    """For each cell, the logarithm of its count in eighths, a byte; counts are added by band on the executors."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for band, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                add = np.frombuffer(data.as_buffer(), np.int64)
+            for band, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                add = np.frombuffer(unpack(data), np.uint32).astype(np.int64)
                 sums[band] = sums[band] + add if band in sums else add
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["band", "counts"])
+        coded = [np.minimum(255, 8 * np.log2(x + 1.0)).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(coded, pa.binary())], names=["band", "ranks"])
 
     bands = profiled.filter("band IS NOT NULL").select("band", "counts")
-    counts = np.zeros(CELLS, np.int64)
-    for band, data in bands.repartition("band").mapInArrow(apply, "band int, counts binary").collect():
-        counts[band * BAND : (band + 1) * BAND] = np.frombuffer(data, np.int64)
-    return counts
+    ranks = np.zeros((1 << bits >> BAND_BITS, 1 << BAND_BITS), np.uint8)
+    for band, data in bands.repartition("band").mapInArrow(apply, "band int, ranks binary").toLocalIterator():
+        ranks[band] = np.frombuffer(data, np.uint8)
+    return ranks.ravel()
 
 
-def prefixes(docs: DataFrame, ranks: np.ndarray, n: int, n_parts: int, num: int, den: int) -> DataFrame:
+def prefixes(docs: DataFrame, ranks: np.ndarray, bits: int, n: int, n_parts: int, num: int, den: int) -> DataFrame:
     """Block rows of the prefix n-grams of every class, once per task."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # CELLS entries
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # 2**MOST_CELL_BITS bytes at most
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
@@ -137,7 +157,7 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, n: int, n_parts: int, num: int,
             owner = np.repeat(np.arange(len(size)), size)
             kept = fresh[owner]
             hashes, owner = hashes[kept], owner[kept]
-            rank = cells[(hashes >> H.U(48)).astype(np.int64) % CELLS]
+            rank = cells[cell_of(hashes, bits)]
             order = np.lexsort((hashes, rank, owner))
             hashes, owner = hashes[order], owner[order]
             pos = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(size)))[owner]
@@ -158,8 +178,11 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, n: int, n_parts: int, num: int,
 
 
 def grouped(rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one part: star pairs (a, b) under the filters, and (signature, node, size) of its distinct groups of three or more."""
-    rows = rows[np.lexsort((rows["node"], rows["hash"]))]
+    """Of one part: star pairs (a, b) under the filters, and (signature, rows) of its groups of three or more, a signature once.
+
+    Groups with the same members differ in the places of the shared n-gram only; each member keeps its first.
+    """
+    rows = rows[np.lexsort((rows["node"], rows["pos"], rows["hash"]))]  # copies of a class stand together, as their places agree
     new = np.ones(len(rows), bool)
     new[1:] = (rows["hash"][1:] != rows["hash"][:-1]) | (rows["node"][1:] != rows["node"][:-1])
     rows = rows[new]
@@ -181,21 +204,27 @@ def grouped(rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarra
     sums = np.concatenate([np.zeros(1, H.U), np.cumsum(H.mix(rows["node"][at].view(np.uint64)), dtype=H.U)])
     cuts = np.concatenate([[0], np.cumsum(lengths)])
     sign = H.mix((sums[cuts[1:]] - sums[cuts[:-1]]) ^ lengths.astype(H.U)).view(np.int64)
-    sign, first = np.unique(sign, return_index=True)
-    at = H.ranges(starts[first], lengths[first])
-    return pairs[:, 0], pairs[:, 1], np.repeat(sign, lengths[first]), rows[["node", "size"]][at]
+    sign = np.repeat(sign, lengths)
+    members = rows[at]
+    order = np.lexsort((members["pos"], members["node"], sign))
+    sign, members = sign[order], members[order]
+    new = np.ones(len(sign), bool)
+    new[1:] = (sign[1:] != sign[:-1]) | (members["node"][1:] != members["node"][:-1])
+    return pairs[:, 0], pairs[:, 1], sign[new], members[new]
 
 
 def candidates(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (signature null, a, b) of star pairs, and (signature, node, size null...) of groups: columns sign, a, b."""
+    """Star pairs as (sign null, a, b), and members of groups as (sign, a: node, size, pos)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in parts(batches, PREFIX):
             a, b, sign, members = grouped(rows, num, den)
-            both = pa.array(np.concatenate([np.zeros(len(a), np.int64), sign]), mask=np.arange(len(a) + len(sign)) < len(a))
-            yield pa.RecordBatch.from_arrays([both, pa.array(np.concatenate([a, members["node"]])), pa.array(np.concatenate([b, members["size"].astype(np.int64)]))], names=["sign", "a", "b"])
+            k, m = len(a), len(sign)
+            columns = [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(sign)]), pa.array(np.concatenate([a, members["node"]])), pa.concat_arrays([pa.array(np.ascontiguousarray(b)), pa.nulls(m, pa.int64())])]
+            columns += [pa.concat_arrays([pa.nulls(k, pa.int32()), pa.array(np.ascontiguousarray(members[c]))]) for c in ("size", "pos")]
+            yield pa.RecordBatch.from_arrays(columns, names=["sign", "a", "b", "size", "pos"])
 
-    return blocks.mapInArrow(apply, "sign long, a long, b long")
+    return blocks.mapInArrow(apply, "sign long, a long, b long, size int, pos int")
 
 
 def common(a: np.ndarray, b: np.ndarray, need: int) -> int:
@@ -259,17 +288,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     small_batches(spark)
     path = shared_dir(spark, "jaccard")
     docs = df.select(F.col(key).cast("long").alias("doc_id"), text_column(df, text).alias("text"))
-    profiled = stored(profile(docs, n), f"{path}/profile")
+    grams = float(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
+    bits = min(MOST_CELL_BITS, max(LEAST_CELL_BITS, math.ceil(math.log2(grams / PER_CELL + 1))))
+    profiled = stored(profile(docs, n, bits), f"{path}/profile")
     rows = profiled.filter("band IS NULL").select("doc_id", "node", "size")
-    counts = cell_counts(profiled)
-    ranks = np.empty(CELLS, np.int32)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.int32)
-    total = float(counts.sum()) * (1 - num / den) * PREFIX.itemsize
-    n_parts = parts_for(total, PART_BYTES / 8, 8)
-    blocks = prefixes(docs, ranks, n, n_parts, num, den)
-    found = stored(candidates(by_part(blocks, parts_for(total, PART_BYTES, 8)), num, den), f"{path}/candidates")
-    stars = stored(found.filter("sign IS NULL").select("a", "b").distinct(), f"{path}/stars")
-    groups = found.filter("sign IS NOT NULL").select("sign", F.col("a").alias("node"), F.col("b").alias("size")).distinct()
+    ranks = cell_ranks(profiled, bits)
+    total = grams * (1 - num / den) * PREFIX.itemsize
+    n_tasks = parts_for(total, PART_BYTES, 8)
+    blocks = prefixes(docs, ranks, bits, n, 8 * n_tasks, num, den)
+    found = stored(candidates(by_part(blocks, n_tasks), num, den), f"{path}/candidates")
+    stars = stored(found.filter("sign IS NULL").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "a", "b").groupBy("lo", "hi").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), f"{path}/stars")
+    groups = found.filter("sign IS NOT NULL").groupBy("sign", F.col("a").alias("node"), "size").agg(F.min("pos").alias("pos"))
 
     # one document's text for each class that is a candidate
     nodes = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).unionByName(groups.select("node")).distinct()
@@ -282,13 +311,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     links = stored(verified(stars, texts, n, num, den), f"{path}/links")
     parents = components(links)
     at = F.coalesce("component", "node")
-    placed = groups.join(parents, "node", "left").select("sign", "node", "size", at.alias("component"))
+    placed = groups.join(parents, "node", "left").select("sign", "node", "size", "pos", at.alias("component"))
     mixed = placed.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sign")
-    placed = placed.join(mixed, "sign")
-    x = placed.select("sign", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
-    y = placed.select("sign", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-    near = (F.lit(den) * F.least("size_a", "size_b") >= F.lit(num) * F.greatest("size_a", "size_b")) & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
-    rest = x.join(y, "sign").filter(near).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    placed = stored(placed.join(mixed, "sign"), f"{path}/placed")
+    x, y = (placed.select("sign", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "pos", "component"))) for side in "ab")
+    sizes, left = (F.col("size_a"), F.col("size_b")), (F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    similar = F.lit(den) * F.least(*sizes) >= F.lit(num) * F.greatest(*sizes)
+    enough = (num + den) * F.least(*left) >= num * (sizes[0] + sizes[1])  # the positional filter, as for stars
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
+    rest = x.join(y, "sign").filter(similar & enough & apart).select(F.col("node_a").alias("lo"), F.col("node_b").alias("hi")).distinct()
+    rest = rest.join(stars.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     more = stored(verified(stored(rest, f"{path}/rest"), texts, n, num, den), f"{path}/more")
     if more.isEmpty():
         final = parents

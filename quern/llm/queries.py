@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import common, credentials, jaccard_join, oracles, packing, substring_dedup, warc
+from quern.llm import common, credentials, decontaminate, embedding_dedup, jaccard_join, language_id, oracles, packing, substring_dedup, suffix_dedup, token_index, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,15 +40,42 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), vocabulary=49_408)
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_token_index": op2_token_index,
     "op3_credentials": op3_credentials,
     "op4_packing": op4_packing,
+    "op5_language": op5_language,
+    "op6_suffixes": op6_suffixes,
+    "op7_embeddings": op7_embeddings,
     "op8_substrings": op8_substrings,
+    "op9_decontaminate": op9_decontaminate,
     "op10_jaccard": op10_jaccard,
 }
 ORACLES = {
     "op1_warc": oracles.WARC,
+    "op7_embeddings": oracles.EMBEDDINGS,
     "op8_substrings": oracles.SUBSTRINGS,
+    "op9_decontaminate": oracles.WINNOW,
     "op10_jaccard": oracles.JACCARD,
 }
