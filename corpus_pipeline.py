@@ -1,7 +1,87 @@
-"""The corpus pipeline; its stages follow."""
-STAGES = []
+"""The corpus pipeline: five stages from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
+docs. All but the last return the columns of documents:
+
+1. language: documents whose language the model cannot tell go: those without a letter, and those whose best language has
+   less than MIN_SCORE of the words' probability. `lang` becomes the prediction.
+2. near duplicates: of each group of documents linked by n-gram Jaccard similarity, the one with the smallest id stays.
+3. decontamination: documents that contain a benchmark window go.
+4. secrets: credentials in the text are replaced by [REDACTED], and `n_chars` follows; no document goes.
+5. packing: every remaining text as pieces of sequences of token ids.
+
+Defined results: of rows without an id, one of each text stays at stage 2; a null text has no language and goes at stage 1;
+an empty table stays empty; extra columns are dropped.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import common, credentials, decontaminate, jaccard_join, language_id, packing
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of a document's words that its best language must reach; clean documents of a learned language are near 1.
+MIN_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language, with the language predicted."""
+    model = language_id.train(docs.filter(~language_id.held_out()))
+    found = language_id.predict(docs, model, list(COLUMNS))
+    kept = found.filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= MIN_SCORE))
+    return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each linked group, and all that link with nothing; of rows that share an id, one by the text's hash."""
+    found = jaccard_join.near_duplicates(docs)
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("__hash"))
+    chosen = keyed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("__hash").alias("__hash")).join(kept, "doc_id")
+    with_id = keyed.join(chosen, ["doc_id", "__hash"], "left_semi").dropDuplicates(["doc_id", "__hash"])
+    without = keyed.filter("doc_id IS NULL").dropDuplicates(["text"])
+    return with_id.unionByName(without).select(*COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with its credentials redacted."""
+    found = credentials.link_credentials(docs, ["doc_id", "lang", "source"], redact="text")
+    return found.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminated),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
+#: Language identification and packing cannot be written in SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    path = common.shared_dir(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = common.stored(stage(spark, docs, sf_dir), f"{path}/{i}-{name}")
+    return docs
