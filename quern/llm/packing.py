@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quern.llm import encoders
 from quern.llm.common import chunked, small_batches, text_column
@@ -126,7 +127,7 @@ def pack(df: DataFrame, path: str, keep: str = "doc_id", text: str = "text", cap
     for name, kind in (("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")):
         schema = schema.add(name, kind, False)
     if with_ids:
-        schema = schema.add("ids", "array<int>", False)
+        schema = schema.add("ids", ArrayType(IntegerType()), False)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = encoders.worker_encoder(path, end), Packer(capacity, piece, block)
