@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Added before rounding where a value may lie halfway, so that the last bit of a sum does not decide.
+HALF = 1e-10
+
+
 def rounded(column, digits: int = 6):
     """Rounded, and without a negative zero."""
     return F.round(column, digits) + F.lit(0.0)
@@ -47,16 +51,20 @@ def pixels(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.transform(values, lambda x: F.floor(F.abs(x) * 255).cast("int") % 256).alias("p"))
 
 
+def of_channel(c):
+    return lambda x, i: i % 3 == c
+
+
 def p7_to_tensor(spark, d):
     """Interleaved bytes to planes of floats in [0, 1]."""
-    planes = F.flatten(F.array(*[F.filter("p", lambda x, i, c=c: i % 3 == c) for c in range(3)]))
-    return pixels(spark, d).select("vec_id", F.posexplode(F.transform(planes, lambda x: x / 255.0)).alias("at", "v")).select("vec_id", "at", rounded(F.col("v")).alias("v"))
+    planes = F.flatten(F.array(*[F.filter("p", of_channel(c)) for c in range(3)]))
+    return pixels(spark, d).select("vec_id", F.posexplode(F.transform(planes, lambda x: x / 255.0)).alias("pos", "v")).select("vec_id", "pos", rounded(F.col("v")).alias("v"))
 
 
 def p8_normalize(spark, d):
     mean, std = (F.array(*[F.lit(x) for x in xs]) for xs in (MEAN, STD))
     done = F.transform("p", lambda x, i: (x / 255.0 - F.get(mean, i % 3)) / F.get(std, i % 3))
-    return pixels(spark, d).select("vec_id", F.posexplode(done).alias("at", "v")).select("vec_id", "at", rounded(F.col("v")).alias("v"))
+    return pixels(spark, d).select("vec_id", F.posexplode(done).alias("pos", "v")).select("vec_id", "pos", rounded(F.col("v")).alias("v"))
 
 
 def p10_solarize(spark, d):
@@ -101,7 +109,7 @@ def p14_cancel_gradients(spark, d):
 
 def p15_l2_normalize(spark, d):
     v = vectors.l2_normalize(F.transform(vectors.doubles("embedding"), lambda x: x * 3))
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode(v).alias("at", "v")).select("vec_id", "at", rounded(F.col("v")).alias("v"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(v).alias("pos", "v")).select("vec_id", "pos", rounded(F.col("v")).alias("v"))
 
 
 def s4_renamed_keys(spark, d):
@@ -165,7 +173,7 @@ def metrics(spark, d):
 
 
 def a1_reduce_dict(spark, d):
-    return meters.reduce_metrics(metrics(spark, d), 8).select("name", rounded(F.col("value"), 4).alias("value"))
+    return meters.reduce_metrics(metrics(spark, d), 8).select("name", rounded(F.col("value"), 6).alias("value"))
 
 
 def a2_synchronized(spark, d):
@@ -227,7 +235,7 @@ def a12_retained_energy(spark, d):
 def w1_meter(spark, d):
     e = table(spark, d, "events").select("event_id", "ts", "event_type", "value", (F.col("user_id") % 3 + 1).alias("n"))
     out = meters.meter(e, ["ts", "event_id"], "value", ["event_type"], F.col("n"))
-    return out.select("event_id", "value_last", "median", rounded(F.col("avg"), 4).alias("avg"), "max", rounded(F.col("global_avg"), 4).alias("global_avg"))
+    return out.select("event_id", "value_last", "median", rounded(F.col("avg") + HALF, 7).alias("avg"), "max", rounded(F.col("global_avg") + HALF, 7).alias("global_avg"))
 
 
 def w4_runs(spark, d):
@@ -240,7 +248,7 @@ def w5_metric_log(spark, d):
     e = table(spark, d, "events").select("event_id", "ts", "event_type", "value")
     out = meters.meter(e, ["ts", "event_id"], "value", ["event_type"])
     last = out.groupBy("event_type").agg(F.max_by(F.struct("median", "avg", "max", "value_last"), F.struct("ts", "event_id")).alias("m"))
-    return last.select("event_type", "m.median", rounded(F.col("m.avg"), 4).alias("avg"), "m.max", "m.value_last")
+    return last.select("event_type", "m.median", rounded(F.col("m.avg") + HALF, 7).alias("avg"), "m.max", "m.value_last")
 
 
 def w7_static_ranges(spark, d):
@@ -252,7 +260,7 @@ def w7_static_ranges(spark, d):
 
 def w8_top_eigenvalues(spark, d):
     whitening = linear.Whitening.fit(table(spark, d, "embeddings"), "embedding", 8)
-    return spark.createDataFrame([(i, float((row**2).sum())) for i, row in enumerate(whitening.directions)], "at int, weight double")
+    return spark.createDataFrame([(i, float((row**2).sum())) for i, row in enumerate(whitening.directions)], "pos int, weight double")
 
 
 def w9_top_scores(spark, d):
@@ -287,7 +295,7 @@ def f5_adaptive_step(spark, d):
     v = vectors.doubles("embedding")
     shape = F.when(F.col("vec_id") % 2 == 0, F.array(F.lit(8), F.lit(8))).otherwise(F.array(F.lit(64)))
     step = linear.adaptive_step(v, F.transform(v, lambda x: x * x), shape, 0.1, 0.01, 0.001)
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode(step).alias("at", "v")).select("vec_id", "at", rounded(F.col("v"), 9).alias("v"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(step).alias("pos", "v")).select("vec_id", "pos", rounded(F.col("v"), 9).alias("v"))
 
 
 # --- the model
@@ -304,7 +312,7 @@ def m16_multi_scale(spark, d):
     v = vectors.doubles("embedding")
     rows = table(spark, d, "embeddings").select("vec_id", v.alias("a"), F.transform(v, lambda x: x / F.sqrt(F.lit(2.0))).alias("b"), F.transform(v, lambda x: x / 2).alias("c"))
     out = linear.multi_scale(rows, ["vec_id"], ["a", "b", "c"])
-    return out.select("vec_id", F.posexplode("feature").alias("at", "v")).select("vec_id", "at", rounded(F.col("v"), 8).alias("v"))
+    return out.select("vec_id", F.posexplode("feature").alias("pos", "v")).select("vec_id", "pos", rounded(F.col("v"), 8).alias("v"))
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name.split("_")[0][:1] in "psjawufm" and name.split("_")[0][1:].isdigit()}
@@ -331,14 +339,14 @@ ORACLES = {
     "p1_suffix_filter": "SELECT page_id, url FROM pages WHERE lower(url) LIKE '%0'",
     "p2_basename": "SELECT page_id, list_extract(string_split(url, '/'), -1) AS name FROM pages",
     "p3_path_join": "SELECT doc_id, concat_ws('/', source, lang, doc_id || '.tif') AS path FROM documents",
-    "p7_to_tensor": f"WITH {PIXELS}, k AS (SELECT unnest(range(0, 60)) AS at) SELECT vec_id, CAST(at AS INTEGER) AS at, round(p[(at % 20) * 3 + at // 20 + 1] / 255.0::DOUBLE, 6) + 0.0 AS v FROM px, k",
-    "p8_normalize": f"WITH {PIXELS}, k AS (SELECT unnest(range(0, 60)) AS at) SELECT vec_id, CAST(at AS INTEGER) AS at, round((p[at + 1] / 255.0::DOUBLE - {list(MEAN)}::DOUBLE[][at % 3 + 1]) / {list(STD)}::DOUBLE[][at % 3 + 1], 6) + 0.0 AS v FROM px, k",
+    "p7_to_tensor": f"WITH {PIXELS}, k AS (SELECT unnest(range(0, 60)) AS pos) SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(p[(pos % 20) * 3 + pos // 20 + 1] / 255.0::DOUBLE, 6) + 0.0 AS v FROM px, k",
+    "p8_normalize": f"WITH {PIXELS}, k AS (SELECT unnest(range(0, 60)) AS pos) SELECT vec_id, CAST(pos AS INTEGER) AS pos, round((p[pos + 1] / 255.0::DOUBLE - list_extract(CAST({list(MEAN)} AS DOUBLE[]), pos % 3 + 1)) / list_extract(CAST({list(STD)} AS DOUBLE[]), pos % 3 + 1), 6) + 0.0 AS v FROM px, k",
     "p10_solarize": f"WITH {PIXELS} SELECT vec_id, array_to_string(list_transform(p, lambda x: CASE WHEN x < 128 THEN x ELSE 255 - x END), ' ') AS p FROM px",
     "p11_bool_flag": "SELECT n_nationkey, n_nationkey % 6 IN (0, 2, 4) AS flag FROM nation",
     "p12_param_groups": f"WITH {PARAMETERS} SELECT id, CASE WHEN name LIKE '%weight' THEN 'regularized' ELSE 'not_regularized' END AS kind FROM p WHERE trained",
     "p13_has_batchnorm": f"WITH {PARAMETERS} SELECT bool_or(regexp_matches(name, '\\.(bn|batchnorm|syncbn|scale)')) AS found FROM p",
     "p14_cancel_gradients": f"WITH {PARAMETERS} SELECT id, CASE WHEN epoch < 3 AND contains(name, 'last_layer') THEN NULL ELSE id / 2.0::DOUBLE END AS gradient FROM p",
-    "p15_l2_normalize": f"WITH {E} SELECT vec_id, CAST(at AS INTEGER) AS at, round(3 * v[at + 1] / sqrt(9 * list_sum(list_transform(v, lambda x: x * x))), 6) + 0.0 AS v FROM e, (SELECT unnest(range(0, 64)) AS at)",
+    "p15_l2_normalize": f"WITH {E} SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(3 * v[pos + 1] / sqrt(9 * list_sum(list_transform(v, lambda x: x * x))), 6) + 0.0 AS v FROM e, (SELECT unnest(range(0, 64)) AS pos)",
     "s4_renamed_keys": f"WITH {PARAMETERS} SELECT id, replace(replace(name, 'module.', ''), 'backbone.', '') AS name FROM p",
     "j1_knn_classify": f"""
         WITH {E}, near AS (SELECT q.vec_id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, t.v), t.vec_id) AS r FROM e q, e t WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0),
@@ -348,7 +356,7 @@ ORACLES = {
     "j2_ranked_positives": f"WITH {RANKINGS} SELECT query_id, db_id, place FROM ranks SEMI JOIN positive USING (query_id, db_id)",
     "j3_ranked_junk": f"WITH {RANKINGS} SELECT query_id, db_id, place FROM ranks SEMI JOIN junk USING (query_id, db_id)",
     "j4_checkpoint_keys": f"WITH {PARAMETERS} SELECT id, trained AS found FROM p",
-    "a1_reduce_dict": f"WITH {METRICS} SELECT name, round(sum(value) / 8, 4) + 0.0 AS value FROM m GROUP BY name",
+    "a1_reduce_dict": f"WITH {METRICS} SELECT name, round(sum(value) / 8, 6) + 0.0 AS value FROM m GROUP BY name",
     "a2_synchronized": f"WITH {METRICS} SELECT name, CAST(sum(n) AS BIGINT) AS count, round(sum(value), 3) + 0.0 AS total FROM m GROUP BY name",
     "a3_global_average": "SELECT event_type, round(sum(value * (user_id % 3 + 1)) / sum(user_id % 3 + 1), 6) + 0.0 AS global_avg FROM events GROUP BY event_type",
     "a4_top_k_accuracy": f"WITH {E}, r AS (SELECT len(list_filter(v[1:10], lambda x, i: x > v[label + 1] OR (x = v[label + 1] AND i <= label))) + 1 AS r FROM e) SELECT CAST(k AS INTEGER) AS k, round(100 * avg(CASE WHEN r <= k THEN 1.0::DOUBLE ELSE 0 END), 6) + 0.0 AS accuracy FROM r, (SELECT unnest([1, 5]) AS k) GROUP BY k",
@@ -366,8 +374,8 @@ ORACLES = {
     "a8_covariance": f"WITH {E}, k AS (SELECT unnest(range(0, 64)) AS i) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(v[a.i + 1] * v[b.i + 1]), 9) + 0.0 AS value FROM e, k a, k b GROUP BY a.i, b.i",
     "a11_count": "SELECT count(*) AS n FROM pages",
     "w1_meter": f"""
-        SELECT event_id, value AS value_last, quantile_disc(value, 0.5) {FRAME} AS median, round(avg(value) {FRAME}, 4) + 0.0 AS avg, max(value) {FRAME} AS max,
-               round(sum(value * (user_id % 3 + 1)) {SO_FAR} / sum(user_id % 3 + 1) {SO_FAR}, 4) + 0.0 AS global_avg FROM events
+        SELECT event_id, value AS value_last, quantile_disc(value, 0.5) {FRAME} AS median, round(avg(value) {FRAME} + 1e-10, 7) + 0.0 AS avg, max(value) {FRAME} AS max,
+               round(sum(value * (user_id % 3 + 1)) {SO_FAR} / sum(user_id % 3 + 1) {SO_FAR} + 1e-10, 7) + 0.0 AS global_avg FROM events
     """,
     "w4_runs": """
         WITH c AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS change FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -376,7 +384,7 @@ ORACLES = {
         SELECT *, CAST(sum(length) OVER (PARTITION BY user_id ORDER BY run) AS BIGINT) AS until FROM g
     """,
     "w5_metric_log": f"""
-        SELECT event_type, median, round(avg, 4) + 0.0 AS avg, max, value_last FROM (
+        SELECT event_type, median, round(avg + 1e-10, 7) + 0.0 AS avg, max, value_last FROM (
             SELECT event_type, quantile_disc(value, 0.5) {FRAME} AS median, avg(value) {FRAME} AS avg, max(value) {FRAME} AS max, value AS value_last, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events
         ) WHERE r = 1
     """,
@@ -396,10 +404,10 @@ ORACLES = {
     "f5_adaptive_step": f"""
         WITH {E}, g AS (SELECT vec_id, v, CASE WHEN vec_id % 2 = 0 THEN list_transform(v, lambda x: x * x + 0.01 * x) ELSE list_transform(v, lambda x: x * x) END AS g FROM e),
         t AS (SELECT *, CASE WHEN vec_id % 2 = 0 THEN 0.001 * sqrt(list_sum(list_transform(v, lambda x: x * x))) / sqrt(list_sum(list_transform(g, lambda x: x * x))) ELSE 1 END AS trust FROM g)
-        SELECT vec_id, CAST(at AS INTEGER) AS at, round(v[at + 1] - 0.1 * trust * g[at + 1], 9) + 0.0 AS v FROM t, (SELECT unnest(range(0, 64)) AS at)
+        SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(v[pos + 1] - 0.1 * trust * g[pos + 1], 9) + 0.0 AS v FROM t, (SELECT unnest(range(0, 64)) AS pos)
     """,
     "m16_multi_scale": f"""
         WITH {E}, f AS (SELECT vec_id, list_transform(v, lambda x: (x + x / sqrt(2.0) + x / 2) / 3) AS v FROM e), n AS (SELECT sqrt(sum(list_sum(list_transform(v, lambda x: x * x)))) AS n FROM f)
-        SELECT vec_id, CAST(at AS INTEGER) AS at, round(v[at + 1] / n, 8) + 0.0 AS v FROM f, n, (SELECT unnest(range(0, 64)) AS at)
+        SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(v[pos + 1] / n, 8) + 0.0 AS v FROM f, n, (SELECT unnest(range(0, 64)) AS pos)
     """,
 }
