@@ -21,6 +21,7 @@ an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -40,6 +41,7 @@ BLOCK = 256
 SEED = 20240501
 
 
+@functools.cache
 def rotation(dim: int, turn: int) -> np.ndarray:
     """A random rotation, the same in every task."""
     q, r = np.linalg.qr(np.random.default_rng([SEED, dim, turn]).standard_normal((dim, dim)))
@@ -87,53 +89,56 @@ def buckets(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return out
 
 
-def find(raw: np.ndarray, groups: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) with cosine at the threshold or above, i in the first group or both in one: estimate, bound, then exactly."""
+def find(raw: np.ndarray, signs: np.ndarray, factors: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, with cosine at the threshold or above: by estimate and bound, then exactly."""
     norm = np.linalg.norm(raw, axis=1)
-    unit = raw / norm[:, None]
     if len(raw) <= 8:
         i, j = np.triu_indices(len(raw), 1)
     else:
-        signs, factors = codes(unit, TURNS)
-        estimate, margin = estimates(unit, signs, factors)
+        estimate, margin = estimates(raw / norm[:, None], signs, factors)
         i, j = np.nonzero(np.triu(estimate + margin >= threshold, 1))
     cosine = (raw[i] * raw[j]).sum(1) / (norm[i] * norm[j])
     ok = cosine >= threshold
     return i[ok], j[ok]
 
 
-def coded(rows: DataFrame, bits: int, tables: int) -> DataFrame:
-    """One row per class and table: label, table, bucket, node, copies, all buckets, vector."""
+def coded(rows: DataFrame, bits: int, tables: int, kind: str) -> DataFrame:
+    """One row per class and table: label, table, bucket, node, copies, all buckets, code, correction factors, vector."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["label", "table", "bucket", "node", "copies", "keys", "vector"]
+        names = ["label", "table", "bucket", "node", "copies", "keys", "code", "factors", "vector"]
         for batch in batches:
             if not batch.num_rows:
                 continue
             vectors = batch.column(3)
             sizes = np.diff(np.asarray(vectors.offsets))
-            flat = np.asarray(vectors.flatten())
+            flat = np.asarray(vectors.flatten()).astype(np.float64)
             for dim in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == dim)
                 part = batch.take(pa.array(at))
-                raw = flat.reshape(-1, dim) if len(at) == batch.num_rows else np.stack([np.asarray(vectors[int(i)].values) for i in at])
-                keys = buckets(raw / np.linalg.norm(raw, axis=1)[:, None], bits, tables)
+                raw = flat.reshape(-1, dim) if len(at) == batch.num_rows else np.stack([np.asarray(vectors[int(i)].values).astype(np.float64) for i in at])
+                unit = raw / np.linalg.norm(raw, axis=1)[:, None]
+                keys = buckets(unit, bits, tables)
+                signs, factors = codes(unit, TURNS)
                 n = len(at)
+                code = pa.array([x.tobytes() for x in np.packbits(signs.reshape(n, -1), axis=1)], pa.binary())
+                stored_factors = pa.ListArray.from_arrays(pa.array(np.arange(0, factors.size + 1, TURNS, dtype=np.int32)), pa.array(factors.ravel()))
                 every = np.repeat(np.arange(n), tables)
                 out = part.take(pa.array(every))
                 # vectors of other lengths never meet
                 bucket = keys.ravel() + (np.int64(dim) << 40)
                 keys_column = pa.ListArray.from_arrays(pa.array(np.arange(0, n * tables + 1, tables, dtype=np.int32)), pa.array(keys.ravel())).take(pa.array(every))
-                yield pa.RecordBatch.from_arrays([out.column(0), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(bucket), out.column(1), out.column(2), keys_column, out.column(3)], names=names)
+                yield pa.RecordBatch.from_arrays([out.column(0), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(bucket), out.column(1), out.column(2), keys_column, code.take(pa.array(every)), stored_factors.take(pa.array(every)), out.column(3)], names=names)
 
-    return rows.mapInArrow(apply, "label string, table int, bucket long, node long, copies long, keys array<long>, vector array<double>")
+    return rows.mapInArrow(apply, f"label string, table int, bucket long, node long, copies long, keys array<long>, code binary, factors array<double>, vector {kind}")
 
 
 def links(dealt: DataFrame, threshold: float) -> DataFrame:
     """From rows sorted by (label, table, bucket, block_a, block_b): (a, b, n) with b null for counts of links, and forest edges."""
 
-    def linked(nodes: np.ndarray, copies: np.ndarray, keys: np.ndarray, block: np.ndarray, raw: np.ndarray, table: int, a: int, b: int) -> Iterator[tuple[int, int | None, int]]:
-        i, j = find(raw, block, threshold)
+    def linked(nodes: np.ndarray, copies: np.ndarray, keys: np.ndarray, code: np.ndarray, factors: np.ndarray, raw: np.ndarray, block: np.ndarray, table: int, a: int, b: int) -> Iterator[tuple[int, int | None, int]]:
+        n, dim = raw.shape
+        i, j = find(raw, np.unpackbits(code, axis=1)[:, : TURNS * dim].reshape(n, TURNS, dim).astype(bool), factors, threshold)
         if a != b:  # pairs inside a block belong to the block's own task
             across = block[i] != block[j]
             i, j = i[across], j[across]
@@ -168,7 +173,8 @@ def links(dealt: DataFrame, threshold: float) -> DataFrame:
                 return []
             column = lambda c: np.concatenate([np.asarray(h.column(c)) for h in held])
             lists = lambda c: np.concatenate([np.asarray(h.column(c).flatten()) for h in held]).reshape(n, -1)
-            return list(linked(column(5), column(6), lists(7), column(9), lists(8), now[1], now[3], now[4]))
+            code = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for h in held for x in h.column(8)])
+            return list(linked(column(5), column(6), lists(7), code, lists(9), lists(10).astype(np.float64), column(11), now[1], now[3], now[4]))
 
         out: list = []
         for batch in batches:
@@ -200,7 +206,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     """(vec_id, n_links, component_id, kept) for every row."""
     spark = df.sparkSession
     path = shared_dir(spark, "vectors")
-    values = F.col(vector).cast("array<double>")
+    kind = dict(df.dtypes)[vector]
+    kind = kind if kind == "array<float>" else "array<double>"  # single precision travels as it is
+    values = F.col(vector).cast(kind)
     fine = F.col("vector").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), values.alias("vector"))
     rows = rows.withColumn("node", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("label", "vector")))
@@ -210,13 +218,13 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan(largest, threshold, recall)
     dim = nodes.select(F.max(F.size("vector"))).first()[0] or 1
-    table = coded(nodes.select("label", "node", "copies", "vector"), bits, tables) if dim else None
-    sizes = table.drop("vector", "keys").groupBy("label", "table", "bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    table = coded(nodes.select("label", "node", "copies", "vector"), bits, tables, kind) if dim else None
+    sizes = table.select("label", "table", "bucket").groupBy("label", "table", "bucket").agg(F.count("*").alias("size")).filter("size > 1")
     table = table.join(sizes, ["label", "table", "bucket"])
     blocks = F.ceil(F.col("size") / block).cast("int")
     table = table.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     table = table.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = table.select("label", "table", "bucket", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "node", "copies", "keys", "vector", "block")
+    dealt = table.select("label", "table", "bucket", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "node", "copies", "keys", "code", "factors", "vector", "block")
     by = ["label", "table", "bucket", "block_a", "block_b"]
     found = stored(links(dealt.repartition(*by).sortWithinPartitions(*by), threshold), f"{path}/links")
 
