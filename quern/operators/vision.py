@@ -39,6 +39,14 @@ def layer_norm(x: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.ndarra
     return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + EPS) * scale + shift
 
 
+def drop_path(x: np.ndarray, rate: float, rng: np.random.Generator | None = None) -> np.ndarray:
+    """Drops whole rows in training, when a generator is given, and scales the others up; identity otherwise."""
+    if rng is None or rate == 0:
+        return x
+    kept = (rng.random(len(x)) >= rate).reshape(-1, *[1] * (x.ndim - 1))
+    return x * kept / (1 - rate)
+
+
 @dataclass(frozen=True)
 class Shape:
     dim: int

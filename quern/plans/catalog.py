@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scalars, vectors
 from quern.operators import evaluation, linear, meters, neighbours, vision
+from quern.sources.countries import COUNTRIES, countries
 from quern.sources.images import MEAN, STD
 
 SCHEDULE = {"base": 0.5, "final": 0.01, "epochs": 10, "per_epoch": 20, "warmup_epochs": 2, "start": 0.001}
@@ -280,6 +281,17 @@ def u3_countries(spark, d):
     return customers.join(nation, "k").select("country", scalars.path_join(F.col("country"), F.col("tile").cast("string")).alias("path"))
 
 
+def u2_crop_outputs(spark, d):
+    """Outputs of two crops under each other, in one table."""
+    rows = table(spark, d, "embeddings")
+    crop = lambda k, n: rows.select("vec_id", F.lit(k).alias("crop"), F.aggregate(F.slice(vectors.doubles("embedding"), 1, n), F.lit(0.0), lambda s, x: s + x).alias("v"))
+    return crop(0, 64).unionByName(crop(1, 16)).select("vec_id", "crop", rounded(F.col("v")).alias("v"))
+
+
+def s8_countries(spark, d):
+    return countries(spark, "tiles")
+
+
 # --- schedules and random numbers
 
 
@@ -287,6 +299,16 @@ def f1_cosine_schedule(spark, d):
     return scalars.cosine_schedule(spark, **SCHEDULE).select("step", rounded(F.col("value"), 9).alias("value"))
 
 
+def f4_seeded_noise(spark, d):
+    """The same numbers for the same seed, whatever else runs."""
+    a, b = (spark.range(0, 1000, 1, 4).select("id", F.rand(31).alias("r")) for _ in range(2))
+    return a.join(b.withColumnRenamed("r", "again"), "id").agg(F.bool_and(F.col("r") == F.col("again")).alias("same"), F.count("*").alias("n"))
+
+
+def f3_norm_cdf(spark, d):
+    return spark.createDataFrame([(float(x), float(y)) for x, y in zip((-2, 0, 1), scalars.norm_cdf([-2, 0, 1]), strict=True)], "x double, p double")
+
+
 def f2_truncated_normal(spark, d):
     return scalars.truncated_normal(spark, 10_000, 0.0, 0.02, -0.04, 0.04)
 
@@ -397,6 +419,9 @@ ORACLES = {
         SELECT vec_id, class, round(s, 6) + 0.0 AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, class) AS r FROM x) WHERE r <= 5
     """,
     "u1_combined": "SELECT vec_id, label FROM embeddings UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id < 10",
+    "u2_crop_outputs": f"WITH {E} SELECT vec_id, 0 AS crop, round(list_sum(v), 6) + 0.0 AS v FROM e UNION ALL SELECT vec_id, 1, round(list_sum(v[1:16]), 6) + 0.0 FROM e",
+    "s8_countries": "SELECT country, 'tiles/' || country AS directory FROM (VALUES " + ", ".join("('" + c.replace("'", "''") + "')" for c in COUNTRIES) + ") AS c(country)",
+    "f4_seeded_noise": "SELECT true AS same, CAST(1000 AS BIGINT) AS n",
     "u3_countries": "SELECT n_name AS country, n_name || '/' || c_custkey AS path FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "f1_cosine_schedule": """
         SELECT step, round(CASE WHEN step < 40 THEN 0.001 + step * (0.499 / 39) ELSE 0.01 + 0.5 * 0.49 * (1 + cos(pi() * (step - 40) / 160)) END, 9) + 0.0 AS value FROM (SELECT unnest(range(0, 200)) AS step)

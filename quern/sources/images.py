@@ -129,8 +129,3 @@ def write_by_country(results: DataFrame, path: str) -> None:
 def read_worker_results(spark: SparkSession, paths: list[str], label: str = "long") -> DataFrame:
     """Workers' CSV files as one table with fixed types; a missing file is an error."""
     return spark.read.schema(f"file_name string, prediction {label}").option("header", True).csv(paths)
-
-
-def countries(spark: SparkSession, names: list[str], root: str) -> DataFrame:
-    """(country, directory)."""
-    return spark.createDataFrame([(n, f"{root}/{n}") for n in names], "country string, directory string")

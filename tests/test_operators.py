@@ -174,3 +174,10 @@ def test_transformer_shapes_and_determinism(spark):
     assert np.allclose(got[3], net.features(images[3:4].astype(np.float32))[0], atol=1e-5)
     head = vision.projection_head(np.abs(images.reshape(5, -1)), [(np.ones((192, 4)), np.zeros(4)), (np.eye(4), np.zeros(4))], np.eye(4) * 7)
     assert np.allclose(np.linalg.norm(head, axis=1), 1)
+
+
+def test_drop_path():
+    x = np.ones((400, 2, 3))
+    assert vision.drop_path(x, 0.5) is x
+    y = vision.drop_path(x, 0.25, np.random.default_rng(0))
+    assert set(np.unique(y)) == {0, 1 / 0.75} and abs(y.mean() - 1) < 0.1 and ((y == 0).all((1, 2)) | (y > 0).all((1, 2))).all()

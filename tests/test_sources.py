@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.sources import images
+from quern.sources import countries, images
 
 
 def tiff(rgb):
@@ -82,4 +82,4 @@ def test_results_round_trip(spark, tmp_path):
         images.read_worker_results(spark, [str(tmp_path / "w0"), str(tmp_path / "w1")])
     images.write_by_country(rows.withColumn("country", F.lit("Côte d'Ivoire")), str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "c")).filter("country = \"Côte d'Ivoire\"").count() == 2
-    assert images.countries(spark, ["x"], "/r").first().directory == "/r/x"
+    assert countries.countries(spark, "/r").filter("country = 'Mali'").first().directory == "/r/Mali" and len(set(countries.COUNTRIES)) == 51
