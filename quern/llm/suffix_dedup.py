@@ -33,16 +33,19 @@ from pyspark.sql import functions as F
 from quern.llm import hashing as H
 from quern.llm.common import BLOCK, BLOCK_DDL, block_rows, buffers, by_part, chunked, parts, parts_for, shared_dir, small_batches, stored, text_column
 from quern.llm.components import salted_join
-from quern.llm.substring_dedup import OTHER_BASE, SPANS, WINDOWS, by_document, firsts, found_spans, packed, span_arrays, unpacked
+from quern.llm.substring_dedup import OTHER_BASE, SPANS, WINDOWS, by_document, firsts, packed, span_arrays, unpacked
 from quern.llm.suffix_array import repeated
 
 LENGTH, GRAM = 400, 32
-#: Bytes of sources in a shard: a suffix array takes some 60 bytes for each.
-SHARD_BYTES = 2 << 20
+#: Bytes of sources in a shard: a suffix array takes some 100 bytes for each.
+SHARD_BYTES = 1 << 20
 #: Bytes of sources of one least hash, beyond which their windows are compared by hash.
 GROUP_BYTES = 512 << 10
 PART_BYTES = 24 << 20
+#: Low bits of a gram's hash that do not count.
+VALUE_BITS = 24
 STRETCH = np.dtype([("least", "<u8"), ("bytes", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("n", "<i4"), ("self", "<i4")])
+SPAN = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("n", "<i4")])
 GONE, SOURCE, SPLIT = 0, 1, 2
 
 
@@ -58,11 +61,12 @@ def stretches(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
         return np.empty(0, STRETCH), np.zeros(0, np.int64)
     spans = H.Spans(buf)
     grams = spans.every(gram)
-    bits = H.U(int(len(grams)).bit_length())
+    bits = H.U(max(VALUE_BITS, int(len(grams)).bit_length()))
     # the place stands in the low bits: the least of a window is its leftmost least gram
     least = H.sliding_min((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
     place = (least & ((H.U(1) << bits) - H.U(1))).astype(np.int64)
-    value = grams[place] >> H.U(24)  # the same value whatever the size of the chunk
+    # the value is the same whatever else the chunk holds
+    value = least >> bits if bits == VALUE_BITS else H.sliding_min(grams >> H.U(VALUE_BITS), length - gram + 1)
     n = len(least)
     change = np.ones(n, bool)
     change[1:] = value[1:] != value[:-1]
@@ -179,50 +183,91 @@ def pieces(texts: DataFrame, n_shards: int, n_parts: int, length: int) -> DataFr
     return texts.mapInArrow(apply, PIECES)
 
 
-def shard_spans(ids: np.ndarray, tags: np.ndarray, at: np.ndarray, data: list[np.ndarray], length: int) -> pa.RecordBatch:
+def united(rows: np.ndarray) -> np.ndarray:
+    """Spans of window starts, with those of a class that meet or overlap as one."""
+    rows = rows[np.lexsort((rows["at"], rows["tag"], rows["doc"]))]
+    if not len(rows):
+        return rows
+    new = firsts(rows["doc"], rows["tag"])
+    text = np.cumsum(new).astype(np.int64) << 32  # places of different classes stay apart
+    start, end = text + rows["at"], text + rows["at"] + rows["n"]
+    reach = np.maximum.accumulate(end)
+    begins = np.ones(len(rows), bool)
+    begins[1:] = start[1:] > reach[:-1]
+    at = np.flatnonzero(begins)
+    out = rows[at]
+    out["n"] = np.maximum.reduceat(end, at) - start[at]
+    return out
+
+
+def shard_spans(ids: np.ndarray, tags: np.ndarray, at: np.ndarray, data: list[np.ndarray], length: int) -> np.ndarray:
     """The spans of repeated windows in one shard."""
     twice = repeated(data, length)
     which = np.repeat(np.arange(len(data)), [len(t) for t in twice])
-    start = np.concatenate([np.arange(len(t)) for t in twice]) if twice else np.zeros(0, np.int64)
-    hit = np.concatenate(twice) if twice else np.zeros(0, bool)
-    rows = np.zeros(int(hit.sum()), WINDOWS)
+    start = np.concatenate([np.arange(len(t)) for t in twice])
+    hit = np.concatenate(twice)
+    rows = np.zeros(int(hit.sum()), SPAN)
     which, start = which[hit], start[hit]
-    rows["doc"], rows["tag"], rows["at"] = ids[which], tags[which], at[which] + start
-    return found_spans(rows)
+    rows["doc"], rows["tag"], rows["at"], rows["n"] = ids[which], tags[which], at[which] + start, 1
+    return united(rows)
 
 
-def sharded(rows: DataFrame, length: int) -> DataFrame:
-    """The spans of repeated windows, from the rows of pieces() dealt by part."""
+def window_spans(rows: np.ndarray) -> np.ndarray:
+    """The windows of a part that stand in more than one place."""
+    rows = rows[np.lexsort((rows["check"], rows["hash"]))]
+    kind = np.cumsum(firsts(rows["hash"], rows["check"])) - 1
+    rows = rows[np.bincount(kind)[kind] > 1]
+    out = np.ones(len(rows), SPAN)
+    for c in ("doc", "tag", "at"):
+        out[c] = rows[c]
+    return united(out)
+
+
+def sharded(rows: DataFrame, length: int, n_parts: int) -> DataFrame:
+    """Block rows of the spans of repeated windows, dealt by class, from the rows of pieces() in order of part."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done() -> Iterator[pa.RecordBatch]:
-            if now is None or not data:
-                return
-            if now >= 0:
-                yield shard_spans(np.array(ids, np.int64), np.array(tags, np.int32), np.array(at, np.int64), data, length)
-            else:
-                rows = np.concatenate([x.view(WINDOWS) for x in data])
-                rows = rows[np.lexsort((rows["check"], rows["hash"]))]
-                new = firsts(rows["hash"], rows["check"])
-                kind = np.cumsum(new) - 1
-                rows = rows[np.bincount(kind)[kind] > 1]
-                if len(rows):
-                    yield found_spans(rows)
+        held: list[np.ndarray] = []
+
+        def done() -> None:
+            if data:
+                held.append(shard_spans(np.array(ids, np.int64), np.array(tags, np.int32), np.array(at, np.int64), data, length) if now >= 0 else window_spans(np.concatenate([x.view(WINDOWS) for x in data])))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = united(np.concatenate(held))
+            held.clear()
+            yield block_rows((H.mix(rows["doc"].astype(np.uint64)) % H.U(n_parts)).astype(np.int32), rows, BLOCK)
 
         now, ids, tags, at, data = None, [], [], [], []
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(4)]
             for i, (part, doc, tag, place) in enumerate(zip(*columns, strict=True)):
                 if part != now:
-                    yield from done()
+                    done()
                     now, ids, tags, at, data = part, [], [], [], []
+                    if sum(map(len, held)) > 400_000:
+                        yield from flush()
                 ids.append(doc)
                 tags.append(tag)
                 at.append(place)
                 data.append(np.frombuffer(batch.column(4)[i].as_buffer(), np.uint8))
-        yield from done()
+        done()
+        if held:
+            yield from flush()
+
+    return rows.mapInArrow(apply, BLOCK_DDL)
+
+
+def joined_spans(blocks: DataFrame) -> DataFrame:
+    """(doc_id, tag, at, n, state): the spans of each class, those that meet as one."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in parts(batches, SPAN):
+            rows = united(rows)
+            columns = [pa.array(np.ascontiguousarray(rows[c])) for c in ("doc", "tag", "at", "n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(len(rows), np.int32))], names=["doc_id", "tag", "at", "n", "state"])
 
-    return rows.mapInArrow(apply, SPANS)
+    return blocks.mapInArrow(apply, SPANS)
 
 
 def cut(docs: DataFrame, spans: DataFrame, length: int, with_text: bool) -> DataFrame:
@@ -276,7 +321,7 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     texts = packed(docs.select("doc_id", "tag", "text")).join(wanted.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
     texts = once(texts)
     dealt = pieces(texts, n_shards, n_split, length).repartition(parts_for(float(size or 0) + float(split or 0) * WINDOWS.itemsize, 4 * shard_bytes, 8), "part").sortWithinPartitions("part")
-    found = stored(sharded(dealt, length), f"{path}/spans")
+    found = stored(joined_spans(by_part(sharded(dealt, length, n_parts), n_tasks)), f"{path}/spans")
 
     spans = states.filter(f"state = {GONE}").select("doc_id", "tag", "at", "n", "state").unionByName(found)
     per_class = copies.filter("copies > 1").join(by_document(spans), ["doc_id", "tag"], "full").withColumn("same", F.xxhash64("doc_id", "tag")).withColumnsRenamed({"doc_id": "d", "tag": "t"})
