@@ -318,7 +318,7 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     n_split = parts_for(float(split or 0) * WINDOWS.itemsize, PART_BYTES / 8, 8)
     wanted = sources.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n", "state", "least")).alias("spans"))
     # one row of text for each class that has sources: of its copies, any is as good
-    texts = packed(docs.select("doc_id", "tag", "text")).join(wanted.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
+    texts = packed(fresh(docs.select("doc_id", "tag", "text"))).join(wanted.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
     texts = once(texts)
     dealt = pieces(texts, n_shards, n_split, length).repartition(parts_for(float(size or 0) + float(split or 0) * WINDOWS.itemsize, 4 * shard_bytes, 8), "part").sortWithinPartitions("part")
     found = stored(joined_spans(by_part(sharded(dealt, length, n_parts), n_tasks)), f"{path}/spans")
@@ -331,6 +331,22 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     return cut(joined, None, length, with_text).withColumnRenamed("key", key)
 
 
+def fresh(docs: DataFrame) -> DataFrame:
+    """Of each task's rows (doc_id, tag, text), one a class: copies of one text do not all travel to one task."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            keep = []
+            for c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keep.append(c not in seen)
+                seen.add(c)
+            if any(keep):
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def once(texts: DataFrame) -> DataFrame:
     """Rows sorted by class, one of each: the join has put a class's rows into one task."""
 
