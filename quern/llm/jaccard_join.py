@@ -313,7 +313,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     at = F.coalesce("component", "node")
     placed = groups.join(parents, "node", "left").select("sign", "node", "size", "pos", at.alias("component"))
     mixed = placed.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sign")
-    placed = stored(placed.join(mixed, "sign"), f"{path}/placed")
+    placed = stored(salted_join(placed, mixed, "sign", "node"), f"{path}/placed")
     x, y = (placed.select("sign", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "pos", "component"))) for side in "ab")
     sizes, left = (F.col("size_a"), F.col("size_b")), (F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
     similar = F.lit(den) * F.least(*sizes) >= F.lit(num) * F.greatest(*sizes)

@@ -206,9 +206,9 @@ def read(spark: SparkSession, path: str, keys: DataFrame, with_ids: bool = True)
     shards = manifest.groupBy("shard", "file").agg(F.sum("n").alias("total"))
     # one row a shard, SHARD_TEXT of text each
     shards = shards.select("shard", "file", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
-    places = lookup(spark, path, keys)
+    places = lookup(spark, path, keys).repartition(max(1, shards.count()), "shard")  # a task for each shard or two
     width = np.dtype(f"<u{settings(path)['bytes']}")
-    dealt = places.repartition("shard").join(shards.hint("shuffle_hash"), "shard").sortWithinPartitions("shard", "at").select("doc_id", "occurrence", "file", "base", "at", "n")
+    dealt = places.join(shards.hint("shuffle_hash"), "shard").sortWithinPartitions("shard", "at").select("doc_id", "occurrence", "file", "base", "at", "n")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = filesystem(f"{path}/shards")

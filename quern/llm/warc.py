@@ -100,13 +100,15 @@ def write(df: DataFrame, path: str, key: str, payload: str, url: str | None = No
     """Writes path/*.warc.gz and the manifest (file, records, bytes); returns the manifest, one row per file."""
     small_batches(df.sparkSession)
     table = records(df, key, payload, url, least)
-    # A revisit has no block. The join deals chunks and record rows by the record, so no further shuffle is needed.
+    # A revisit has no block. The join deals the chunks of responses by the record, so no further shuffle is needed.
     same = F.xxhash64("key", "digest").alias("same")
-    rows = table.select("*", same)
+    names = ["key", "occurrence", "url", "type", "refers_to", "payload_bytes", "digest", "chunk", "data"]
+    responses = table.filter("type = 'response'").select("*", same)
     bodies = chunk_rows(df, key, payload, chunk).select(same.alias("other"), F.col("key").alias("k"), F.col("digest").alias("d"), "chunk", "data")
-    on = (F.col("same") == F.col("other")) & F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")) & (F.col("type") == "response")
-    dealt = rows.join(bodies.hint("merge"), on, "left").select("key", "occurrence", "url", "type", "refers_to", "payload_bytes", "digest", "chunk", "data")
-    dealt = dealt.sortWithinPartitions("key", "digest", "occurrence", "chunk")
+    on = (F.col("same") == F.col("other")) & F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d"))
+    full = bodies.join(responses.hint("shuffle_hash"), on).select(*names)
+    bare = table.filter("type = 'revisit'").select(*names[:-2], F.lit(0).alias("chunk"), F.lit(None).cast("binary").alias("data"))
+    dealt = full.unionByName(bare).sortWithinPartitions("key", "digest", "occurrence", "chunk")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -235,7 +237,8 @@ def read(spark: SparkSession, path: str, chunk: int = CHUNK, data: bool = True)
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.select("file").repartition("file").mapInArrow(apply, ddl)
+    # a task for each file or two: the manifest is small, the files are not
+    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(apply, ddl)
 
 
 def payload_digests(chunks: DataFrame) -> DataFrame:
