@@ -1,7 +1,12 @@
-"""A session with the settings that the library's plans expect."""
+"""A session with the settings that the library's plans expect, and the library on its executors."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -11,10 +16,27 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
+_SHIPPED: set[str] = set()
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName("quern")
     if master:
         builder = builder.master(master)
-    return builder.config(map=SETTINGS | settings).getOrCreate()
+    spark = builder.config(map=SETTINGS | settings).getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the library's sources to the application's executors, once; Spark sends them the file."""
+    application = spark.sparkContext.applicationId
+    package = Path(__file__).resolve().parent
+    if application in _SHIPPED or not package.is_dir():
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="quern-"), "quern.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
