@@ -24,17 +24,20 @@ an empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import hashing as H
-from quern.llm.common import BLOCK, BLOCK_DDL, block_rows, buffers, by_part, chunked, parts, parts_for, shared_dir, small_batches, stored, text_column
+from quern.llm.common import BLOCK, BLOCK_DDL, block_rows, buffers, by_part, chunked, filesystem, parts, parts_for, shared_dir, small_batches, stored, text_column
 
 WINDOW, GRAM = 50, 16
 FANOUT = 4
@@ -289,6 +292,22 @@ class Index:
             self.n_tasks = parts_for(rows, PART_BYTES, 8)
             self.n_parts = 8 * self.n_tasks
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Index:
+        """The index that was kept under path, as its last committed batch left it."""
+        fs, folder = filesystem(path)
+        names = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(folder)) if f.base_name.startswith("manifest-"))
+        with fs.open_input_stream(names[-1]) as file:
+            return cls(spark, path, **json.loads(file.read()))
+
+    def commit(self) -> None:
+        """Keeps the list of runs: a batch counts from here on, and one that failed before left only files that no list names."""
+        fs, folder = filesystem(self.path)
+        fs.create_dir(folder)
+        kept = {k: getattr(self, k) for k in ("window", "gram", "fanout", "n_parts", "n_tasks", "runs", "made")}
+        with fs.open_output_stream(f"{folder}/manifest-{self.made:08d}.json") as file:
+            file.write(json.dumps(kept).encode())
+
     def read(self, run: str) -> DataFrame:
         return self.spark.read.schema(f"{SPANS}, {BLOCK_DDL}").parquet(run).filter("part IS NOT NULL")
 
@@ -297,19 +316,21 @@ class Index:
 
         docs and corpus are (doc_id, tag, text); corpus holds docs and all that was indexed before.
         """
-        self.made += 1
-        name = f"{self.path}/run-{self.made}"
+        made = self.made + 1
+        name = f"{self.path}/run-{made}-{uuid.uuid4().hex[:8]}"
         blocks = fingerprints(docs, self.n_parts, self.window, self.gram)
         for run in self.runs:
             blocks = blocks.unionByName(as_old(self.read(run)))
         compact = len(self.runs) + 1 >= self.fanout
         out = stored(merged(by_part(blocks, self.n_tasks), compact), name)
-        self.runs = [name] if compact else [*self.runs, name]
         spans = out.filter("part IS NULL").select("doc_id", "tag", "at", "n", "state")
         wanted = by_document(spans.filter(f"state <> {GONE}"))
         texts = packed(corpus).join(wanted.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
         windows = compared(by_part(window_rows(texts, self.n_parts, self.window), self.n_tasks))
-        return stored(spans.filter(f"state = {GONE}").unionByName(windows), f"{self.path}/spans-{self.made}")
+        found = stored(spans.filter(f"state = {GONE}").unionByName(windows), f"{name}-spans")
+        self.runs, self.made = [name] if compact else [*self.runs, name], made
+        self.commit()
+        return found
 
 
 def cut(docs: DataFrame, spans: DataFrame, window: int, with_text: bool = False) -> DataFrame:

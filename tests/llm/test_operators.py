@@ -332,6 +332,7 @@ def test_runs_are_compacted(spark, docs):
     for i in range(5):
         index.add(seen.filter(F.col("doc_id") % 5 == i), seen.filter(F.col("doc_id") % 5 <= i))
         assert len(index.runs) == (1, 2, 1, 2, 1)[i]
+        index = substring_dedup.Index.open(spark, index.path)  # as another session would find it
 
 
 def test_no_windows(empty):
