@@ -99,7 +99,7 @@ class Member:
 def write(df: DataFrame, path: str, key: str, payload: str, url: str | None = None, chunk: int = CHUNK, least: int = LEAST) -> DataFrame:
     """Writes path/*.warc.gz and the manifest (file, records, bytes); returns the manifest, one row per file."""
     small_batches(df.sparkSession)
-    table = records(df, key, payload, url, least)
+    table = stored(records(df, key, payload, url, least), f"{path}/records")
     # A revisit has no block. The join deals the chunks of responses by the record, so no further shuffle is needed.
     same = F.xxhash64("key", "digest").alias("same")
     names = ["key", "occurrence", "url", "type", "refers_to", "payload_bytes", "digest", "chunk", "data"]
