@@ -39,7 +39,7 @@ PENALTY = 1e-5
 SWITCH = 12
 UND = "und"
 REMEMBERED = 300_000
-CHUNK = 4 << 20
+CHUNK = 3 << 19
 WORD = re.compile(r"[^\W\d_]+")
 
 
