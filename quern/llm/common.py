@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,16 +16,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that an operator turns into arrays at a time; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 250_000
+#: The local folder of each application whose settings name no shared one.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder that driver and executors share, under spark.checkpoint.dir; a local one only where that is unset.
+
+    It is a full address, so that Spark and the files that tasks write themselves mean the same place.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(context.applicationId)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quern-")
+    path = context._jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"{re.sub('^file:/+', 'file:///', whole).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -56,6 +66,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on between tasks, next to an executor that needs it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunked(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose column holds about `most` bytes at most, or one row."""
     for batch in batches:
@@ -67,6 +84,7 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BY
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    release()
 
 
 def block_rows(part: np.ndarray, rows: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
@@ -102,6 +120,8 @@ def parts(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[tuple[
             held.append(np.frombuffer(d.as_buffer(), dtype))
     if held:
         yield now, np.concatenate(held)
+    held = []
+    release()
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

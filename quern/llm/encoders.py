@@ -24,6 +24,8 @@ BYTE_LEVEL = re.compile(rf" ?[{LETTER}]+|{SUFFIX}| ?[0-9]+| ?[^ \t\n\r0-9{LETTER
 WORD_LEVEL = re.compile(rf"[{LETTER}]+|{SUFFIX}|[0-9]|[^ \t\n\r0-9{LETTER}]+")
 #: Pieces that a worker remembers; beyond that it starts anew.
 REMEMBERED = 400_000
+#: Bytes of text encoded at a time.
+CHUNK = 1 << 20
 
 
 class Pieces(dict):

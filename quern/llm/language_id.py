@@ -38,7 +38,7 @@ PENALTY = 1e-5
 #: Words of one piece in a code-switched training sequence.
 SWITCH = 12
 UND = "und"
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 CHUNK = 3 << 19
 WORD = re.compile(r"[^\W\d_]+")
 
