@@ -297,7 +297,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     n_tasks = parts_for(total, PART_BYTES, 8)
     blocks = prefixes(docs, ranks, bits, n, 8 * n_tasks, num, den)
     found = stored(candidates(by_part(blocks, n_tasks), num, den), f"{path}/candidates")
-    stars = stored(found.filter("sign IS NULL").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "a", "b").groupBy("lo", "hi").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), f"{path}/stars")
+    # a pair that is in a star both ways is verified once, from one of its centres
+    ends = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
+    stars = found.filter("sign IS NULL").select(*ends, "a").groupBy("lo", "hi").agg(F.min("a").alias("a"))
+    stars = stored(stars.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), f"{path}/stars")
     groups = found.filter("sign IS NOT NULL").groupBy("sign", F.col("a").alias("node"), "size").agg(F.min("pos").alias("pos"))
 
     # one document's text for each class that is a candidate
@@ -320,7 +323,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     enough = (num + den) * F.least(*left) >= num * (sizes[0] + sizes[1])  # the positional filter, as for stars
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
     rest = x.join(y, "sign").filter(similar & enough & apart).select(F.col("node_a").alias("lo"), F.col("node_b").alias("hi")).distinct()
-    rest = rest.join(stars.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    rest = rest.join(stars.select(*ends), ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     more = stored(verified(stored(rest, f"{path}/rest"), texts, n, num, den), f"{path}/more")
     if more.isEmpty():
         final = parents

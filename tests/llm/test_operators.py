@@ -54,6 +54,25 @@ def source(df):
     return [(r.doc_id, r.text) for r in df.collect()]
 
 
+# --- what they share
+
+
+def test_shared_folder_is_a_full_address(spark):
+    a, b = common.shared_dir(spark, "x"), common.shared_dir(spark, "x")
+    assert a != b and a.startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/")) and a.startswith("file:///")
+    fs, path = common.filesystem(a)
+    assert path.startswith("/")
+
+
+def test_chunks_are_bounded_and_whole():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (0, 5, 9, 3, 100, 0, 1)])], names=["t"])
+    got = list(common.chunked([batch, batch.slice(0, 0), batch.slice(2)], "t", 10))
+    assert [x for c in got for x in c.column(0).to_pylist()] == batch.column(0).to_pylist() + batch.slice(2).column(0).to_pylist()
+    assert all(c.num_rows == 1 or sum(len(x) for x in c.column(0).to_pylist()) <= 10 for c in got)
+
+
 # --- components
 
 
