@@ -6,21 +6,27 @@ picks a few more candidates than k; those are computed again without cancellatio
 If the blocks together are under BROADCAST_BYTES, which is counted, they are broadcast and nothing is shuffled. Otherwise
 query blocks meet training blocks as rows, and the k best of all blocks are chosen by a partial aggregation.
 Ties of distance go to the smaller training id, ties of votes to the smaller label.
+
+places() ranks all training vectors of each query, without a limit, and returns the places of those that share its label or id.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 5
 BLOCK_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
 SPARE = 8
+#: Vectors whose distances to one query are computed at a time, and pairs of a task, when all are ranked.
+NEAR_ROWS = 1024
+TASK_PAIRS = 1 << 22
 
 
 def nearest(queries: np.ndarray, ids: np.ndarray, train: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +106,64 @@ def neighbours(queries: DataFrame, train: DataFrame, query_id: str, train_id: st
     return found.select(F.col("q").alias(query_id), F.col("t").alias("train_id"), F.col("l").alias("label"), F.col("d").alias("distance2"))
 
 
+def distances(query: np.ndarray, train: np.ndarray) -> np.ndarray:
+    """Squared distances of all training vectors to one query."""
+    parts = [((query - train[at : at + NEAR_ROWS]) ** 2).sum(1) for at in range(0, len(train), NEAR_ROWS)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def places(queries: DataFrame, train: DataFrame, query_id: str, train_id: str, vector: str, label: str) -> DataFrame:
+    """(query_id, train_id, place): where each training row of the query's label or id stands among all rows, from 0, by distance and then by id.
+
+    Rows with a null id or vector take no part; a row with a null label is ranked, and its label equals no other.
+    """
+    none = -(1 << 63)
+
+    def columns(df: DataFrame, key: str, absent: int) -> DataFrame:
+        own = F.coalesce(F.col(label).cast("long"), F.lit(absent))
+        return df.select(F.col(key).cast("long").alias("i"), own.alias("l"), F.col(vector).cast("array<double>").alias("v")).dropna()
+
+    q, t = columns(queries, query_id, none), columns(train, train_id, none + 1)
+    n, most = t.agg(F.count("*"), F.max(F.size("v"))).first()
+
+    if n * ((most or 0) + 2) * 8 <= BROADCAST_BYTES:
+        shared = q.sparkSession.sparkContext.broadcast([(bytes(r.ids), bytes(r.labels), bytes(r.vectors)) for r in packed(t).collect()])
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks = [unpack(*b) for b in shared.value]
+            if not blocks:
+                return
+            ids, labels, vectors = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            by_id = np.argsort(ids, kind="stable")
+            ids, labels, vectors = ids[by_id], labels[by_id], vectors[by_id]
+            place = np.empty(len(ids), np.int64)
+            for batch in batches:
+                for q_id, q_label, query in zip(np.asarray(batch.column(0)), np.asarray(batch.column(1)), matrix(batch.column(2)), strict=True):
+                    place[np.argsort(distances(query, vectors), kind="stable")] = np.arange(len(ids))
+                    own = np.flatnonzero((labels == q_label) | (ids == q_id))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), q_id)), pa.array(ids[own]), pa.array(place[own])], names=["q", "t", "place"])
+
+        # a few blocks of a small file would else be a few tasks
+        spread = q.repartition(max(1, math.ceil(q.count() * n / TASK_PAIRS)))
+        found = spread.mapInArrow(apply, "q long, t long, place long")
+    else:
+        query_blocks = packed(q).withColumnsRenamed({"ids": "q_ids", "labels": "q_labels", "vectors": "q_vectors"})
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    q_ids, q_labels, q_vectors, *block = (c[i].as_buffer() for c in batch.columns)
+                    ids, labels, vectors = unpack(*block)
+                    for q_id, q_label, query in zip(*unpack(q_ids, q_labels, q_vectors), strict=True):
+                        own = (labels == q_label) | (ids == q_id)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(ids), q_id), ids, distances(query, vectors), own)], names=["q", "t", "d", "own"])
+
+        pairs = query_blocks.crossJoin(packed(t)).mapInArrow(apply, "q long, t long, d double, own boolean")
+        place = F.row_number().over(Window.partitionBy("q").orderBy("d", "t")) - 1
+        found = pairs.withColumn("place", place.cast("long")).filter("own")
+    return found.select(F.col("q").alias(query_id), F.col("t").alias("train_id"), "place")
+
+
 def vote(found: DataFrame, query_id: str) -> DataFrame:
     """(query_id, prediction): the most frequent label, the smallest of several."""
     votes = found.groupBy(query_id, "label").agg(F.count("*").alias("votes"))

@@ -126,11 +126,13 @@ def j1_knn_classify(spark, d):
 
 
 def rankings(spark, d):
-    """Every tenth vector as a query against all: equal labels are positive, the vector itself is junk; the 50 nearest are ranked."""
+    """Every tenth vector as a query against all: equal labels are positive, the vector itself is junk.
+
+    All vectors are ranked; ranks holds the positive and the junk ones, as no metric reads the others.
+    """
     rows = table(spark, d, "embeddings")
-    near = neighbours.neighbours(rows.filter("vec_id % 10 = 0"), rows, "vec_id", "vec_id", "embedding", "label", 50)
-    place = F.row_number().over(evaluation.Window.partitionBy("vec_id").orderBy("distance2", "train_id")) - 1
-    ranks = near.select(F.col("vec_id").alias("query_id"), place.alias("place"), F.col("train_id").alias("db_id"))
+    near = neighbours.places(rows.filter("vec_id % 10 = 0"), rows, "vec_id", "vec_id", "embedding", "label")
+    ranks = near.select(F.col("vec_id").alias("query_id"), "place", F.col("train_id").alias("db_id"))
     queries = rows.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "label")
     positive = queries.join(rows.select(F.col("vec_id").alias("db_id"), "label"), "label").filter("query_id <> db_id").select("query_id", "db_id")
     junk = queries.select("query_id", F.col("query_id").alias("db_id"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scalars, vectors
 from quern.operators import evaluation, linear, meters, neighbours, vision
+from quern.plans import catalog
 
 POINTS = [(1, 0, 0, 0), (2, 2, 0, 0), (3, 0, 2, 1), (4, -3, 0, 1), (5, 0, -4, 2), (6, 4, 0, 2), (7, 30, 1, 0), (8, 1, 30, 1)]
 
@@ -181,3 +182,29 @@ def test_drop_path():
     assert vision.drop_path(x, 0.5) is x
     y = vision.drop_path(x, 0.25, np.random.default_rng(0))
     assert set(np.unique(y)) == {0, 1 / 0.75} and abs(y.mean() - 1) < 0.1 and ((y == 0).all((1, 2)) | (y > 0).all((1, 2))).all()
+
+
+@pytest.mark.parametrize("limit", [neighbours.BROADCAST_BYTES, 0])
+def test_rankings_reach_every_row(spark, tmp_path, monkeypatch, limit):
+    """300 rows of three labels, some of them copies: about 100 positives a query, at places up to 299."""
+    monkeypatch.setattr(neighbours, "BROADCAST_BYTES", limit)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    x[100:150] = x[7]
+    label = rng.integers(0, 3, 300)
+    rows = [(i, [float(v) for v in r], None if i == 33 else int(k)) for i, (r, k) in enumerate(zip(x, label, strict=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want, ap, n_hits = {}, {}, {}
+    for q in range(0, 300, 10):
+        order = np.lexsort((np.arange(300), ((x - x[q]) ** 2).sum(1))).tolist()
+        good = [i for i in range(300) if i not in (q, 33) and label[i] == label[q]]
+        want |= {(q, i): order.index(i) for i in good}
+        at = sorted(order.index(i) - (order.index(q) < order.index(i)) for i in good)
+        ap[q] = sum((j / p if p else 1.0) + (j + 1) / (p + 1) for j, p in enumerate(at)) / (2 * len(at))
+        n_hits[q] = [sum(p < k for p in at) / k for k in catalog.KS]
+    got = {(r.query_id, r.db_id): r.place for r in catalog.j2_ranked_positives(spark, str(tmp_path)).collect()}
+    assert got == want and max(got.values()) > 250
+    for r in catalog.a6_ranking(spark, str(tmp_path)).collect():
+        assert r.ap == pytest.approx(ap.pop(r.query_id), abs=1e-8)
+        assert [r.p_1, r.p_5, r.p_10] == pytest.approx(n_hits[r.query_id])
+    assert not ap
