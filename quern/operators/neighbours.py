@@ -1,7 +1,8 @@
 """Exact k-nearest-neighbour classification.
 
 The training vectors are packed into blocks of bounded size. A batch of queries meets a block as one matrix product, which
-picks a few more candidates than k; those are computed again without cancellation, and the k best of a block remain.
+picks a few more candidates than k; those are computed again without cancellation, and the k best of a block remain. Where
+more vectors than these are as near as the k-th within rounding, as copies are, all of them are computed again.
 
 If the blocks together are under BROADCAST_BYTES, which is counted, they are broadcast and nothing is shuffled. Otherwise
 query blocks meet training blocks as rows, and the k best of all blocks are chosen by a partial aggregation.
@@ -31,12 +32,23 @@ TASK_PAIRS = 1 << 22
 
 def nearest(queries: np.ndarray, ids: np.ndarray, train: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(squared distances, rows) of the k training vectors nearest to each query, by distance and then by id."""
-    rough = (train * train).sum(1)[None, :] - 2 * (queries @ train.T)
+    squares = (train * train).sum(1)
+    rough = squares[None, :] - 2 * (queries @ train.T)
     m = min(len(train), k + SPARE)
     some = np.argpartition(rough, m - 1, axis=1)[:, :m] if m < len(train) else np.tile(np.arange(len(train)), (len(queries), 1))
     exact = ((queries[:, None, :] - train[some]) ** 2).sum(2)
     order = np.lexsort((ids[some], exact), axis=1)[:, :k]
-    return np.take_along_axis(exact, order, 1), np.take_along_axis(some, order, 1)
+    d, at = np.take_along_axis(exact, order, 1), np.take_along_axis(some, order, 1)
+    if m < len(train):
+        # all that rounding may place among the k best; where they are more than m, as copies are, each is computed
+        error = 8 * (train.shape[1] + 4) * np.finfo(np.float64).eps * ((queries * queries).sum(1) + squares.max())
+        within = rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + error)[:, None]
+        for i in np.flatnonzero(within.sum(1) > m):
+            more = np.flatnonzero(within[i])
+            far = distances(queries[i], train[more])
+            first = np.lexsort((ids[more], far))[:k]
+            d[i], at[i] = far[first], more[first]
+    return d, at
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -208,3 +208,21 @@ def test_rankings_reach_every_row(spark, tmp_path, monkeypatch, limit):
         assert r.ap == pytest.approx(ap.pop(r.query_id), abs=1e-8)
         assert [r.p_1, r.p_5, r.p_10] == pytest.approx(n_hits[r.query_id])
     assert not ap
+
+
+@pytest.mark.parametrize("limit", [neighbours.BROADCAST_BYTES, 0])
+def test_many_copies_of_differing_labels(spark, monkeypatch, limit):
+    """300 of 500 vectors are copies, whose ids fall: the five smallest ids are the neighbours, and their labels decide."""
+    monkeypatch.setattr(neighbours, "BROADCAST_BYTES", limit)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 8)) + 3
+    x[rng.permutation(500)[:300]] = 0.1
+    ids = np.arange(500)[::-1]
+    copies = np.sort(ids[(x == 0.1).all(1)])
+    rows = [(int(i), [float(v) for v in r], 1 if i in copies[:5] else 2) for i, r in zip(ids, x, strict=True)]
+    train = spark.createDataFrame(rows, "id long, v array<double>, label int").coalesce(1)
+    queries = spark.createDataFrame([(q, [0.1 + q] * 8) for q in (0, -1)], "q long, v array<double>")
+    found = neighbours.neighbours(queries, train, "q", "id", "v", "label").collect()
+    for q in (0, -1):
+        assert sorted(r.train_id for r in found if r.q == q) == copies[:5].tolist()
+    assert dict(neighbours.classify(queries, train, "q", "id", "v", "label").collect()) == {0: 1, -1: 1}
