@@ -5,13 +5,15 @@ docs. All but the last return the columns of documents:
 
 1. language: documents whose language the model cannot tell go: those without a letter, and those whose best language has
    less than MIN_SCORE of the words' probability. `lang` becomes the prediction.
-2. near duplicates: of each group of documents linked by n-gram Jaccard similarity, the one with the smallest id stays.
+2. near duplicates: of each group of documents linked by n-gram Jaccard similarity, the one with the smallest id stays;
+   rows without an id come last.
 3. decontamination: documents that contain a benchmark window go.
 4. secrets: credentials in the text are replaced by [REDACTED], and `n_chars` follows; no document goes.
 5. packing: every remaining text as pieces of sequences of token ids.
 
-Defined results: of rows without an id, one of each text stays at stage 2; a null text has no language and goes at stage 1;
-an empty table stays empty; extra columns are dropped.
+Defined results: rows that share an id, or have none, are documents of their own, judged by their own text; of rows with
+equal id and text one stays at stage 2; a null text has no language and goes at stage 1; an empty table stays empty; extra
+columns are dropped.
 """
 
 from __future__ import annotations
@@ -37,20 +39,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each linked group, and all that link with nothing; of rows that share an id, one by the text's hash."""
-    found = jaccard_join.near_duplicates(docs)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("__hash"))
-    chosen = keyed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("__hash").alias("__hash")).join(kept, "doc_id")
-    with_id = keyed.join(chosen, ["doc_id", "__hash"], "left_semi").dropDuplicates(["doc_id", "__hash"])
-    without = keyed.filter("doc_id IS NULL").dropDuplicates(["text"])
-    return with_id.unionByName(without).select(*COLUMNS)
+    """One document of each linked group, and all that link with nothing; of rows with equal id and text, one."""
+    once = docs.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    in_order = once.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    # the row's number rises with the id; stored, as another run may number otherwise
+    rows = common.stored(in_order.withColumn("__row", F.monotonically_increasing_id()), f"{common.shared_dir(spark, 'rows')}/rows")
+    found = jaccard_join.near_duplicates(rows, "__row")
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    rows = docs.select(*COLUMNS, F.sha2(own, 256).alias("__row"))
+    found = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__row")
+    return rows.join(found.filter("contaminated").select("__row").distinct(), "__row", "left_anti").select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,15 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, folder):
         if name != "packing":
             assert sorted(out.columns) == sorted(corpus_pipeline.COLUMNS)
         assert stage(spark, docs.limit(0), path).count() == 0
+
+
+def test_rows_without_an_id_or_with_a_shared_one_are_judged_by_their_own_text(spark, folder):
+    path, _, [(_, passage)] = folder
+    dirty = prose(200, 20) + " " + passage
+    rows = [(None, dirty), (None, prose(201, 40)), (7, dirty), (7, prose(202, 40)), (8, prose(203, 40)), (8, prose(204, 60)), (9, prose(204, 60)), (None, prose(203, 40) + " end"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA).repartition(3)
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.decontaminated(spark, docs, path).collect()}
+    assert got == {r for r in rows if r[1] != dirty}
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, path).collect()), key=repr)
+    gone = {(None, dirty), (9, prose(204, 60)), (None, prose(203, 40) + " end")}
+    assert got == sorted((r for r in rows if r not in gone), key=repr)
