@@ -255,9 +255,11 @@ def w5_metric_log(spark, d):
 
 
 def w7_static_ranges(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey")
-    n = orders.agg(F.count("*").alias("n"), F.min("o_orderkey").alias("lo"))  # one row
-    rows = orders.crossJoin(F.broadcast(n)).select("o_orderkey", (F.col("o_orderkey") - F.col("lo")).alias("i"), "n")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("long"))
+    # the place in key order: counts of the partitions before, and the place in the own one
+    placed = orders.orderBy("o_orderkey").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
+    n = orders.agg(F.count("*").alias("n"))  # one row
+    rows = spark.createDataFrame(placed, "o_orderkey long, i long").crossJoin(F.broadcast(n))
     return rows.select("o_orderkey", meters.static_worker(F.col("i"), F.col("n"), WORKERS).alias("worker"))
 
 

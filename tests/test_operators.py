@@ -226,3 +226,10 @@ def test_many_copies_of_differing_labels(spark, monkeypatch, limit):
     for q in (0, -1):
         assert sorted(r.train_id for r in found if r.q == q) == copies[:5].tolist()
     assert dict(neighbours.classify(queries, train, "q", "id", "v", "label").collect()) == {0: 1, -1: 1}
+
+
+def test_static_ranges_go_by_place_where_keys_have_gaps(spark, tmp_path):
+    keys = [10 * i * i + 3 for i in range(70)]
+    spark.createDataFrame([(k,) for k in keys[::-1]], "o_orderkey long").repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    got = dict(catalog.w7_static_ranges(spark, str(tmp_path)).collect())
+    assert got == {k: i // 10 for i, k in enumerate(keys)}
