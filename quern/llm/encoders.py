@@ -2,7 +2,8 @@
 
 Each word-like piece of a text is encoded on its own by these byte-pair models, so a worker encodes a piece once, by the
 library, and looks it up after that. Only texts of characters on which every regular-expression engine agrees are split
-here (ASCII, and the letters from U+00C0 to U+00FF); any other text goes to the library whole. The ids are the same.
+here (ASCII, and the letters from U+00C0 to U+00FF); any other text goes to the library whole, and so does one that holds
+the string of an added token, which by the library's defaults becomes that token's id. The ids are the same.
 """
 
 from __future__ import annotations
@@ -54,8 +55,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.lower = self.tokenizer.normalizer is not None
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: A text is split here only if none of these stands in it, in any case for a file that lower-cases.
+        self.added = [t.lower() if self.lower else t for t in added]
         self.pattern = WORD_LEVEL if self.lower else BYTE_LEVEL
         self.end, self.remembered = end, remembered
         tokens = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
@@ -113,8 +116,9 @@ class Encoder:
         look = self.pieces.__getitem__
         for i, text in enumerate(texts):
             text = text or ""
-            if SAFE.fullmatch(text):
-                numbers.append(list(map(look, self.pattern.findall(text.lower() if self.lower else text))))
+            plain = text.lower() if self.lower else text
+            if SAFE.fullmatch(text) and not any(t in plain for t in self.added):
+                numbers.append(list(map(look, self.pattern.findall(plain))))
             else:
                 others[i] = self.whole([text])[0]
                 numbers.append([])

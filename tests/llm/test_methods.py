@@ -87,12 +87,16 @@ def test_differencing_levels_windows():
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_gives_the_library_s_ids(name):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(name))
     encoder = encoders.Encoder(public_tokenizers.path(name), 7, remembered=50)
-    texts = ["", None, "Hello world's  end\n\n x", "Élan ÀÖ×÷ß it's I'll '' ''s 'S 12 345,,;;", "日本語 mixed space\x1f", "<|endoftext|> a", "a" * 3000, " lead", "tab\tand  \r\n more ", "Don't DON'T"]
+    specials = ["a <|endoftext|> b", "<|ENDOFTEXT|> x", "x<|startoftext|>y <|endoftext|><|endoftext|>", "<|endoftext | >", "é <|endoftext|>"]
+    texts = [*specials, "", None, "Hello world's  end\n\n x", "Élan ÀÖ×÷ß it's I'll '' ''s 'S 12 345,,;;", "日本語 mixed space\x1f", "<|endoftext|> a", "a" * 3000, " lead", "tab\tand  \r\n more ", "Don't DON'T"]
     for _ in range(2):
         ids, offsets = encoder.ids(texts)
         for i, t in enumerate(texts):
-            assert ids[offsets[i] : offsets[i + 1]].tolist() == encoder.whole([t or ""])[0] + [7]
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 7]
 
 
 def test_perfect_hash_is_minimal_and_rejects_strangers():
