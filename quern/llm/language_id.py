@@ -6,16 +6,20 @@ neighbouring words are learned with them, from documents and from code-switched
 different languages. Forward-backward gives every word its marginal probabilities; a document's language is the one with
 the largest sum, its score that sum's share.
 
-The model is fitted on a bounded sample: about PER_LANGUAGE documents of each language, chosen by a hash of the id. It is
-some hundred thousand weights, whatever the corpus. Prediction reads whole texts, many at a time, without a shuffle.
+The model is fitted on a bounded sample: about PER_LANGUAGE different texts, chosen by their hash, of each of the LANGUAGES
+most frequent labels, and WORDS_OF_A_DOCUMENT words of each, which the executors cut out. It is some hundred thousand
+weights, whatever the corpus. Prediction reads whole texts, many at a time, without a shuffle.
 
-Defined results: a null text, or one without a letter, is `und` with score 0; a table without a labelled row gives `und`
-for all; repeated rows give repeated results; other columns are ignored.
+Defined results: a null text, or one without a letter (Unicode category L; a fraction or a Roman numeral sign is none), is
+`und` with score 0; a table without a labelled row gives `und` for all; repeated rows give repeated results and count once
+for the sample; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 from quern.llm import hashing as H
 from quern.llm.common import chunked, small_batches
 
-#: Bound of the training sample: documents of a language, about, and words of each that are used.
+#: Bound of the training sample: labels, documents of each, about, and words of a document.
+LANGUAGES = 500
 PER_LANGUAGE = 150
 WORDS_OF_A_DOCUMENT = 400
 BUCKETS = 1 << 16
@@ -40,7 +45,17 @@ SWITCH = 12
 UND = "und"
 REMEMBERED = 120_000
 CHUNK = 3 << 19
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def numerals() -> str:
+    """The ranges of characters that regular expressions take for word characters, but are neither letters nor decimal digits."""
+    codes = [c for c in range(sys.maxunicode + 1) if (x := chr(c)).isalnum() and not x.isalpha() and not x.isdecimal()]
+    cuts = [0, *(i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1), len(codes)]
+    return "".join(f"{chr(codes[a])}-{chr(codes[b - 1])}" for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+#: A word is a run of letters.
+WORD = re.compile(rf"[^\W\d_{numerals()}]+")
 
 
 def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,21 +208,34 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 0)
     return Model(languages, weights.astype(np.float32), lexicon, transitions, initial)
 
 
-def sample(df: DataFrame, key: str, text: str, lang: str, per_language: int) -> tuple[list[str], list[str]]:
-    """About per_language labelled documents of each language, by a hash of the id; the counts cover all rows."""
-    labelled = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
-    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}
+def sample(df: DataFrame, text: str, lang: str, per_language: int) -> tuple[list[str], list[str]]:
+    """About per_language labelled texts of each language, by a hash of the text, as their words; the counts cover all rows."""
+    body = F.col(text).cast("string")
+    labelled = df.filter(F.col(lang).isNotNull() & body.isNotNull()).select(body.alias("t"), F.col(lang).cast("string").alias("l"))
+    by_label = labelled.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("t")).alias("n"))
+    counts = {r["l"]: r["n"] for r in by_label.orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
     if not counts:
         return [], []
-    share = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, per_language / n)))])
-    place = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1 << 30)) / F.lit(1 << 30)
-    rows = labelled.filter(place < share[F.col("l")]).select("k", "t", "l").collect()
-    rows.sort(key=lambda r: (r["k"] or "", r["t"]))
+    share = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, per_language / max(1, n))))])
+    place = F.pmod(F.xxhash64("t", F.lit(7)), F.lit(1 << 30)) / F.lit(1 << 30)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = []
+            for t in batch.column(0).to_pylist():
+                words = WORD.findall(t.lower())
+                at = zlib.crc32(t.encode()) % max(1, len(words) - WORDS_OF_A_DOCUMENT)
+                cut.append(" ".join(words[at : at + WORDS_OF_A_DOCUMENT]))
+            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string()), batch.column(1)], names=["t", "l"])
+
+    rows = labelled.filter(place < share[F.col("l")]).mapInArrow(apply, "t string, l string").distinct().collect()
+    rows.sort(key=lambda r: (r["t"], r["l"]))
     return [r["t"] for r in rows], [r["l"] for r in rows]
 
 
-def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    return fit(*sample(df, key, text, lang, per_language))
+def train(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+    small_batches(df.sparkSession)
+    return fit(*sample(df, text, lang, per_language))
 
 
 class Labeller:
@@ -280,5 +308,5 @@ def held_out(key: str = "doc_id"):
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """key, held_out, lang_pred, score: learned from the documents that are not held out."""
-    model = train(df.filter(~held_out(key)), key, text, lang)
+    model = train(df.filter(~held_out(key)), text, lang)
     return predict(df, model, [key], text).select(key, held_out(key).alias("held_out"), "lang_pred", "score")

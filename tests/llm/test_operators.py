@@ -30,7 +30,7 @@ def edge_texts():
     passage = prose(3, 60)
     return [
         base, base, " ".join(changed), other + " " + passage, passage + "\n" + prose(4, 80), None, "", "   ", "12 345 !!", "one two", "One  two",
-        "x" * 5000, prose(5, 3000), "é" * 450 + " ünïcode " + prose(6, 70), (prose(7, 8) + " ") * 30, base.upper(), passage,
+        "a <|endoftext|> b", prose(9, 10) + "<|ENDOFTEXT|> <|startoftext|>x" + prose(10, 5), "½ ² Ⅷ ①", "x" * 5000, prose(5, 3000), "é" * 450 + " ünïcode " + prose(6, 70), (prose(7, 8) + " ") * 30, base.upper(), passage,
     ]
 
 
@@ -139,7 +139,6 @@ def test_tokens_round_trip(spark, docs, monkeypatch):
     manifest = token_index.write(docs, path, file, 49_408)
     got = [r.asDict() for r in token_index.read(spark, path, manifest.select("doc_id", "occurrence")).collect()]
     t = Tokenizer.from_file(file)
-    t.encode_special_tokens = True
     at, want = 0, []
     for i, text in sorted(source(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -182,7 +181,7 @@ def test_redaction_keeps_null(spark, docs):
 
 @pytest.mark.parametrize("with_ids", [True, False])
 def test_pieces_tile_documents_and_sequences(spark, docs, empty, with_ids):
-    from quern.llm import encoders
+    from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = [r.asDict() for r in packing.pack(docs, path, capacity=256, piece=64, block=2000, with_ids=with_ids).collect()]
@@ -198,11 +197,20 @@ def test_pieces_tile_documents_and_sequences(spark, docs, empty, with_ids):
             assert r["offset"] == at
             at += r["length"]
         assert at <= 256
-    encoder = encoders.Encoder(path, packing.END)
-    want = Counter()
+    library = Tokenizer.from_file(path)
+    want, ids_of = Counter(), defaultdict(list)
     for i, text in source(docs):
-        want[i] += len(encoder.whole([text or ""])[0]) + 1
+        ids_of[i].append([*library.encode(text or "", add_special_tokens=False).ids, packing.END])
+        want[i] += len(ids_of[i][-1])
     assert totals == want
+    if with_ids:
+        found = defaultdict(list)
+        for r in got:
+            found[r["doc_id"], r["doc_tokens"]].append((r["start"], r["ids"]))
+        for i, lists in ids_of.items():
+            for ids in lists:
+                if sum(len(x) == len(ids) for x in lists) == 1:
+                    assert [x for _, part in sorted(found[i, len(ids)]) for x in part] == ids
     assert packing.pack(empty, path).count() == 0
 
 
@@ -213,15 +221,32 @@ def test_language_of_held_out_documents(spark, empty):
     vocabulary = {"en": "the of and that with from this have".split(), "fr": "le la les des une dans pour avec".split()}
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(rng.choice(vocabulary[lang], 30)), lang if i % 5 else None) for i in range(120) for lang in [("en", "fr")[i % 2]]]
-    rows += [(500, None, "en"), (501, "123 ...", "fr"), (502, "", None), (503, "the of and " * 5000, "en"), (None, "le la les", "fr")]
+    rows += [(500, None, "en"), (501, "123 ...", "fr"), (502, "", None), (503, "the of and " * 5000, "en"), (504, "½ ² Ⅷ ① ٣", "fr"), (None, "le la les", "fr")]
     got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))).collect()}
     assert len(got) == len(rows)
     assert all(got[i].lang_pred == ("en", "fr")[i % 2] for i in range(120))
-    assert [got[i].lang_pred for i in (500, 501, 502, 503, None)] == ["und", "und", "und", "en", "fr"]
+    assert [got[i].lang_pred for i in (500, 501, 502, 504, 503, None)] == ["und", "und", "und", "und", "en", "fr"]
     assert all(0 <= r.score <= 1 and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got.values())
     assert language_id.identify(empty).count() == 0
 
 
+def test_the_training_sample_is_bounded(spark):
+    words = "the of and that with from this have".split()
+    rng = np.random.default_rng(1)
+    rows = [(None, " ".join(rng.choice(words, 1000)), "en") for _ in range(400)] + [(None, "one text that repeats", "en")] * 400 + [(None, "le la les", "fr")] * 300
+    texts, langs = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", 50)
+    counts = Counter(langs)
+    assert counts["fr"] == 1 and 20 <= counts["en"] <= 90
+    assert max(len(t.split()) for t in texts) == language_id.WORDS_OF_A_DOCUMENT
+
+
+def test_words_are_runs_of_letters():
+    import sys
+
+    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    assert "".join(language_id.WORD.findall(every)) == "".join(c for c in every if c.isalpha())
+
+
 def test_language_without_labels(spark):
     got = language_id.identify(spark.createDataFrame([(1, "some words", None), (2, None, None)], "doc_id long, text string, lang string")).collect()
     assert [r.lang_pred for r in got] == ["und", "und"]
