@@ -22,13 +22,15 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir; a local one only where that is unset.
+    """A new folder that driver and executors share, under spark.checkpoint.dir; a local one only in local mode, where that is unset.
 
     It is a full address, so that Spark and the files that tasks write themselves mean the same place.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(context.applicationId)
     if not base:
+        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", context.master):
+            raise ValueError(f"spark.checkpoint.dir is unset: on {context.master}, driver and executors need a folder that they share")
         base = _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quern-")
     path = context._jvm.org.apache.hadoop.fs.Path(base)
     whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()

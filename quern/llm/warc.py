@@ -1,16 +1,18 @@
 """WARC archives written from, and read back as, a chunked record table.
 
-A payload is never carried whole: it is rows (record, chunk number, bytes) of at most `chunk` bytes. Writing streams the
-rows of a record, in order of chunk number, into a gzip member of a WARC file; reading streams a file and yields such rows
-again, each with the SHA-256 and the length of the payload up to and including its chunk, so the last one of a record
-carries the digest of the whole.
+A payload is never carried whole: it is rows (record, chunk number, bytes) of at most `chunk` bytes, each with the SHA-256
+and the length of the payload up to and including its chunk, so the last one of a record carries the digest of the whole.
+Writing streams the rows of a record, in order of chunk number, into a gzip member of a WARC file; reading streams a file
+and yields such rows again.
 
 Of records with equal payloads of at least `least` bytes, the one with the smallest id is the response, and the others are
 revisit records that refer to it; all shorter ones are responses.
 
-A hot payload (a third of all pages) is counted by partial aggregation, and its revisits find their response through a
-salted join. Files are written under a name of the task's attempt; the manifest, a committed table, names those that
-count, so a task that runs again leaves at most a file that no manifest names.
+A hot payload (a third of all pages) is counted by partial aggregation, its revisits find their response through a salted
+join, and a task cuts the payload of equal rows once. Short payloads stay in the record table, and equal records are dealt
+to tasks in blocks of EQUAL, so that a third of all pages without an id or a text are no one task's work. Files are written
+under a name of the task's attempt; the manifest, a committed table, names those that count, so a task that runs again
+leaves at most a file that no manifest names.
 
 Defined results: a null payload is empty; rows with equal ids are records of their own, and of equal rows one is the
 response; null ids sort last; an empty table gives no files; other columns are ignored.
@@ -28,13 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import filesystem, small_batches, stored
+from quern.llm.common import buffers, chunked, filesystem, small_batches, stored
 
 CHUNK = 64 << 10
 LEAST = 100
 SALTS = 64
 READ = 256 << 10
-RECORD = "key long, occurrence long, url string, type string, refers_to long, payload_bytes long, digest string"
+#: Bytes of chunk rows that leave a task at a time.
+OUT = 1 << 20
+#: Equal records that a row of the record table stands for.
+EQUAL = 4096
 CHUNKS = pa.schema([
     ("key", pa.int64()), ("occurrence", pa.int64()), ("type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()),
     ("payload_digest", pa.string()), ("chunk", pa.int32()), ("n_chunks", pa.int32()), ("bytes_so_far", pa.int64()), ("digest_so_far", pa.string()), ("data", pa.binary()),
@@ -42,30 +47,66 @@ CHUNKS = pa.schema([
 
 
 def records(df: DataFrame, key: str, payload: str, url: str | None = None, least: int = LEAST) -> DataFrame:
-    """The record table without payloads: key, occurrence among rows with equal key and payload, type, refers_to, payload_bytes, digest."""
+    """The record table: key, url, type, refers_to, payload_bytes, digest, short and, of equal records, the numbers low to high - 1.
+
+    `short` is the payload of fewer than `least` bytes, null for all others. Equal rows of one type are a row for each EQUAL of them.
+    """
     body = F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8")
     rows = df.select(F.col(key).cast("long").alias("key"), (F.col(url).cast("string") if url else F.lit(None).cast("string")).alias("url"), body.alias("body"))
-    rows = rows.select("key", "url", F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("long").alias("payload_bytes"))
+    small = F.when(F.octet_length("body") < least, F.col("body"))
+    rows = rows.select("key", "url", F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("long").alias("payload_bytes"), small.alias("short"))
     # equal rows are counted, and of equal rows only the first can be the response
-    rows = rows.groupBy("key", "digest", "payload_bytes").agg(F.count("*").alias("n"), F.min("url").alias("url"))
-    first = rows.filter(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.sum("n").alias("copies"), F.count("key").alias("keys")).filter("copies > 1")
+    rows = rows.groupBy("key", "digest", "payload_bytes", "short").agg(F.count("*").alias("n"), F.min("url").alias("url"))
+    first = rows.filter("short IS NULL").groupBy("digest").agg(F.min("key").alias("first"), F.sum("n").alias("copies")).filter("copies > 1")
     salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
-    rows = rows.withColumn("occurrence", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    is_first = F.col("copies").isNull() | (F.col("first").eqNullSafe(F.col("key")) & (F.col("occurrence") == 0))
+    # the numbers of the responses among equal rows: all, the first, or none
+    responses = F.when(F.col("copies").isNull(), F.col("n")).when(F.col("first").eqNullSafe(F.col("key")), F.lit(1)).otherwise(F.lit(0))
+    split = F.array(F.struct(F.lit("response").alias("type"), F.lit(0).cast("long").alias("low"), responses.cast("long").alias("high")), F.struct(F.lit("revisit").alias("type"), responses.cast("long").alias("low"), F.col("n").alias("high")))
+    rows = rows.withColumn("part", F.explode(F.filter(split, lambda x: x["low"] < x["high"])))
+    rows = rows.withColumn("low", F.explode(F.sequence(F.col("part.low"), F.col("part.high") - 1, F.lit(EQUAL).cast("long"))))
     return rows.select(
-        "key", "occurrence", "url", F.when(is_first, "response").otherwise("revisit").alias("type"),
-        F.when(~is_first, F.col("first")).alias("refers_to"), "payload_bytes", "digest",
+        "key", "url", F.col("part.type").alias("type"), F.when(F.col("part.type") == "revisit", F.col("first")).alias("refers_to"),
+        "payload_bytes", "digest", "short", "low", F.least(F.col("low") + EQUAL, F.col("part.high")).alias("high"),
     )
 
 
-def chunk_rows(df: DataFrame, key: str, payload: str, chunk: int = CHUNK) -> DataFrame:
-    """(key, digest, chunk number, bytes) of every payload; an empty payload is one empty chunk."""
-    body = F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8")
-    rows = df.select(F.col(key).cast("long").alias("key"), body.alias("body"))
-    rows = rows.withColumn("digest", F.sha2("body", 256))
-    last = F.greatest(F.lit(0), F.ceil(F.octet_length("body") / chunk).cast("int") - 1)
-    return rows.select("key", "digest", "body", F.explode(F.sequence(F.lit(0), last)).alias("chunk")).select("key", "digest", "chunk", F.substring("body", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("data"))
+def chunk_rows(df: DataFrame, key: str, payload: str, chunk: int = CHUNK, least: int = LEAST) -> DataFrame:
+    """(key, digest, chunk, bytes_so_far, digest_so_far, data) of every payload of `least` bytes or more, once a task."""
+    body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
+    rows = df.select(F.col(key).cast("long").alias("key"), body.alias("body")).filter(F.octet_length("body") >= least)
+    names = ["key", "digest", "chunk", "bytes_so_far", "digest_so_far", "data"]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        held: list[tuple] = []
+        size = 0
+        for batch in chunked(batches, "body", OUT):
+            raw, offsets = buffers(batch.column(1))
+            view = memoryview(raw)
+            for i, k in enumerate(batch.column(0).to_pylist()):
+                at, end, sha, own = int(offsets[i]), int(offsets[i + 1]), hashlib.sha256(), []
+                for j, low in enumerate(range(at, end, chunk)):
+                    part = view[low : min(low + chunk, end)]
+                    sha.update(part)
+                    own.append((j, low + len(part) - at, sha.hexdigest(), part))
+                if (k, sha.digest()) in seen:
+                    continue
+                seen.add((k, sha.digest()))
+                for x in own:
+                    held.append((k, sha.hexdigest(), *x))
+                    size += len(x[3])
+                    if size > OUT:
+                        yield rows_of(held)
+                        held, size = [], 0
+        if held:
+            yield rows_of(held)
+
+    def rows_of(held: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+    return rows.mapInArrow(apply, "key long, digest string, chunk int, bytes_so_far long, digest_so_far string, data binary")
 
 
 def header(kind: str, key, occurrence: int, url, refers_to, n: int, digest: str) -> bytes:
@@ -100,15 +141,17 @@ def write(df: DataFrame, path: str, key: str, payload: str, url: str | None = No
     """Writes path/*.warc.gz and the manifest (file, records, bytes); returns the manifest, one row per file."""
     small_batches(df.sparkSession)
     table = stored(records(df, key, payload, url, least), f"{path}/records")
-    # A revisit has no block. The join deals the chunks of responses by the record, so no further shuffle is needed.
     same = F.xxhash64("key", "digest").alias("same")
-    names = ["key", "occurrence", "url", "type", "refers_to", "payload_bytes", "digest", "chunk", "data"]
-    responses = table.filter("type = 'response'").select("*", same)
-    bodies = chunk_rows(df, key, payload, chunk).select(same.alias("other"), F.col("key").alias("k"), F.col("digest").alias("d"), "chunk", "data")
+    names = ["key", "url", "type", "refers_to", "payload_bytes", "digest", "low", "high", "chunk", "digest_so_far", "data"]
+    # Of a payload in chunks, one record is the response. The join deals its chunks by the record, so no further shuffle is needed.
+    responses = table.filter("type = 'response' AND short IS NULL").select("*", same)
+    bodies = chunk_rows(df, key, payload, chunk, least).select(same.alias("other"), F.col("key").alias("k"), F.col("digest").alias("d"), "chunk", "digest_so_far", "data")
     on = (F.col("same") == F.col("other")) & F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d"))
     full = bodies.join(responses.hint("shuffle_hash"), on).select(*names)
-    bare = table.filter("type = 'revisit'").select(*names[:-2], F.lit(0).alias("chunk"), F.lit(None).cast("binary").alias("data"))
-    dealt = full.unionByName(bare).sortWithinPartitions("key", "digest", "occurrence", "chunk")
+    # A revisit has no block, and a short payload is its record's one chunk.
+    bare = table.filter("type = 'revisit' OR short IS NOT NULL").select(*names[:-3], F.lit(0).alias("chunk"), F.lit(None).cast("string").alias("digest_so_far"), F.col("short").alias("data"))
+    bare = bare.repartition("key", "digest", "low")  # equal records are many rows
+    dealt = full.unionByName(bare).sortWithinPartitions("key", "digest", "low", "chunk")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -116,24 +159,29 @@ def write(df: DataFrame, path: str, key: str, payload: str, url: str | None = No
         out, now, member, count, last = None, None, None, 0, -1
         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
         for batch in batches:
-            columns = [batch.column(i) for i in range(8)]
-            for i, (k, occurrence, u, kind, refers, n, digest, number) in enumerate(zip(*[c.to_pylist() for c in columns], strict=True)):
-                if now != (k, digest, occurrence):
+            columns = [batch.column(i) for i in range(10)]
+            for i, (k, u, kind, refers, n, digest, low, high, number, so_far) in enumerate(zip(*[c.to_pylist() for c in columns], strict=True)):
+                if out is None:
+                    fs.create_dir(folder)
+                    out = fs.open_output_stream(f"{folder}/{name}", compression=None)
+                if now != (k, digest, low):
                     if member:
-                        check(member, now)
-                        member.close()
-                    if out is None:
-                        fs.create_dir(folder)
-                        out = fs.open_output_stream(f"{folder}/{name}", compression=None)
-                    now, count, last = (k, digest, occurrence), count + 1, -1
-                    member = Member(out, header(kind, k, occurrence, u, refers, n, digest))
-                    member.kind = kind
-                if kind == "response" and number != last:  # equal rows bring equal chunks, next to each other
-                    member.add(batch.column(8)[i].as_buffer())
+                        close(member, now)
+                    now, member, last = (k, digest, low), None, -1
+                    for occurrence in range(low, high):
+                        if member:
+                            close(member, now)
+                        member = Member(out, header(kind, k, occurrence, u, refers, n, digest))
+                        member.kind, count = kind, count + 1
+                        if kind == "response" and so_far is None:
+                            member.add(batch.column(10)[i].as_buffer())
+                if so_far is not None and number != last:  # equal rows bring equal chunks, next to each other
+                    member.add(batch.column(10)[i].as_buffer())
                     last = number
+                    if member.sha.hexdigest() != so_far:
+                        raise ValueError(f"chunk {number} of record {k} does not follow the one before")
         if out is not None:
-            check(member, now)
-            member.close()
+            close(member, now)
             size = out.tell()
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], names=["file", "records", "bytes"])
@@ -141,10 +189,11 @@ def write(df: DataFrame, path: str, key: str, payload: str, url: str | None = No
     return stored(dealt.mapInArrow(apply, "file string, records long, bytes long"), f"{path}/manifest")
 
 
-def check(member: Member, now: tuple) -> None:
-    """The incremental digest of what was streamed must be the record's."""
+def close(member: Member, now: tuple) -> None:
+    """Ends a record; the incremental digest of what was streamed must be the record's."""
     if member.kind == "response" and member.sha.hexdigest() != now[1]:
         raise ValueError(f"the chunks of record {now[0]} do not make its payload")
+    member.close()
 
 
 class Inflated:

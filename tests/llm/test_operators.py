@@ -64,6 +64,15 @@ def test_shared_folder_is_a_full_address(spark):
     assert path.startswith("/")
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,3000]"):
+        context = SimpleNamespace(applicationId="none", master=master)
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            common.shared_dir(SimpleNamespace(sparkContext=context, conf={}), "x")
+
+
 def test_chunks_are_bounded_and_whole():
     import pyarrow as pa
 
@@ -120,6 +129,27 @@ def test_warc_files_are_gzip_members_of_valid_records(spark):
         list(warc.read_file(io.BytesIO(gzip.compress(raw[:-8]))))
 
 
+def test_warc_of_many_equal_short_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "EQUAL", 1000)
+    pages = spark.range(100_000).select(F.lit(None).cast("long").alias("page_id"), F.when(F.col("id") % 2 == 0, "").alias("html"))
+    path = common.shared_dir(spark, "warc")
+    manifest = warc.write(pages, path, "page_id", "html")
+    assert manifest.agg(F.sum("records")).first()[0] == 100_000
+    chunks = warc.read(spark, path)
+    got = warc.payload_digests(chunks).groupBy("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").count().collect()
+    assert [tuple(r) for r in got] == [(None, 0, hashlib.sha256(b"").hexdigest(), "response", None, 100_000)]
+    assert chunks.select("key", "occurrence").distinct().count() == 100_000
+
+
+def test_warc_chunks_carry_running_digests(spark):
+    raw = ("é" + prose(8, 500)).encode()
+    pages = spark.createDataFrame([(1, raw.decode()), (1, raw.decode()), (2, "short")], "page_id long, html string").coalesce(1)
+    got = sorted(warc.chunk_rows(pages, "page_id", "html", 700).collect(), key=lambda r: r.chunk)
+    assert [r.chunk for r in got] == list(range(-(-len(raw) // 700))) and b"".join(r.data for r in got) == raw
+    for r in got:
+        assert r.digest_so_far == hashlib.sha256(raw[: r.bytes_so_far]).hexdigest() and r.digest == hashlib.sha256(raw).hexdigest()
+
+
 def test_warc_of_an_empty_table(spark):
     path = common.shared_dir(spark, "warc")
     warc.write(spark.createDataFrame([], "page_id long, html string"), path, "page_id", "html")
