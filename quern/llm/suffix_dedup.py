@@ -1,19 +1,24 @@
 """Removal of byte strings that also start elsewhere, by sharded suffix arrays.
 
-Every byte covered by a string of `length` bytes that starts at another place too, in the same text or another, goes.
-
-1. Equal texts are one class. Per class, the least hash of the byte-grams in a window of `length` bytes cuts the window
-   starts into stretches; equal windows lie in stretches of equal least hash. Only these rows travel (one in some 180).
-2. By least hash: stretches with equal bytes are repeated whole. Stretches that differ, or that hold their least gram
-   twice, are sources: their bytes are dealt to shards by least hash, one source for all stretches with the same bytes.
+Every byte covered by a string of `length` bytes that starts at another place too, in the same text or another, goes. Beside
+that, bytes covered by a string of `shorter` bytes that also starts in another row are counted: passages of fewer than
+`length` bytes that documents share.
+
+1. Equal texts are one class. Per class, the least hash of the byte-grams in a window of `shorter` bytes cuts the window
+   starts into stretches; equal strings of either length start in stretches of equal least hash. Only these rows travel.
+2. By least hash: stretches with equal bytes (up to the end of their last string of `length`) are repeated whole; two 64-bit
+   hashes tell that they are equal. Stretches that differ, or that hold their least gram twice, are sources: their bytes are
+   dealt to shards by least hash, one source for all stretches with the same bytes.
 3. A shard concatenates its sources, builds their suffix array by induced sorting and the permuted longest common
-   prefixes; a window start is repeated if its suffix agrees with a neighbour on `length` bytes. All occurrences of a
-   repeated window are in one shard, or among the equal stretches of step 2.
+   prefixes; a start is repeated if its suffix agrees with a neighbour on `length` bytes, and shared if it agrees with one
+   of another class on `shorter`. All occurrences are in one shard, or among the equal stretches of step 2.
 4. The spans go back to their texts.
 
-Hot groups: copies collapse in step 1, per task already; stretches with equal bytes in step 2. Where the sources of one
-least hash exceed GROUP_BYTES, no shard takes them: their windows are compared one by one as two 64-bit hashes, dealt by
-hash and combined per task. That way is exact in the same sense and splits any group.
+Hot groups: copies collapse in step 1, per task already. Of stretches with equal bytes in several documents, a task sends one
+on and the others' verdict to the part of their document. Where a task meets HOT different stretches of one least hash, or
+where the sources of one exceed GROUP_BYTES in all, no shard takes them: their strings are compared one by one as two 64-bit
+hashes, dealt by hash, and those that meet in a task are combined there. That way finds the same strings and splits any
+group.
 
 Defined results: a null text is empty; a text shorter than `length` keeps all its bytes; rows with equal texts are copies
 of each other whatever their ids, so all go; bytes are judged on the input; cuts may fall inside a character; null ids
@@ -33,20 +38,25 @@ from pyspark.sql import functions as F
 from quern.llm import hashing as H
 from quern.llm.common import BLOCK, BLOCK_DDL, block_rows, buffers, by_part, chunked, parts, parts_for, shared_dir, small_batches, stored, text_column
 from quern.llm.components import salted_join
-from quern.llm.substring_dedup import OTHER_BASE, SPANS, WINDOWS, by_document, firsts, packed, span_arrays, unpacked
-from quern.llm.suffix_array import repeated
+from quern.llm.substring_dedup import SPANS, by_document, firsts, packed, span_arrays, unpacked
+from quern.llm.suffix_array import repeats
 
-LENGTH, GRAM = 400, 32
+LENGTH, SHORTER, GRAM = 400, 256, 32
 #: Bytes of sources in a shard: a suffix array takes some 100 bytes for each.
 SHARD_BYTES = 1 << 20
-#: Bytes of sources of one least hash, beyond which their windows are compared by hash.
+#: Bytes of sources of one least hash, beyond which their strings are compared by hash, and different stretches in a task.
 GROUP_BYTES = 512 << 10
+HOT = 256
 PART_BYTES = 24 << 20
 #: Low bits of a gram's hash that do not count.
 VALUE_BITS = 24
-STRETCH = np.dtype([("least", "<u8"), ("bytes", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("n", "<i4"), ("self", "<i4")])
-SPAN = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("n", "<i4")])
-GONE, SOURCE, SPLIT = 0, 1, 2
+OTHER_BASE = 0xD1342543DE82EF95
+STRETCH = np.dtype([("least", "<u8"), ("bytes", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("n", "<i4"), ("self", "<i2"), ("state", "<i2")])
+WINDOWS = np.dtype([("hash", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("kind", "<i4"), ("state", "<i4")])
+SPAN = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("n", "<i4"), ("state", "<i4")])
+#: What a span says of its starts: repeated strings of `length`, strings of `shorter` in another document, or both; a source
+#: of bytes; a source whose strings are compared one by one. A row that is not decided yet is OPEN.
+REPEATED, SHARED, SOURCE, SPLIT, OPEN = 1, 2, 4, 8, 0
 
 
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -55,38 +65,69 @@ def classes(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.xxhash64(body).alias("doc_id"), F.hash(body).alias("tag"), body.alias("text"))
 
 
-def stretches(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def stretches(buf: np.ndarray, offsets: np.ndarray, length: int, shorter: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, text of each row) for the texts of a chunk."""
-    if len(buf) < length:
+    if len(buf) < shorter:
         return np.empty(0, STRETCH), np.zeros(0, np.int64)
     spans = H.Spans(buf)
     grams = spans.every(gram)
     bits = H.U(max(VALUE_BITS, int(len(grams)).bit_length()))
     # the place stands in the low bits: the least of a window is its leftmost least gram
-    least = H.sliding_min((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
+    least = H.sliding_min((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), shorter - gram + 1)
     place = (least & ((H.U(1) << bits) - H.U(1))).astype(np.int64)
     # the value is the same whatever else the chunk holds
-    value = least >> bits if bits == VALUE_BITS else H.sliding_min(grams >> H.U(VALUE_BITS), length - gram + 1)
+    value = least >> bits if bits == VALUE_BITS else H.sliding_min(grams >> H.U(VALUE_BITS), shorter - gram + 1)
     n = len(least)
     change = np.ones(n, bool)
     change[1:] = value[1:] != value[:-1]
-    doc_of_start = np.zeros(len(buf) + 1, np.int64)
-    np.add.at(doc_of_start, offsets[1:-1], 1)
-    doc = np.cumsum(doc_of_start)
-    whole = doc[:n] == doc[length - 1 : length - 1 + n]
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    whole = doc[:n] == doc[shorter - 1 : shorter - 1 + n]
     begins = whole.copy()
     begins[1:] &= change[1:] | ~whole[:-1] | (doc[1:n] != doc[: n - 1])
     at = np.flatnonzero(begins)
     breaks = np.flatnonzero(begins | ~whole)
     after = np.concatenate([breaks, [n]])[np.searchsorted(breaks, at, "right")]
     rows = np.zeros(len(at), STRETCH)
-    rows["least"], rows["bytes"] = H.mix(value[at]), spans.of(at, after - 1 + length)
+    # the bytes of all strings of `length` that start here, as far as the text goes
+    end, many = np.minimum(after - 1 + length, offsets[doc[at] + 1]), (after - at).astype(np.uint64)
+    rows["least"], rows["bytes"], rows["check"] = H.mix(value[at]), H.mix(spans.of(at, end) + many), H.Spans(buf, OTHER_BASE).of(at, end)
     rows["at"], rows["n"] = at - offsets[doc[at]], after - at
     rows["self"] = place[at] != place[after - 1]
     return rows, doc[at]
 
 
-def fingerprints(docs: DataFrame, n_parts: int, length: int, gram: int) -> DataFrame:
+def kinds_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows in order of least hash and bytes, whether a row is its kind's first, rows of its kind, whether several documents have it)."""
+    rows = rows[np.lexsort((rows["at"], rows["tag"], rows["doc"], rows["check"], rows["bytes"], rows["least"]))]
+    same = ("least", "bytes", "check", "doc", "tag")
+    rows = rows[firsts(*(rows[c] for c in (*same, "at")))]
+    new = firsts(*(rows[c] for c in same[:3]))
+    kind = np.cumsum(new) - 1
+    documents = np.bincount(kind, firsts(*(rows[c] for c in same)), minlength=1)
+    return rows, new, np.bincount(kind, minlength=1)[kind], documents[kind] > 1
+
+
+def combined(rows: np.ndarray, n_parts: int, hot: int) -> pa.RecordBatch:
+    """Block rows of a task's stretches by least hash; those decided here, and those of hot groups, under part -1 - p by document."""
+    rows, new, copies, several = kinds_of(rows)
+    part = (rows["least"] % H.U(n_parts)).astype(np.int32)
+    own = -1 - (H.mix(rows["doc"].astype(np.uint64)) % H.U(n_parts)).astype(np.int32)
+    # stretches in several documents are repeated and shared, whatever comes; one of them goes on
+    rows["state"][several] = REPEATED | SHARED
+    part = np.where(several & ~new, own, part)
+    new_least = firsts(rows["least"])
+    group = np.cumsum(new_least) - 1
+    many = (np.bincount(group, new, minlength=1) >= hot)[group]
+    marks = rows[many & new_least]  # a row without starts tells the group's part
+    marks["state"], marks["n"] = SPLIT, 0
+    at = np.flatnonzero(many)
+    rows["state"][at] |= np.where(new[at] | (rows["state"][at] == OPEN), SPLIT, 0).astype(np.int16)
+    part = np.where(many, own, part)
+    part = np.concatenate([part, (marks["least"] % H.U(n_parts)).astype(np.int32)])
+    return block_rows(part, np.concatenate([rows, marks]), BLOCK)
+
+
+def fingerprints(docs: DataFrame, n_parts: int, length: int, shorter: int, gram: int, hot: int) -> DataFrame:
     """Block rows of the stretches of every class, once per task."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,95 +141,130 @@ def fingerprints(docs: DataFrame, n_parts: int, length: int, gram: int) -> DataF
                     seen.add(c)
                     fresh[i] = True
             buf, offsets = buffers(chunk.column(2))
-            rows, doc = stretches(buf, offsets, length, gram)
+            rows, doc = stretches(buf, offsets, length, shorter, gram)
             rows["doc"], rows["tag"] = ids[doc], tags[doc]
             held.append(rows[fresh[doc]])
             if sum(map(len, held)) > 300_000:
                 rows, held = np.concatenate(held), []
-                yield block_rows((rows["least"] % H.U(n_parts)).astype(np.int32), rows, BLOCK)
+                yield combined(rows, n_parts, hot)
         if held:
-            rows = np.concatenate(held)
-            yield block_rows((rows["least"] % H.U(n_parts)).astype(np.int32), rows, BLOCK)
+            yield combined(np.concatenate(held), n_parts, hot)
 
     return docs.mapInArrow(apply, BLOCK_DDL)
 
 
 def decide(rows: np.ndarray, length: int, group_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of one part: (distinct rows, their states; -1 where nothing repeats). A source that is gone as well has both rows."""
-    rows = rows[np.lexsort((rows["at"], rows["tag"], rows["doc"], rows["bytes"], rows["least"]))]
-    rows = rows[firsts(rows["least"], rows["bytes"], rows["doc"], rows["tag"], rows["at"])]
+    """Of one part: (rows of which something is to be done, their states)."""
+    marked = np.unique(rows["least"][rows["n"] == 0])
+    rows, new, copies, several = kinds_of(rows[rows["n"] > 0])
     if not len(rows):
-        return rows, np.zeros(0, np.int8)
-    new_least, new_bytes = firsts(rows["least"]), firsts(rows["least"], rows["bytes"])
-    kind, group = np.cumsum(new_bytes) - 1, np.cumsum(new_least) - 1
-    copies = np.bincount(kind)
-    gone = copies[kind] > 1
+        return rows, np.zeros(0, np.int32)
+    new_least = firsts(rows["least"])
+    group = np.cumsum(new_least) - 1
     starts = np.flatnonzero(new_least)
-    kinds = np.add.reduceat(new_bytes.astype(np.int64), starts)
-    several = kinds[group] > 1
     selves = np.maximum.reduceat(rows["self"], starts)[group] > 0
-    source = new_bytes & (several | selves)
+    split = np.isin(rows["least"], marked)
+    # a group with one kind and no marks can hold no other equal strings; copies in one document may be shared each for itself
+    source = (new | ~several) & ((np.add.reduceat(new.astype(np.int64), starts)[group] > 1) | selves | split)
     size = np.where(source, rows["n"].astype(np.int64) + length - 1, 0)
-    large = np.add.reduceat(size, starts)[group] > group_bytes
-    state = np.full(len(rows), -1, np.int8)
-    state[gone] = GONE
-    both = np.concatenate([rows[gone & ~source], rows[source], rows[source & gone]])
-    states = np.concatenate([np.full(int((gone & ~source).sum()), GONE), np.where(large[source], SPLIT, SOURCE), np.full(int((source & gone).sum()), GONE)])
-    return both, states
+    split |= np.add.reduceat(size, starts)[group] > group_bytes
+    state = rows["state"].astype(np.int32)
+    state[copies > 1] |= REPEATED
+    state[several] |= SHARED
+    state[source] |= np.where(split[source], SPLIT, SOURCE)
+    return rows[state != 0], state[state != 0]
 
 
 def decided(blocks: DataFrame, length: int, group_bytes: int) -> DataFrame:
     """(doc_id, tag, at, n, state, least)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in parts(batches, STRETCH):
-            rows, state = decide(rows, length, group_bytes)
+        for part, rows in parts(batches, STRETCH):
+            rows, state = decide(rows, length, group_bytes) if part >= 0 else (rows, rows["state"])
             columns = [pa.array(np.ascontiguousarray(rows[c])) for c in ("doc", "tag", "at", "n")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(state.astype(np.int32)), pa.array(rows["least"].astype(np.int64))], names=["doc_id", "tag", "at", "n", "state", "least"])
 
     return blocks.mapInArrow(apply, f"{SPANS}, least long")
 
 
-PIECES = "part int, doc_id long, tag int, at int, data binary"
-
-
-def pieces(texts: DataFrame, n_shards: int, n_parts: int, length: int) -> DataFrame:
-    """Rows (shard, doc_id, tag, at, bytes) of sources, and block rows (part -1 - p, data) of the windows of split groups."""
+def met(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows in order of hash, the verdict on each, whether it is the first with its hash): strings of `length` (kind 0) that stand twice, of `shorter` (1) in several classes."""
+    rows = rows[np.lexsort((rows["at"], rows["tag"], rows["doc"], rows["check"], rows["hash"], rows["kind"]))]
+    same = ("kind", "hash", "check", "doc", "tag")
+    new = firsts(*(rows[c] for c in same[:3]))
+    group = np.cumsum(new) - 1
+    several = (np.bincount(group, firsts(*(rows[c] for c in same)), minlength=1) > 1)[group]
+    twice = (np.bincount(group, firsts(*(rows[c] for c in (*same, "at"))), minlength=1) > 1)[group]
+    return rows, np.where(rows["kind"] == 0, np.where(twice, REPEATED, 0), np.where(several, SHARED, 0)), new
+
+
+def windows_of(chunk: pa.RecordBatch, raw: list[bytes], take: np.ndarray, length: int, shorter: int) -> np.ndarray:
+    """The strings of both lengths that start in the spans of a chunk that are SPLIT."""
+    row, at, n, _ = (x[take] for x in span_arrays(chunk.column(3)))
+    buf, offsets = buffers(pa.array(raw, pa.binary()))
+    places, of = H.ranges(offsets[row] + at, n), np.repeat(row, n)
+    fits = places + length <= offsets[of + 1]
+    one, other, out = H.Spans(buf), H.Spans(buf, OTHER_BASE), []
+    for kind, size, p, r in ((0, length, places[fits], of[fits]), (1, shorter, places, of)):
+        rows = np.zeros(len(p), WINDOWS)
+        rows["hash"], rows["check"], rows["kind"] = one.of(p, p + size), other.of(p, p + size), kind
+        rows["doc"], rows["tag"], rows["at"] = np.asarray(chunk.column(0))[r], np.asarray(chunk.column(1))[r], p - offsets[r]
+        out.append(rows)
+    return np.concatenate(out)
+
+
+PIECES = "part int, doc_id long, tag int, at int, n int, data binary"
+
+
+def pieces(texts: DataFrame, n_shards: int, n_parts: int, length: int, shorter: int) -> DataFrame:
+    """Rows (shard, doc_id, tag, at, n, bytes) of sources, and block rows (part -1 - p, data) of the strings of split groups.
+
+    Strings that meet in a task are decided there, and one of them goes on; the others' verdicts go by document.
+    """
+    names = ["part", "doc_id", "tag", "at", "n", "data"]
+
+    def dealt(rows: np.ndarray) -> pa.RecordBatch:
+        rows, verdict, new = met(rows)
+        rows["state"] |= verdict
+        part = (rows["hash"] % H.U(n_parts)).astype(np.int32)
+        own = (H.mix(rows["doc"].astype(np.uint64)) % H.U(n_parts)).astype(np.int32)
+        done = (verdict > 0) & ~new
+        block = block_rows(np.where(done, -1 - n_parts - own, -1 - part), rows, BLOCK)
+        nulls = [pa.nulls(block.num_rows, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+        return pa.RecordBatch.from_arrays([block.column(0), *nulls, block.column(1)], names=names)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "doc_id", "tag", "at", "data"]
+        held: list[np.ndarray] = []
         for chunk in chunked(batches, "text", 1 << 18):
             raw = unpacked(chunk, 2)
             column = chunk.column(3)
             row, at, n, state = span_arrays(column)
             least = np.asarray(column.flatten().field(3)).view(np.uint64)
             ids, tags = np.asarray(chunk.column(0)), np.asarray(chunk.column(1))
-            take = np.flatnonzero(state == SOURCE)
+            take = np.flatnonzero(state & SOURCE)
             if len(take):
                 shard = (least[take] % H.U(n_shards)).astype(np.int32)
                 data = [raw[r][a : a + m + length - 1] for r, a, m in zip(row[take].tolist(), at[take].tolist(), n[take].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids[row[take]]), pa.array(tags[row[take]]), pa.array(at[take].astype(np.int32)), pa.array(data, pa.binary())], names=names)
-            take = np.flatnonzero(state == SPLIT)
+                numbers = [pa.array(x[take].astype(np.int32)) for x in (at, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids[row[take]]), pa.array(tags[row[take]]), *numbers, pa.array(data, pa.binary())], names=names)
+            take = np.flatnonzero(state & SPLIT)
             if len(take):
-                buf, offsets = buffers(pa.array(raw, pa.binary()))
-                places = H.ranges(offsets[row[take]] + at[take], n[take])
-                of = np.repeat(row[take], n[take])
-                rows = np.zeros(len(places), WINDOWS)
-                rows["hash"], rows["check"] = H.Spans(buf).of(places, places + length), H.Spans(buf, OTHER_BASE).of(places, places + length)
-                rows["doc"], rows["tag"], rows["at"] = ids[of], tags[of], places - offsets[of]
-                block = block_rows((rows["hash"] % H.U(n_parts)).astype(np.int32), rows, BLOCK)
-                k = block.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - np.asarray(block.column(0))), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), block.column(1)], names=names)
+                held.append(windows_of(chunk, raw, take, length, shorter))
+                if sum(map(len, held)) > 400_000:
+                    yield dealt(np.concatenate(held))
+                    held = []
+        if held:
+            yield dealt(np.concatenate(held))
 
     return texts.mapInArrow(apply, PIECES)
 
 
 def united(rows: np.ndarray) -> np.ndarray:
-    """Spans of window starts, with those of a class that meet or overlap as one."""
-    rows = rows[np.lexsort((rows["at"], rows["tag"], rows["doc"]))]
+    """Spans of starts, with those of a class and state that meet or overlap as one."""
+    rows = rows[np.lexsort((rows["at"], rows["state"], rows["tag"], rows["doc"]))]
     if not len(rows):
         return rows
-    new = firsts(rows["doc"], rows["tag"])
+    new = firsts(rows["doc"], rows["tag"], rows["state"])
     text = np.cumsum(new).astype(np.int64) << 32  # places of different classes stay apart
     start, end = text + rows["at"], text + rows["at"] + rows["n"]
     reach = np.maximum.accumulate(end)
@@ -200,57 +276,62 @@ def united(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def shard_spans(ids: np.ndarray, tags: np.ndarray, at: np.ndarray, data: list[np.ndarray], length: int) -> np.ndarray:
-    """The spans of repeated windows in one shard."""
-    twice = repeated(data, length)
-    which = np.repeat(np.arange(len(data)), [len(t) for t in twice])
-    start = np.concatenate([np.arange(len(t)) for t in twice])
-    hit = np.concatenate(twice)
-    rows = np.zeros(int(hit.sum()), SPAN)
-    which, start = which[hit], start[hit]
-    rows["doc"], rows["tag"], rows["at"], rows["n"] = ids[which], tags[which], at[which] + start, 1
-    return united(rows)
+def spans_of(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Spans of single starts; one that is repeated and shared is in two of them."""
+    out = []
+    for flag in (REPEATED, SHARED):
+        hit = (state & flag) > 0
+        rows = np.ones(int(hit.sum()), SPAN)
+        rows["doc"], rows["tag"], rows["at"], rows["state"] = doc[hit], tag[hit], at[hit], flag
+        out.append(united(rows))
+    return np.concatenate(out)
+
+
+def shard_spans(ids: np.ndarray, tags: np.ndarray, at: np.ndarray, n: np.ndarray, data: list[np.ndarray], length: int, shorter: int) -> np.ndarray:
+    """The spans of repeated and shared strings in one shard."""
+    owners = np.unique(np.stack([ids, tags], 1), axis=0, return_inverse=True)[1].ravel()
+    place, twice, shared = repeats(data, n, owners, length, shorter)
+    return spans_of(np.repeat(ids, n), np.repeat(tags, n), np.repeat(at, n) + place, twice * REPEATED | shared * SHARED)
 
 
 def window_spans(rows: np.ndarray) -> np.ndarray:
-    """The windows of a part that stand in more than one place."""
-    rows = rows[np.lexsort((rows["check"], rows["hash"]))]
-    kind = np.cumsum(firsts(rows["hash"], rows["check"])) - 1
-    rows = rows[np.bincount(kind)[kind] > 1]
-    out = np.ones(len(rows), SPAN)
-    for c in ("doc", "tag", "at"):
-        out[c] = rows[c]
-    return united(out)
+    """The spans of split strings of a part, from what it shows and what was known before."""
+    rows, verdict, _ = met(rows)
+    return spans_of(rows["doc"], rows["tag"], rows["at"], rows["state"] | verdict)
 
 
-def sharded(rows: DataFrame, length: int, n_parts: int) -> DataFrame:
-    """Block rows of the spans of repeated windows, dealt by class, from the rows of pieces() in order of part."""
+def sharded(rows: DataFrame, length: int, shorter: int, n_parts: int) -> DataFrame:
+    """Block rows of the spans of repeated strings, dealt by class, from the rows of pieces() in order of part."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def done() -> None:
             if data:
-                held.append(shard_spans(np.array(ids, np.int64), np.array(tags, np.int32), np.array(at, np.int64), data, length) if now >= 0 else window_spans(np.concatenate([x.view(WINDOWS) for x in data])))
+                if now >= 0:
+                    held.append(shard_spans(*(np.array(x, np.int64) for x in (ids, tags, at, n)), data, length, shorter))
+                else:
+                    held.append(window_spans(np.concatenate([x.view(WINDOWS) for x in data])))
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = united(np.concatenate(held))
             held.clear()
             yield block_rows((H.mix(rows["doc"].astype(np.uint64)) % H.U(n_parts)).astype(np.int32), rows, BLOCK)
 
-        now, ids, tags, at, data = None, [], [], [], []
+        now, ids, tags, at, n, data = None, [], [], [], [], []
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            for i, (part, doc, tag, place) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for i, (part, doc, tag, place, many) in enumerate(zip(*columns, strict=True)):
                 if part != now:
                     done()
-                    now, ids, tags, at, data = part, [], [], [], []
+                    now, ids, tags, at, n, data = part, [], [], [], [], []
                     if sum(map(len, held)) > 400_000:
                         yield from flush()
                 ids.append(doc)
                 tags.append(tag)
                 at.append(place)
-                data.append(np.frombuffer(batch.column(4)[i].as_buffer(), np.uint8))
+                n.append(many)
+                data.append(np.frombuffer(batch.column(5)[i].as_buffer(), np.uint8))
         done()
         if held:
             yield from flush()
@@ -264,71 +345,85 @@ def joined_spans(blocks: DataFrame) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in parts(batches, SPAN):
             rows = united(rows)
-            columns = [pa.array(np.ascontiguousarray(rows[c])) for c in ("doc", "tag", "at", "n")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(len(rows), np.int32))], names=["doc_id", "tag", "at", "n", "state"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in ("doc", "tag", "at", "n", "state")], names=["doc_id", "tag", "at", "n", "state"])
 
     return blocks.mapInArrow(apply, SPANS)
 
 
-def cut(docs: DataFrame, spans: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of documents joined with their class's spans and copies."""
+def cut(docs: DataFrame, length: int, shorter: int, with_text: bool) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, n_shared[, kept]) of documents with their class's spans and whether it has copies."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+        names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"] + ["kept"] * with_text
         for chunk in chunked(batches, "text", 1 << 18):
-            row, at, n, _ = span_arrays(chunk.column(3))
+            row, at, n, state = span_arrays(chunk.column(3))
             cuts = np.searchsorted(row, np.arange(chunk.num_rows + 1))
             out = []
             for i, (raw, copied) in enumerate(zip(unpacked(chunk, 2), chunk.column(4).to_pylist(), strict=True)):
-                lo, hi = cuts[i], cuts[i + 1]
-                if copied and len(raw) >= length:
-                    out.append((len(raw), len(raw), 1, b""))
+                size, lo, hi = len(raw), cuts[i], cuts[i + 1]
+                removed, runs, shared, kept = 0, 0, 0, raw
+                if copied:
+                    shared = size if size >= shorter else 0
+                if copied and size >= length:
+                    removed, runs, kept = size, 1, b""
                 elif lo < hi:
-                    gone = H.covered(len(raw), at[lo:hi], at[lo:hi] + n[lo:hi] + length - 1)
-                    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    out.append((len(raw), int(gone.sum()), runs, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
-                else:
-                    out.append((len(raw), 0, 0, raw))
-            columns = [chunk.column(0), *(pa.array([o[j] for o in out], pa.int64()) for j in range(3)), pa.array([hashlib.sha256(o[3]).hexdigest() for o in out], pa.string())]
-            columns += [pa.array([o[3] for o in out], pa.binary())] * with_text
+                    a, m, flags = at[lo:hi], n[lo:hi], state[lo:hi]
+                    if not copied:
+                        own = (flags & SHARED) > 0
+                        shared = int(H.covered(size, a[own], a[own] + m[own] + shorter - 1).sum())
+                    # starts too near the end of the text begin no string of `length`
+                    m = np.minimum(m, size - length + 1 - a)
+                    own = ((flags & REPEATED) > 0) & (m > 0)
+                    gone = H.covered(size, a[own], a[own] + m[own] + length - 1)
+                    removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                out.append((size, removed, runs, hashlib.sha256(kept).hexdigest(), shared, kept))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+            columns = [chunk.column(0), *(pa.array([o[j] for o in out], t) for j, t in enumerate(kinds[: 5 + with_text]))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = docs.join(spans, ["doc_id", "tag"], "left") if spans is not None else docs
     kind = dict(docs.dtypes)["key"]
-    return rows.mapInArrow(apply, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return docs.mapInArrow(apply, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long" + ", kept binary" * with_text)
 
 
-def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, shard_bytes: int = SHARD_BYTES, with_text: bool = False) -> DataFrame:
-    """Every text without the bytes of strings of `length` bytes that also start elsewhere."""
+def deduplicate(
+    df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shorter: int = SHORTER, gram: int = GRAM,
+    group_bytes: int = GROUP_BYTES, hot: int = HOT, shard_bytes: int = SHARD_BYTES, with_text: bool = False,
+) -> DataFrame:
+    """Every text without the bytes of strings of `length` bytes that also start elsewhere, and how many bytes it shares."""
+    if not gram <= shorter <= length:
+        raise ValueError("gram <= shorter <= length")
     spark = df.sparkSession
     small_batches(spark)
     path = shared_dir(spark, "suffixes")
     docs = classes(df, key, text)
     copies = docs.groupBy("doc_id", "tag").agg(F.count("*").alias("copies"))
     total = float(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    rows_bytes = total / (length - gram + 1) * 2 * STRETCH.itemsize
+    rows_bytes = total / (shorter - gram + 1) * 2 * STRETCH.itemsize
     n_tasks = parts_for(rows_bytes, PART_BYTES, 8)
     n_parts = 8 * n_tasks
-    blocks = fingerprints(docs.select("doc_id", "tag", "text"), n_parts, length, gram)
+    blocks = fingerprints(docs.select("doc_id", "tag", "text"), n_parts, length, shorter, gram, hot)
     states = stored(decided(by_part(blocks, n_tasks), length, group_bytes), f"{path}/states")
 
-    sources = states.filter(f"state <> {GONE}")
-    size, split = sources.agg(F.sum(F.when(F.col("state") == SOURCE, F.col("n") + (length - 1)).otherwise(0)), F.sum(F.when(F.col("state") == SPLIT, F.col("n")).otherwise(0))).first()
+    sources = states.filter(F.col("state").bitwiseAND(SOURCE | SPLIT) > 0)
+    is_source = F.col("state").bitwiseAND(SOURCE) > 0
+    size, split = sources.agg(F.sum(F.when(is_source, F.col("n") + (length - 1)).otherwise(0)), F.sum(F.when(is_source, 0).otherwise(F.col("n")))).first()
     n_shards = parts_for(float(size or 0), shard_bytes, 8)
-    n_split = parts_for(float(split or 0) * WINDOWS.itemsize, PART_BYTES / 8, 8)
+    split_bytes = 2 * float(split or 0) * WINDOWS.itemsize
+    n_split = parts_for(split_bytes, PART_BYTES / 8, 8)
     wanted = sources.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n", "state", "least")).alias("spans"))
     # one row of text for each class that has sources: of its copies, any is as good
     texts = packed(fresh(docs.select("doc_id", "tag", "text"))).join(wanted.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
     texts = once(texts)
-    dealt = pieces(texts, n_shards, n_split, length).repartition(parts_for(float(size or 0) + float(split or 0) * WINDOWS.itemsize, 4 * shard_bytes, 8), "part").sortWithinPartitions("part")
-    found = stored(joined_spans(by_part(sharded(dealt, length, n_parts), n_tasks)), f"{path}/spans")
+    dealt = pieces(texts, n_shards, n_split, length, shorter).repartition(parts_for(float(size or 0) + split_bytes, 4 * shard_bytes, 8), "part").sortWithinPartitions("part")
+    found = stored(joined_spans(by_part(sharded(dealt, length, shorter, n_parts), n_tasks)), f"{path}/spans")
 
-    spans = states.filter(f"state = {GONE}").select("doc_id", "tag", "at", "n", "state").unionByName(found)
+    spans = states.select("doc_id", "tag", "at", "n", F.col("state").bitwiseAND(REPEATED | SHARED).alias("state")).filter("state > 0").unionByName(found)
     per_class = copies.filter("copies > 1").join(by_document(spans), ["doc_id", "tag"], "full").withColumn("same", F.xxhash64("doc_id", "tag")).withColumnsRenamed({"doc_id": "d", "tag": "t"})
     bodies = packed_with_key(docs).withColumn("same", F.xxhash64("doc_id", "tag"))
     joined = salted_join(bodies, per_class, "same", "key", "left")
     joined = joined.select("key", "tag", "text", F.when((F.col("d") == F.col("doc_id")) & (F.col("t") == F.col("tag")), F.col("spans")).alias("spans"), (F.coalesce("copies", F.lit(1)) > 1).alias("copied"))
-    return cut(joined, None, length, with_text).withColumnRenamed("key", key)
+    return cut(joined, length, shorter, with_text).withColumnRenamed("key", key)
 
 
 def fresh(docs: DataFrame) -> DataFrame:

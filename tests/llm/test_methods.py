@@ -15,25 +15,38 @@ SMALL = st.lists(st.integers(0, 3), min_size=1, max_size=200)
 @given(SMALL)
 def test_suffix_array_sorts_suffixes(values):
     s = np.array([*(v + 1 for v in values), 0], np.int64)
-    got = suffix_array.suffix_array(s, 5, len(s) + 1).tolist()
+    got = suffix_array.suffix_array(s, 5).tolist()
     assert got == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
-def test_suffix_array_recursion_and_doubling_agree(monkeypatch):
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.sampled_from([3, 30, 300, 3000]), st.integers(1, 64))
+def test_suffix_array_of_any_alphabet(seed, kinds, batch):
+    rng = np.random.default_rng(seed)
+    some = rng.integers(1, kinds, int(rng.integers(1, 400)))
+    s = np.concatenate([rng.integers(1, kinds, 500), some, np.repeat(rng.integers(1, kinds, 40), rng.integers(1, 9, 40)), np.tile(some[:5], 60), some, [0]])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(suffix_array, "LEAST_BATCH", batch)
+        got = suffix_array.suffix_array(s, kinds).tolist()
+    assert got == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_names_are_sorted_recursively_whatever_their_number(monkeypatch):
     rng = np.random.default_rng(0)
-    s = np.concatenate([rng.integers(1, 4, 3000), np.tile([1, 2, 1, 3], 300), [0]])
-    a = suffix_array.suffix_array(s, 4, len(s) + 1)
-    monkeypatch.setattr(suffix_array, "MOST_BUCKETS", 1)
-    b = suffix_array.suffix_array(s, 4, len(s) + 1)
-    assert (a == b).all()
-    assert a.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    s = np.concatenate([np.tile(rng.integers(2, 250, 20_000), 2), [0]])
+    calls, real = [], suffix_array.suffix_array
+    monkeypatch.setattr(suffix_array, "suffix_array", lambda x, k: calls.append((len(x), k)) or real(x, k))
+    sa = suffix_array.suffix_array(s, 250)
+    assert len(calls) > 3 and max(k for _, k in calls) > 5000
+    raw = bytes(s.astype(np.uint8))
+    assert sa.tolist() == sorted(range(len(s)), key=lambda i: raw[i:])
 
 
 @settings(max_examples=80, deadline=None)
 @given(SMALL)
 def test_permuted_lcp(values):
     s = np.array([*(v + 1 for v in values), 0], np.uint16)
-    sa = suffix_array.suffix_array(s, 5, len(s) + 1)
+    sa = suffix_array.suffix_array(s, 5)
     plcp, before = suffix_array.permuted_lcp(s, sa)
     for i, j in zip(sa[1:].tolist(), sa[:-1].tolist()):
         k = 0
@@ -42,30 +55,36 @@ def test_permuted_lcp(values):
         assert (before[i], plcp[i]) == (j, k)
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.binary(min_size=0, max_size=60).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=5), st.integers(1, 8))
-def test_repeated_windows(pieces, length):
-    seen = {}
-    for p, piece in enumerate(pieces):
-        for i in range(len(piece) - length + 1):
-            seen.setdefault(piece[i : i + length], []).append((p, i))
-    got = suffix_array.repeated([np.frombuffer(p, np.uint8) for p in pieces], length)
-    for p, piece in enumerate(pieces):
-        assert got[p].tolist() == [len(seen[piece[i : i + length]]) > 1 for i in range(len(piece) - length + 1)]
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.tuples(st.binary(min_size=0, max_size=60).map(lambda b: bytes(x % 3 for x in b)), st.integers(0, 2)), min_size=1, max_size=5), st.integers(1, 8), st.integers(0, 4))
+def test_repeated_and_shared_windows(pieces, shorter, more):
+    length = shorter + more
+    seen, owners = {}, {}
+    starts = [max(0, len(p) - shorter + 1) for p, _ in pieces]
+    for p, (piece, owner) in enumerate(pieces):
+        for i in range(starts[p]):
+            owners.setdefault(piece[i : i + shorter], set()).add(owner)
+            if i + length <= len(piece):
+                seen.setdefault(piece[i : i + length], []).append((p, i))
+    place, twice, shared = suffix_array.repeats([np.frombuffer(p, np.uint8) for p, _ in pieces], np.array(starts), np.array([o for _, o in pieces]), length, shorter)
+    want = [(i, i + length <= len(p) and len(seen[p[i : i + length]]) > 1, len(owners[p[i : i + shorter]]) > 1) for (p, _), n in zip(pieces, starts) for i in range(n)]
+    assert list(zip(place.tolist(), twice.tolist(), shared.tolist())) == want
 
 
 def test_byte_stretches_hold_every_window_once():
     rng = np.random.default_rng(1)
     texts = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (0, 5, 40, 41, 300)] + [b"a" * 90]
     buf, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    rows, doc = suffix_dedup.stretches(buf, offsets, 40, 8)
+    rows, doc = suffix_dedup.stretches(buf, offsets, 60, 40, 8)
     got = sorted((d, a + i) for d, a, n in zip(doc.tolist(), rows["at"].tolist(), rows["n"].tolist()) for i in range(n))
     assert got == [(d, i) for d, t in enumerate(texts) for i in range(len(t) - 39)]
-    least = {}
+    least, wide = {}, {}
     for d, r in zip(doc.tolist(), rows):
         for i in range(r["at"], r["at"] + r["n"]):
             least.setdefault(texts[d][i : i + 40], set()).add(int(r["least"]))
+        wide.setdefault((int(r["n"]), texts[d][r["at"] : r["at"] + r["n"] + 59]), set()).add((int(r["bytes"]), int(r["check"])))
     assert all(len(x) == 1 for x in least.values())
+    assert all(len(x) == 1 for x in wide.values()) and len({x for y in wide.values() for x in y}) == len(wide)
 
 
 @given(st.lists(st.integers(1, 512), min_size=1, max_size=300))

@@ -285,24 +285,37 @@ def test_language_without_labels(spark):
 # --- 6: suffix arrays
 
 
-def brute_bytes(rows, length):
+def brute_bytes(rows, length, shorter):
     raw = [(i, (t or "").encode()) for i, t in rows]
     counts = Counter(b[j : j + length] for _, b in raw for j in range(len(b) - length + 1))
+    owners = Counter(x for _, b in raw for x in {b[j : j + shorter] for j in range(len(b) - shorter + 1)})
     out = []
     for i, b in raw:
-        gone = np.zeros(len(b), bool)
-        for j in range(len(b) - length + 1):
+        gone, shared = np.zeros(len(b), bool), np.zeros(len(b), bool)
+        for j in range(len(b) - shorter + 1):
             if counts[b[j : j + length]] > 1:
                 gone[j : j + length] = True
+            if owners[b[j : j + shorter]] > 1:
+                shared[j : j + shorter] = True
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        out.append([i, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()])
+        out.append([i, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest(), int(shared.sum())])
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("length", "group_bytes"), [(400, suffix_dedup.GROUP_BYTES), (60, suffix_dedup.GROUP_BYTES), (60, 100)])
-def test_repeated_bytes_go(docs, length, group_bytes):
-    got = suffix_dedup.deduplicate(docs, length=length, gram=16, group_bytes=group_bytes, shard_bytes=2000)
-    assert tuples(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(source(docs), length)
+@pytest.mark.parametrize(("length", "shorter", "group_bytes", "hot"), [(400, 256, suffix_dedup.GROUP_BYTES, suffix_dedup.HOT), (60, 40, suffix_dedup.GROUP_BYTES, suffix_dedup.HOT), (60, 60, 100, suffix_dedup.HOT), (60, 40, suffix_dedup.GROUP_BYTES, 2), (400, 256, 100, 3)])
+def test_repeated_bytes_go(docs, length, shorter, group_bytes, hot):
+    got = suffix_dedup.deduplicate(docs, length=length, shorter=shorter, gram=16, group_bytes=group_bytes, hot=hot, shard_bytes=2000)
+    assert tuples(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared") == brute_bytes(source(docs), length, shorter)
+
+
+@pytest.mark.parametrize("hot", [3, suffix_dedup.HOT])
+def test_passages_within_other_texts(spark, hot):
+    passage, line = prose(20, 60), prose(21, 9) + "\n"
+    rows = [(i, prose(30 + i, 20 + 3 * i) + " " + passage + " " + prose(60 + i, 15)) for i in range(20)]
+    rows += [(50 + i, line * (i + 2) + prose(90 + i, 40)) for i in range(6)] + [(70, passage), (71, passage[:150] + " x"), (72, prose(99, 300)), (73, passage[:260] + prose(97, 30) + passage[:260] + prose(96, 9))] + [(80, prose(98, 70))] * 4
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = suffix_dedup.deduplicate(table, length=200, shorter=100, gram=16, hot=hot, shard_bytes=5000)
+    assert tuples(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared") == brute_bytes(rows, 200, 100)
 
 
 def test_repeated_bytes_of_an_empty_table(empty):
