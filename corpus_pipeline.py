@@ -6,14 +6,14 @@ docs. All but the last return the columns of documents:
 1. language: documents whose language the model cannot tell go: those without a letter, and those whose best language has
    less than MIN_SCORE of the words' probability. `lang` becomes the prediction.
 2. near duplicates: of each group of documents linked by n-gram Jaccard similarity, the one with the smallest id stays;
-   rows without an id come last.
+   rows without an id come last, and of equal ids the least hash of the text decides.
 3. decontamination: documents that contain a benchmark window go.
 4. secrets: credentials in the text are replaced by [REDACTED], and `n_chars` follows; no document goes.
 5. packing: every remaining text as pieces of sequences of token ids.
 
 Defined results: rows that share an id, or have none, are documents of their own, judged by their own text; of rows with
-equal id and text one stays at stage 2; a null text has no language and goes at stage 1; an empty table stays empty; extra
-columns are dropped.
+equal texts one stays at stage 2, and every text without words; a null text has no language and goes at stage 1; an empty
+table stays empty; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -39,14 +39,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each linked group, and all that link with nothing; of rows with equal id and text, one."""
-    once = docs.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    in_order = once.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    # the row's number rises with the id; stored, as another run may number otherwise
-    rows = common.stored(in_order.withColumn("__row", F.monotonically_increasing_id()), f"{common.shared_dir(spark, 'rows')}/rows")
-    found = jaccard_join.near_duplicates(rows, "__row")
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*COLUMNS)
+    """One document of each linked group, that with the least id, and all that link with nothing."""
+    # rows go by a number of their own; stored, as another run may number otherwise
+    rows = common.stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), f"{common.shared_dir(spark, 'rows')}/rows")
+    found = jaccard_join.near_duplicates(rows, "__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row").alias("order")
+    firsts = rows.select("__row", order).join(found, "__row").groupBy("component_id").agg(F.min("order").alias("order"))
+    return rows.join(firsts.select("order.__row"), "__row", "left_semi").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
