@@ -126,6 +126,46 @@ def parts(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[tuple[
     release()
 
 
+#: Bits of the table that members() broadcasts, at most, and bits for one key.
+MOST_MEMBER_BITS, BITS_OF_A_KEY = 1 << 26, 16
+MEMBER_BAND = 1 << 16
+
+
+def members(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys may be among the wanted ones: all of those, and few others. A table of hashed bits is broadcast, 8 MB at most."""
+    spark = rows.sparkSession
+    n_bits = MEMBER_BAND
+    count = wanted.count()
+    while n_bits < min(MOST_MEMBER_BITS, BITS_OF_A_KEY * count):
+        n_bits *= 2
+    place = F.pmod(F.xxhash64(*keys), F.lit(n_bits))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.asarray(batch.column(0))
+            for band in np.unique(at // MEMBER_BAND).tolist():
+                own = at[at // MEMBER_BAND == band] % MEMBER_BAND
+                bands.setdefault(band, np.zeros(MEMBER_BAND, bool))[own] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(bands), pa.int64()), pa.array([np.packbits(x).tobytes() for x in bands.values()], pa.binary())], names=["band", "bits"])
+
+    table = np.zeros((n_bits // MEMBER_BAND, MEMBER_BAND // 8), np.uint8)
+    by_band = wanted.select(place.alias("place")).repartition(F.floor(F.col("place") / MEMBER_BAND)).mapInArrow(gather, "band long, bits binary")
+    for band, bits in by_band.toLocalIterator():
+        table[band] |= np.frombuffer(bits, np.uint8)
+    shared, names = spark.sparkContext.broadcast(table.ravel()), rows.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            at = np.asarray(batch.column(batch.num_columns - 1))
+            own = bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
+            if own.any():
+                yield batch.select(names).filter(pa.array(own))
+
+    return rows.withColumn("__place", place).mapInArrow(keep, rows.schema)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of texts stay small, so that very long texts do not fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,20 +1,25 @@
 """Removal of repeated word passages with a log-structured index of window hashes, batch after batch.
 
 A window is `window` consecutive words. Consecutive windows of a document whose least word-gram hash is the same form a
-stretch, and equal windows lie in stretches of equal least hash: the index holds one row a stretch (least hash, hash of the
-stretch's words, document, place), about a twentieth of the windows, as sorted immutable runs.
+stretch, and equal windows lie in stretches of equal least hash. The index holds window hashes by stretch: one row (least
+hash, hash of the stretch's words, document, place) stands for some eighteen windows. Rows are kept in sorted immutable runs.
 
 A batch is merge-joined with the runs by least hash:
 - a stretch whose words stand in the index, or in a smaller document of the batch, goes whole;
-- where stretches of one least hash differ, the windows themselves are compared: those of the new stretches and of the
+- where stretches of one least hash differ, the windows themselves are verified: those of the new stretches and of the
   indexed ones are hashed twice from the texts, and a window that an earlier document has goes.
 The batch's own rows become a new run; when `fanout` runs have gathered, the merge writes one run in their stead.
 
+What a batch shuffles does not grow with history: runs are files that the merging tasks read in place, by a table of which
+part lies where, and only texts with a contested stretch travel; a bit table of their hashes, of bounded size, drops the
+others at the scan.
+
 Windows are judged on the input. "Earlier" is: in the index, or in a smaller document of the same batch; batches taken in
 order of id thus give "any smaller document".
 
-Hot passages: a passage that a third of the documents share is one row a document in the part of its hash, and its windows
-are combined in each task before they travel. Tables are cut by hash into parts of bounded size.
+Hot passages: of equal stretches that meet in a task, the one of the smallest document goes on; the others' verdict is known
+and goes by document. Where a task meets HOT different stretches of one least hash, all its windows are compared: its rows
+are dealt by document, and a mark tells the part of the hash. Windows are combined in each task before they travel.
 
 Defined results: words are runs of bytes other than ASCII white space; a null text has none; rows that share an id are
 judged each for itself and never by one another; rows without an id are kept whole and remove nothing; an empty table gives
@@ -33,14 +38,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import hashing as H
-from quern.llm.common import BLOCK, BLOCK_DDL, block_rows, buffers, by_part, chunked, filesystem, parts, parts_for, shared_dir, small_batches, stored, text_column
+from quern.llm.common import BLOCK, BLOCK_DDL, block_rows, buffers, by_part, chunked, filesystem, members, parts, parts_for, release, shared_dir, small_batches, stored, text_column
 
 WINDOW, GRAM = 50, 16
-FANOUT = 4
+FANOUT = 3
+BATCHES = 4
+#: Different stretches of one least hash in a task, from which on all their windows are compared.
+HOT = 1024
 PART_BYTES = 24 << 20
 #: Bytes of text for one index row, about; it sizes the parts only.
 TEXT_PER_ROW = 100
@@ -48,6 +57,9 @@ OTHER_BASE = 0xD1342543DE82EF95
 STRETCH = np.dtype([("least", "<u8"), ("words", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("n", "<i4"), ("old", "<i4")])
 WINDOWS = np.dtype([("hash", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("old", "<i4")])
 GONE, OPEN, SOURCE = 0, 1, 2
+#: What the field `old` of a stretch says: of this batch, indexed before, of this batch and decided (GONE), a mark of a hot least hash.
+NEW, OLD, KNOWN, MARK = 0, 1, 2, 3
+POINTER = "part int, file string, offset long, size long"
 SPANS = "doc_id long, tag int, at int, n int, state int"
 
 
@@ -81,7 +93,24 @@ def stretches(chunk: pa.RecordBatch, window: int, gram: int) -> np.ndarray:
     return rows
 
 
-def fingerprints(docs: DataFrame, n_parts: int, window: int, gram: int) -> DataFrame:
+def combined(rows: np.ndarray, n_parts: int, hot: int) -> pa.RecordBatch:
+    """Block rows of a task's stretches by least hash; those that are decided here, and hot ones, under part -1 - p by document."""
+    rows = rows[np.lexsort((rows["doc"], rows["words"], rows["least"]))]
+    new = firsts(rows["least"], rows["words"])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    gone = rows["doc"] != rows["doc"][head]
+    rows["old"] = np.where(gone, KNOWN, NEW)
+    new_least = firsts(rows["least"])
+    group = np.cumsum(new_least) - 1
+    many = (np.bincount(group, new, minlength=1) >= hot)[group]
+    marks = rows[many & new_least]
+    marks["old"] = MARK
+    own = -1 - (H.mix(rows["doc"].astype(np.uint64)) % H.U(n_parts)).astype(np.int32)
+    part = np.where(gone | many, own, (rows["least"] % H.U(n_parts)).astype(np.int32))
+    return block_rows(np.concatenate([part, (marks["least"] % H.U(n_parts)).astype(np.int32)]), np.concatenate([rows, marks]), BLOCK)
+
+
+def fingerprints(docs: DataFrame, n_parts: int, window: int, gram: int, hot: int) -> DataFrame:
     """Block rows of the stretches of all documents."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,10 +119,9 @@ def fingerprints(docs: DataFrame, n_parts: int, window: int, gram: int) -> DataF
             held.append(stretches(chunk, window, gram))
             if sum(map(len, held)) > 300_000:
                 rows, held = np.concatenate(held), []
-                yield block_rows((rows["least"] % H.U(n_parts)).astype(np.int32), rows, BLOCK)
+                yield combined(rows, n_parts, hot)
         if held:
-            rows = np.concatenate(held)
-            yield block_rows((rows["least"] % H.U(n_parts)).astype(np.int32), rows, BLOCK)
+            yield combined(np.concatenate(held), n_parts, hot)
 
     return docs.mapInArrow(apply, BLOCK_DDL)
 
@@ -108,62 +136,98 @@ def firsts(*columns: np.ndarray) -> np.ndarray:
 
 
 def merge(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The merge-join of one part: (rows sorted as a run holds them, their states; -1 where nothing is to be done)."""
-    rows = rows[np.lexsort((rows["doc"], 1 - rows["old"], rows["words"], rows["least"]))]
+    """The merge-join of one part: (rows sorted as a run holds them, their states; -1 where nothing is to be done). Marks stay first of their hash."""
+    rows = rows[np.lexsort((rows["doc"], rows["old"] != OLD, rows["words"], rows["old"] != MARK, rows["least"]))]
     state = np.full(len(rows), -1, np.int8)
     if not len(rows):
         return rows, state
-    new_least, new_words = firsts(rows["least"]), firsts(rows["least"], rows["words"])
+    mark = rows["old"] == MARK
+    new_least, new_words = firsts(rows["least"]), firsts(rows["least"], rows["words"], mark)
     head = np.flatnonzero(new_words)[np.cumsum(new_words) - 1]  # the earliest row with the same words
-    fresh = rows["old"] == 0
+    fresh = rows["old"] == NEW
     leads = (rows["doc"] == rows["doc"][head]) & (rows["old"] == rows["old"][head])
     state[fresh & ~leads] = GONE
     group = np.cumsum(new_least) - 1
     starts = np.flatnonzero(new_least)
-    several = np.add.reduceat(new_words.astype(np.int64), starts) > 1
+    # rows elsewhere have a marked hash as well, in other documents
+    marked = np.add.reduceat(mark.astype(np.int64), starts) > 0
+    several = (np.add.reduceat((new_words & ~mark).astype(np.int64), starts) > 1) | marked
     low, high = np.minimum.reduceat(rows["doc"], starts), np.maximum.reduceat(rows["doc"], starts)
-    wanted = np.add.reduceat((fresh & leads).astype(np.int64), starts) > 0
-    contested = (several & wanted & (low < high))[group]
+    wanted = (np.add.reduceat((fresh & leads).astype(np.int64), starts) > 0) | marked
+    contested = (several & wanted & ((low < high) | marked))[group]
     state[contested & fresh & leads] = OPEN
-    state[contested & ~fresh & new_words] = SOURCE
+    state[contested & (rows["old"] == OLD) & new_words] = SOURCE
+    return rows, state
+
+
+def apart(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a part by document: (rows, states): known verdicts, and hot rows, all of whose windows are compared."""
+    state = np.full(len(rows), OPEN, np.int8)
+    state[rows["old"] == KNOWN] = GONE
+    state[rows["old"] == OLD] = SOURCE
     return rows, state
 
 
-def merged(blocks: DataFrame, compact: bool) -> DataFrame:
-    """By part: the states of stretches (part null), and the new run's sorted rows (doc_id null): the earliest row of equal words.
+def merged(blocks: DataFrame, folder: str, compact: bool) -> DataFrame:
+    """By part: the states of stretches (part null), and where the new run's sorted rows lie (doc_id null), from block rows and pointers to runs.
 
-    The run holds the batch's own rows, and under `compact` those of the merged runs as well.
+    The run holds the batch's own rows, and under `compact` those of the merged runs as well; of equal words in a part, the earliest.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "tag", "at", "n", "state", "part", "data"]
-        for part, rows in parts(batches, STRETCH):
-            rows, state = merge(rows)
+        task = TaskContext.get()
+        fs, place = filesystem(folder)
+        name = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+        out, at = None, 0
+        names = ["doc_id", "tag", "at", "n", "state", "part", "file", "offset", "size"]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal out, at
+            rows, state = (merge if now >= 0 else apart)(np.concatenate(held))
             told = rows[state >= 0]
             k = len(told)
             if k:
-                columns = [pa.array(told[c].copy()) for c in ("doc", "tag", "at", "n")] + [pa.array(state[state >= 0].astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-            run = (state != GONE) & ((rows["old"] == 0) | (compact & firsts(rows["least"], rows["words"])))
-            columns = [pa.nulls(1, pa.int64()), *(pa.nulls(1, pa.int32()) for _ in range(4)), pa.array([part], pa.int32()), pa.array([rows[run].tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return blocks.mapInArrow(apply, f"{SPANS}, {BLOCK_DDL}")
-
-
-def as_old(runs: DataFrame) -> DataFrame:
-    """The rows of runs, marked as indexed before."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                columns = [pa.array(told[c].copy()) for c in ("doc", "tag", "at", "n")] + [pa.array(state[state >= 0].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns + [pa.nulls(k, t) for t in kinds[5:]], names=names)
+            kept = (rows["old"] != KNOWN) & (state != GONE)
+            if now >= 0:
+                kept &= firsts(rows["least"], rows["words"], rows["old"] == MARK) | (rows["old"] == NEW)
+            if not compact:
+                kept &= rows["old"] != OLD
+            if kept.any():
+                if out is None:
+                    fs.create_dir(place)
+                    out = fs.open_output_stream(filesystem(name)[1], compression=None)
+                data = rows[kept].tobytes()
+                out.write(data)
+                values = (None, None, None, None, None, now, name, at, len(data))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
+                at += len(data)
+
+        now, held = None, []
         for batch in batches:
-            out = []
-            for data in batch.column(1):
-                rows = np.frombuffer(data.as_buffer(), STRETCH).copy()
-                rows["old"] = 1
-                out.append(rows.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], schema=BLOCK)
+            for part, data, file, offset, size in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if part != now:
+                    if held:
+                        yield from done()
+                    now, held = part, []
+                if file is None:
+                    held.append(np.frombuffer(data, STRETCH))
+                else:
+                    with fs.open_input_file(filesystem(file)[1]) as source:
+                        rows = np.frombuffer(source.read_at(size, offset), STRETCH).copy()
+                    if rows.nbytes != size:
+                        raise EOFError(f"{file} ends before {offset + size}")
+                    rows["old"][rows["old"] != MARK] = OLD
+                    held.append(rows)
+        if held:
+            yield from done()
+        if out is not None:
+            out.close()
+        release()
 
-    return runs.select("part", "data").mapInArrow(apply, BLOCK_DDL)
+    return blocks.mapInArrow(apply, f"{SPANS}, {POINTER}")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -280,6 +344,7 @@ class Index:
     window: int = WINDOW
     gram: int = GRAM
     fanout: int = FANOUT
+    hot: int = HOT
     n_parts: int = 64
     n_tasks: int = 8
     runs: list[str] = field(default_factory=list)
@@ -304,12 +369,13 @@ class Index:
         """Keeps the list of runs: a batch counts from here on, and one that failed before left only files that no list names."""
         fs, folder = filesystem(self.path)
         fs.create_dir(folder)
-        kept = {k: getattr(self, k) for k in ("window", "gram", "fanout", "n_parts", "n_tasks", "runs", "made")}
+        kept = {k: getattr(self, k) for k in ("window", "gram", "fanout", "hot", "n_parts", "n_tasks", "runs", "made")}
         with fs.open_output_stream(f"{folder}/manifest-{self.made:08d}.json") as file:
             file.write(json.dumps(kept).encode())
 
     def read(self, run: str) -> DataFrame:
-        return self.spark.read.schema(f"{SPANS}, {BLOCK_DDL}").parquet(run).filter("part IS NOT NULL")
+        """Where the parts of a run lie."""
+        return self.spark.read.schema(f"{SPANS}, {POINTER}").parquet(run).filter("part IS NOT NULL").select("part", F.lit(None).cast("binary").alias("data"), "file", "offset", "size")
 
     def add(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
         """Spans (doc_id, tag, at, n, state) of windows of `docs` that an earlier document has.
@@ -318,14 +384,15 @@ class Index:
         """
         made = self.made + 1
         name = f"{self.path}/run-{made}-{uuid.uuid4().hex[:8]}"
-        blocks = fingerprints(docs, self.n_parts, self.window, self.gram)
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("file", "string"), ("offset", "long"), ("size", "long"))]
+        blocks = fingerprints(docs, self.n_parts, self.window, self.gram, self.hot).select("part", "data", *nothing)
         for run in self.runs:
-            blocks = blocks.unionByName(as_old(self.read(run)))
+            blocks = blocks.unionByName(self.read(run))
         compact = len(self.runs) + 1 >= self.fanout
-        out = stored(merged(by_part(blocks, self.n_tasks), compact), name)
+        out = stored(merged(by_part(blocks, self.n_tasks), f"{name}-rows", compact), name)
         spans = out.filter("part IS NULL").select("doc_id", "tag", "at", "n", "state")
         wanted = by_document(spans.filter(f"state <> {GONE}"))
-        texts = packed(corpus).join(wanted.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
+        texts = packed(members(corpus, wanted, ["doc_id", "tag"])).join(wanted.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
         windows = compared(by_part(window_rows(texts, self.n_parts, self.window), self.n_tasks))
         found = stored(spans.filter(f"state = {GONE}").unionByName(windows), f"{name}-spans")
         self.runs, self.made = [name] if compact else [*self.runs, name], made
@@ -360,13 +427,13 @@ def cut(docs: DataFrame, spans: DataFrame, window: int, with_text: bool = False)
     return rows.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
-def deduplicate(df: DataFrame, batches: int = 2, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT, with_text: bool = False) -> DataFrame:
+def deduplicate(df: DataFrame, batches: int = BATCHES, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """Every document without the words of windows that start in a smaller document, `batches` ranges of ids one after another."""
     spark = df.sparkSession
     small_batches(spark)
     path = shared_dir(spark, "substrings")
     docs = identified(df, key, text)
-    index = Index(spark, path, window, gram, fanout)
+    index = Index(spark, path, window, gram, fanout, hot)
     index.size_for(float(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / batches)
     bounds = docs.select("doc_id").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001) if batches > 1 else []
     spans = None

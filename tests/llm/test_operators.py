@@ -406,13 +406,32 @@ def brute_words(rows, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("batches", "fanout"), [(1, 4), (2, 4), (5, 2)])
+@pytest.mark.parametrize(("batches", "fanout", "hot"), [(1, 4, substring_dedup.HOT), (4, 3, substring_dedup.HOT), (5, 2, 2)])
 @pytest.mark.parametrize(("window", "gram"), [(50, 16), (6, 3)])
-def test_repeated_windows_go(docs, batches, fanout, window, gram):
-    got = substring_dedup.deduplicate(docs, batches, window=window, gram=gram, fanout=fanout)
+def test_repeated_windows_go(docs, batches, fanout, hot, window, gram):
+    got = substring_dedup.deduplicate(docs, batches, window=window, gram=gram, fanout=fanout, hot=hot)
     assert tuples(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(source(docs), window)
 
 
+@pytest.mark.parametrize("hot", [3, substring_dedup.HOT])
+def test_a_passage_of_many_documents(spark, hot):
+    passage = prose(20, 60)
+    rows = [(i, prose(30 + i, 20 + 3 * i) + " " + passage + " " + prose(60 + i, 15)) for i in range(24)]
+    rows += [(50 + i, passage + " " + prose(90 + i, 4)) for i in range(6)] + [(100 + i, prose(99, 70)) for i in range(5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = substring_dedup.deduplicate(table, 4, window=20, gram=8, fanout=3, hot=hot)
+    assert tuples(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(rows, 20)
+
+
+def test_members_keep_all_that_is_wanted(spark, monkeypatch):
+    rows = spark.range(5000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"), F.lit("x").alias("text"))
+    got = {r.a for r in common.members(rows, rows.filter("a % 50 = 3").select("a", "b"), ["a", "b"]).collect()}
+    assert set(range(3, 5000, 50)) <= got and len(got) < 250
+    assert common.members(rows, rows.limit(0).select("a", "b"), ["a", "b"]).count() == 0
+    monkeypatch.setattr(common, "MOST_MEMBER_BITS", 1 << 10)
+    assert common.members(rows, rows.select("a", "b"), ["a", "b"]).count() == 5000
+
+
 def test_runs_are_compacted(spark, docs):
     index = substring_dedup.Index(spark, common.shared_dir(spark, "index"), 6, 3, 3)
     seen = substring_dedup.identified(docs).filter("doc_id IS NOT NULL")
