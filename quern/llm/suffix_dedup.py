@@ -7,8 +7,9 @@ that, bytes covered by a string of `shorter` bytes that also starts in another r
 1. Equal texts are one class. Per class, the least hash of the byte-grams in a window of `shorter` bytes cuts the window
    starts into stretches; equal strings of either length start in stretches of equal least hash. Only these rows travel.
 2. By least hash: stretches with equal bytes (up to the end of their last string of `length`) are repeated whole; two 64-bit
-   hashes tell that they are equal. Stretches that differ, or that hold their least gram twice, are sources: their bytes are
-   dealt to shards by least hash, one source for all stretches with the same bytes.
+   hashes tell that they are equal. Stretches that differ are sources, if another one has the same bytes around the least
+   gram, on the side where equal strings of `shorter` must agree; so are all of a group where one holds its least gram twice.
+   The bytes of sources are dealt to shards by least hash, one source for all stretches with the same bytes.
 3. A shard concatenates its sources, builds their suffix array by induced sorting and the permuted longest common
    prefixes; a start is repeated if its suffix agrees with a neighbour on `length` bytes, and shared if it agrees with one
    of another class on `shorter`. All occurrences are in one shard, or among the equal stretches of step 2.
@@ -51,7 +52,7 @@ PART_BYTES = 24 << 20
 #: Low bits of a gram's hash that do not count.
 VALUE_BITS = 24
 OTHER_BASE = 0xD1342543DE82EF95
-STRETCH = np.dtype([("least", "<u8"), ("bytes", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("n", "<i4"), ("self", "<i2"), ("state", "<i2")])
+STRETCH = np.dtype([("least", "<u8"), ("bytes", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("n", "<i4"), ("self", "<i2"), ("state", "<i2"), ("left", "<u4"), ("right", "<u4")])
 WINDOWS = np.dtype([("hash", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("kind", "<i4"), ("state", "<i4")])
 SPAN = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("at", "<i4"), ("n", "<i4"), ("state", "<i4")])
 #: What a span says of its starts: repeated strings of `length`, strings of `shorter` in another document, or both; a source
@@ -92,7 +93,12 @@ def stretches(buf: np.ndarray, offsets: np.ndarray, length: int, shorter: int, g
     end, many = np.minimum(after - 1 + length, offsets[doc[at] + 1]), (after - at).astype(np.uint64)
     rows["least"], rows["bytes"], rows["check"] = H.mix(value[at]), H.mix(spans.of(at, end) + many), H.Spans(buf, OTHER_BASE).of(at, end)
     rows["at"], rows["n"] = at - offsets[doc[at]], after - at
-    rows["self"] = place[at] != place[after - 1]
+    rows["self"] = (place[at] != place[after - 1]) | (bits > VALUE_BITS)  # in a very long text, places are those of coarser values
+    # equal strings of `shorter` agree on half of what is beside the gram, before or after it; 0 where the text has less
+    half, g, d = (shorter - gram) // 2, place[at], doc[at]
+    for side, low, high in (("left", g - half, g + gram), ("right", g, g + gram + half)):
+        fits = np.flatnonzero((low >= offsets[d]) & (high <= offsets[d + 1]))
+        rows[side][fits] = (spans.of(low[fits], high[fits]) >> H.U(32)).astype(np.uint32) | 1
     return rows, doc[at]
 
 
@@ -153,6 +159,20 @@ def fingerprints(docs: DataFrame, n_parts: int, length: int, shorter: int, gram:
     return docs.mapInArrow(apply, BLOCK_DDL)
 
 
+def kin(rows: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Which rows have the bytes on a side of their least gram in common with another kind of its group."""
+    out = np.zeros(len(rows), bool)
+    for side in ("left", "right"):
+        at = np.flatnonzero(rows[side])
+        at = at[np.lexsort((rows[side][at], rows["least"][at]))]  # stable: kinds stay together
+        group = np.cumsum(firsts(rows["least"][at], rows[side][at])) - 1 if len(at) else at
+        kind = (np.cumsum(new) - 1)[at]
+        if len(at):
+            starts = np.flatnonzero(np.diff(group, prepend=-1))
+            out[at] |= (np.minimum.reduceat(kind, starts) < np.maximum.reduceat(kind, starts))[group]
+    return out
+
+
 def decide(rows: np.ndarray, length: int, group_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     """Of one part: (rows of which something is to be done, their states)."""
     marked = np.unique(rows["least"][rows["n"] == 0])
@@ -164,8 +184,8 @@ def decide(rows: np.ndarray, length: int, group_bytes: int) -> tuple[np.ndarray,
     starts = np.flatnonzero(new_least)
     selves = np.maximum.reduceat(rows["self"], starts)[group] > 0
     split = np.isin(rows["least"], marked)
-    # a group with one kind and no marks can hold no other equal strings; copies in one document may be shared each for itself
-    source = (new | ~several) & ((np.add.reduceat(new.astype(np.int64), starts)[group] > 1) | selves | split)
+    # other kinds can hold no equal strings; copies in one document may be shared each for itself
+    source = (new | ~several) & (kin(rows, new) | selves | split)
     size = np.where(source, rows["n"].astype(np.int64) + length - 1, 0)
     split |= np.add.reduceat(size, starts)[group] > group_bytes
     state = rows["state"].astype(np.int32)
