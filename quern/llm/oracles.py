@@ -57,6 +57,22 @@ WINNOW = rf"""
     FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+SUFFIXES = """
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
+    n AS (SELECT doc_id, r, b, octet_length(b) AS n FROM d),
+    win AS (SELECT r, k, i, sha256(array_slice(b, i, i + k - 1)) AS h FROM (SELECT r, b, k, unnest(range(1, n - k + 2)) AS i FROM n, (SELECT unnest([400, 256]) AS k) WHERE n >= k)),
+    met AS (SELECT k, h FROM win GROUP BY k, h HAVING CASE WHEN k = 400 THEN count(*) > 1 ELSE min(r) < max(r) END),
+    hit AS (SELECT r, k, i FROM win SEMI JOIN met USING (k, h)),
+    run AS (SELECT *, sum(CASE WHEN i <= before + k THEN 0 ELSE 1 END) OVER (PARTITION BY r, k ORDER BY i) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY r, k ORDER BY i) AS before FROM hit)),
+    span AS (SELECT r, k, min(i) AS a, max(i) + k AS z FROM run GROUP BY r, k, run),
+    told AS (SELECT r, k, sum(z - a) AS gone, count(*) AS spans FROM span GROUP BY r, k),
+    piece AS (SELECT r, lag(z, 1, 1) OVER (PARTITION BY r ORDER BY a) AS a, a AS z FROM span WHERE k = 400 UNION ALL SELECT r, max(z), NULL FROM span WHERE k = 400 GROUP BY r),
+    kept AS (SELECT r, string_agg(hex(array_slice(b, a, coalesce(z, n + 1) - 1)), '' ORDER BY a) AS kept FROM piece JOIN n USING (r) WHERE a < coalesce(z, n + 1) GROUP BY r)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(x.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(x.spans, 0) AS BIGINT) AS n_spans,
+           sha256(CASE WHEN x.gone IS NULL THEN b ELSE unhex(coalesce(kept, '')) END) AS kept_sha256, CAST(coalesce(y.gone, 0) AS BIGINT) AS n_shared
+    FROM n LEFT JOIN (SELECT * FROM told WHERE k = 400) x USING (r) LEFT JOIN (SELECT * FROM told WHERE k = 256) y USING (r) LEFT JOIN kept USING (r)
+"""
+
 EMBEDDINGS = """
     WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
     fine AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),

@@ -74,6 +74,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_warc": oracles.WARC,
+    "op6_suffixes": oracles.SUFFIXES,
     "op7_embeddings": oracles.EMBEDDINGS,
     "op8_substrings": oracles.SUBSTRINGS,
     "op9_decontaminate": oracles.WINNOW,
