@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,44 +127,30 @@ def parts(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[tuple[
     release()
 
 
-#: Bits of the table that members() broadcasts, at most, and bits for one key.
-MOST_MEMBER_BITS, BITS_OF_A_KEY = 1 << 26, 16
-MEMBER_BAND = 1 << 16
+#: Bits of a table of members, at most, and bits for one of them.
+MOST_MEMBER_BITS, BITS_OF_A_MEMBER = 1 << 26, 16
 
 
-def members(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys may be among the wanted ones: all of those, and few others. A table of hashed bits is broadcast, 8 MB at most."""
-    spark = rows.sparkSession
-    n_bits = MEMBER_BAND
-    count = wanted.count()
-    while n_bits < min(MOST_MEMBER_BITS, BITS_OF_A_KEY * count):
+def members(wanted: DataFrame, keys: list[str]) -> Broadcast:
+    """A table of bits, 8 MB at most, that tells which rows' keys may be among the wanted ones: all of those, and few others."""
+    count, n_bits = wanted.count(), 1 << 12
+    while n_bits < min(MOST_MEMBER_BITS, BITS_OF_A_MEMBER * count):
         n_bits *= 2
     place = F.pmod(F.xxhash64(*keys), F.lit(n_bits))
+    words = wanted.select(place.alias("place")).selectExpr("int(shiftright(place, 5)) AS word", "shiftleft(1L, int(place & 31)) AS bit")
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # 2**21 rows at most
+    table = np.zeros(n_bits // 32, np.uint32)
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    return wanted.sparkSession.sparkContext.broadcast(table)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = np.asarray(batch.column(0))
-            for band in np.unique(at // MEMBER_BAND).tolist():
-                own = at[at // MEMBER_BAND == band] % MEMBER_BAND
-                bands.setdefault(band, np.zeros(MEMBER_BAND, bool))[own] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(bands), pa.int64()), pa.array([np.packbits(x).tobytes() for x in bands.values()], pa.binary())], names=["band", "bits"])
-
-    table = np.zeros((n_bits // MEMBER_BAND, MEMBER_BAND // 8), np.uint8)
-    by_band = wanted.select(place.alias("place")).repartition(F.floor(F.col("place") / MEMBER_BAND)).mapInArrow(gather, "band long, bits binary")
-    for band, bits in by_band.toLocalIterator():
-        table[band] |= np.frombuffer(bits, np.uint8)
-    shared, names = spark.sparkContext.broadcast(table.ravel()), rows.columns
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            at = np.asarray(batch.column(batch.num_columns - 1))
-            own = bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
-            if own.any():
-                yield batch.select(names).filter(pa.array(own))
-
-    return rows.withColumn("__place", place).mapInArrow(keep, rows.schema)
+
+def member_place(table: Broadcast, keys: list[str]):
+    """The column by which may_be() looks a row up."""
+    return F.pmod(F.xxhash64(*keys), F.lit(32 * len(table.value)))
+
+
+def may_be(table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (table[place >> 5] >> (place & 31).astype(np.uint32) & 1) > 0
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -38,16 +38,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import hashing as H
-from quern.llm.common import BLOCK, BLOCK_DDL, block_rows, buffers, by_part, chunked, filesystem, members, parts, parts_for, release, shared_dir, small_batches, stored, text_column
+from quern.llm.common import BLOCK, BLOCK_DDL, block_rows, buffers, by_part, chunked, filesystem, may_be, member_place, members, parts, parts_for, release, shared_dir, small_batches, stored, text_column
 
 WINDOW, GRAM = 50, 16
 FANOUT = 3
-BATCHES = 4
+BATCHES = 3
 #: Different stretches of one least hash in a task, from which on all their windows are compared.
 HOT = 1024
 PART_BYTES = 24 << 20
@@ -230,17 +230,21 @@ def merged(blocks: DataFrame, folder: str, compact: bool) -> DataFrame:
     return blocks.mapInArrow(apply, f"{SPANS}, {POINTER}")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, text) with the text compressed, as it travels."""
+def packed(docs: DataFrame, among: Broadcast | None = None) -> DataFrame:
+    """(doc_id, tag, text) with the text compressed, as it travels; of a table of members, only the rows that may be in it."""
+    place = member_place(among, ["doc_id", "tag"]) if among else F.lit(None).cast("long")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        for chunk in chunked(batches, "text"):
-            yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), pa.array([pack(x) for x in chunk.column(2).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "tag", "text"])
+        for batch in batches:
+            if among:
+                batch = batch.filter(pa.array(may_be(among.value, np.asarray(batch.column(3)))))
+            for chunk in chunked([batch], "text"):
+                yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), pa.array([pack(x) for x in chunk.column(2).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "tag", "text"])
 
-    return docs.mapInArrow(apply, "doc_id long, tag int, text binary")
+    return docs.select("doc_id", "tag", "text", place.alias("place")).mapInArrow(apply, "doc_id long, tag int, text binary")
 
 
 def unpacked(chunk: pa.RecordBatch, i: int) -> list[bytes]:
@@ -391,8 +395,8 @@ class Index:
         compact = len(self.runs) + 1 >= self.fanout
         out = stored(merged(by_part(blocks, self.n_tasks), f"{name}-rows", compact), name)
         spans = out.filter("part IS NULL").select("doc_id", "tag", "at", "n", "state")
-        wanted = by_document(spans.filter(f"state <> {GONE}"))
-        texts = packed(members(corpus, wanted, ["doc_id", "tag"])).join(wanted.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
+        contested = spans.filter(f"state <> {GONE}")
+        texts = packed(corpus, members(contested, ["doc_id", "tag"])).join(by_document(contested).hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
         windows = compared(by_part(window_rows(texts, self.n_parts, self.window), self.n_tasks))
         found = stored(spans.filter(f"state = {GONE}").unionByName(windows), f"{name}-spans")
         self.runs, self.made = [name] if compact else [*self.runs, name], made
