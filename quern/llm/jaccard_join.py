@@ -1,7 +1,7 @@
 """Near-duplicate documents by the Jaccard similarity of their word n-gram sets: a prefix-filtered similarity join.
 
 1. One pass counts every n-gram into a table of fixed size (a cell per hash), and gives each document the digest of its
-   set. Documents with equal sets are one class; only classes are joined.
+   set (128 bits). Documents with equal sets are one class, a node; only classes are joined.
 2. A second pass orders each class's n-grams rare first (by the count of their cell, then by hash) and deals the prefix
    that any sufficiently similar set must meet to parts by hash.
 3. In each part, classes that share a prefix n-gram are candidates, under the length and positional filters. First each
@@ -14,7 +14,9 @@ A star's centre is the member with the fewest rarer n-grams before the shared on
 that is the one nearest to the original, so its star joins most of them, and few pairs are left to the exhaustive step.
 
 Hot groups: copies collapse to a class before anything is paired, per task already; the members of one class's star are
-salted over tasks; components come from salted joins. The count table only orders n-grams; its size is bounded.
+salted over tasks; a group that stars have not joined is cut by size, as only sizes within the threshold can link, and into
+blocks of BLOCK classes, and pairs of blocks are dealt to tasks; components come from salted joins. The count table only
+orders n-grams; its size is bounded.
 
 Defined results: words are runs of bytes other than ASCII white space, ASCII letters lower-cased; a text of fewer words
 than n has its whole word sequence as its one n-gram; a text without words (or null) has an empty set and links with
@@ -46,7 +48,11 @@ BAND_BITS = 12
 #: Bytes of prefix rows in a part.
 PART_BYTES = 24 << 20
 STAR_SALTS = 64
-PREFIX = np.dtype([("hash", "<u8"), ("node", "<i8"), ("size", "<i4"), ("pos", "<i4")])
+#: Classes of a block of a group.
+BLOCK_CLASSES = 512
+#: A node is the digest of its set, in two halves; `binary` puts them together.
+NODE = ("hi", "lo")
+PREFIX = np.dtype([("hash", "<u8"), ("hi", "<u8"), ("lo", "<u8"), ("size", "<i4"), ("pos", "<i4")])
 
 
 def sets(chunk: pa.RecordBatch, column: str, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -72,11 +78,24 @@ def sets(chunk: pa.RecordBatch, column: str, n: int = WORDS) -> tuple[np.ndarray
 
 
 def set_digests(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A digest of each set, whatever the order of its members; 0 for the empty one."""
-    sums = np.concatenate([np.zeros(1, H.U), np.cumsum(H.mix(hashes ^ H.U(0x5DEECE66D)), dtype=H.U)])
+    """Two halves of a digest of each set, whatever the order of its members; 0 for the empty one."""
     size = np.diff(first)
-    out = H.mix((sums[first[1:]] - sums[first[:-1]]) ^ size.astype(H.U)).view(np.int64)
-    return np.where(size > 0, out, 0)
+    out = np.empty((len(size), 2), H.U)
+    for i, seed in enumerate((0x5DEECE66D, 0xB5297A4D3F84D5B5)):
+        sums = np.concatenate([np.zeros(1, H.U), np.cumsum(H.mix(hashes ^ H.U(seed)), dtype=H.U)])
+        out[:, i] = np.where(size > 0, H.mix((sums[first[1:]] - sums[first[:-1]]) ^ size.astype(H.U)), 0)
+    return out
+
+
+def binary(halves: np.ndarray) -> pa.Array:
+    """Rows of two halves as values of 16 bytes."""
+    raw = np.ascontiguousarray(halves, ">u8").tobytes()
+    offsets = np.arange(0, len(raw) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(halves), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
+
+
+def halves(rows: np.ndarray) -> np.ndarray:
+    return np.stack([rows["hi"], rows["lo"]], 1) if len(rows) else np.zeros((0, 2), H.U)
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -101,7 +120,7 @@ def profile(docs: DataFrame, n: int, bits: int) -> DataFrame:
             cells, many = np.unique(cell_of(hashes, bits), return_counts=True)
             counts[cells] += many.astype(np.uint32)
             k = chunk.num_rows
-            columns = [chunk.column(0), pa.array(set_digests(hashes, first)), pa.array(np.diff(first).astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
+            columns = [chunk.column(0), binary(set_digests(hashes, first)), pa.array(np.diff(first).astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
         bands = counts.reshape(-1, 1 << BAND_BITS)
         used = np.flatnonzero(bands.any(1))
@@ -110,9 +129,9 @@ def profile(docs: DataFrame, n: int, bits: int) -> DataFrame:
             some = used[at : at + 64]
             k = len(some)
             data = [pack(bands[b].tobytes()) for b in some]
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(some.astype(np.int32)), pa.array(data, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.array(some.astype(np.int32)), pa.array(data, pa.binary())], names=names)
 
-    return docs.mapInArrow(apply, "doc_id long, node long, size int, band int, counts binary")
+    return docs.mapInArrow(apply, "doc_id long, node binary, size int, band int, counts binary")
 
 
 def cell_ranks(profiled: DataFrame, bits: int) -> np.ndarray:
@@ -143,14 +162,14 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, bits: int, n: int, n_parts: int
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         held: list[np.ndarray] = []
         for chunk in chunked(batches, "text"):
             hashes, first = sets(chunk, "text", n)
             size = np.diff(first)
             nodes = set_digests(hashes, first)
             fresh = np.zeros(len(size), bool)
-            for i, node in enumerate(nodes.tolist()):
+            for i, node in enumerate(binary(nodes).to_pylist()):
                 if size[i] and node not in seen:
                     seen.add(node)
                     fresh[i] = True
@@ -165,7 +184,8 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, bits: int, n: int, n_parts: int
             short = (size + 1 + (-num * size) // den)[owner]
             kept = pos < short
             rows = np.empty(int(kept.sum()), PREFIX)
-            rows["hash"], rows["pos"], rows["node"], rows["size"] = hashes[kept], pos[kept], nodes[owner[kept]], size[owner[kept]]
+            rows["hash"], rows["pos"], rows["size"] = hashes[kept], pos[kept], size[owner[kept]]
+            rows["hi"], rows["lo"] = nodes[owner[kept]].T
             held.append(rows)
             if sum(map(len, held)) > 400_000:
                 rows, held = np.concatenate(held), []
@@ -177,16 +197,23 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, bits: int, n: int, n_parts: int
     return docs.mapInArrow(apply, BLOCK_DDL)
 
 
+def differs(rows: np.ndarray, *names: str) -> np.ndarray:
+    """Whether a row differs from the one before it in any of the fields; the first does."""
+    new = np.ones(len(rows), bool)
+    new[1:] = False
+    for c in names:
+        new[1:] |= rows[c][1:] != rows[c][:-1]
+    return new
+
+
 def grouped(rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one part: star pairs (a, b) under the filters, and (signature, rows) of its groups of three or more, a signature once.
 
     Groups with the same members differ in the places of the shared n-gram only; each member keeps its first.
     """
-    rows = rows[np.lexsort((rows["node"], rows["pos"], rows["hash"]))]  # copies of a class stand together, as their places agree
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows["hash"][1:] != rows["hash"][:-1]) | (rows["node"][1:] != rows["node"][:-1])
-    rows = rows[new]
-    starts = H.runs(rows["hash"][1:] == rows["hash"][:-1]) if len(rows) else np.zeros(0, np.int64)
+    rows = rows[np.lexsort((rows["lo"], rows["hi"], rows["pos"], rows["hash"]))]  # copies of a class stand together, as their places agree
+    rows = rows[differs(rows, "hash", *NODE)]
+    starts = np.flatnonzero(differs(rows, "hash"))
     lengths = np.diff(np.concatenate([starts, [len(rows)]]))
     keep = lengths > 1
     starts, lengths = starts[keep], lengths[keep]
@@ -197,20 +224,22 @@ def grouped(rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarra
     need = least_overlap(sa, sb, num, den)
     ok = den * np.minimum(sa, sb) >= num * np.maximum(sa, sb)
     ok &= 1 + np.minimum(sa - a["pos"], sb - b["pos"]) - 1 >= need
-    pairs = np.unique(np.stack([a["node"][ok], b["node"][ok]], 1), axis=0) if ok.any() else np.zeros((0, 2), np.int64)
+    pairs = np.concatenate([halves(a[ok]), halves(b[ok])], 1)
+    pairs = pairs[np.lexsort(pairs.T)]
+    pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])] if len(pairs) else pairs
     big = lengths > 2
     starts, lengths = starts[big], lengths[big]
     at = H.ranges(starts, lengths)
-    sums = np.concatenate([np.zeros(1, H.U), np.cumsum(H.mix(rows["node"][at].view(np.uint64)), dtype=H.U)])
+    sums = np.concatenate([np.zeros(1, H.U), np.cumsum(H.mix(rows["hi"][at]), dtype=H.U)])
     cuts = np.concatenate([[0], np.cumsum(lengths)])
     sign = H.mix((sums[cuts[1:]] - sums[cuts[:-1]]) ^ lengths.astype(H.U)).view(np.int64)
     sign = np.repeat(sign, lengths)
     members = rows[at]
-    order = np.lexsort((members["pos"], members["node"], sign))
+    order = np.lexsort((members["pos"], members["lo"], members["hi"], sign))
     sign, members = sign[order], members[order]
-    new = np.ones(len(sign), bool)
-    new[1:] = (sign[1:] != sign[:-1]) | (members["node"][1:] != members["node"][:-1])
-    return pairs[:, 0], pairs[:, 1], sign[new], members[new]
+    new = differs(members, *NODE)
+    new[1:] |= sign[1:] != sign[:-1]
+    return pairs[:, :2], pairs[:, 2:], sign[new], members[new]
 
 
 def candidates(blocks: DataFrame, num: int, den: int) -> DataFrame:
@@ -220,11 +249,11 @@ def candidates(blocks: DataFrame, num: int, den: int) -> DataFrame:
         for _, rows in parts(batches, PREFIX):
             a, b, sign, members = grouped(rows, num, den)
             k, m = len(a), len(sign)
-            columns = [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(sign)]), pa.array(np.concatenate([a, members["node"]])), pa.concat_arrays([pa.array(np.ascontiguousarray(b)), pa.nulls(m, pa.int64())])]
+            columns = [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(sign)]), binary(np.concatenate([a, halves(members)])), pa.concat_arrays([binary(b), pa.nulls(m, pa.binary())])]
             columns += [pa.concat_arrays([pa.nulls(k, pa.int32()), pa.array(np.ascontiguousarray(members[c]))]) for c in ("size", "pos")]
             yield pa.RecordBatch.from_arrays(columns, names=["sign", "a", "b", "size", "pos"])
 
-    return blocks.mapInArrow(apply, "sign long, a long, b long, size int, pos int")
+    return blocks.mapInArrow(apply, "sign long, a binary, b binary, size int, pos int")
 
 
 def common(a: np.ndarray, b: np.ndarray, need: int) -> int:
@@ -242,7 +271,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     """The pairs (a, b) that link, by their texts (node, text): once each. Members of a's star are dealt to STAR_SALTS tasks."""
     pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(STAR_SALTS)).cast("int").alias("salt"))
     members = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
-    heads = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    heads = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
     dealt = members.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +293,31 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
                 both = common(head, own, need)
                 if both >= need and den * both >= num * (len(head) + len(own) - both):
                     out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["a", "b"])
+
+    return dealt.mapInArrow(apply, "a binary, b binary")
 
-    return dealt.mapInArrow(apply, "a long, b long")
+
+def pairs_of_groups(placed: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(lo, hi): pairs of a group's members (sign, node, size, pos, component) in different components, under the filters.
+
+    Members meet by size, in steps of the threshold, as a pair's sizes lie in one step or in neighbouring ones, and by pairs
+    of blocks: a row is sent once for each block of its group.
+    """
+    counts = placed.groupBy("sign").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    cut = salted_join(placed, counts, "sign", "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    step = F.floor(F.log(F.col("size").cast("double")) / math.log(1.0001 * den / num)).cast("int")
+    cut = cut.withColumn("step", step).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named = lambda df, side, *keys: df.select("sign", *keys, *(F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "pos", "component")))
+    smaller = named(cut, "a", "step", F.col("block").alias("block_a"), F.col("other").alias("block_b"))
+    larger = cut.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") - 1)))
+    larger = named(larger, "b", "step", F.col("other").alias("block_a"), F.col("block").alias("block_b"))
+    left = F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")
+    once = F.struct("size_a", "node_a") < F.struct("size_b", "node_b")
+    similar = F.lit(den) * F.col("size_a") >= F.lit(num) * F.col("size_b")
+    enough = (num + den) * F.least(*left) >= num * (F.col("size_a") + F.col("size_b"))  # the positional filter, as for stars
+    met = smaller.join(larger, ["sign", "step", "block_a", "block_b"]).filter(once & similar & enough & (F.col("component_a") != F.col("component_b")))
+    return met.select(F.least("node_a", "node_b").alias("lo"), F.greatest("node_a", "node_b").alias("hi")).distinct()
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -282,8 +333,8 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(apply, "doc_id long, text binary")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id): node numbers the classes of equal sets; component_id is the smallest id reachable."""
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, block: int = BLOCK_CLASSES) -> DataFrame:
+    """(doc_id, n_shingles, node, component_id): node names the classes of equal sets; component_id is the smallest id reachable."""
     spark = df.sparkSession
     small_batches(spark)
     path = shared_dir(spark, "jaccard")
@@ -314,15 +365,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     links = stored(verified(stars, texts, n, num, den), f"{path}/links")
     parents = components(links)
     at = F.coalesce("component", "node")
-    placed = groups.join(parents, "node", "left").select("sign", "node", "size", "pos", at.alias("component"))
+    placed = salted_join(groups, parents, "node", "sign", "left").select("sign", "node", "size", "pos", at.alias("component"))
     mixed = placed.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sign")
     placed = stored(salted_join(placed, mixed, "sign", "node"), f"{path}/placed")
-    x, y = (placed.select("sign", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "pos", "component"))) for side in "ab")
-    sizes, left = (F.col("size_a"), F.col("size_b")), (F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
-    similar = F.lit(den) * F.least(*sizes) >= F.lit(num) * F.greatest(*sizes)
-    enough = (num + den) * F.least(*left) >= num * (sizes[0] + sizes[1])  # the positional filter, as for stars
-    apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-    rest = x.join(y, "sign").filter(similar & enough & apart).select(F.col("node_a").alias("lo"), F.col("node_b").alias("hi")).distinct()
+    rest = pairs_of_groups(placed, num, den, block)
     rest = rest.join(stars.select(*ends), ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     more = stored(verified(stored(rest, f"{path}/rest"), texts, n, num, den), f"{path}/more")
     if more.isEmpty():
@@ -346,7 +392,7 @@ def own_texts(texts: DataFrame, n: int) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         for chunk in chunked(batches, "text", 1 << 18):
             plain = pa.RecordBatch.from_arrays([pa.array([unpack(x) for x in chunk.column(1).to_pylist()], pa.binary())], names=["text"])
-            same = pa.array(set_digests(*sets(plain, "text", n)))
+            same = binary(set_digests(*sets(plain, "text", n)))
             yield chunk.filter(pc.equal(same, chunk.column(0)))
 
-    return texts.mapInArrow(apply, "node long, text binary")
+    return texts.mapInArrow(apply, "node binary, text binary")

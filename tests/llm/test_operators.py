@@ -524,7 +524,8 @@ def test_linked_documents(docs, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
-def test_links_around_the_threshold(spark):
+@pytest.mark.parametrize("block", [jaccard_join.BLOCK_CLASSES, 7])
+def test_links_around_the_threshold(spark, block):
     """Edited copies of a few originals: some pairs just link, some just do not, and stars alone do not join every group."""
     rng = np.random.default_rng(9)
     rows = []
@@ -533,5 +534,5 @@ def test_links_around_the_threshold(spark):
         for _ in range(int(rng.integers(0, 4))):
             w[int(rng.integers(0, len(w)))] = f"w{rng.integers(0, 40)}"
         rows.append((i, " ".join(w[: len(w) - int(rng.integers(0, 6))])))
-    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block=block)
     assert tuples(got, "doc_id", "n_shingles", "component_id") == brute_jaccard(rows)
