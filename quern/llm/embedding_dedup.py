@@ -1,17 +1,18 @@
 """Near-duplicate vectors by randomised-rotation binary codes with stored correction factors.
 
-Each unit vector is turned by TURNS random rotations; the signs of its turned components are its code, and the inner
-product of the vector with its code's unit vector is its correction factor. For two vectors, the inner product of one with
-the other's code vector over that factor is an unbiased estimate of theirs; its error is bounded with high confidence by
-BOUND * sqrt((1 - f*f) / f / f / (dim - 1)), smaller by the root of the number of rotations. A pair whose upper bound is
-under the threshold is dropped; every other pair is computed exactly, in double precision, so no pair below it links.
+Each unit vector is turned by a random rotation; the signs of its turned components, one bit each, are its code, and the
+inner product of the vector with its code's unit vector is its correction factor. For two vectors, the inner product of one,
+turned, with the other's code vector over that factor is an unbiased estimate of theirs; its error is bounded with high
+confidence by BOUND * sqrt((1 - f*f) / f / f / (dim - 1)). A pair whose upper bound is under the threshold is dropped; every
+other pair is computed exactly, in double precision, so no pair below it links. The estimates of a block are one product in
+single precision, a third of the cost of the exact one.
 
 Candidates: the first bits of the code of one rotation are a bucket, with the label; there are enough rotations ("tables")
 that a pair at the threshold meets in one with probability RECALL, and closer pairs with more. The number of bits grows with
 the largest label, so buckets of unlike vectors stay small. A pair that meets in several tables counts in the first.
 
-Vectors with equal components and label are one class, joined by definition: their copies meet as one row that carries
-their number. Buckets above BLOCK classes are cut into blocks, and pairs of blocks are tasks of their own, so that no
+Vectors with equal components and label (by two 64-bit hashes) are one class, joined by definition: their copies meet as one
+row that carries their number. Buckets above BLOCK classes are cut into blocks, and pairs of blocks are tasks of their own, so that no
 bucket is collected into one; links leave a task as counts and a spanning forest.
 
 Defined results: vectors that are null, of another length than their partner, zero, or hold null or non-finite components,
@@ -36,7 +37,8 @@ from quern.llm.components import components, salted_join
 THRESHOLD = 0.98
 RECALL = 0.998
 BOUND = 4.0
-TURNS = 4
+#: What single precision may add to an estimate.
+ROUNDING = 1e-4
 BLOCK = 256
 SEED = 20240501
 
@@ -55,23 +57,19 @@ def plan(largest: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same**bits)))
 
 
-def codes(unit: np.ndarray, turns: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signs, factors): for each turn, the signs of the turned vectors and their correction factors."""
-    dim = unit.shape[1]
-    turned = np.stack([unit @ rotation(dim, t) for t in range(turns)], 1)
-    return turned >= 0, np.abs(turned).sum(2) / math.sqrt(dim)
+def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signs of the turned vectors, their correction factors)."""
+    turned = unit @ rotation(unit.shape[1], 0)
+    return turned >= 0, np.abs(turned).sum(1) / math.sqrt(unit.shape[1])
 
 
 def estimates(unit: np.ndarray, signs: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(estimate, margin) of all inner products of rows with rows, by the codes of the second."""
-    n, turns, dim = signs.shape
-    total = np.zeros((n, n))
-    spread = np.zeros(n)
-    for t in range(turns):
-        turned = unit @ rotation(dim, t)
-        total += turned @ (np.where(signs[:, t], 1.0, -1.0) / math.sqrt(dim)).T / factors[:, t]
-        spread += (1 - factors[:, t] ** 2) / factors[:, t] ** 2 / max(1, dim - 1)
-    return total / turns, np.broadcast_to(BOUND * np.sqrt(spread) / turns, (n, n))
+    """(estimates of all inner products of rows with rows, by the codes of the second; margin of each second)."""
+    dim = unit.shape[1]
+    turned = unit.astype(np.float32) @ rotation(dim, 0).astype(np.float32)
+    code = signs.astype(np.float32) * np.float32(2) - np.float32(1)
+    margin = BOUND * np.sqrt((1 - np.minimum(factors, 1) ** 2) / factors**2 / max(1, dim - 1)) + ROUNDING
+    return turned @ (code / (factors * math.sqrt(dim))[:, None].astype(np.float32)).T, margin
 
 
 def buckets(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
@@ -96,17 +94,18 @@ def find(raw: np.ndarray, signs: np.ndarray, factors: np.ndarray, threshold: flo
         i, j = np.triu_indices(len(raw), 1)
     else:
         estimate, margin = estimates(raw / norm[:, None], signs, factors)
-        i, j = np.nonzero(np.triu(estimate + margin >= threshold, 1))
+        i, j = np.nonzero(estimate >= (threshold - margin)[None, :].astype(np.float32))
+        i, j = i[i < j], j[i < j]
     cosine = (raw[i] * raw[j]).sum(1) / (norm[i] * norm[j])
     ok = cosine >= threshold
     return i[ok], j[ok]
 
 
 def coded(rows: DataFrame, bits: int, tables: int, kind: str) -> DataFrame:
-    """One row per class and table: label, table, bucket, node, copies, all buckets, code, correction factors, vector."""
+    """One row per class and table: label, table, bucket, node, copies, all buckets, code, correction factor, vector."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["label", "table", "bucket", "node", "copies", "keys", "code", "factors", "vector"]
+        names = ["label", "table", "bucket", "node", "copies", "keys", "code", "factor", "vector"]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -119,26 +118,25 @@ def coded(rows: DataFrame, bits: int, tables: int, kind: str) -> DataFrame:
                 raw = flat.reshape(-1, dim) if len(at) == batch.num_rows else np.stack([np.asarray(vectors[int(i)].values).astype(np.float64) for i in at])
                 unit = raw / np.linalg.norm(raw, axis=1)[:, None]
                 keys = buckets(unit, bits, tables)
-                signs, factors = codes(unit, TURNS)
+                signs, factors = codes(unit)
                 n = len(at)
-                code = pa.array([x.tobytes() for x in np.packbits(signs.reshape(n, -1), axis=1)], pa.binary())
-                stored_factors = pa.ListArray.from_arrays(pa.array(np.arange(0, factors.size + 1, TURNS, dtype=np.int32)), pa.array(factors.ravel()))
+                code = pa.array([x.tobytes() for x in np.packbits(signs, axis=1)], pa.binary())
                 every = np.repeat(np.arange(n), tables)
                 out = part.take(pa.array(every))
                 # vectors of other lengths never meet
                 bucket = keys.ravel() + (np.int64(dim) << 40)
                 keys_column = pa.ListArray.from_arrays(pa.array(np.arange(0, n * tables + 1, tables, dtype=np.int32)), pa.array(keys.ravel())).take(pa.array(every))
-                yield pa.RecordBatch.from_arrays([out.column(0), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(bucket), out.column(1), out.column(2), keys_column, code.take(pa.array(every)), stored_factors.take(pa.array(every)), out.column(3)], names=names)
+                yield pa.RecordBatch.from_arrays([out.column(0), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(bucket), out.column(1), out.column(2), keys_column, code.take(pa.array(every)), pa.array(factors[every]), out.column(3)], names=names)
 
-    return rows.mapInArrow(apply, f"label string, table int, bucket long, node long, copies long, keys array<long>, code binary, factors array<double>, vector {kind}")
+    return rows.mapInArrow(apply, f"label string, table int, bucket long, node binary, copies long, keys array<long>, code binary, factor double, vector {kind}")
 
 
 def links(dealt: DataFrame, threshold: float) -> DataFrame:
     """From rows sorted by (label, table, bucket, block_a, block_b): (a, b, n) with b null for counts of links, and forest edges."""
 
-    def linked(nodes: np.ndarray, copies: np.ndarray, keys: np.ndarray, code: np.ndarray, factors: np.ndarray, raw: np.ndarray, block: np.ndarray, table: int, a: int, b: int) -> Iterator[tuple[int, int | None, int]]:
-        n, dim = raw.shape
-        i, j = find(raw, np.unpackbits(code, axis=1)[:, : TURNS * dim].reshape(n, TURNS, dim).astype(bool), factors, threshold)
+    def linked(nodes: list[bytes], copies: np.ndarray, keys: np.ndarray, code: np.ndarray, factors: np.ndarray, raw: np.ndarray, block: np.ndarray, table: int, a: int, b: int) -> Iterator[tuple[bytes, bytes | None, int]]:
+        dim = raw.shape[1]
+        i, j = find(raw, np.unpackbits(code, axis=1)[:, :dim], factors, threshold)
         if a != b:  # pairs inside a block belong to the block's own task
             across = block[i] != block[j]
             i, j = i[across], j[across]
@@ -148,7 +146,7 @@ def links(dealt: DataFrame, threshold: float) -> DataFrame:
             return
         counts = np.bincount(i, copies[j], len(nodes)) + np.bincount(j, copies[i], len(nodes))
         for k in np.flatnonzero(counts).tolist():
-            yield int(nodes[k]), None, int(counts[k])
+            yield nodes[k], None, int(counts[k])
         parent = list(range(len(nodes)))
 
         def root(x: int) -> int:
@@ -161,7 +159,7 @@ def links(dealt: DataFrame, threshold: float) -> DataFrame:
             p, q = root(x), root(y)
             if p != q:
                 parent[max(p, q)] = min(p, q)
-                yield int(nodes[x]), int(nodes[y]), 0
+                yield nodes[x], nodes[y], 0
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -174,7 +172,8 @@ def links(dealt: DataFrame, threshold: float) -> DataFrame:
             column = lambda c: np.concatenate([np.asarray(h.column(c)) for h in held])
             lists = lambda c: np.concatenate([np.asarray(h.column(c).flatten()) for h in held]).reshape(n, -1)
             code = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for h in held for x in h.column(8)])
-            return list(linked(column(5), column(6), lists(7), code, lists(9), lists(10).astype(np.float64), column(11), now[1], now[3], now[4]))
+            nodes = [x for h in held for x in h.column(5).to_pylist()]
+            return list(linked(nodes, column(6), lists(7), code, column(9), lists(10).astype(np.float64), column(11), now[1], now[3], now[4]))
 
         out: list = []
         for batch in batches:
@@ -197,9 +196,9 @@ def links(dealt: DataFrame, threshold: float) -> DataFrame:
         yield rows(out)
 
     def rows(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["a", "b", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "n"])
 
-    return dealt.mapInArrow(apply, "a long, b long, n long")
+    return dealt.mapInArrow(apply, "a binary, b binary, n long")
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -211,7 +210,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     values = F.col(vector).cast(kind)
     fine = F.col("vector").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), values.alias("vector"))
-    rows = rows.withColumn("node", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("label", "vector")))
+    digest = F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64("label", "vector"), F.xxhash64(F.lit("node"), "vector", "label"))]))
+    rows = rows.withColumn("node", F.when(F.coalesce(fine, F.lit(False)), digest))
     members = rows.select("vec_id", "node")
     nodes = rows.filter("node IS NOT NULL").groupBy("label", "node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
     nodes = stored(nodes, f"{path}/nodes")
@@ -224,7 +224,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     blocks = F.ceil(F.col("size") / block).cast("int")
     table = table.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     table = table.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = table.select("label", "table", "bucket", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "node", "copies", "keys", "code", "factors", "vector", "block")
+    dealt = table.select("label", "table", "bucket", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "node", "copies", "keys", "code", "factor", "vector", "block")
     by = ["label", "table", "bucket", "block_a", "block_b"]
     found = stored(links(dealt.repartition(*by).sortWithinPartitions(*by), threshold), f"{path}/links")
 

@@ -374,9 +374,10 @@ def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(7)
     a = rng.normal(size=(300, 64))
     a /= np.linalg.norm(a, axis=1)[:, None]
-    estimate, margin = embedding_dedup.estimates(a, *embedding_dedup.codes(a, embedding_dedup.TURNS))
-    error = (estimate - a @ a.T)[~np.eye(300, dtype=bool)]
-    assert abs(error.mean()) < 0.002 and (np.abs(error) <= margin.max()).mean() > 0.9999
+    estimate, margin = embedding_dedup.estimates(a, *embedding_dedup.codes(a))
+    apart = ~np.eye(300, dtype=bool)
+    error = estimate - a @ a.T
+    assert abs(error[apart].mean()) < 0.004 and (np.abs(error) <= margin[None, :])[apart].mean() > 0.9999
 
 
 def test_no_vectors(spark):
