@@ -10,8 +10,12 @@ place and length. A lookup is a few hashes, a rank and one comparison, whatever
 
 Files are written under a name of the task's attempt; the manifest, a committed table, names those that count.
 
+A hot id (a third of all rows without one) is cut into ranges by its texts, so shards stay near their size; an id that goes
+on in the next shard goes on counting there.
+
 Defined results: a null text is empty and has its end id only; null ids come first, as keys of their own; rows that share
-an id are numbered in order of text; an empty table gives an empty index; other columns are ignored.
+an id are numbered by the first PREFIX characters of their texts and then by the texts' hash; an empty table gives an empty
+index; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ SHARD_TEXT = 32 << 20
 SEGMENT_KEYS = 1024
 GAMMA = 2
 LEVELS = 32
+#: Characters of a text that order rows of one id, and ranges into which equal rows may be cut.
+PREFIX, SPREAD = 64, 256
 MANIFEST = "doc_id long, occurrence long, shard int, file string, at long, n long"
 
 
@@ -132,7 +138,11 @@ def write(df: DataFrame, path: str, tokenizer: str, vocabulary: int, end: int =
     body = text_column(df, text)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), body.alias("text"))
     total = float(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    sorted_docs = docs.repartitionByRange(parts_for(total, SHARD_TEXT), "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # equal rows are as good in any order, so a count of the scan's may cut them
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, PREFIX), F.xxhash64("text"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))]
+    docs = docs.select("doc_id", "text", *(x.alias(f"by_{i}") for i, x in enumerate(order[1:])))
+    order = [order[0], "by_0", "by_1", "by_2"]
+    sorted_docs = docs.repartitionByRange(parts_for(total, SHARD_TEXT), *order).sortWithinPartitions(*order).select("doc_id", "text")
     width = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +170,8 @@ def write(df: DataFrame, path: str, tokenizer: str, vocabulary: int, end: int =
         if out is not None:
             out.close()
 
-    manifest = stored(sorted_docs.mapInArrow(apply, MANIFEST), f"{path}/manifest")
+    written = stored(sorted_docs.mapInArrow(apply, MANIFEST), f"{path}/written")
+    manifest = stored(counted_on(written), f"{path}/manifest")
     fs, folder = filesystem(path)
     with fs.open_output_stream(f"{folder}/format.json") as file:
         file.write(json.dumps({"bytes": width.itemsize, "segments": (n_segments := parts_for(manifest.count(), SEGMENT_KEYS))}).encode())
@@ -174,6 +185,18 @@ def write(df: DataFrame, path: str, tokenizer: str, vocabulary: int, end: int =
     return manifest
 
 
+def counted_on(written: DataFrame) -> DataFrame:
+    """The manifest with occurrences that go on from shard to shard; only a shard's first and last id can stand in two."""
+    ends = written.groupBy("shard").agg(F.min(F.struct("at", "doc_id")).alias("low"), F.max(F.struct("at", "doc_id")).alias("high"))
+    ends = ends.select("shard", F.explode(F.array_distinct(F.array("low.doc_id", "high.doc_id"))).alias("doc_id"))  # two rows a shard
+    same = F.col("doc_id").eqNullSafe(F.col("other")) & (F.col("shard") == F.col("in_shard"))
+    counts = written.join(ends.select(F.col("shard").alias("in_shard"), F.col("doc_id").alias("other")), same, "left_semi").groupBy("doc_id", "shard").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("doc_id").orderBy("shard")) - F.col("rows")
+    before = counts.select(F.col("doc_id").alias("other"), F.col("shard").alias("in_shard"), before.alias("before")).filter("before > 0")
+    rows = written.join(before, same, "left")
+    return rows.select("doc_id", (F.col("occurrence") + F.coalesce("before", F.lit(0))).alias("occurrence"), "shard", "file", "at", "n")
+
+
 def settings(path: str) -> dict:
     fs, folder = filesystem(path)
     with fs.open_input_stream(f"{folder}/format.json") as file:

@@ -179,6 +179,30 @@ def test_tokens_round_trip(spark, docs, monkeypatch):
     assert sorted((r.doc_id is None, r.doc_id, r.occurrence) for r in token_index.lookup(spark, path, asked).collect()) == [(False, 3, 1), (True, None, 0)]
 
 
+def test_hot_ids_are_cut_into_shards(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_index, "SHARD_TEXT", 2000)
+    rows = [(None, "equal rows without an id")] * 300 + [(None, prose(i, 4)) for i in range(200)] + [(7, prose(i, 5)) for i in range(150)] + [(i, prose(i, 6)) for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = common.shared_dir(spark, "tokens")
+    file = public_tokenizers.path("word_bpe_49k.json")
+    manifest = token_index.write(table, path, file, 49_408)
+    per_shard = [r["count"] for r in manifest.groupBy("shard").count().collect()]
+    assert len(per_shard) > 5 and max(per_shard) < 300
+    keys = sorted((r.doc_id is not None, r.doc_id or 0, r.occurrence) for r in manifest.collect())
+    counts = Counter(i for i, _ in rows)
+    assert keys == sorted((i is not None, i or 0, k) for i, n in counts.items() for k in range(n))
+    got = token_index.read(spark, path, manifest.select("doc_id", "occurrence")).collect()
+    t, at = Tokenizer.from_file(file), 0
+    want = Counter((i, tuple([*t.encode(text, add_special_tokens=False).ids, 2])) for i, text in rows)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id or -1 for r in sorted(got, key=lambda r: r.start)] == sorted(r.doc_id or -1 for r in got)
+
+
 def test_tokens_of_an_empty_table(spark, empty):
     assert token_index.round_trip(empty, public_tokenizers.path("word_bpe_49k.json"), 49_408).count() == 0
 
