@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The layer types that are batch normalization.
+BATCH_NORMS = ("BatchNorm1d", "BatchNorm2d", "BatchNorm3d", "SyncBatchNorm")
 #: The spellings of a flag.
 OFF, ON = ("off", "false", "0"), ("on", "true", "1")
 
@@ -38,6 +40,11 @@ def renamed_key(name: Column) -> Column:
     return F.replace(F.replace(name, F.lit("module."), F.lit("")), F.lit("backbone."), F.lit(""))
 
 
+def is_batchnorm(layer: Column) -> Column:
+    """Whether a layer's type is one of batch normalization."""
+    return layer.isin(*BATCH_NORMS)
+
+
 def decay_group(name: Column, shape: Column) -> Column:
     """Biases and vectors take no weight decay."""
     return F.when(name.endswith(".bias") | (F.size(shape) == 1), "not_regularized").otherwise("regularized")

@@ -25,6 +25,12 @@ def meter(series: DataFrame, order: list[str], value: str, by: list[str], weight
     )
 
 
+def tail(series: DataFrame, order: list[str], by: list[str], size: int = WINDOW) -> DataFrame:
+    """The last `size` rows of each series: tasks keep that many of each before anything is shuffled."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]))
+    return series.withColumn("__place", place).filter(F.col("__place") <= size).drop("__place")
+
+
 def global_average(series: DataFrame, value: str, weight: str, by: list[str]) -> DataFrame:
     return series.groupBy(*by).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("global_avg"))
 
