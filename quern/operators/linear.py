@@ -84,9 +84,10 @@ def clip_gradients(gradients: DataFrame, name: str, values: str, clip: float) ->
     return gradients.withColumn("norm", l2_norm(v)).withColumn("clipped", F.transform(v, lambda x: F.when(share < 1, x * share).otherwise(x)))
 
 
-def adaptive_step(p: Column, g: Column, shape: Column, rate: float, decay: float, eta: float) -> Column:
-    """A layer-wise adaptive step without momentum: only tensors of two dimensions or more decay and take a trust ratio."""
+def adaptive_step(p: Column, g: Column, mu: Column, shape: Column, rate: float, decay: float, eta: float, momentum: float = 0.9) -> Column:
+    """(mu, p) after a layer-wise adaptive step with momentum: only tensors of two dimensions or more decay and take a trust ratio."""
     decayed = F.when(F.size(shape) > 1, F.zip_with(g, p, lambda x, y: x + decay * y)).otherwise(g)
     pn, gn = l2_norm(p), l2_norm(decayed)
     trust = F.when((F.size(shape) > 1) & (pn > 0) & (gn > 0), eta * pn / gn).otherwise(1.0)
-    return F.zip_with(p, decayed, lambda x, y: x - rate * trust * y)
+    moved = F.zip_with(mu, decayed, lambda x, y: momentum * x + trust * y)
+    return F.struct(moved.alias("mu"), F.zip_with(p, moved, lambda x, y: x - rate * y).alias("p"))

@@ -5,7 +5,8 @@ picks a few more candidates than k; those are computed again without cancellatio
 more vectors than these are as near as the k-th within rounding, as copies are, all of them are computed again.
 
 If the blocks together are under BROADCAST_BYTES, which is counted, they are broadcast and nothing is shuffled. Otherwise
-query blocks meet training blocks as rows, and the k best of all blocks are chosen by a partial aggregation.
+query blocks meet training blocks as rows, a task keeps the k best of all the blocks it sees, and those of all tasks are
+merged in two steps, so that no list grows with the table.
 Ties of distance go to the smaller training id, ties of votes to the smaller label.
 
 places() ranks all training vectors of each query, without a limit, and returns the places of those that share its label or id.
@@ -25,6 +26,8 @@ K = 5
 BLOCK_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
 SPARE = 8
+#: Query blocks whose best rows a task holds, and tasks among which a query's candidates are dealt.
+HELD_BLOCKS, SALTS = 64, 64
 #: Vectors whose distances to one query are computed at a time, and pairs of a task, when all are ranked.
 NEAR_ROWS = 1024
 TASK_PAIRS = 1 << 22
@@ -105,16 +108,29 @@ def neighbours(queries: DataFrame, train: DataFrame, query_id: str, train_id: st
         query_blocks = packed(q.select("q", F.lit(0).cast("long").alias("l"), "v")).withColumnsRenamed({"ids": "q_ids", "labels": "q_labels", "vectors": "q_vectors"})
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[bytes, pa.RecordBatch] = {}  # by query block: k rows of each of its queries
             for batch in batches:
                 for i in range(batch.num_rows):
                     q_ids, q_labels, q_vectors, *block = (c[i].as_buffer() for c in batch.columns)
                     ids, _, vectors = unpack(q_ids, q_labels, q_vectors)
-                    yield rows(ids, vectors, [unpack(*block)])
+                    new, key = rows(ids, vectors, [unpack(*block)]), q_ids.to_pybytes()
+                    best[key] = nearer(best[key], new) if key in best else new
+                    if len(best) > HELD_BLOCKS:
+                        yield best.pop(next(iter(best)))
+            yield from best.values()
+
+        def nearer(a: pa.RecordBatch, b: pa.RecordBatch) -> pa.RecordBatch:
+            both = pa.Table.from_batches([a, b]).combine_chunks()
+            order = np.lexsort([np.asarray(both.column(c)) for c in (1, 3, 0)])
+            own = np.asarray(both.column(0))[order]
+            place = np.arange(len(own)) - np.searchsorted(own, own)
+            return both.take(pa.array(order[place < k])).to_batches()[0]
 
         # blocks of a stated query set with blocks of all rows: rows are BLOCK_ROWS vectors each
-        pairs = query_blocks.crossJoin(packed(t))
-        best = pairs.mapInArrow(apply, ddl).groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "t", "l"))), 1, k).alias("best"))
-        found = best.select("q", F.inline("best")).select(*names)
+        found = query_blocks.crossJoin(packed(t)).mapInArrow(apply, ddl)
+        for by in (["q", F.pmod(F.xxhash64("t"), F.lit(SALTS)).alias("salt")], ["q"]):
+            best = found.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "t", "l"))), 1, k).alias("best"))
+            found = best.select("q", F.inline("best")).select(*names)
     return found.select(F.col("q").alias(query_id), F.col("t").alias("train_id"), F.col("l").alias("label"), F.col("d").alias("distance2"))
 
 

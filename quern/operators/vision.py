@@ -6,7 +6,7 @@ Weights are a dict of arrays, seeded or loaded; there are none in the repository
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,6 +56,8 @@ class Shape:
     side: int
     channels: int = 3
     mlp: float = 4.0
+    #: What attention scores are multiplied by; the inverse root of a head's width if none is given.
+    scale: float | None = None
 
     @classmethod
     def named(cls, name: str, patch: int = 16, side: int = 224) -> Shape:
@@ -68,10 +70,18 @@ class Shape:
         return (self.side // self.patch) ** 2 + 1
 
 
+def truncated_normal(rng: np.random.Generator, size: tuple[int, ...], std: float, low: float = -2.0, high: float = 2.0) -> np.ndarray:
+    """Normal draws given that they lie in [low, high]: those outside are drawn again."""
+    out = rng.normal(0, std, size)
+    while (outside := (out < low) | (out > high)).any():
+        out[outside] = rng.normal(0, std, int(outside.sum()))
+    return out
+
+
 def seeded_weights(shape: Shape, seed: int = 31, std: float = 0.02) -> dict[str, np.ndarray]:
-    """Normal weights cut at two deviations, zero biases."""
+    """Truncated normal weights, zero biases."""
     rng = np.random.default_rng(seed)
-    draw = lambda *size: np.clip(rng.normal(0, std, size), -2 * std, 2 * std)
+    draw = lambda *size: truncated_normal(rng, size, std)
     d, hidden = shape.dim, int(shape.dim * shape.mlp)
     w = {"patch.w": draw(shape.patch * shape.patch * shape.channels, d), "patch.b": np.zeros(d), "cls": draw(d), "pos": draw(shape.tokens, d), "norm.scale": np.ones(d), "norm.shift": np.zeros(d)}
     for i in range(shape.depth):
@@ -83,14 +93,21 @@ def seeded_weights(shape: Shape, seed: int = 31, std: float = 0.02) -> dict[str,
     return w
 
 
-def resize_grid(grid: np.ndarray, rows: int, cols: int) -> np.ndarray:
+#: Added to the number of positions when the scale of their interpolation is taken.
+GUARD = 0.1
+
+
+def resize_grid(grid: np.ndarray, rows: int, cols: int, guard: float = 0.0) -> np.ndarray:
     """Bicubic interpolation of a (h, w, d) grid to (rows, cols, d)."""
-    return np.einsum("rh,hwd,cw->rcd", cubic_matrix(grid.shape[0], rows), grid, cubic_matrix(grid.shape[1], cols))
+    return np.einsum("rh,hwd,cw->rcd", cubic_matrix(grid.shape[0], rows, guard=guard), grid, cubic_matrix(grid.shape[1], cols, guard=guard))
+
 
+def cubic_matrix(n: int, m: int, a: float = -0.75, antialias: bool = False, guard: float = 0.0) -> np.ndarray:
+    """(m, n) weights of bicubic resampling with pixel centres at halves; under `antialias` the kernel widens when shrinking.
 
-def cubic_matrix(n: int, m: int, a: float = -0.75, antialias: bool = False) -> np.ndarray:
-    """(m, n) weights of bicubic resampling with pixel centres at halves; under `antialias` the kernel widens when shrinking."""
-    scale = n / m
+    `guard` is added to m where the step from one centre to the next is taken.
+    """
+    scale = n / (m + guard)
     stretch = max(scale, 1.0) if antialias else 1.0
     centre = (np.arange(m) + 0.5) * scale - 0.5
     reach = int(math.ceil(2 * stretch))
@@ -122,7 +139,7 @@ class Transformer:
         if (rows, cols) == (side, side):
             return self.w["pos"]
         grid = self.w["pos"][1:].reshape(side, side, -1)
-        return np.concatenate([self.w["pos"][:1], resize_grid(grid, rows, cols).reshape(rows * cols, -1)])
+        return np.concatenate([self.w["pos"][:1], resize_grid(grid, rows, cols, GUARD).reshape(rows * cols, -1)])
 
     def prepare(self, images: np.ndarray) -> np.ndarray:
         x = self.patches(images)
@@ -134,7 +151,8 @@ class Transformer:
         n, t, d = x.shape
         h = self.shape.heads
         q, k, v = (x @ self.w[f"{i}.qkv.w"] + self.w[f"{i}.qkv.b"]).reshape(n, t, 3, h, d // h).transpose(2, 0, 3, 1, 4)
-        weights = softmax(q @ k.swapaxes(-1, -2) * (d // h) ** -0.5)
+        scale = (d // h) ** -0.5 if self.shape.scale is None else self.shape.scale
+        weights = softmax(q @ k.swapaxes(-1, -2) * scale)
         return (weights @ v).transpose(0, 2, 1, 3).reshape(n, t, d) @ self.w[f"{i}.proj.w"] + self.w[f"{i}.proj.b"], weights
 
     def block(self, x: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,22 +184,37 @@ class Transformer:
             x, _ = self.block(x, i)
         return self.block(x, self.shape.depth - 1)[1]
 
-    def crops(self, images: list[np.ndarray]) -> np.ndarray:
-        """Features of crops of several sizes: each run of equal widths is one forward pass."""
+    def crops(self, images: list[np.ndarray], head: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """Features of crops of several sizes: each run of equal widths is one forward pass; a head sees all of them at once."""
         out, at = [], 0
         for i in range(1, len(images) + 1):
             if i == len(images) or images[i].shape[-1] != images[at].shape[-1]:
                 out.append(self.features(np.concatenate(images[at:i])))
                 at = i
-        return np.concatenate(out)
+        features = np.concatenate(out)
+        return head(features) if head else features
+
+
+@dataclass(frozen=True)
+class BatchNorm:
+    """Batch normalization as it is in use: by the running mean and variance."""
+
+    mean: np.ndarray
+    variance: np.ndarray
+    scale: np.ndarray
+    shift: np.ndarray
+    eps: float = 1e-5
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / np.sqrt(self.variance + self.eps) * self.scale + self.shift
 
 
-def projection_head(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], last: np.ndarray) -> np.ndarray:
-    """A multi-layer perceptron, unit vectors, and a linear layer whose rows are unit vectors."""
+def projection_head(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], last: np.ndarray, norms: list[BatchNorm] | None = None) -> np.ndarray:
+    """A multi-layer perceptron, unit vectors, and a linear layer whose rows are unit vectors; `norms` stand before the activations."""
     for i, (w, b) in enumerate(layers):
         x = x @ w + b
         if i < len(layers) - 1:
-            x = gelu(x)
+            x = gelu(norms[i](x) if norms else x)
     x = x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
     return x @ (last / np.linalg.norm(last, axis=-1, keepdims=True)).T
 

@@ -325,8 +325,9 @@ def f2_truncated_normal(spark, d):
 def f5_adaptive_step(spark, d):
     v = vectors.doubles("embedding")
     shape = F.when(F.col("vec_id") % 2 == 0, F.array(F.lit(8), F.lit(8))).otherwise(F.array(F.lit(64)))
-    step = linear.adaptive_step(v, F.transform(v, lambda x: x * x), shape, 0.1, 0.01, 0.001)
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode(step).alias("pos", "v")).select("vec_id", "pos", rounded(F.col("v"), 9).alias("v"))
+    step = linear.adaptive_step(v, F.transform(v, lambda x: x * x), F.transform(v, lambda x: x / 10), shape, 0.1, 0.01, 0.001)
+    rows = table(spark, d, "embeddings").select("vec_id", step.alias("step")).select("vec_id", F.posexplode(F.arrays_zip("step.mu", "step.p")).alias("pos", "v"))
+    return rows.select("vec_id", "pos", rounded(F.col("v.mu"), 9).alias("mu"), rounded(F.col("v.p"), 9).alias("v"))
 
 
 # --- the model
@@ -441,7 +442,7 @@ ORACLES = {
     "f5_adaptive_step": f"""
         WITH {E}, g AS (SELECT vec_id, v, CASE WHEN vec_id % 2 = 0 THEN list_transform(v, lambda x: x * x + 0.01 * x) ELSE list_transform(v, lambda x: x * x) END AS g FROM e),
         t AS (SELECT *, CASE WHEN vec_id % 2 = 0 THEN 0.001 * sqrt(list_sum(list_transform(v, lambda x: x * x))) / sqrt(list_sum(list_transform(g, lambda x: x * x))) ELSE 1 END AS trust FROM g)
-        SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(v[pos + 1] - 0.1 * trust * g[pos + 1], 9) + 0.0 AS v FROM t, (SELECT unnest(range(0, 64)) AS pos)
+        SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(0.09 * v[pos + 1] + trust * g[pos + 1], 9) + 0.0 AS mu, round(v[pos + 1] - 0.1 * (0.09 * v[pos + 1] + trust * g[pos + 1]), 9) + 0.0 AS v FROM t, (SELECT unnest(range(0, 64)) AS pos)
     """,
     "m16_multi_scale": f"""
         WITH {E}, f AS (SELECT vec_id, list_transform(v, lambda x: (x + x / sqrt(2.0) + x / 2) / 3) AS v FROM e), n AS (SELECT sqrt(sum(list_sum(list_transform(v, lambda x: x * x)))) AS n FROM f)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import neighbours, vision
+from quern.session import shared_dir, stored
 from quern.sources import checkpoints, images
 
 
@@ -23,14 +24,18 @@ def embeddings(spark: SparkSession, directory: str, model: vision.Transformer, s
 
 
 def predictions(spark: SparkSession, directory: str, model: vision.Transformer, train: DataFrame, side: int = images.RESIZE) -> DataFrame:
-    """(file_name, prediction, decode_ok)."""
-    rows = embeddings(spark, directory, model, side).withColumn("row", F.xxhash64("file_name"))
+    """(file_name, prediction, decode_ok). The model sees every tile once: embeddings are stored, as the classifier and the result read them."""
+    rows = embeddings(spark, directory, model, side).withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows, f"{shared_dir(spark, 'tiles')}/embeddings")
     votes = neighbours.classify(rows.select("row", "embedding"), train, "row", "train_id", "embedding", "label")
     return rows.select("row", "file_name", "decode_ok").join(votes, "row").select("file_name", "prediction", "decode_ok")
 
 
 def predictions_by_country(spark: SparkSession, directories: dict[str, str], model: vision.Transformer, train: DataFrame, side: int = images.RESIZE) -> tuple[DataFrame | None, dict[str, str]]:
-    """(country, file_name, prediction, decode_ok) of all countries, and the countries that could not be read with the reason."""
+    """(country, file_name, prediction, decode_ok) of all countries, and the countries that failed with the reason.
+
+    A country's tiles are embedded before the next one's, so a failure at run time is that country's own.
+    """
     out, failed = None, {}
     for country, directory in directories.items():
         try:

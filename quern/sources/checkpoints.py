@@ -2,31 +2,61 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.vision import Shape, Transformer, seeded_weights
+from quern.sources import tensors
 
 #: What wrappers put before or into tensor names.
 WRAPPERS = ("module.", "backbone.")
+#: A published model's names of tensors and layers, and those of Transformer.
+NAMES = {"cls_token": "cls", "pos_embed": "pos", "norm": "norm", "norm1": "n1", "norm2": "n2", "attn.qkv": "qkv", "attn.proj": "proj", "mlp.fc1": "fc1", "mlp.fc2": "fc2"}
+
+
+def short_name(name: str) -> str:
+    for wrapper in WRAPPERS:
+        name = name.replace(wrapper, "")
+    return name
 
 
 def read_weights(path: str, key: str | None = None) -> dict[str, np.ndarray]:
-    """Arrays of an .npz file by name, without wrappers' prefixes; `key` picks the names under key/, if there are any.
+    """Arrays by name, without wrappers' prefixes, of a tensor archive or an .npz file.
 
-    A missing file is an error: there is no fallback to other or random weights.
+    `key` picks the part of that name, if there is one: names under key/ in an .npz file. A missing file is an error: there is
+    no fallback to other or random weights.
     """
+    if tensors.is_archive(path):
+        tree = tensors.read_archive(path)
+        tree = tree[key] if key in tree else tree
+        return {short_name(n): x for n, x in tree.items() if isinstance(x, np.ndarray)}
     with np.load(path) as file:
-        names = list(file.files)
-        nested = [n for n in names if key and n.startswith(f"{key}/")]
-        weights = {}
-        for name in nested or names:
-            short = name.removeprefix(f"{key}/") if nested else name
-            for wrapper in WRAPPERS:
-                short = short.replace(wrapper, "")
-            weights[short] = file[name]
-    return weights
+        nested = [n for n in file.files if key and n.startswith(f"{key}/")]
+        return {short_name(n.removeprefix(f"{key}/") if nested else n): file[n] for n in nested or file.files}
+
+
+def own_names(weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A vision transformer's tensors under the names and in the layout of Transformer; any others as they are."""
+    out = {}
+    for name, x in weights.items():
+        parts = name.split(".")
+        if name in ("cls_token", "pos_embed"):
+            out[NAMES[name]] = x.reshape(-1) if name == "cls_token" else x.reshape(x.shape[-2:])
+        elif name.startswith("patch_embed.proj."):
+            out["patch.w" if parts[-1] == "weight" else "patch.b"] = x.reshape(len(x), -1).T if parts[-1] == "weight" else x
+        elif parts[0] in ("blocks", "norm") and ".".join(parts[2:-1] or parts[:1]) in NAMES:
+            layer, prefix = NAMES[".".join(parts[2:-1] or parts[:1])], f"{parts[1]}." if parts[0] == "blocks" else ""
+            if "norm" in name:
+                out[f"{prefix}{layer}.{'scale' if parts[-1] == 'weight' else 'shift'}"] = x
+            else:
+                out[f"{prefix}{layer}.{parts[-1][0]}"] = x.T if parts[-1] == "weight" else x
+        else:
+            out[name] = x
+    return out
 
 
 def compare(weights: dict[str, np.ndarray], shape: Shape) -> tuple[list[str], list[str]]:
@@ -39,7 +69,7 @@ def compare(weights: dict[str, np.ndarray], shape: Shape) -> tuple[list[str], li
 def load_model(path: str, name: str = "vit_base", patch: int = 16, key: str = "teacher", side: int = 224) -> Transformer:
     """A named model with the file's weights; an unknown name or a missing weight is an error."""
     shape = Shape.named(name, patch, side)
-    weights = read_weights(path, key)
+    weights = own_names(read_weights(path, key))
     missing, _ = compare(weights, shape)
     if missing:
         raise KeyError(f"the weight file lacks {missing[:5]}")
@@ -48,14 +78,28 @@ def load_model(path: str, name: str = "vit_base", patch: int = 16, key: str = "t
 
 def load_linear(path: str, name: str = "linear") -> tuple[np.ndarray, np.ndarray]:
     """(weights, bias) of a linear classifier; any other content is an error."""
-    weights = read_weights(path)
+    weights = read_weights(path, "state_dict")
+    if set(weights) == {f"{name}.weight", f"{name}.bias"}:
+        return weights[f"{name}.weight"].T, weights[f"{name}.bias"]
     if set(weights) != {f"{name}.w", f"{name}.b"}:
         raise KeyError(f"expected {name}.w and {name}.b, found {sorted(weights)}")
     return weights[f"{name}.w"], weights[f"{name}.b"]
 
 
 def training_table(spark: SparkSession, path: str, vector: str = "embedding", label: str = "label") -> DataFrame:
-    """(train_id, embedding, label) of a Parquet table that has these columns; a missing one is an error."""
+    """(train_id, embedding, label) of a Parquet table that has these columns, or of a tensor archive of features and labels.
+
+    A missing column or tensor is an error. Rows of an archive are numbered.
+    """
+    if os.path.isfile(path) and tensors.is_archive(path):
+        tree = tensors.read_archive(path)
+        if missing := {"train_features", "train_labels"} - set(tree):
+            raise KeyError(f"the training file lacks {sorted(missing)}")
+        x, labels = np.asarray(tree["train_features"], np.float32), np.asarray(tree["train_labels"]).ravel().astype(np.int64)
+        if x.ndim != 2 or len(x) != len(labels):
+            raise ValueError(f"{x.shape} features for {len(labels)} labels")
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+        return spark.createDataFrame(pa.table({"train_id": pa.array(np.arange(len(x))), "embedding": lists, "label": pa.array(labels)}))
     rows = spark.read.parquet(path)
     if missing := {"train_id", vector, label} - set(rows.columns):
         raise KeyError(f"the training table lacks {sorted(missing)}")

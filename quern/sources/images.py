@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,11 @@ def tiles(spark: SparkSession, directory: str) -> DataFrame:
 def decoded(spark: SparkSession, directory: str) -> DataFrame:
     """(file_name, decode_ok, height, width, pixels): RGB bytes row by row; an unreadable file is a black 224 x 224 image.
 
-    Decoding is the JVM's; the name comes from the undecoded path, as the decoder's own is percent-encoded.
+    Files are read once, by the JVM's decoder, which gives a row for what it cannot read, and percent-encodes the path.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][iI][fF]").load(directory).select("path", basename(F.col("path")).alias("file_name"))
     images = spark.read.format("image").option("pathGlobFilter", "*.[tT][iI][fF]").load(directory).select("image.*")
-    images = images.withColumn("file_name", basename(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))))
-    rows = files.join(images, "file_name", "left").select("file_name", "height", "width", "nChannels", "mode", "data")
+    name = basename(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B"))))
+    rows = images.select(name.alias("file_name"), "height", "width", "nChannels", "mode", "data")
     schema = "file_name string, decode_ok boolean, height int, width int, pixels binary"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +126,18 @@ def write_by_country(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").partitionBy("country").parquet(path)
 
 
-def read_worker_results(spark: SparkSession, paths: list[str], label: str = "long") -> DataFrame:
-    """Workers' CSV files as one table with fixed types; a missing file is an error."""
-    return spark.read.schema(f"file_name string, prediction {label}").option("header", True).csv(paths)
+def read_worker_results(spark: SparkSession, paths: list[str], label: str = "long", skip_missing: bool = False) -> DataFrame:
+    """Workers' CSV files as one table with fixed types; a missing file is an error, or, under skip_missing, a warning."""
+    schema = f"file_name string, prediction {label}"
+    if skip_missing:
+        hadoop, there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, []
+        for path in paths:
+            place = hadoop(path)
+            if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+                there.append(path)
+            else:
+                warnings.warn(f"no results at {path}", stacklevel=2)
+        if not there:
+            return spark.createDataFrame([], schema)
+        paths = there
+    return spark.read.schema(schema).option("header", True).csv(paths)

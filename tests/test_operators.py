@@ -233,3 +233,60 @@ def test_static_ranges_go_by_place_where_keys_have_gaps(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys[::-1]], "o_orderkey long").repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
     got = dict(catalog.w7_static_ranges(spark, str(tmp_path)).collect())
     assert got == {k: i // 10 for i, k in enumerate(keys)}
+
+
+def test_interpolated_positions_take_the_guarded_scale():
+    grid = np.random.default_rng(0).normal(size=(4, 4, 2))
+    got = vision.resize_grid(grid, 6, 5, vision.GUARD)
+
+    def cubic(x, a=-0.75):
+        x = abs(x)
+        return (a + 2) * x**3 - (a + 3) * x**2 + 1 if x <= 1 else a * x**3 - 5 * a * x**2 + 8 * a * x - 4 * a if x < 2 else 0.0
+
+    def sample(values, at):
+        low = int(np.floor(at))
+        return sum(cubic(at - k) * values[min(max(k, 0), len(values) - 1)] for k in range(low - 1, low + 3))
+
+    for i in range(6):
+        for j in range(5):
+            y, x = (i + 0.5) * 4 / 6.1 - 0.5, (j + 0.5) * 4 / 5.1 - 0.5
+            assert np.allclose(got[i, j], sample([sample(list(row), x) for row in grid], y))
+    shape = vision.Shape(8, 1, 2, 4, 16)
+    net = vision.Transformer(shape, vision.seeded_weights(shape))
+    assert np.allclose(net.positions(6, 5)[1:], vision.resize_grid(net.w["pos"][1:].reshape(4, 4, 8), 6, 5, 0.1).reshape(30, 8))
+
+
+def test_heads_and_scales():
+    rng = np.random.default_rng(1)
+    x, layers, last = rng.normal(size=(3, 4)), [(rng.normal(size=(4, 5)), rng.normal(size=5)), (rng.normal(size=(5, 2)), rng.normal(size=2))], rng.normal(size=(6, 2))
+    norm = vision.BatchNorm(rng.normal(size=5), rng.random(5) + 0.5, rng.normal(size=5), rng.normal(size=5))
+    hidden = vision.gelu((x @ layers[0][0] + layers[0][1] - norm.mean) / np.sqrt(norm.variance + 1e-5) * norm.scale + norm.shift) @ layers[1][0] + layers[1][1]
+    want = hidden / np.linalg.norm(hidden, axis=1)[:, None] @ (last / np.linalg.norm(last, axis=1)[:, None]).T
+    assert np.allclose(vision.projection_head(x, layers, last, [norm]), want)
+    shape = vision.Shape(8, 1, 2, 4, 16)
+    net = vision.Transformer(shape, vision.seeded_weights(shape))
+    crops = [rng.normal(size=(2, 3, 16, 16)), rng.normal(size=(2, 3, 8, 8))]
+    assert np.allclose(net.crops(crops, lambda f: f * 2), net.crops(crops) * 2)
+    same = vision.Transformer(vision.Shape(8, 1, 2, 4, 16, scale=0.5), net.w)  # a head is four wide
+    assert np.allclose(same.features(crops[0]), net.features(crops[0]))
+    other = vision.Transformer(vision.Shape(8, 1, 2, 4, 16, scale=0.0), net.w)
+    assert np.allclose(other.last_attention(crops[0]), 1 / 17)
+
+
+def test_truncated_weights():
+    draws = vision.truncated_normal(np.random.default_rng(2), (20_000,), 1.5, -2, 2)
+    assert np.abs(draws).max() <= 2 and (np.abs(draws) > 1.99).mean() < 0.01  # nothing gathers at the ends
+    inside = np.random.default_rng(3).normal(0, 1.5, 200_000)
+    assert abs(draws.std() - inside[np.abs(inside) <= 2].std()) < 0.02
+
+
+def test_steps_with_momentum(spark):
+    from quern.operators import linear
+
+    rows = spark.createDataFrame([(1, [3.0, 4.0], [0.0, 1.0], [1.0, 2.0])], "id int, p array<double>, g array<double>, mu array<double>")
+    got = rows.select(linear.adaptive_step(F.col("p"), F.col("g"), F.col("mu"), F.array(F.lit(1), F.lit(2)), 0.1, 0.5, 0.01).alias("s")).first().s
+    decayed = np.array([1.5, 3.0])
+    mu = 0.9 * np.array([1.0, 2.0]) + 0.01 * 5 / np.linalg.norm(decayed) * decayed
+    assert np.allclose(got.mu, mu) and np.allclose(got.p, np.array([3.0, 4.0]) - 0.1 * mu)
+    flat = rows.select(linear.adaptive_step(F.col("p"), F.col("g"), F.col("mu"), F.array(F.lit(2)), 0.1, 0.5, 0.01).alias("s")).first().s
+    assert np.allclose(flat.mu, [0.9, 2.8])

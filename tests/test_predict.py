@@ -86,3 +86,108 @@ def test_windowed_metrics(spark, tmp_path):
     query = streaming.windowed_metrics(stream, "ts", "name", "value").writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r.n, r.total, r.average) for r in spark.table("windowed").collect()) == [(1, 5.0, 5.0), (2, 7.0, 3.5), (3, 3.0, 1.0)]
+
+
+class Storage:
+    """What a test's archive refers to as a storage."""
+
+    def __init__(self, kind, key, n):
+        self.kind, self.key, self.n = kind, key, n
+
+
+def archive(path, tree):
+    """A tensor archive as it is found in the wild, written without the library that usually does."""
+    import io
+    import pickle
+    import sys
+    import types
+    import zipfile
+    from collections import OrderedDict
+
+    kinds = {"f4": "FloatStorage", "f8": "DoubleStorage", "i8": "LongStorage"}
+    module, utils, args = types.ModuleType("torch"), types.ModuleType("torch._utils"), types.ModuleType("run")
+    for name in kinds.values():
+        setattr(module, name, type(name, (), {"__module__": "torch"}))
+
+    def rebuild(*a):
+        return a
+
+    rebuild.__module__, rebuild.__qualname__, rebuild.__name__ = "torch._utils", "_rebuild_tensor_v2", "_rebuild_tensor_v2"
+    utils._rebuild_tensor_v2 = rebuild
+    args.Options = type("Options", (), {"__module__": "run"})
+    held = []
+
+    class Tensor:
+        def __init__(self, x):
+            self.x = x
+
+        def __reduce__(self):
+            held.append(np.ascontiguousarray(self.x).ravel())
+            steps = [s // self.x.itemsize for s in np.ascontiguousarray(self.x).strides]
+            return rebuild, (Storage(kinds[self.x.dtype.str[1:]], str(len(held) - 1), self.x.size), 0, self.x.shape, tuple(steps), False, OrderedDict())
+
+    class Writer(pickle.Pickler):
+        def persistent_id(self, x):
+            return ("storage", getattr(module, x.kind), x.key, "cpu", x.n) if isinstance(x, Storage) else None
+
+    def wrapped(x):
+        return OrderedDict((k, wrapped(v)) for k, v in x.items()) if isinstance(x, dict) else Tensor(x) if isinstance(x, np.ndarray) else x
+
+    with pytest.MonkeyPatch.context() as patch:
+        for name, m in (("torch", module), ("torch._utils", utils), ("run", args)):
+            patch.setitem(sys.modules, name, m)
+        out = io.BytesIO()
+        Writer(out, 2).dump({**wrapped(tree), "args": args.Options()})
+    with zipfile.ZipFile(path, "w") as file:
+        file.writestr("weights/data.pkl", out.getvalue())
+        file.writestr("weights/byteorder", "little")
+        for i, x in enumerate(held):
+            file.writestr(f"weights/data/{i}", x.tobytes())
+
+
+def test_tensor_archives(spark, tmp_path, model):
+    w = {k: np.asarray(x, np.float32) for k, x in vision.seeded_weights(SHAPE).items()}
+    p, d = SHAPE.patch, SHAPE.dim
+    named = {"cls_token": w["cls"].reshape(1, 1, d), "pos_embed": w["pos"][None], "patch_embed.proj.weight": w["patch.w"].T.reshape(d, 3, p, p), "patch_embed.proj.bias": w["patch.b"], "norm.weight": w["norm.scale"], "norm.bias": w["norm.shift"]}
+    for theirs, ours in (("norm1", "n1"), ("norm2", "n2")):
+        named |= {f"blocks.0.{theirs}.weight": w[f"0.{ours}.scale"], f"blocks.0.{theirs}.bias": w[f"0.{ours}.shift"]}
+    for theirs, ours in (("attn.qkv", "qkv"), ("attn.proj", "proj"), ("mlp.fc1", "fc1"), ("mlp.fc2", "fc2")):
+        named |= {f"blocks.0.{theirs}.weight": w[f"0.{ours}.w"].T, f"blocks.0.{theirs}.bias": w[f"0.{ours}.b"]}
+    archive(tmp_path / "model.pth", {"teacher": {f"module.backbone.{k}": x for k, x in named.items()}, "epoch": 3})
+    got = checkpoints.own_names(checkpoints.read_weights(str(tmp_path / "model.pth"), "teacher"))
+    assert checkpoints.compare(got, SHAPE) == ([], [])
+    x = np.random.default_rng(0).normal(size=(2, 3, 16, 16))
+    assert np.allclose(vision.Transformer(SHAPE, got).features(x), vision.Transformer(SHAPE, w).features(x))
+    features = np.arange(12, dtype=np.float32).reshape(4, 3)
+    archive(tmp_path / "knn.pth", {"train_features": features, "train_labels": np.array([1, 0, 1, 2])})
+    rows = sorted(checkpoints.training_table(spark, str(tmp_path / "knn.pth")).collect())
+    assert [(r.train_id, list(r.embedding), r.label) for r in rows] == [(i, features[i].tolist(), [1, 0, 1, 2][i]) for i in range(4)]
+    archive(tmp_path / "none.pth", {"train_labels": np.array([1])})
+    with pytest.raises(KeyError, match="train_features"):
+        checkpoints.training_table(spark, str(tmp_path / "none.pth"))
+
+
+def test_a_tensor_stays_in_its_storage():
+    from quern.sources import tensors
+
+    assert tensors.strided(np.arange(6), 1, (2, 2), (1, 2)).tolist() == [[1, 3], [2, 4]]
+    for offset, size, stride in ((5, (2,), (1,)), (0, (2, 4), (4, 1)), (0, (2,), (-1,))):
+        with pytest.raises(ValueError, match="beyond"):
+            tensors.strided(np.arange(6), offset, size, stride)
+
+
+def test_tiles_are_embedded_once(spark, folders, model, train):
+    plan = predict.predictions(spark, folders["Mali"], model, train, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "FileScan image" not in plan and "FileScan binaryFile" not in plan
+
+
+def test_a_failure_at_run_time_is_a_country_s_own(spark, folders, model, train, monkeypatch):
+    real = predict.embeddings
+
+    def failing(spark, directory, model, side):
+        rows = real(spark, directory, model, side)
+        return rows.withColumn("file_name", F.expr("CAST(raise_error('unreadable') AS STRING)")) if directory.endswith("Mali") else rows
+
+    monkeypatch.setattr(predict, "embeddings", failing)
+    got, failed = predict.predictions_by_country(spark, folders, model, train, side=8)
+    assert sorted(failed) == ["Empty", "Mali"] and {r.country for r in got.collect()} == {"Côte d'Ivoire"}

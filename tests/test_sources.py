@@ -83,3 +83,15 @@ def test_results_round_trip(spark, tmp_path):
     images.write_by_country(rows.withColumn("country", F.lit("Côte d'Ivoire")), str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "c")).filter("country = \"Côte d'Ivoire\"").count() == 2
     assert countries.countries(spark, "/r").filter("country = 'Mali'").first().directory == "/r/Mali" and len(set(countries.COUNTRIES)) == 51
+
+
+def test_missing_worker_results(spark, tmp_path):
+    rows = spark.createDataFrame([("a.tif", 1)], "file_name string, prediction long")
+    images.write_results(rows, str(tmp_path / "w0"))
+    paths = [str(tmp_path / "w0"), str(tmp_path / "w1")]
+    with pytest.warns(UserWarning, match="w1"):
+        assert images.read_worker_results(spark, paths, skip_missing=True).count() == 1
+    with pytest.warns(UserWarning, match="w1"):
+        assert images.read_worker_results(spark, paths[1:], skip_missing=True).count() == 0
+    with pytest.raises(Exception, match="w1"):
+        images.read_worker_results(spark, paths).count()
