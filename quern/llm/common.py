@@ -1,12 +1,9 @@
-"""What the operators share: the shared folder, tables written there, and batches of bounded size."""
+"""What the operators share: batches of bounded size, block rows, tables of members."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,32 +13,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import shared_dir, stored  # noqa: F401 for the operators
+
 #: Bytes of text that an operator turns into arrays at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 250_000
-#: The local folder of each application whose settings name no shared one.
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir; a local one only in local mode, where that is unset.
-
-    It is a full address, so that Spark and the files that tasks write themselves mean the same place.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(context.applicationId)
-    if not base:
-        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", context.master):
-            raise ValueError(f"spark.checkpoint.dir is unset: on {context.master}, driver and executors need a folder that they share")
-        base = _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quern-")
-    path = context._jvm.org.apache.hadoop.fs.Path(base)
-    whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return f"{re.sub('^file:/+', 'file:///', whole).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """df written to path as Parquet and read again: lineage ends there, and lost executors cost no rework before it."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -48,15 +48,9 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 
 def apart(spans: list[Span], taken: list[Span]) -> list[Span]:
-    """The spans that overlap none of `taken`."""
-    return [s for s in spans if not any(s[0] < e and b < s[1] for b, e in taken)] if taken else spans
-
-
-def near(part: Span, others: list[Span], scope: int) -> list[Span]:
-    """Interval join of one part: the others within its scope. `others` is sorted and free of overlaps."""
-    lo = bisect_right([e for _, e in others], part[0] - scope) if others else 0
-    hi = bisect_left([s for s, _ in others], part[1] + scope) if others else 0
-    return others[lo:hi]
+    """The spans that overlap none of `taken`, which are sorted and free of overlaps."""
+    starts, ends = [s for s, _ in taken], [e for _, e in taken]
+    return [(s, e) for s, e in spans if bisect_right(ends, s) >= bisect_left(starts, e)]
 
 
 def joined(parts: list[Span], others: list[Span], scope: int) -> list[bool]:

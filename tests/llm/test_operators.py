@@ -508,9 +508,9 @@ def brute_winnow(rows, items):
 def test_benchmark_windows_are_found(spark, docs, empty, monkeypatch, limit):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
     passage = prose(3, 60).split()
-    items = [(1, " ".join(passage[5:30]).upper()), (2, "one, two"), (10, "Two"), (3, None), (4, ""), (5, "never to be found in any of the texts at all ever"), (6, " ".join(passage[20:30])), (6, " ".join(passage[20:30])), (7, "ünïcode"), (None, "alpha")]
+    items = [(1, " ".join(passage[5:30]).upper()), (2, "one, two"), (10, "Two"), (3, None), (4, ""), (5, "never to be found in any of the texts at all ever"), (6, " ".join(passage[20:30])), (6, " ".join(passage[20:30])), (7, "ünïcode"), (8, "nul\0between `them` [x]_{y}~z A9z"), (None, "alpha")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(80, "a one TWO b; two " + " ".join(passage[19:31])), (81, "alpha")], "doc_id long, text string"))
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(80, "a one TWO b; two " + " ".join(passage[19:31])), (81, "alpha"), (82, "a nul between them X Y\x7fZ:a9Z; \0")], "doc_id long, text string"))
     names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert tuples(decontaminate.contamination(more, benchmark), *names) == brute_winnow(source(more), items)
     assert decontaminate.contamination(empty, benchmark).count() == 0
