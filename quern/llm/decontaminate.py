@@ -18,6 +18,8 @@ empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,46 +27,55 @@ from quern.llm.common import shared_dir, stored, text_column
 
 WINDOW, GRAM = 10, 5
 BROADCAST_ROWS = 1 << 20
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The ASCII characters that are neither letters nor digits stand between words.
+BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def words_of(text: Column) -> Column:
-    """The words; only A to Z are lower-cased, which for texts of ASCII is what lower() does."""
-    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    """The words; only A to Z are lower-cased."""
+    return F.array_remove(F.split(F.translate(text, UPPER + BETWEEN, LOWER + " " * len(BETWEEN)), " "), "")
 
 
 def gram_size(length: int) -> int:
     return min(GRAM, length)
 
 
-def gram_at(k: int):
-    return lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(k)])
-
-
 def spanned(n: int):
     """A window's place and fingerprint with its words."""
     return lambda m: F.struct(m["at"].alias("at"), F.lit(n).alias("length"), m["fingerprint"].alias("fingerprint"), F.array_join(F.slice("words", m["at"] + 1, F.lit(n)), " ").alias("span"))
 
 
+def reached(df: DataFrame, base: str, k: int, join: Callable[[Column, Column], Column]) -> DataFrame:
+    """Adds the column base_k: at each place, `join` over the k values of `base` from there; its last k - 1 places mean nothing.
+
+    Values over 2, 4, 8 places come from two of half as many, so that a place costs as many steps as k has binary digits.
+    """
+    if k == 1 or f"{base}_{k}" in df.columns:
+        return df if k > 1 else df.withColumn(f"{base}_1", F.col(base))
+    left = 1 << (k - 1).bit_length() - 1
+    df = reached(reached(df, base, left, join), base, k - left, join)
+    shifted = F.slice(f"{base}_{k - left}", left + 1, F.size(base))
+    return df.withColumn(f"{base}_{k}", F.zip_with(f"{base}_{left}", shifted, join))
+
+
 def with_grams(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """Adds h, the words' hashes, and g1 .. g5, the gram hashes, as far as the lengths of windows need them."""
+    """Adds h, the words' hashes, and, as far as the lengths of windows need them, g1 .. g5, the gram hashes, and their minima."""
     df = df.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    for k in sorted({gram_size(n) for n in lengths}):
-        many = F.size("h") - k
-        grams = F.transform(F.sequence(F.lit(0), many), gram_at(k))
-        df = df.withColumn(f"g{k}", F.when(many >= 0, grams).otherwise(F.array().cast("array<bigint>")))
+    for n in lengths:
+        k = gram_size(n)
+        if f"g{k}" not in df.columns:
+            df = reached(df, "h", k, lambda x, y: F.xxhash64(x, y))
+            df = df.withColumn(f"g{k}", F.slice(f"h_{k}", 1, F.greatest(F.size("h") - (k - 1), F.lit(0))))
+        df = reached(df, f"g{k}", n - k + 1, lambda x, y: F.least(x, y))
     return df
 
 
 def fingerprints(length: int) -> Column:
     """The fingerprint of every window of `length` words, in order; none if there are fewer words."""
     k = gram_size(length)
-    many = F.size("h") - length
-    least = lambda i: F.least(*[F.get(f"g{k}", i + j) for j in range(length - k + 1)]) if length > k else F.get(f"g{k}", i)
-    marked = lambda i: least(i) if length == WINDOW else F.xxhash64(least(i), F.lit(length))
-    return F.when(many >= 0, F.transform(F.sequence(F.lit(0), many), marked)).otherwise(F.array().cast("array<bigint>"))
+    least = F.slice(f"g{k}_{length - k + 1}", 1, F.greatest(F.size("h") - (length - 1), F.lit(0)))
+    return least if length == WINDOW else F.transform(least, lambda x: F.xxhash64(x, F.lit(length)))
 
 
 def windows(df: DataFrame, lengths: list[int], keep: list[str], of_length: Column | None = None) -> DataFrame:
