@@ -1,7 +1,8 @@
 """Near-duplicate documents by the Jaccard similarity of their word n-gram sets: a prefix-filtered similarity join.
 
 1. One pass counts every n-gram into a table of fixed size (a cell per hash), and gives each document the digest of its
-   set (128 bits). Documents with equal sets are one class, a node; only classes are joined.
+   set (128 bits). Documents with equal sets are one class, a node; only classes are joined. A node's name is one half of its
+   digest; where two classes have that half in common, which the other half tells, one is named anew.
 2. A second pass orders each class's n-grams rare first (by the count of their cell, then by hash) and deals the prefix
    that any sufficiently similar set must meet to parts by hash.
 3. In each part, classes that share a prefix n-gram are candidates, under the length and positional filters. First each
@@ -50,9 +51,7 @@ PART_BYTES = 24 << 20
 STAR_SALTS = 64
 #: Classes of a block of a group.
 BLOCK_CLASSES = 512
-#: A node is the digest of its set, in two halves; `binary` puts them together.
-NODE = ("hi", "lo")
-PREFIX = np.dtype([("hash", "<u8"), ("hi", "<u8"), ("lo", "<u8"), ("size", "<i4"), ("pos", "<i4")])
+PREFIX = np.dtype([("hash", "<u8"), ("node", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 
 
 def sets(chunk: pa.RecordBatch, column: str, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -80,22 +79,48 @@ def sets(chunk: pa.RecordBatch, column: str, n: int = WORDS) -> tuple[np.ndarray
 def set_digests(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Two halves of a digest of each set, whatever the order of its members; 0 for the empty one."""
     size = np.diff(first)
-    out = np.empty((len(size), 2), H.U)
+    out = np.empty((len(size), 2), np.int64)
     for i, seed in enumerate((0x5DEECE66D, 0xB5297A4D3F84D5B5)):
         sums = np.concatenate([np.zeros(1, H.U), np.cumsum(H.mix(hashes ^ H.U(seed)), dtype=H.U)])
-        out[:, i] = np.where(size > 0, H.mix((sums[first[1:]] - sums[first[:-1]]) ^ size.astype(H.U)), 0)
+        out[:, i] = np.where(size > 0, H.mix((sums[first[1:]] - sums[first[:-1]]) ^ size.astype(H.U)).view(np.int64), 0)
     return out
 
 
-def binary(halves: np.ndarray) -> pa.Array:
-    """Rows of two halves as values of 16 bytes."""
-    raw = np.ascontiguousarray(halves, ">u8").tobytes()
-    offsets = np.arange(0, len(raw) + 1, 16, dtype=np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(halves), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
+Twins = dict[tuple[int, int], int]
 
 
-def halves(rows: np.ndarray) -> np.ndarray:
-    return np.stack([rows["hi"], rows["lo"]], 1) if len(rows) else np.zeros((0, 2), H.U)
+def named(digests: np.ndarray, twins: Twins) -> np.ndarray:
+    """The nodes of sets: the first half of their digests, but for twins."""
+    out = digests[:, 0].copy()
+    if twins:
+        for i in np.flatnonzero(np.isin(out, [a for a, _ in twins])).tolist():
+            out[i] = twins.get((int(digests[i, 0]), int(digests[i, 1])), out[i])
+    return out
+
+
+def twins_of(rows: DataFrame) -> Twins:
+    """New names for classes whose first half another class has as well, all but one of each: by chance, some of 10**10 classes."""
+    twins: Twins = {}
+    several = rows.filter("size > 0").groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).filter("low < high").select("node")
+    found = rows.join(several, "node").select("node", "other").distinct().orderBy("node", "other").collect()
+    taken = {r.node for r in found}
+    for (a, b), before in zip(found, [None, *found], strict=False):
+        if before is None or before[0] != a:
+            continue
+        name = b
+        while name in taken or name == 0 or not rows.filter(F.col("node") == name).isEmpty():
+            name = int(H.mix(np.array([name], np.int64).view(np.uint64)).view(np.int64)[0])
+        taken.add(name)
+        twins[a, b] = name
+    return twins
+
+
+def renamed(rows: DataFrame, twins: Twins) -> DataFrame:
+    """(doc_id, node, size) with the names of twins."""
+    node = F.col("node")
+    for (a, b), name in twins.items():
+        node = F.when((F.col("node") == a) & (F.col("other") == b), name).otherwise(node)
+    return rows.select("doc_id", node.alias("node"), "size")
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -108,19 +133,20 @@ def cell_of(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def profile(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """Rows (doc_id, node, size) of all documents, and rows (band, counts) of the n-gram counts."""
+    """Rows (doc_id, node, other, size) of all documents, with both halves of the digests, and rows (band, counts) of the n-gram counts."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         counts = np.zeros(1 << bits, np.uint32)
-        names = ["doc_id", "node", "size", "band", "counts"]
+        names = ["doc_id", "node", "other", "size", "band", "counts"]
         for chunk in chunked(batches, "text"):
             hashes, first = sets(chunk, "text", n)
             cells, many = np.unique(cell_of(hashes, bits), return_counts=True)
             counts[cells] += many.astype(np.uint32)
             k = chunk.num_rows
-            columns = [chunk.column(0), binary(set_digests(hashes, first)), pa.array(np.diff(first).astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
+            digests = set_digests(hashes, first)
+            columns = [chunk.column(0), *(pa.array(np.ascontiguousarray(digests[:, i])) for i in range(2)), pa.array(np.diff(first).astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
         bands = counts.reshape(-1, 1 << BAND_BITS)
         used = np.flatnonzero(bands.any(1))
@@ -129,9 +155,9 @@ def profile(docs: DataFrame, n: int, bits: int) -> DataFrame:
             some = used[at : at + 64]
             k = len(some)
             data = [pack(bands[b].tobytes()) for b in some]
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.array(some.astype(np.int32)), pa.array(data, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(3)), pa.nulls(k, pa.int32()), pa.array(some.astype(np.int32)), pa.array(data, pa.binary())], names=names)
 
-    return docs.mapInArrow(apply, "doc_id long, node binary, size int, band int, counts binary")
+    return docs.mapInArrow(apply, "doc_id long, node long, other long, size int, band int, counts binary")
 
 
 def cell_ranks(profiled: DataFrame, bits: int) -> np.ndarray:
@@ -156,20 +182,20 @@ def cell_ranks(profiled: DataFrame, bits: int) -> np.ndarray:
     return ranks.ravel()
 
 
-def prefixes(docs: DataFrame, ranks: np.ndarray, bits: int, n: int, n_parts: int, num: int, den: int) -> DataFrame:
+def prefixes(docs: DataFrame, ranks: np.ndarray, twins: Twins, bits: int, n: int, n_parts: int, num: int, den: int) -> DataFrame:
     """Block rows of the prefix n-grams of every class, once per task."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # 2**MOST_CELL_BITS bytes at most
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         held: list[np.ndarray] = []
         for chunk in chunked(batches, "text"):
             hashes, first = sets(chunk, "text", n)
             size = np.diff(first)
-            nodes = set_digests(hashes, first)
+            nodes = named(set_digests(hashes, first), twins)
             fresh = np.zeros(len(size), bool)
-            for i, node in enumerate(binary(nodes).to_pylist()):
+            for i, node in enumerate(nodes.tolist()):
                 if size[i] and node not in seen:
                     seen.add(node)
                     fresh[i] = True
@@ -184,8 +210,7 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, bits: int, n: int, n_parts: int
             short = (size + 1 + (-num * size) // den)[owner]
             kept = pos < short
             rows = np.empty(int(kept.sum()), PREFIX)
-            rows["hash"], rows["pos"], rows["size"] = hashes[kept], pos[kept], size[owner[kept]]
-            rows["hi"], rows["lo"] = nodes[owner[kept]].T
+            rows["hash"], rows["pos"], rows["node"], rows["size"] = hashes[kept], pos[kept], nodes[owner[kept]], size[owner[kept]]
             held.append(rows)
             if sum(map(len, held)) > 400_000:
                 rows, held = np.concatenate(held), []
@@ -197,23 +222,16 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, bits: int, n: int, n_parts: int
     return docs.mapInArrow(apply, BLOCK_DDL)
 
 
-def differs(rows: np.ndarray, *names: str) -> np.ndarray:
-    """Whether a row differs from the one before it in any of the fields; the first does."""
-    new = np.ones(len(rows), bool)
-    new[1:] = False
-    for c in names:
-        new[1:] |= rows[c][1:] != rows[c][:-1]
-    return new
-
-
 def grouped(rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one part: star pairs (a, b) under the filters, and (signature, rows) of its groups of three or more, a signature once.
 
     Groups with the same members differ in the places of the shared n-gram only; each member keeps its first.
     """
-    rows = rows[np.lexsort((rows["lo"], rows["hi"], rows["pos"], rows["hash"]))]  # copies of a class stand together, as their places agree
-    rows = rows[differs(rows, "hash", *NODE)]
-    starts = np.flatnonzero(differs(rows, "hash"))
+    rows = rows[np.lexsort((rows["node"], rows["pos"], rows["hash"]))]  # copies of a class stand together, as their places agree
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["hash"][1:] != rows["hash"][:-1]) | (rows["node"][1:] != rows["node"][:-1])
+    rows = rows[new]
+    starts = H.runs(rows["hash"][1:] == rows["hash"][:-1]) if len(rows) else np.zeros(0, np.int64)
     lengths = np.diff(np.concatenate([starts, [len(rows)]]))
     keep = lengths > 1
     starts, lengths = starts[keep], lengths[keep]
@@ -224,22 +242,20 @@ def grouped(rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarra
     need = least_overlap(sa, sb, num, den)
     ok = den * np.minimum(sa, sb) >= num * np.maximum(sa, sb)
     ok &= 1 + np.minimum(sa - a["pos"], sb - b["pos"]) - 1 >= need
-    pairs = np.concatenate([halves(a[ok]), halves(b[ok])], 1)
-    pairs = pairs[np.lexsort(pairs.T)]
-    pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])] if len(pairs) else pairs
+    pairs = np.unique(np.stack([a["node"][ok], b["node"][ok]], 1), axis=0) if ok.any() else np.zeros((0, 2), np.int64)
     big = lengths > 2
     starts, lengths = starts[big], lengths[big]
     at = H.ranges(starts, lengths)
-    sums = np.concatenate([np.zeros(1, H.U), np.cumsum(H.mix(rows["hi"][at]), dtype=H.U)])
+    sums = np.concatenate([np.zeros(1, H.U), np.cumsum(H.mix(rows["node"][at].view(np.uint64)), dtype=H.U)])
     cuts = np.concatenate([[0], np.cumsum(lengths)])
     sign = H.mix((sums[cuts[1:]] - sums[cuts[:-1]]) ^ lengths.astype(H.U)).view(np.int64)
     sign = np.repeat(sign, lengths)
     members = rows[at]
-    order = np.lexsort((members["pos"], members["lo"], members["hi"], sign))
+    order = np.lexsort((members["pos"], members["node"], sign))
     sign, members = sign[order], members[order]
-    new = differs(members, *NODE)
-    new[1:] |= sign[1:] != sign[:-1]
-    return pairs[:, :2], pairs[:, 2:], sign[new], members[new]
+    new = np.ones(len(sign), bool)
+    new[1:] = (sign[1:] != sign[:-1]) | (members["node"][1:] != members["node"][:-1])
+    return pairs[:, 0], pairs[:, 1], sign[new], members[new]
 
 
 def candidates(blocks: DataFrame, num: int, den: int) -> DataFrame:
@@ -249,11 +265,11 @@ def candidates(blocks: DataFrame, num: int, den: int) -> DataFrame:
         for _, rows in parts(batches, PREFIX):
             a, b, sign, members = grouped(rows, num, den)
             k, m = len(a), len(sign)
-            columns = [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(sign)]), binary(np.concatenate([a, halves(members)])), pa.concat_arrays([binary(b), pa.nulls(m, pa.binary())])]
+            columns = [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(sign)]), pa.array(np.concatenate([a, members["node"]])), pa.concat_arrays([pa.array(np.ascontiguousarray(b)), pa.nulls(m, pa.int64())])]
             columns += [pa.concat_arrays([pa.nulls(k, pa.int32()), pa.array(np.ascontiguousarray(members[c]))]) for c in ("size", "pos")]
             yield pa.RecordBatch.from_arrays(columns, names=["sign", "a", "b", "size", "pos"])
 
-    return blocks.mapInArrow(apply, "sign long, a binary, b binary, size int, pos int")
+    return blocks.mapInArrow(apply, "sign long, a long, b long, size int, pos int")
 
 
 def common(a: np.ndarray, b: np.ndarray, need: int) -> int:
@@ -271,7 +287,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     """The pairs (a, b) that link, by their texts (node, text): once each. Members of a's star are dealt to STAR_SALTS tasks."""
     pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(STAR_SALTS)).cast("int").alias("salt"))
     members = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
-    heads = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
+    heads = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     dealt = members.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,9 +309,9 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
                 both = common(head, own, need)
                 if both >= need and den * both >= num * (len(head) + len(own) - both):
                     out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(apply, "a binary, b binary")
+    return dealt.mapInArrow(apply, "a long, b long")
 
 
 def pairs_of_groups(placed: DataFrame, num: int, den: int, block: int) -> DataFrame:
@@ -342,11 +358,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     grams = float(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     bits = min(MOST_CELL_BITS, max(LEAST_CELL_BITS, math.ceil(math.log2(grams / PER_CELL + 1))))
     profiled = stored(profile(docs, n, bits), f"{path}/profile")
-    rows = profiled.filter("band IS NULL").select("doc_id", "node", "size")
+    rows = profiled.filter("band IS NULL").select("doc_id", "node", "other", "size")
+    twins = twins_of(rows)
+    rows = renamed(rows, twins)
     ranks = cell_ranks(profiled, bits)
     total = grams * (1 - num / den) * PREFIX.itemsize
     n_tasks = parts_for(total, PART_BYTES, 8)
-    blocks = prefixes(docs, ranks, bits, n, 8 * n_tasks, num, den)
+    blocks = prefixes(docs, ranks, twins, bits, n, 8 * n_tasks, num, den)
     found = stored(candidates(by_part(blocks, n_tasks), num, den), f"{path}/candidates")
     # a pair that is in a star both ways is verified once, from one of its centres
     ends = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
@@ -360,7 +378,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     wanted = nodes.join(first, "node")
     texts = packed_texts(docs).join(wanted.hint("shuffle_hash"), "doc_id").select("node", "text")
     # rows that repeat a doc_id may bring other texts than the class's: each class keeps one text of its own
-    texts = stored(own_texts(texts, n), f"{path}/texts")
+    texts = stored(own_texts(texts, twins, n), f"{path}/texts")
 
     links = stored(verified(stars, texts, n, num, den), f"{path}/links")
     parents = components(links)
@@ -383,7 +401,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), "node", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
-def own_texts(texts: DataFrame, n: int) -> DataFrame:
+def own_texts(texts: DataFrame, twins: Twins, n: int) -> DataFrame:
     """Of (node, text) rows, one a node whose n-gram set is the node's."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +410,7 @@ def own_texts(texts: DataFrame, n: int) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         for chunk in chunked(batches, "text", 1 << 18):
             plain = pa.RecordBatch.from_arrays([pa.array([unpack(x) for x in chunk.column(1).to_pylist()], pa.binary())], names=["text"])
-            same = binary(set_digests(*sets(plain, "text", n)))
+            same = pa.array(named(set_digests(*sets(plain, "text", n)), twins))
             yield chunk.filter(pc.equal(same, chunk.column(0)))
 
-    return texts.mapInArrow(apply, "node binary, text binary")
+    return texts.mapInArrow(apply, "node long, text binary")

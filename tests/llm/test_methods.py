@@ -203,7 +203,8 @@ def test_classes_are_named_by_two_independent_halves():
     hashes = np.array([5, 9, 9, 5, 5, 9, 11], np.uint64)
     digests = jaccard_join.set_digests(hashes, np.array([0, 2, 4, 4, 7]))
     assert (digests[0] == digests[1]).all() and not digests[2].any() and (digests[0] != digests[3]).all() and digests[0][0] != digests[0][1]
-    assert jaccard_join.binary(digests)[3].as_py() == b"".join(int(x).to_bytes(8, "big") for x in digests[3])
+    assert jaccard_join.named(digests, {}).tolist() == digests[:, 0].tolist()
+    assert jaccard_join.named(digests, {tuple(digests[3].tolist()): 17}).tolist() == [*digests[:3, 0].tolist(), 17]
 
 
 @given(st.lists(st.integers(0, 9), max_size=80), st.integers(1, 12))

@@ -549,6 +549,14 @@ def test_linked_documents(docs, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_classes_that_share_half_a_digest(spark):
+    rows = spark.createDataFrame([(1, 5, 1, 3), (2, 5, 2, 3), (3, 5, 2, 3), (4, 5, 7, 3), (5, 7, 9, 3), (6, 0, 0, 0), (7, 8, 8, 1)], "doc_id long, node long, other long, size int")
+    twins = jaccard_join.twins_of(rows)
+    assert sorted(twins) == [(5, 2), (5, 7)] and twins[5, 2] == 2 and twins[5, 7] not in (5, 7, 0, 8, 2)
+    got = {r.doc_id: r.node for r in jaccard_join.renamed(rows, twins).collect()}
+    assert got == {1: 5, 2: 2, 3: 2, 4: twins[5, 7], 5: 7, 6: 0, 7: 8}
+
+
 @pytest.mark.parametrize("block", [jaccard_join.BLOCK_CLASSES, 7])
 def test_links_around_the_threshold(spark, block):
     """Edited copies of a few originals: some pairs just link, some just do not, and stars alone do not join every group."""
