@@ -56,6 +56,12 @@ def numerals() -> str:
 
 #: A word is a run of letters.
 WORD = re.compile(rf"[^\W\d_{numerals()}]+")
+#: Texts without a numeral that is beyond the decimal digits, as most are, and their words by a shorter pattern.
+LATIN, PLAIN = re.compile(r"[\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af]*"), re.compile(r"[^\W\d_]+")
+
+
+def words_in(text: str) -> list[str]:
+    return (PLAIN if LATIN.fullmatch(text) else WORD).findall(text)
 
 
 def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +173,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 0)
     rng = np.random.default_rng(seed)
     sequences = []
     for text, lang in zip(texts, langs, strict=True):
-        words = [w.lower() for w in WORD.findall(text)]
+        words = [w.lower() for w in words_in(text)]
         at = int(rng.integers(0, max(1, len(words) - WORDS_OF_A_DOCUMENT)))
         if words:
             sequences.append((words[at : at + WORDS_OF_A_DOCUMENT], number[lang]))
@@ -223,7 +229,7 @@ def sample(df: DataFrame, text: str, lang: str, per_language: int) -> tuple[list
         for batch in batches:
             cut = []
             for t in batch.column(0).to_pylist():
-                words = WORD.findall(t.lower())
+                words = words_in(t.lower())
                 at = zlib.crc32(t.encode()) % max(1, len(words) - WORDS_OF_A_DOCUMENT)
                 cut.append(" ".join(words[at : at + WORDS_OF_A_DOCUMENT]))
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string()), batch.column(1)], names=["t", "l"])
@@ -264,7 +270,7 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[str]]]:
         """(marginals of the words of each text, its words)."""
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
+        words = [words_in(t.lower()) if t else [] for t in texts]
         lengths = np.array([len(w) for w in words], np.int64)
         if not lengths.sum() or not self.model.languages:
             return [np.zeros((0, 1))] * len(texts), words

@@ -3,7 +3,7 @@
 Each document's ids are cut into full windows and a rest; rests are cut once more, so that no piece is longer than
 `piece`. The pieces of a block are dealt to k windows: every piece begins as a partial partition of its own, and the two
 partial partitions with the largest imbalance are merged again and again, the fullest window of one with the emptiest of
-the other, until one partition is left. k begins at the least number of windows that can hold the block; while any window
+the other, until one partition is left. Full windows take no part: they have no imbalance. k begins at the least number of windows that can hold the block; while any window
 exceeds the capacity, the window count rises.
 
 A block is a bounded number of ids in file order, so a task holds one block at a time and nothing is shuffled. Only the

@@ -299,6 +299,8 @@ def test_words_are_runs_of_letters():
 
     every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
     assert "".join(language_id.WORD.findall(every)) == "".join(c for c in every if c.isalpha())
+    for c in every:
+        assert language_id.words_in(c) == ([c] if c.isalpha() else [])
 
 
 def test_language_without_labels(spark):
