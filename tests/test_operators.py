@@ -290,3 +290,17 @@ def test_steps_with_momentum(spark):
     assert np.allclose(got.mu, mu) and np.allclose(got.p, np.array([3.0, 4.0]) - 0.1 * mu)
     flat = rows.select(linear.adaptive_step(F.col("p"), F.col("g"), F.col("mu"), F.array(F.lit(2)), 0.1, 0.5, 0.01).alias("s")).first().s
     assert np.allclose(flat.mu, [0.9, 2.8])
+
+
+@pytest.mark.parametrize("chunk_rows", [7, 40, 150])
+def test_meters_of_long_series_are_cut(spark, chunk_rows):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(t), kind, float(np.round(v, 3)), int(n)) for i, (t, kind, v, n) in enumerate(zip(rng.integers(0, 60, 300), rng.choice(["a", "b", "c", None], 300, p=[0.8, 0.1, 0.02, 0.08]), rng.normal(size=300), rng.integers(1, 4, 300)))]
+    series = spark.createDataFrame(rows, "id long, ts long, kind string, v double, n int").repartition(3)
+    whole, cut = (meters.meter(series, ["ts", "id"], "v", ["kind"], F.col("n"), 5, size) for size in (10_000, chunk_rows))
+    names = ["id", "value_last", "median", "avg", "max", "global_avg"]
+    a, b = (sorted(tuple(r[n] for n in names) for r in x.collect()) for x in (whole, cut))
+    assert len(a) == len(rows) and cut.columns == whole.columns and np.allclose(a, b, atol=1e-12)
+    for i, last, median, *_ in a:
+        own = [r[3] for r in sorted((r for r in rows if r[2] == rows[i][2] and (r[1], r[0]) <= (rows[i][1], i)), key=lambda r: r[1::-1])][-5:]
+        assert (last, median) == (own[-1], sorted(own)[(len(own) - 1) // 2])
