@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +51,20 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def chunked(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose column holds about `most` bytes at most, or one row."""
+#: What gives up the memory that a Python worker keeps from one task to the next.
+KEPT: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Frees what other operators' tasks keep in this worker."""
+    for give_up in KEPT:
+        give_up()
+
+
+def chunked(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose column holds about `most` bytes at most, or one row. `keep` is for those who use what is KEPT."""
+    if not keep:
+        forget()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -128,6 +140,7 @@ def may_be(table: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (table[place >> 5] >> (place & 31).astype(np.uint32) & 1) > 0
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of texts stay small, so that very long texts do not fill a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 2000, read: int = 512) -> None:
+    """Batches of texts stay small, both those read from Parquet and Arrow's, so that very long texts fill neither an executor nor its Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(read))

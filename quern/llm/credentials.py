@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from quern.llm.common import text_column
+from quern.llm.common import forget, text_column
 
 #: Code points on either side of a part within which its complements must stand.
 SCOPE = 400
@@ -110,6 +110,7 @@ def link_credentials(df: DataFrame, keep: list[str], text: str = "text", scope:
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             found = [scan(t, scope) if t else [] for t in texts]

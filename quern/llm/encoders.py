@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 
+from quern.llm.common import KEPT
 from quern.llm.hashing import ranges
 
 SAFE = re.compile(r"[\x20-\x7e\t\n\rÀ-ÿ]*")
@@ -43,10 +44,13 @@ class Pieces(dict):
 
 @functools.cache
 def worker_encoder(path: str, end: int) -> Encoder:
-    """The encoder of this Python worker, which its tasks share."""
+    """The encoder of this Python worker, which its tasks share until another operator's task runs there."""
     return Encoder(path, end)
 
 
+KEPT.append(lambda: worker_encoder.cache_clear())
+
+
 class Encoder:
     """ids(texts) for one tokenizer file; `lower` for a file that lower-cases and drops white space."""
 

@@ -44,7 +44,9 @@ PENALTY = 1e-5
 SWITCH = 12
 UND = "und"
 REMEMBERED = 120_000
-CHUNK = 3 << 19
+#: Words whose features are made at a time.
+NEW_WORDS = 1 << 14
+CHUNK = 1 << 20
 
 
 def numerals() -> str:
@@ -265,7 +267,9 @@ class Labeller:
             new = list(number)[had:] if had == 0 else [w for w, _ in zip(reversed(number), range(len(number) - had), strict=False)][::-1]
             while len(self.scores) < len(number):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[had : len(number)] = emissions(*features(new, self.model.lexicon), self.model.weights)
+            for at in range(0, len(new), NEW_WORDS):
+                part = new[at : at + NEW_WORDS]
+                self.scores[had + at : had + at + len(part)] = emissions(*features(part, self.model.lexicon), self.model.weights)
         return self.scores[np.array(flat, np.int64)]
 
     def label(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[str]]]:

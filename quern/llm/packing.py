@@ -153,7 +153,7 @@ def pack(df: DataFrame, path: str, keep: str = "doc_id", text: str = "text", cap
 
         pieces: list = []
         n = 0
-        for chunk in chunked(batches, "__text", encoders.CHUNK):
+        for chunk in chunked(batches, "__text", encoders.CHUNK, keep=True):
             ids, offsets = encoder.ids(chunk.column("__text").to_pylist())
             held.append((chunk.column(0), ids, offsets))
             for length in np.diff(offsets).tolist():

@@ -151,7 +151,7 @@ def write(df: DataFrame, path: str, tokenizer: str, vocabulary: int, end: int =
         fs, folder = filesystem(f"{path}/shards")
         name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.ids"
         out, at, last, seen = None, 0, None, 0
-        for chunk in chunked(batches, "text", encoders.CHUNK):
+        for chunk in chunked(batches, "text", encoders.CHUNK, keep=True):
             if out is None:
                 fs.create_dir(folder)
                 out = fs.open_output_stream(f"{folder}/{name}", compression=None)

@@ -118,6 +118,14 @@ def test_encoder_gives_the_library_s_ids(name):
             assert ids[offsets[i] : offsets[i + 1]].tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 7]
 
 
+def test_another_operator_s_task_frees_the_encoder():
+    from quern.llm import common
+
+    encoder = encoders.worker_encoder(public_tokenizers.path("byte_bpe_50k.json"), 1)
+    assert list(common.chunked(iter([]), "text", keep=True)) == [] and encoders.worker_encoder(public_tokenizers.path("byte_bpe_50k.json"), 1) is encoder
+    assert list(common.chunked(iter([]), "text")) == [] and encoders.worker_encoder(public_tokenizers.path("byte_bpe_50k.json"), 1) is not encoder
+
+
 def test_perfect_hash_is_minimal_and_rejects_strangers():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 1 << 63, (2, 5000)).astype(np.uint64)
