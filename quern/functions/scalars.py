@@ -70,6 +70,20 @@ def norm_cdf(x: np.ndarray) -> np.ndarray:
     return np.array([(1 + math.erf(v / math.sqrt(2))) / 2 for v in np.ravel(x)])
 
 
+def with_norm_cdf(df: DataFrame, x: str, name: str) -> DataFrame:
+    """df with the normal distribution function of a column; null stays null."""
+    schema = df.withColumn(name, F.lit(None).cast("double")).schema
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(x)).cast(pa.float64())
+            known = norm_cdf(values.fill_null(0.0).to_numpy())
+            p = pa.array(known, mask=values.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns, p], names=schema.names)
+
+    return df.mapInArrow(apply, schema)
+
+
 def truncated_normal(spark: SparkSession, n: int, mean: float = 0.0, std: float = 1.0, low: float = -2.0, high: float = 2.0, seed: int = 31) -> DataFrame:
     """(id, value): n draws of a normal variable given that it lies in [low, high], by the inverse distribution function."""
     from statistics import NormalDist

@@ -315,7 +315,8 @@ def f4_seeded_noise(spark, d):
 
 
 def f3_norm_cdf(spark, d):
-    return spark.createDataFrame([(float(x), float(y)) for x, y in zip((-2, 0, 1), scalars.norm_cdf([-2, 0, 1]), strict=True)], "x double, p double")
+    x = ((F.col("event_id") % 601 - 300) / 100).alias("x")
+    return scalars.with_norm_cdf(table(spark, d, "events").select("event_id", x), "x", "p").select("event_id", rounded(F.col("p"), 9).alias("p"))
 
 
 def f2_truncated_normal(spark, d):
@@ -435,6 +436,12 @@ ORACLES = {
     "u2_crop_outputs": f"WITH {E} SELECT vec_id, 0 AS crop, round(list_sum(v), 6) + 0.0 AS v FROM e UNION ALL SELECT vec_id, 1, round(list_sum(v[1:16]), 6) + 0.0 FROM e",
     "s8_countries": "SELECT country, 'tiles/' || country AS directory FROM (VALUES " + ", ".join("('" + c.replace("'", "''") + "')" for c in COUNTRIES) + ") AS c(country)",
     "f4_seeded_noise": "SELECT true AS same, CAST(1000 AS BIGINT) AS n",
+    "f3_norm_cdf": """
+        WITH RECURSIVE x AS (SELECT event_id, (event_id % 601 - 300) / 100.0::DOUBLE AS x FROM events),
+        term AS (SELECT DISTINCT x, 0 AS k, x AS t FROM x UNION ALL SELECT x, k + 1, t * x * x / (2 * k + 3) FROM term WHERE k < 80),
+        p AS (SELECT x, 0.5 + exp(-x * x / 2) / sqrt(2 * pi()) * sum(t) AS p FROM term GROUP BY x)
+        SELECT event_id, round(p, 9) + 0.0 AS p FROM x JOIN p USING (x)
+    """,
     "u3_countries": "SELECT n_name AS country, n_name || '/' || c_custkey AS path FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "f1_cosine_schedule": """
         SELECT step, round(CASE WHEN step < 40 THEN 0.001 + step * (0.499 / 39) ELSE 0.01 + 0.5 * 0.49 * (1 + cos(pi() * (step - 40) / 160)) END, 9) + 0.0 AS value FROM (SELECT unnest(range(0, 200)) AS step)
