@@ -24,8 +24,8 @@ SUFFIX = r"'s|'t|'re|'ve|'m|'ll|'d"
 #: The files' own splitting patterns, over the characters of SAFE; letters stand first, as no suffix begins with one.
 BYTE_LEVEL = re.compile(rf" ?[{LETTER}]+|{SUFFIX}| ?[0-9]+| ?[^ \t\n\r0-9{LETTER}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 WORD_LEVEL = re.compile(rf"[{LETTER}]+|{SUFFIX}|[0-9]|[^ \t\n\r0-9{LETTER}]+")
-#: Pieces that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers; beyond that it forgets those met once, and the rarer half of the others.
+REMEMBERED = 300_000
 #: Bytes of text encoded at a time.
 CHUNK = 1 << 20
 
@@ -72,6 +72,32 @@ class Encoder:
 
     def forget(self) -> None:
         self.pieces, self.flat, self.starts = Pieces(), np.zeros(1 << 16, np.uint32), np.zeros((1 << 14) + 1, np.int64)
+        self.met = np.zeros(0, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keeps the pieces met most often, under new numbers."""
+        most = self.remembered // 2
+        often = np.flatnonzero(self.met > 1)
+        if len(often) > most:
+            often = np.sort(often[np.argpartition(-self.met[often], most)[:most]])
+        names, lengths = list(self.pieces), self.starts[often + 1] - self.starts[often]
+        flat, met = self.flat[ranges(self.starts[often], lengths)], self.met[often] // 2
+        self.forget()
+        for i in often.tolist():
+            self.pieces[names[i]]
+        self.pieces.new = []
+        self.hold(0, flat, lengths)
+        self.met = met
+
+    def hold(self, had: int, ids: np.ndarray, counts: np.ndarray) -> None:
+        """The ids of the pieces from number `had` on."""
+        used, n = int(self.starts[had]), len(ids)
+        while len(self.flat) < used + n:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.starts) < had + len(counts) + 1:
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.flat[used : used + n] = ids
+        self.starts[had + 1 : had + len(counts) + 1] = used + np.cumsum(counts)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -101,20 +127,12 @@ class Encoder:
         new, self.pieces.new = self.pieces.new, []
         if not new:
             return
-        ids, counts = self.counted(new)
-        had, n = len(self.pieces) - len(new), int(counts.sum())
-        used = int(self.starts[had])
-        while len(self.flat) < used + n:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.starts) < had + len(new) + 1:
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.flat[used : used + n] = ids
-        self.starts[had + 1 : had + len(new) + 1] = used + np.cumsum(counts)
+        self.hold(len(self.pieces) - len(new), *self.counted(new))
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text); each text ends with the end id; null is the empty text."""
         if len(self.pieces) > self.remembered:
-            self.forget()
+            self.forget_rare()
         numbers: list[list[int]] = []
         others: dict[int, list[int]] = {}
         look = self.pieces.__getitem__
@@ -129,6 +147,9 @@ class Encoder:
         self.learn()
         counts = np.fromiter(map(len, numbers), np.int64, len(numbers))
         of = np.fromiter(itertools.chain.from_iterable(numbers), np.int64, int(counts.sum()))
+        met = np.bincount(of, minlength=len(self.pieces))
+        met[: len(self.met)] += self.met
+        self.met = met
         lengths = self.starts[of + 1] - self.starts[of]
         flat = self.flat[ranges(self.starts[of], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
