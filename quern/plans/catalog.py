@@ -228,6 +228,12 @@ def a9_whitened(spark, d):
     return linear.Whitening.fit(rows, "embedding", 16).apply(rows, ["vec_id"], "embedding")
 
 
+def a9_whitened_moments(spark, d):
+    """Second moments of whitened rows: one on the diagonal, none beside it."""
+    moments = linear.covariance(a9_whitened(spark, d), "projected")
+    return moments.select("i", "j", rounded(F.col("value"), 6).alias("value"))
+
+
 def a11_count(spark, d):
     return table(spark, d, "pages").agg(F.count("*").alias("n"))
 
@@ -408,6 +414,7 @@ ORACLES = {
         SELECT vec_id, round(norm, 6) + 0.0 AS norm, round(norm * least(1, 2.0 / (norm + 1e-6)), 6) + 0.0 AS clipped_norm FROM g
     """,
     "a8_covariance": f"WITH {E}, k AS (SELECT unnest(range(0, 64)) AS i) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(v[a.i + 1] * v[b.i + 1]), 9) + 0.0 AS value FROM e, k a, k b GROUP BY a.i, b.i",
+    "a9_whitened_moments": "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END AS value FROM range(16) a(i), range(16) b(j)",
     "a11_count": "SELECT count(*) AS n FROM pages",
     "w1_meter": f"""
         SELECT event_id, value AS value_last, quantile_disc(value, 0.5) {FRAME} AS median, round(avg(value) {FRAME} + 1e-10, 7) + 0.0 AS avg, max(value) {FRAME} AS max,

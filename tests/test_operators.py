@@ -304,3 +304,60 @@ def test_meters_of_long_series_are_cut(spark, chunk_rows):
     for i, last, median, *_ in a:
         own = [r[3] for r in sorted((r for r in rows if r[2] == rows[i][2] and (r[1], r[0]) <= (rows[i][1], i)), key=lambda r: r[1::-1])][-5:]
         assert (last, median) == (own[-1], sorted(own)[(len(own) - 1) // 2])
+
+
+def test_transformer_against_plain_loops():
+    """Two blocks on a 4 x 4 image of two channels, every sum written out."""
+    shape = vision.Shape(4, 2, 2, 2, 4, 2)
+    rng = np.random.default_rng(8)
+    w = {k: np.asarray(x) + rng.normal(scale=0.3, size=np.shape(x)) for k, x in vision.seeded_weights(shape).items()}
+    image = rng.normal(size=(2, 4, 4))
+
+    def linear(x, m, b):
+        return [sum(x[i] * m[i][j] for i in range(len(x))) + b[j] for j in range(len(b))]
+
+    def norm(x, scale, shift):
+        mean = sum(x) / len(x)
+        deviation = math.sqrt(sum((v - mean) ** 2 for v in x) / len(x) + 1e-6)
+        return [(v - mean) / deviation * s + t for v, s, t in zip(x, scale, shift)]
+
+    tokens = [[c + p for c, p in zip(w["cls"], w["pos"][0])]]
+    for r in range(2):
+        for c in range(2):
+            flat = [image[ch][2 * r + y][2 * c + x] for ch in range(2) for y in range(2) for x in range(2)]
+            tokens.append([v + p for v, p in zip(linear(flat, w["patch.w"], w["patch.b"]), w["pos"][1 + 2 * r + c])])
+    for i in range(2):
+        qkv = [linear(norm(t, w[f"{i}.n1.scale"], w[f"{i}.n1.shift"]), w[f"{i}.qkv.w"], w[f"{i}.qkv.b"]) for t in tokens]
+        mixed = [[0.0] * 4 for _ in tokens]
+        for h in range(2):
+            part = lambda t, which: qkv[t][4 * which + 2 * h : 4 * which + 2 * h + 2]  # noqa: E731, B023
+            for a in range(5):
+                scores = [math.exp(sum(x * y for x, y in zip(part(a, 0), part(b, 1))) / math.sqrt(2)) for b in range(5)]
+                for k in range(2):
+                    mixed[a][2 * h + k] = sum(s * part(b, 2)[k] for b, s in enumerate(scores)) / sum(scores)
+        tokens = [[x + y for x, y in zip(t, linear(m, w[f"{i}.proj.w"], w[f"{i}.proj.b"]))] for t, m in zip(tokens, mixed)]
+        for t in tokens:
+            hidden = linear(norm(t, w[f"{i}.n2.scale"], w[f"{i}.n2.shift"]), w[f"{i}.fc1.w"], w[f"{i}.fc1.b"])
+            hidden = [v * (1 + math.erf(v / math.sqrt(2))) / 2 for v in hidden]
+            t[:] = [x + y for x, y in zip(t, linear(hidden, w[f"{i}.fc2.w"], w[f"{i}.fc2.b"]))]
+    want = norm(tokens[0], w["norm.scale"], w["norm.shift"])
+    assert np.allclose(vision.Transformer(shape, w).features(image[None])[0], want, atol=1e-5)
+
+
+def test_whitening_against_power_iteration(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 6)) * np.array([5, 4, 3, 2, 1, 0.5])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    fitted = linear.Whitening.fit(rows, "v", 3)
+    cov, values = x.T @ x / len(x), []
+    left = cov.copy()
+    for k in range(3):  # deflation: the largest direction of what is left
+        v = np.ones(6)
+        for _ in range(2000):
+            v = left @ v
+            v /= np.linalg.norm(v)
+        values.append(v @ left @ v)
+        left -= values[-1] * np.outer(v, v)
+        got = fitted.directions[k]
+        assert np.isclose(abs(got @ v), 1 / np.sqrt(values[-1]), rtol=1e-6) and np.isclose((got**2).sum(), 1 / values[-1], rtol=1e-6)
+    assert np.isclose(fitted.energy, 100 * sum(values) / np.trace(cov), rtol=1e-6)
