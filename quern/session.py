@@ -64,5 +64,5 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, path: str) -> DataFrame:
     """df written to path as Parquet and read again: lineage ends there, and lost executors cost no rework before it."""
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
