@@ -48,6 +48,8 @@ SHARD_BYTES = 1 << 20
 #: Bytes of sources of one least hash, beyond which their strings are compared by hash, and different stretches in a task.
 GROUP_BYTES = 512 << 10
 HOT = 256
+#: Starts of one long text that are looked at together.
+SEGMENT = 4 << 20
 PART_BYTES = 24 << 20
 #: Low bits of a gram's hash that do not count.
 VALUE_BITS = 24
@@ -102,6 +104,24 @@ def stretches(buf: np.ndarray, offsets: np.ndarray, length: int, shorter: int, g
     return rows, doc[at]
 
 
+def cut_stretches(buf: np.ndarray, offsets: np.ndarray, length: int, shorter: int, gram: int, segment: int) -> tuple[np.ndarray, np.ndarray]:
+    """stretches() of a chunk; of one long text, `segment` bytes of starts at a time, so that memory does not grow with it."""
+    if len(offsets) > 2 or len(buf) <= segment + length:
+        return stretches(buf, offsets, length, shorter, gram)
+    out = []
+    for low in range(0, len(buf), segment):
+        part = buf[low : low + segment + length - 1]
+        rows, _ = stretches(part, np.array([0, len(part)]), length, shorter, gram)
+        rows = rows[rows["at"] < segment]
+        rows["n"] = np.minimum(rows["n"], segment - rows["at"])
+        rows["at"] += low
+        # cut where the segment ends, a stretch has other bytes than elsewhere, and its least gram's neighbours are not all here
+        rows["self"] = 1
+        out.append(rows)
+    rows = np.concatenate(out)
+    return rows, np.zeros(len(rows), np.int64)
+
+
 def kinds_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct rows in order of least hash and bytes, whether a row is its kind's first, rows of its kind, whether several documents have it)."""
     rows = rows[np.lexsort((rows["at"], rows["tag"], rows["doc"], rows["check"], rows["bytes"], rows["least"]))]
@@ -133,7 +153,7 @@ def combined(rows: np.ndarray, n_parts: int, hot: int) -> pa.RecordBatch:
     return block_rows(part, np.concatenate([rows, marks]), BLOCK)
 
 
-def fingerprints(docs: DataFrame, n_parts: int, length: int, shorter: int, gram: int, hot: int) -> DataFrame:
+def fingerprints(docs: DataFrame, n_parts: int, length: int, shorter: int, gram: int, hot: int, segment: int) -> DataFrame:
     """Block rows of the stretches of every class, once per task."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +167,7 @@ def fingerprints(docs: DataFrame, n_parts: int, length: int, shorter: int, gram:
                     seen.add(c)
                     fresh[i] = True
             buf, offsets = buffers(chunk.column(2))
-            rows, doc = stretches(buf, offsets, length, shorter, gram)
+            rows, doc = cut_stretches(buf, offsets, length, shorter, gram, segment)
             rows["doc"], rows["tag"] = ids[doc], tags[doc]
             held.append(rows[fresh[doc]])
             if sum(map(len, held)) > 300_000:
@@ -408,7 +428,7 @@ def cut(docs: DataFrame, length: int, shorter: int, with_text: bool) -> DataFram
 
 def deduplicate(
     df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shorter: int = SHORTER, gram: int = GRAM,
-    group_bytes: int = GROUP_BYTES, hot: int = HOT, shard_bytes: int = SHARD_BYTES, with_text: bool = False,
+    group_bytes: int = GROUP_BYTES, hot: int = HOT, shard_bytes: int = SHARD_BYTES, segment: int = SEGMENT, with_text: bool = False,
 ) -> DataFrame:
     """Every text without the bytes of strings of `length` bytes that also start elsewhere, and how many bytes it shares."""
     if not gram <= shorter <= length:
@@ -422,7 +442,7 @@ def deduplicate(
     rows_bytes = total / (shorter - gram + 1) * 2 * STRETCH.itemsize
     n_tasks = parts_for(rows_bytes, PART_BYTES, 8)
     n_parts = 8 * n_tasks
-    blocks = fingerprints(docs.select("doc_id", "tag", "text"), n_parts, length, shorter, gram, hot)
+    blocks = fingerprints(docs.select("doc_id", "tag", "text"), n_parts, length, shorter, gram, hot, segment)
     states = stored(decided(by_part(blocks, n_tasks), length, group_bytes), f"{path}/states")
 
     sources = states.filter(F.col("state").bitwiseAND(SOURCE | SPLIT) > 0)

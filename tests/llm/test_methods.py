@@ -87,6 +87,13 @@ def test_byte_stretches_hold_every_window_once():
     assert all(len(x) == 1 for x in wide.values()) and len({x for y in wide.values() for x in y}) == len(wide)
 
 
+def test_segments_hold_every_start_once():
+    text = np.random.default_rng(2).integers(97, 100, 1000).astype(np.uint8)
+    for segment in (37, 60, 999, 5000):
+        rows, doc = suffix_dedup.cut_stretches(text, np.array([0, 1000]), 60, 40, 8, segment)
+        assert sorted(a + i for a, n in zip(rows["at"].tolist(), rows["n"].tolist()) for i in range(n)) == list(range(961)) and not doc.any()
+
+
 @given(st.lists(st.integers(1, 512), min_size=1, max_size=300))
 @settings(max_examples=40, deadline=None)
 def test_windows_hold_every_piece_once(sizes):

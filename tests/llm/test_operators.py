@@ -334,6 +334,15 @@ def test_repeated_bytes_go(docs, length, shorter, group_bytes, hot):
     assert tuples(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared") == brute_bytes(source(docs), length, shorter)
 
 
+@pytest.mark.parametrize("segment", [70, 400])
+def test_long_texts_are_looked_at_in_segments(spark, segment):
+    passage, line = prose(20, 60), prose(21, 9) + "\n"
+    rows = [(1, prose(31, 90) + " " + passage + " " + prose(32, 40)), (2, passage + prose(33, 50)), (3, line * 12 + prose(34, 30) + passage[40:200]), (4, prose(35, 200)), (5, prose(35, 200)[17:] + "!"), (6, "ab" * 600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, "doc_id")
+    got = suffix_dedup.deduplicate(table, length=60, shorter=40, gram=16, segment=segment, shard_bytes=5000)
+    assert tuples(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared") == brute_bytes(rows, 60, 40)
+
+
 @pytest.mark.parametrize("hot", [3, suffix_dedup.HOT])
 def test_passages_within_other_texts(spark, hot):
     passage, line = prose(20, 60), prose(21, 9) + "\n"
