@@ -17,7 +17,7 @@ import numpy as np
 from quern.llm import hashing as H
 
 #: Places of a batch of buckets: the least and the most that are tried.
-LEAST_BATCH, MOST_BATCH = 64, 1 << 16
+LEAST_BATCH, MOST_BATCH = 1024, 1 << 16
 
 
 def classify(s: np.ndarray) -> np.ndarray:
