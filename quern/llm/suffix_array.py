@@ -41,23 +41,29 @@ def _deal(sa: np.ndarray, places: np.ndarray, symbols: np.ndarray, at: np.ndarra
     """Puts places into the buckets of their symbols, in order, at the pointers `at`, which move by step."""
     if not len(places):
         return
+    n = len(places)
     order = np.argsort(symbols, kind="stable")
-    sorted_symbols = symbols[order]
-    starts = H.runs(sorted_symbols[1:] == sorted_symbols[:-1])
-    lengths = np.diff(np.concatenate([starts, [len(order)]]))
-    rank = np.arange(len(order)) - np.repeat(starts, lengths)
-    here = sorted_symbols[starts]
+    ordered = symbols[order]
+    cuts = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+    starts = np.zeros(len(cuts) + 1, np.int64)
+    starts[1:] = cuts
+    lengths = np.empty_like(starts)
+    lengths[:-1] = starts[1:] - starts[:-1]
+    lengths[-1] = n - starts[-1]
+    here = ordered[starts]
     if step > 0:
-        sa[np.repeat(at[here], lengths) + rank] = places[order]
+        sa[np.repeat(at[here] - starts, lengths) + np.arange(n)] = places[order]
         at[here] += lengths
     else:
-        sa[np.repeat(at[here], lengths) - 1 - rank] = places[order]
+        sa[np.repeat(at[here] + (starts - 1), lengths) - np.arange(n)] = places[order]
         at[here] -= lengths
 
 
 def chains(places: np.ndarray, back: np.ndarray) -> np.ndarray:
     """The places before the given ones in their runs, one step back for all, then two steps, and so on."""
     many = back[places]
+    if not many.any():
+        return places[:0]
     of = np.repeat(np.arange(len(places)), many)
     steps = H.ranges(np.ones(len(places), np.int64), many)
     order = np.argsort(steps, kind="stable")
