@@ -144,3 +144,9 @@ def small_batches(spark: SparkSession, rows: int = 2000, read: int = 512) -> Non
     """Batches of texts stay small, both those read from Parquet and Arrow's, so that very long texts fill neither an executor nor its Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(read))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

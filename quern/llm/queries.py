@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import common, credentials, decontaminate, embedding_dedup, jaccard_join, language_id, oracles, packing, substring_dedup, suffix_dedup, token_index, warc
+from quern.llm import clustering, common, conversations, credentials, decontaminate, embedding_dedup, jaccard_join, language_id, oracles, packing, substring_dedup, suffix_dedup, token_index, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_index": op2_token_index,
@@ -71,6 +83,9 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_decontaminate": op9_decontaminate,
     "op10_jaccard": op10_jaccard,
+    "op11_conversations": op11_conversations,
+    "op12_balls": op12_balls,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLES = {
     "op1_warc": oracles.WARC,
@@ -79,4 +94,6 @@ ORACLES = {
     "op8_substrings": oracles.SUBSTRINGS,
     "op9_decontaminate": oracles.WINNOW,
     "op10_jaccard": oracles.JACCARD,
+    "op11_conversations": oracles.CONVERSATIONS,
+    "op12_balls": oracles.BALLS,
 }
