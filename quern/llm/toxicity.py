@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunked, small_batches
+from quern.llm.common import chunked, shared_dir, small_batches, stored
 
 #: Bound of the training sample: texts of each label, about, and bytes of each.
 PER_LABEL = 4000
@@ -208,13 +208,20 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def sample(labelled: DataFrame, per_label: int) -> tuple[list[str], list[int]]:
-    """About per_label different texts of each label (columns t and y), by a hash of the text; the counts cover all rows."""
-    counts = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.approx_count_distinct(F.xxhash64("t")).alias("n")).collect()}
+def sample(df: DataFrame, known: DataFrame, per_label: int) -> tuple[list[str], list[int]]:
+    """About per_label different texts of each label, by a hash of the text, of df (k, t) and known (k, y); the counts cover all rows.
+
+    Only keys and hashes are shuffled; the chosen ones, one row a text, meet the texts where these lie.
+    """
+    spark = df.sparkSession
+    code = F.xxhash64("t", F.lit(13))
+    labelled = stored(df.select("k", code.alias("h")).join(known, "k"), f"{shared_dir(spark, 'toxicity')}/labelled")
+    counts = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return [], []
     share = F.create_map(*[x for y, n in counts.items() for x in (F.lit(y), F.lit(min(1.0, per_label / max(1, n))))])
-    place = F.pmod(F.xxhash64("t", F.lit(13)), F.lit(1 << 30)) / F.lit(1 << 30)
+    place = F.pmod("h", F.lit(1 << 30)) / F.lit(1 << 30)
+    chosen = labelled.filter(place < share[F.col("y")]).groupBy("h", "y").agg(F.min("k").alias("k"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +232,8 @@ def sample(labelled: DataFrame, per_label: int) -> tuple[list[str], list[int]]:
                 out.append(raw[at : at + BYTES_OF_A_TEXT].decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], names=["t", "y"])
 
-    rows = labelled.filter(place < share[F.col("y")]).mapInArrow(cut, "t string, y int").distinct().collect()
+    texts = df.withColumn("h", code).join(F.broadcast(chosen), ["k", "h"])  # about per_label rows a label
+    rows = texts.select("t", "y").mapInArrow(cut, "t string, y int").distinct().collect()
     rows.sort(key=lambda r: (r["t"], r["y"]))
     return [r["t"] for r in rows], [r["y"] for r in rows]
 
@@ -235,7 +243,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     small_batches(df.sparkSession)
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).distinct()
     texts = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    return fit(*sample(texts.join(known, "k").select("t", "y"), per_label))
+    return fit(*sample(texts, known, per_label))
 
 
 def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
