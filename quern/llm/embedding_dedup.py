@@ -9,7 +9,7 @@ single precision, a third of the cost of the exact one.
 
 Candidates: the first bits of the code of one rotation are a bucket, with the label; there are enough rotations ("tables")
 that a pair at the threshold meets in one with probability RECALL, and closer pairs with more. The number of bits grows with
-the largest label, so buckets of unlike vectors stay small. A pair that meets in several tables counts in the first.
+the largest label, so buckets hold about 2**WIDER unlike vectors, whose pairs the codes' bounds decide. A pair that meets in several tables counts in the first.
 
 Vectors with equal components and label (by two 64-bit hashes) are one class, joined by definition: their copies meet as one
 row that carries their number. Buckets above BLOCK classes are cut into blocks, and pairs of blocks are tasks of their own, so that no
@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import functools
 import math
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ BOUND = 4.0
 #: What single precision may add to an estimate.
 ROUNDING = 1e-4
 BLOCK = 256
+#: Bits by which a bucket's key is shorter than the logarithm of the vectors: fewer tables, and pairs that codes decide.
+WIDER = 3
 SEED = 20240501
 
 
@@ -53,7 +57,7 @@ def rotation(dim: int, turn: int) -> np.ndarray:
 def plan(largest: int, threshold: float, recall: float) -> tuple[int, int]:
     """(bits of a bucket, number of tables) for this many vectors of one label."""
     same = 1 - math.acos(threshold) / math.pi
-    bits = max(4, min(40, math.ceil(math.log2(max(2, largest)))))
+    bits = max(4, min(40, math.ceil(math.log2(max(2, largest))) - WIDER))
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same**bits)))
 
 
@@ -87,18 +91,14 @@ def buckets(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return out
 
 
-def find(raw: np.ndarray, signs: np.ndarray, factors: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i < j, with cosine at the threshold or above: by estimate and bound, then exactly."""
+def find(raw: np.ndarray, signs: np.ndarray, factors: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs i < j that the bound leaves to exact recomputation, whether their cosine is at the threshold or above)."""
     norm = np.linalg.norm(raw, axis=1)
-    if len(raw) <= 8:
-        i, j = np.triu_indices(len(raw), 1)
-    else:
-        estimate, margin = estimates(raw / norm[:, None], signs, factors)
-        i, j = np.nonzero(estimate >= (threshold - margin)[None, :].astype(np.float32))
-        i, j = i[i < j], j[i < j]
+    estimate, margin = estimates(raw / norm[:, None], signs, factors)
+    i, j = np.nonzero(estimate >= (threshold - margin)[None, :].astype(np.float32))
+    i, j = i[i < j], j[i < j]
     cosine = (raw[i] * raw[j]).sum(1) / (norm[i] * norm[j])
-    ok = cosine >= threshold
-    return i[ok], j[ok]
+    return i, j, cosine >= threshold
 
 
 def coded(rows: DataFrame, bits: int, tables: int, kind: str) -> DataFrame:
@@ -132,11 +132,19 @@ def coded(rows: DataFrame, bits: int, tables: int, kind: str) -> DataFrame:
 
 
 def links(dealt: DataFrame, threshold: float) -> DataFrame:
-    """From rows sorted by (label, table, bucket, block_a, block_b): (a, b, n) with b null for counts of links, and forest edges."""
+    """From rows sorted by (label, table, bucket, block_a, block_b): (a, b, n, exact) with b null for counts of links, and forest edges.
 
-    def linked(nodes: list[bytes], copies: np.ndarray, keys: np.ndarray, code: np.ndarray, factors: np.ndarray, raw: np.ndarray, block: np.ndarray, table: int, a: int, b: int) -> Iterator[tuple[bytes, bytes | None, int]]:
+    Without a and b, n is how many pairs of a task were estimated and exact how many of them were computed exactly.
+    """
+
+    seen = Counter()
+
+    def linked(nodes: list[bytes], copies: np.ndarray, keys: np.ndarray, code: np.ndarray, factors: np.ndarray, raw: np.ndarray, block: np.ndarray, table: int, a: int, b: int) -> Iterator[tuple[bytes | None, bytes | None, int]]:
         dim = raw.shape[1]
-        i, j = find(raw, np.unpackbits(code, axis=1)[:, :dim], factors, threshold)
+        i, j, ok = find(raw, np.unpackbits(code, axis=1)[:, :dim], factors, threshold)
+        seen["estimated"] += len(raw) * (len(raw) - 1) // 2
+        seen["exact"] += len(i)
+        i, j = i[ok], j[ok]
         if a != b:  # pairs inside a block belong to the block's own task
             across = block[i] != block[j]
             i, j = i[across], j[across]
@@ -164,6 +172,7 @@ def links(dealt: DataFrame, threshold: float) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None
+        seen.clear()
 
         def done() -> list:
             n = sum(h.num_rows for h in held)
@@ -194,15 +203,30 @@ def links(dealt: DataFrame, threshold: float) -> DataFrame:
         if now is not None:
             out += done()
         yield rows(out)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([seen["estimated"]]), pa.array([seen["exact"]])], names=["a", "b", "n", "exact"])
 
     def rows(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "n"])
+        return pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))), pa.nulls(len(out), pa.int64())], names=["a", "b", "n", "exact"])
 
-    return dealt.mapInArrow(apply, "a binary, b binary, n long")
+    return dealt.mapInArrow(apply, "a binary, b binary, n long, exact long")
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
+@dataclass
+class Found:
+    """members: (vec_id, node); nodes: (label, node, copies, least, vector); links: see links()."""
+
+    members: DataFrame
+    nodes: DataFrame
+    links: DataFrame
+
+    def decided(self) -> tuple[int, int]:
+        """(pairs that were estimated, pairs among them that were computed exactly); the bound dropped the others."""
+        sums = self.links.filter("a IS NULL").agg(F.sum("n"), F.sum("exact")).first()
+        return sums[0] or 0, sums[1] or 0
+
+
+def find_links(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> Found:
+    """Classes of equal vectors, and the links between them."""
     spark = df.sparkSession
     path = shared_dir(spark, "vectors")
     kind = dict(df.dtypes)[vector]
@@ -226,8 +250,13 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     table = table.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = table.select("label", "table", "bucket", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "node", "copies", "keys", "code", "factor", "vector", "block")
     by = ["label", "table", "bucket", "block_a", "block_b"]
-    found = stored(links(dealt.repartition(*by).sortWithinPartitions(*by), threshold), f"{path}/links")
+    return Found(members, nodes, stored(links(dealt.repartition(*by).sortWithinPartitions(*by), threshold), f"{path}/links"))
+
 
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row."""
+    done = find_links(df, key, vector, label, threshold, recall, block)
+    members, nodes, found = done.members, done.nodes, done.links.filter("a IS NOT NULL")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     parents = components(found.filter("b IS NOT NULL").select("a", "b"))
     least = parents.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("smallest"))
