@@ -21,7 +21,8 @@ orders n-grams; its size is bounded.
 
 Defined results: words are runs of bytes other than ASCII white space, ASCII letters lower-cased; a text of fewer words
 than n has its whole word sequence as its one n-gram; a text without words (or null) has an empty set and links with
-nothing; repeated rows are documents of their own; of null ids no component is named; other columns are ignored.
+nothing; repeated rows are documents of their own; a row with a null id links others as any row does, but its component has no
+name of its own and is null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -378,7 +379,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     wanted = nodes.join(first, "node")
     texts = packed_texts(docs).join(wanted.hint("shuffle_hash"), "doc_id").select("node", "text")
     # rows that repeat a doc_id may bring other texts than the class's: each class keeps one text of its own
-    texts = stored(own_texts(texts, twins, n), f"{path}/texts")
+    # a class of rows without an id, which may link others, takes the text of any of them
+    nameless = own_texts(packed_texts(docs.filter("doc_id IS NULL")).selectExpr("CAST(NULL AS LONG) AS node", "text"), twins, n)
+    nameless = nameless.join(nodes.join(first, "node", "left_anti"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    texts = stored(own_texts(texts, twins, n).unionByName(nameless), f"{path}/texts")
 
     links = stored(verified(stars, texts, n, num, den), f"{path}/links")
     parents = components(links)
@@ -402,7 +406,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
 
 
 def own_texts(texts: DataFrame, twins: Twins, n: int) -> DataFrame:
-    """Of (node, text) rows, one a node whose n-gram set is the node's."""
+    """Of (node, text) rows, those whose n-gram set is the node's; where the node is null, all with the node of their set."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -411,6 +415,8 @@ def own_texts(texts: DataFrame, twins: Twins, n: int) -> DataFrame:
         for chunk in chunked(batches, "text", 1 << 18):
             plain = pa.RecordBatch.from_arrays([pa.array([unpack(x) for x in chunk.column(1).to_pylist()], pa.binary())], names=["text"])
             same = pa.array(named(set_digests(*sets(plain, "text", n)), twins))
-            yield chunk.filter(pc.equal(same, chunk.column(0)))
+            unnamed = pc.is_null(chunk.column(0))
+            out = pa.RecordBatch.from_arrays([pc.if_else(unnamed, same, chunk.column(0)), chunk.column(1)], names=["node", "text"])
+            yield out.filter(pc.equal(same, out.column(0)))
 
     return texts.mapInArrow(apply, "node long, text binary")

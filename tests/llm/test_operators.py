@@ -415,6 +415,14 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs(error[apart].mean()) < 0.004 and (np.abs(error) <= margin[None, :])[apart].mean() > 0.9999
 
 
+def test_bounds_decide_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=64).tolist(), i % 2) for i in range(600)]
+    found = embedding_dedup.find_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    estimated, exact = found.decided()
+    assert estimated > 2000 and exact < estimated / 20
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert embedding_dedup.near_duplicates(spark.createDataFrame([(1, None, 1)], "vec_id long, embedding array<float>, label int")).collect()[0].n_links == 0
@@ -560,6 +568,16 @@ def test_linked_documents(docs, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_a_row_without_an_id_links_others(spark):
+    """Two documents that are each near a row without an id, and not near each other; copies of that row, and one that links nothing."""
+    w = prose(3, 60).split()
+    bridge = " ".join(w)
+    rows = [(910001, " ".join([*w[:4], "x", *w[5:]])), (910002, " ".join([*w[:-4], "y", *w[-3:]])), *[(None, bridge)] * 5, (None, prose(8, 40)), (910003, prose(9, 40)), (None, None), (None, "")]
+    assert [r[2] for r in brute_jaccard(rows)[:2]] == [910001, 910001] and len({r[2] for r in brute_jaccard([r for r in rows if r[0]])}) == 3
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert tuples(got, "doc_id", "n_shingles", "component_id") == brute_jaccard(rows)
+
+
 def test_classes_that_share_half_a_digest(spark):
     rows = spark.createDataFrame([(1, 5, 1, 3), (2, 5, 2, 3), (3, 5, 2, 3), (4, 5, 7, 3), (5, 7, 9, 3), (6, 0, 0, 0), (7, 8, 8, 1)], "doc_id long, node long, other long, size int")
     twins = jaccard_join.twins_of(rows)
