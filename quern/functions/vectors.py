@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +36,13 @@ def mean_of(*vectors: Column) -> Column:
     for v in vectors[1:]:
         total = F.zip_with(total, v, lambda x, y: x + y)
     return F.transform(total, lambda x: x / len(vectors))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column as rows of an array; lists of different lengths are an error that says so."""
+    if not len(column):
+        return np.zeros((0, 0))
+    sizes = pc.min_max(pc.list_value_length(column)).as_py()
+    if sizes["min"] != sizes["max"]:
+        raise ValueError(f"vectors of {sizes['min']} and of {sizes['max']} components in one column")
+    return np.asarray(column.flatten()).reshape(len(column), -1)

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.vectors import doubles, l2_norm, mean_of
+from quern.functions.vectors import doubles, l2_norm, matrix, mean_of
 
 FLOOR = 1e-5
+#: Components up to which the whole matrix of moments is decomposed, and components of a band of partial sums.
+FULL, BAND = 2048, 4096
 
 
 def covariance(rows: DataFrame, vector: str) -> DataFrame:
@@ -21,7 +23,7 @@ def covariance(rows: DataFrame, vector: str) -> DataFrame:
         total, n = None, 0
         for batch in batches:
             if batch.num_rows:
-                x = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1)
+                x = matrix(batch.column(0))
                 total = x.T @ x if total is None else total + x.T @ x
                 n += len(x)
         if total is not None:
@@ -32,20 +34,93 @@ def covariance(rows: DataFrame, vector: str) -> DataFrame:
     return sums.groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("value"))
 
 
+def products(rows: DataFrame, vector: str, directions: np.ndarray) -> np.ndarray:
+    """The second moments times a thin matrix (components x few): its partial sums are added in bands of BAND components."""
+    shared = rows.sparkSession.sparkContext.broadcast(directions)
+    blocks = "band int, data binary, n long"
+
+    def packed(bands: dict[int, np.ndarray], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(bands), pa.int32()), pa.array([x.tobytes() for x in bands.values()], pa.binary()), pa.array([n] * len(bands), pa.int64())], names=["band", "data", "n"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thin, total, n = shared.value, None, 0
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(0))
+                part = x.T @ (x @ thin)
+                total, n = part if total is None else np.add(total, part, out=total), n + len(x)
+        if total is not None:
+            yield packed({i: total[at : at + BAND] for i, at in enumerate(range(0, len(total), BAND))}, n)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        counts: dict[int, int] = {}
+        for batch in batches:
+            for band, data, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                x = np.frombuffer(data.as_buffer()).reshape(-1, directions.shape[1])
+                sums[band] = sums[band] + x if band in sums else x
+                counts[band] = counts.get(band, 0) + n
+        for band, x in sums.items():
+            yield packed({band: x}, counts[band])
+
+    parts = rows.select(doubles(vector).alias("v")).dropna().mapInArrow(partial, blocks)
+    bands = parts.repartition("band").mapInArrow(added, blocks).collect()  # components x few numbers
+    shared.destroy()
+    return np.concatenate([np.frombuffer(b.data).reshape(-1, directions.shape[1]) / b.n for b in sorted(bands, key=lambda b: b.band)])
+
+
+def top_directions(rows: DataFrame, vector: str, dim: int, spare: int = 8, most_rounds: int = 40, close: float = 1e-10, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(the `dim` largest eigenvalues of the second moments, their unit vectors as columns) by randomised subspace iteration.
+
+    A random subspace of dim + spare directions is multiplied by the moments, a pass over the rows each time, and made
+    orthogonal, until its eigenvalues change by less than `close` of the largest. The driver holds components x (dim + spare)
+    numbers, never components x components.
+    """
+    size = rows.agg(F.max(F.size(vector))).first()[0] or 0
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, dim + spare))))[0]
+    before = np.zeros(q.shape[1])
+    for _ in range(most_rounds):
+        y = products(rows, vector, q)
+        small = q.T @ y
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        vectors = q @ turn
+        settled = np.abs(values - before)[:dim].max(initial=0) <= close * max(values[0], 1e-300)
+        before = values
+        if settled:
+            break
+        q = np.linalg.qr(y @ turn)[0]
+    return values[:dim], vectors[:, :dim]
+
+
 class Whitening:
-    """Principal directions of a dim x dim covariance, which the driver decomposes; eigenvalues under FLOOR of the largest count as that."""
+    """Principal directions of the second moments; eigenvalues under FLOOR of the largest count as that.
+
+    Up to FULL components the driver decomposes the whole matrix. Beyond it, top_directions() finds those asked for, and the
+    energy of the others is the rest of the trace, without the floor.
+    """
 
     def __init__(self, cov: np.ndarray, dim: int, whiten: float = 0.5, mean: np.ndarray | None = None):
         values, vectors = np.linalg.eigh(cov)
-        values = np.maximum(values, FLOOR * values.max())
         order = np.argsort(-values)[:dim]
-        self.energy = float(100 * values[order].sum() / values.sum())
-        self.directions = (vectors[:, order] / values[order] ** whiten).T
+        floor = FLOOR * values.max()
+        self._take(values[order], vectors[:, order], float(np.maximum(values, floor).sum()), whiten, mean)
+
+    def _take(self, values: np.ndarray, vectors: np.ndarray, total: float, whiten: float, mean: np.ndarray | None) -> None:
+        values = np.maximum(values, FLOOR * values.max())
+        self.energy = float(100 * values.sum() / total)
+        self.values = values
+        self.directions = (vectors / values**whiten).T
         self.mean = mean
 
     @classmethod
-    def fit(cls, rows: DataFrame, vector: str, dim: int, whiten: float = 0.5) -> Whitening:
-        cells = covariance(rows, vector).collect()  # dim * dim numbers
+    def fit(cls, rows: DataFrame, vector: str, dim: int, whiten: float = 0.5, full: int = FULL) -> Whitening:
+        n, size, trace = rows.filter(F.col(vector).isNotNull()).agg(F.count("*"), F.max(F.size(vector)), F.avg(F.pow(l2_norm(doubles(vector)), 2))).first()
+        if n and size > full:
+            out = cls.__new__(cls)
+            out._take(*top_directions(rows, vector, dim), trace, whiten, None)
+            return out
+        cells = covariance(rows, vector).collect()  # at most full * full numbers
         size = max((c.i for c in cells), default=-1) + 1
         cov = np.zeros((size, size))
         for c in cells:
@@ -62,7 +137,7 @@ class Whitening:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = np.asarray(batch.column(batch.num_columns - 1).flatten()).reshape(batch.num_rows, -1)
+                x = matrix(batch.column(batch.num_columns - 1))
                 y = (x if mean is None else x - mean) @ directions.T
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32)), pa.array(y.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=schema.names)

@@ -95,15 +95,6 @@ def synchronized(meters: DataFrame) -> DataFrame:
     return meters.groupBy("name").agg(F.sum("count").alias("count"), F.sum("total").alias("total"))
 
 
-def runs(series: DataFrame, order: list[str], value: str, by: list[str]) -> DataFrame:
-    """(by, run, value, length, until): runs of equal consecutive values, and how many rows end with each."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    change = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    marked = series.select(*by, *order, value, change.alias("change")).withColumn("run", F.sum("change").over(w))
-    lengths = marked.groupBy(*by, "run").agg(F.first(value).alias(value), F.count("*").alias("length"))
-    return lengths.withColumn("until", F.sum("length").over(Window.partitionBy(*by).orderBy("run")))
-
-
 def static_worker(index: Column, n_rows: Column, n_workers: int) -> Column:
     """The worker of row `index` under equal ranges whose remainder goes to the last; with fewer rows than workers, the last."""
     size = F.floor(n_rows / n_workers)

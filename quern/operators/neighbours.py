@@ -10,6 +10,9 @@ merged in two steps, so that no list grows with the table.
 Ties of distance go to the smaller training id, ties of votes to the smaller label.
 
 places() ranks all training vectors of each query, without a limit, and returns the places of those that share its label or id.
+Past BROADCAST_BYTES it does so by counting: one pass over the pairs of blocks finds the distances of the rows that are asked
+for, which are written; a second pass meets them with every block again and counts, for each, the block's rows that come before
+it. Only those rows and their counts are shuffled, never a row for each pair.
 """
 
 from __future__ import annotations
@@ -19,9 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.vectors import matrix
+from quern.session import shared_dir, stored
+
 K = 5
 BLOCK_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
@@ -54,10 +60,6 @@ def nearest(queries: np.ndarray, ids: np.ndarray, train: np.ndarray, k: int) ->
     return d, at
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
 def packed(train: DataFrame) -> DataFrame:
     """(block, ids, labels, vectors): BLOCK_ROWS training rows as one row, where a partition has as many."""
 
@@ -175,23 +177,76 @@ def places(queries: DataFrame, train: DataFrame, query_id: str, train_id: str, v
         spread = q.repartition(max(1, math.ceil(q.count() * n / TASK_PAIRS)))
         found = spread.mapInArrow(apply, "q long, t long, place long")
     else:
-        query_blocks = packed(q).withColumnsRenamed({"ids": "q_ids", "labels": "q_labels", "vectors": "q_vectors"})
-
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    q_ids, q_labels, q_vectors, *block = (c[i].as_buffer() for c in batch.columns)
-                    ids, labels, vectors = unpack(*block)
-                    for q_id, q_label, query in zip(*unpack(q_ids, q_labels, q_vectors), strict=True):
-                        own = (labels == q_label) | (ids == q_id)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(ids), q_id), ids, distances(query, vectors), own)], names=["q", "t", "d", "own"])
-
-        pairs = query_blocks.crossJoin(packed(t)).mapInArrow(apply, "q long, t long, d double, own boolean")
-        place = F.row_number().over(Window.partitionBy("q").orderBy("d", "t")) - 1
-        found = pairs.withColumn("place", place.cast("long")).filter("own")
+        found = counted(q, packed(t))
     return found.select(F.col("q").alias(query_id), F.col("t").alias("train_id"), "place")
 
 
+def counted(q: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(q, t, place) of the rows that share a query's label or id, by counting the rows before them in every block."""
+    spark = q.sparkSession
+    path = shared_dir(spark, "places")
+    names = {"ids": "q_ids", "labels": "q_labels", "vectors": "q_vectors"}
+    blocks = stored(blocks, f"{path}/blocks")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, q_labels, q_vectors, *block = (c[i].as_buffer() for c in batch.columns)
+                ids, labels, vectors = unpack(*block)
+                for q_id, q_label, query in zip(*unpack(q_ids, q_labels, q_vectors), strict=True):
+                    at = np.flatnonzero((labels == q_label) | (ids == q_id))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(at), q_id), ids[at], distances(query, vectors[at]))], names=["q", "t", "d"])
+
+    # blocks of a stated query set with blocks of all rows: rows are BLOCK_ROWS vectors each
+    pairs = packed(q).withColumnsRenamed(names).crossJoin(blocks)
+    wanted = stored(pairs.mapInArrow(own, "q long, t long, d double").groupBy("q", "t", "d").agg(F.count("*").alias("copies")), f"{path}/wanted")
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(query id, vector, ids, distances): a query's wanted rows of a batch, in order."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q_ids, ids, far = (np.asarray(batch.column(c)) for c in ("q", "t", "d"))
+            vectors = batch.column("v")
+            order = np.lexsort((ids, far, q_ids))
+            for part in np.split(order, np.flatnonzero(np.diff(q_ids[order])) + 1):
+                vector = np.asarray(vectors[int(part[0])].values, np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([q_ids[part[0]]]), *(pa.array([x.tobytes()], pa.binary()) for x in (vector, ids[part], far[part]))], names=["q", "vector", "w_ids", "w_far"])
+
+    # a query's vector is joined to its wanted rows, dealt by both ids, so that a query with many of them is many tasks' work
+    asked = salted(wanted, q.select(F.col("i").alias("q"), "v")).mapInArrow(bounds, "q long, vector binary, w_ids binary, w_far binary")
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_id, vector, w_ids, w_far = batch.column(0)[i].as_py(), *(batch.column(c)[i].as_buffer() for c in range(1, 4))
+                ids, _, vectors = unpack(*(batch.column(c)[i].as_buffer() for c in range(4, 7)))
+                w_ids, w_far = np.frombuffer(w_ids, np.int64), np.frombuffer(w_far, np.float64)
+                n = ahead(w_ids, w_far, ids, distances(np.frombuffer(vector, np.float64), vectors))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), q_id)), pa.array(w_ids), pa.array(w_far), pa.array(n)], names=["q", "t", "d", "n"])
+
+    counts = asked.crossJoin(blocks).mapInArrow(before, "q long, t long, d double, n long").groupBy("q", "t", "d").agg(F.sum("n").alias("place"))
+    # rows of one id at one distance stand one after the other
+    once = counts.join(wanted, ["q", "t", "d"])
+    return once.select("q", "t", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("copies") - 1)).alias("place"))
+
+
+def salted(wanted: DataFrame, q: DataFrame) -> DataFrame:
+    """Wanted rows with their query's vector; a query's rows are dealt to SALTS tasks."""
+    several = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return wanted.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int")).join(several, ["q", "salt"]).select("q", "t", "d", "v")
+
+
+def ahead(w_ids: np.ndarray, w_far: np.ndarray, ids: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """How many of the rows come before each wanted one, by distance and then by id."""
+    order = np.lexsort((ids, far))
+    ids, far = ids[order], far[order]
+    low, high = np.searchsorted(far, w_far, "left"), np.searchsorted(far, w_far, "right")
+    for i in np.flatnonzero(high > low):  # rows at the same distance, itself among them
+        low[i] += np.searchsorted(ids[low[i] : high[i]], w_ids[i])
+    return low
+
+
 def vote(found: DataFrame, query_id: str) -> DataFrame:
     """(query_id, prediction): the most frequent label, the smallest of several."""
     votes = found.groupBy(query_id, "label").agg(F.count("*").alias("votes"))

@@ -1,13 +1,16 @@
 """From directories of tiles to predictions: decode, transform, embed, classify, write.
 
-One job for any number of countries: the country is a column, and results are partitioned by it. A directory that lacks
-tiles is an error of its own and is named; the others still run.
+One plan for any number of countries: all directories are one scan, the country is a column that comes from a tile's path, and
+model and training vectors are broadcast once. A directory that lacks tiles is named and left out before; a tile that fails in
+the model is a row of its country's failures, and the others go on.
 """
 
 from __future__ import annotations
 
 import argparse
+from dataclasses import dataclass
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,35 +19,70 @@ from quern.session import shared_dir, stored
 from quern.sources import checkpoints, images
 
 
-def embeddings(spark: SparkSession, directory: str, model: vision.Transformer, side: int = images.RESIZE) -> DataFrame:
-    """(file_name, decode_ok, embedding) of a directory's tiles."""
-    images.tiles(spark, directory)  # a missing or empty directory
-    rows = images.transformed(images.decoded(spark, directory), side, model.shape.side)
-    return vision.embed(rows, ["file_name", "decode_ok"], "pixels", model)
+def embeddings(spark: SparkSession, directories: str | list[str], model: vision.Transformer | Broadcast, side: int = images.RESIZE, crop: int | None = None) -> DataFrame:
+    """(folder, file_name, decode_ok, embedding, error) of the tiles of one or several directories, each transformed where it is embedded."""
+    net = model if isinstance(model, Broadcast) else vision.shared(spark, model)
+    prepare = images.Prepared(side, crop or net.value.shape.side)
+    return vision.embed(images.decoded(spark, directories), ["folder", "file_name", "decode_ok"], prepare, net, errors=True)
+
 
+def classified(rows: DataFrame, train: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and prediction of stored embeddings; a row without one has none."""
+    votes = neighbours.classify(rows.select("row", "embedding"), train, "row", "train_id", "embedding", "label")
+    return rows.select("row", *keep).join(votes, "row", "left").select(*keep, "prediction")
 
-def predictions(spark: SparkSession, directory: str, model: vision.Transformer, train: DataFrame, side: int = images.RESIZE) -> DataFrame:
+
+def predictions(spark: SparkSession, directory: str, model: vision.Transformer | Broadcast, train: DataFrame, side: int = images.RESIZE) -> DataFrame:
     """(file_name, prediction, decode_ok). The model sees every tile once: embeddings are stored, as the classifier and the result read them."""
+    images.tiles(spark, directory)  # a missing or empty directory
     rows = embeddings(spark, directory, model, side).withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows, f"{shared_dir(spark, 'tiles')}/embeddings")
-    votes = neighbours.classify(rows.select("row", "embedding"), train, "row", "train_id", "embedding", "label")
-    return rows.select("row", "file_name", "decode_ok").join(votes, "row").select("file_name", "prediction", "decode_ok")
+    if failed := rows.filter("error IS NOT NULL").select("file_name", "error").first():
+        raise RuntimeError(f"{failed.file_name}: {failed.error}")
+    return classified(rows, train, ["file_name", "decode_ok"]).select("file_name", "prediction", "decode_ok")
+
 
+@dataclass
+class ByCountry:
+    """predictions: (country, file_name, prediction, decode_ok); failures: (country, file_name, error) of tiles; missing: countries without tiles."""
 
-def predictions_by_country(spark: SparkSession, directories: dict[str, str], model: vision.Transformer, train: DataFrame, side: int = images.RESIZE) -> tuple[DataFrame | None, dict[str, str]]:
-    """(country, file_name, prediction, decode_ok) of all countries, and the countries that failed with the reason.
+    predictions: DataFrame | None
+    failures: DataFrame | None
+    missing: dict[str, str]
 
-    A country's tiles are embedded before the next one's, so a failure at run time is that country's own.
-    """
-    out, failed = None, {}
+
+def by_country(spark: SparkSession, directories: dict[str, str], model: vision.Transformer | Broadcast, train: DataFrame, side: int = images.RESIZE, crop: int | None = None) -> ByCountry:
+    """All countries in one job; no tables if none of them has a tile."""
+    missing, found = {}, {}
     for country, directory in directories.items():
         try:
-            rows = predictions(spark, directory, model, train, side).select(F.lit(country).alias("country"), "file_name", "prediction", "decode_ok")
+            images.tiles(spark, directory)  # looks for one file
+            found[country] = directory
         except Exception as error:  # noqa: BLE001 a country's failure is reported and does not stop the others
-            failed[country] = str(error).splitlines()[0]
-            continue
-        out = rows if out is None else out.unionByName(rows)
-    return out, failed
+            missing[country] = str(error).splitlines()[0]
+    if not found:
+        return ByCountry(None, None, missing)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    bare = lambda d: str(path(d).toUri().getPath()).rstrip("/")
+    names = F.create_map(*[x for country, d in found.items() for x in (F.lit(bare(d)), F.lit(country))])  # a country each
+    folder = F.regexp_replace("folder", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+    rows = embeddings(spark, list(found.values()), model, side, crop).withColumn("country", names[folder]).withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows, f"{shared_dir(spark, 'tiles')}/embeddings")
+    good = rows.filter("error IS NULL")
+    return ByCountry(
+        classified(good, train, ["country", "file_name", "decode_ok"]).select("country", "file_name", "prediction", "decode_ok"),
+        rows.filter("error IS NOT NULL").select("country", "file_name", "error"),
+        missing,
+    )
+
+
+def predictions_by_country(spark: SparkSession, directories: dict[str, str], model: vision.Transformer | Broadcast, train: DataFrame, side: int = images.RESIZE, crop: int | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """(country, file_name, prediction, decode_ok) of all tiles that have one, and the countries that lack tiles or have failed ones, with the reason."""
+    done = by_country(spark, directories, model, train, side, crop)
+    if done.predictions is None:
+        return None, done.missing
+    counted = done.failures.groupBy("country").agg(F.count("*").alias("n"), F.min(F.struct("file_name", "error")).alias("first")).collect()  # a row a country
+    return done.predictions, done.missing | {r["country"]: f"{r['n']} tiles failed, {r['first']['file_name']} with {r['first']['error']}" for r in counted}
 
 
 def main(args: list[str] | None = None) -> None:

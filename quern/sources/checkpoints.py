@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +78,38 @@ def load_model(path: str, name: str = "vit_base", patch: int = 16, key: str = "t
     return Transformer(shape, weights)
 
 
+@dataclass
+class Restart:
+    """States and scalars after a restart, and (key, status) of what was asked for: loaded, not found, or how names differ."""
+
+    states: dict[str, dict[str, np.ndarray]]
+    variables: dict[str, Any]
+    found: list[tuple[str, str]]
+
+
+def restarted(path: str, states: dict[str, dict[str, np.ndarray] | None], variables: dict[str, Any] | None = None) -> Restart:
+    """States by key, and variables by name, as a checkpoint archive has them.
+
+    A missing file changes nothing and reports nothing. Of a state, tensors of the same name and size are taken and the others
+    stay, which the report says; a key that the file lacks, or whose state is None, stays as it is. Variables that the file
+    lacks keep their values.
+    """
+    out, values, found = dict(states), dict(variables or {}), []
+    if not os.path.isfile(path):
+        return Restart(out, values, found)
+    tree = tensors.read_archive(path)
+    for key, state in states.items():
+        if state is None or key not in tree:
+            found.append((key, "not found"))
+            continue
+        theirs = {n: x for n, x in tree[key].items() if isinstance(x, np.ndarray)}
+        fitting = {n: x for n, x in theirs.items() if n in state and x.shape == state[n].shape}
+        out[key] = {**state, **fitting}
+        missing, unexpected = sorted(set(state) - set(fitting)), sorted(set(theirs) - set(state))
+        found.append((key, f"loaded; missing {missing}, unexpected {unexpected}" if missing or unexpected else "loaded"))
+    return Restart(out, values | {n: tree[n] for n in values if n in tree}, found)
+
+
 def load_linear(path: str, name: str = "linear") -> tuple[np.ndarray, np.ndarray]:
     """(weights, bias) of a linear classifier; any other content is an error."""
     weights = read_weights(path, "state_dict")

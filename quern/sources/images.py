@@ -12,42 +12,67 @@ from pyspark.sql import functions as F
 
 from quern.functions.scalars import basename
 from quern.operators.vision import cubic_matrix
+from quern.sources import rasters
+from quern.sources.tile_source import contents
 
 #: Channel means and deviations of the training images, and the transform's sizes.
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 RESIZE, CROP = 64, 224
 
 
+PATTERN = "*.[tT][iI][fF]"
+DECODED = "folder string, file_name string, decode_ok boolean, height int, width int, pixels binary"
+
+
 def tiles(spark: SparkSession, directory: str) -> DataFrame:
-    """(path, file_name) of the .tif files of a directory, whatever the case; a missing directory and an empty one are errors."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][iI][fF]").load(directory)
-    names = files.select("path", basename(F.col("path")).alias("file_name"))
+    """(path, file_name) of the .tif files of a directory, whatever the case; a missing directory and an empty one are errors.
+
+    Names that Spark's file sources hide (with a leading _ or .) are among them.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", PATTERN).load(directory)
+    names = files.select("path", basename(F.col("path")).alias("file_name")).unionByName(contents(spark, directory, only_hidden=True).select("path", "file_name"))
     if names.isEmpty():
         raise ValueError(f"no .tif files in {directory}")
     return names
 
 
-def decoded(spark: SparkSession, directory: str) -> DataFrame:
-    """(file_name, decode_ok, height, width, pixels): RGB bytes row by row; an unreadable file is a black 224 x 224 image.
+def decoded(spark: SparkSession, directories: str | list[str]) -> DataFrame:
+    """(folder, file_name, decode_ok, height, width, pixels): RGB bytes row by row; an unreadable file is a black 224 x 224 image.
 
-    Files are read once, by the JVM's decoder, which gives a row for what it cannot read, and percent-encodes the path.
+    Files are read once, by the JVM's decoder, which gives a row for what it cannot read, and percent-encodes the path; those
+    that Spark's sources hide come from the tile source, through the library's own decoder. One plan for all directories.
     """
-    images = spark.read.format("image").option("pathGlobFilter", "*.[tT][iI][fF]").load(directory).select("image.*")
-    name = basename(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B"))))
-    rows = images.select(name.alias("file_name"), "height", "width", "nChannels", "mode", "data")
-    schema = "file_name string, decode_ok boolean, height int, width int, pixels binary"
+    several = [directories] if isinstance(directories, str) else list(directories)
+    images = spark.read.format("image").option("pathGlobFilter", PATTERN).load(several).select("image.*")
+    path = F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))
+    rows = images.select(F.regexp_replace(path, "/[^/]*$", "").alias("folder"), basename(path).alias("file_name"), "height", "width", "nChannels", "mode", "data")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [], [], [], [], []
-            for name, h, w, c, mode, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for i in range(batch.num_rows):
+                h, w, c, mode, data = (batch.column(j)[i].as_py() for j in range(2, 7))
                 ok = mode is not None and mode >= 0 and data is not None and h * w * c == len(data)
                 rgb = to_rgb(np.frombuffer(data, np.uint8).reshape(h, w, c)) if ok else np.zeros((CROP, CROP, 3), np.uint8)
-                for column, value in zip(out, (name, ok, *rgb.shape[:2], rgb.tobytes()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["file_name", "decode_ok", "height", "width", "pixels"])
+                yield tile_row(batch.slice(i, 1).columns[:2], ok, rgb)
+
+    return rows.mapInArrow(apply, DECODED).unionByName(decoded_contents(contents(spark, several, only_hidden=True)))
 
-    return rows.mapInArrow(apply, schema)
+
+def decoded_contents(files: DataFrame) -> DataFrame:
+    """The same columns from files' bytes (path, file_name, content), at rest or in a stream."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for ok, rgb in rasters.substituted([batch.column(2)[i].as_py()], CROP):
+                    yield tile_row(batch.slice(i, 1).columns[:2], ok, rgb)
+
+    return files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "file_name", "content").mapInArrow(apply, DECODED)
+
+
+def tile_row(names: list[pa.Array], ok: bool, rgb: np.ndarray) -> pa.RecordBatch:
+    values = [pa.array([ok]), pa.array([rgb.shape[0]], pa.int32()), pa.array([rgb.shape[1]], pa.int32()), pa.array([rgb.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays([*names, *values], names=["folder", "file_name", "decode_ok", "height", "width", "pixels"])
 
 
 def to_rgb(bgr: np.ndarray) -> np.ndarray:
@@ -103,18 +128,31 @@ def augmented(image: np.ndarray, rng: np.random.Generator, blur: float = 0.5, so
     return solarized(image) if rng.random() < solarize else image
 
 
+class Prepared:
+    """Decoded images (height, width, pixels) as (image, channel, row, column) floats: resized, cropped and normalized."""
+
+    columns = ("height", "width", "pixels")
+
+    def __init__(self, side: int = RESIZE, crop: int = CROP):
+        self.side, self.crop = side, crop
+
+    def __call__(self, rows: pa.RecordBatch) -> np.ndarray:
+        values = zip(*(c.to_pylist() for c in rows.columns), strict=True)
+        return np.stack([normalized(center_crop(resize(np.frombuffer(p, np.uint8).reshape(h, w, 3), self.side), self.crop)) for h, w, p in values])
+
+
 def transformed(images: DataFrame, side: int = RESIZE, crop: int = CROP) -> DataFrame:
     """(file_name, decode_ok, pixels): decoded images resized, cropped and normalized to flat float arrays."""
+    prepare = Prepared(side, crop)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 16):
                 part = batch.slice(i, 16)
-                rows = zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True)
-                pixels = [normalized(center_crop(resize(np.frombuffer(p, np.uint8).reshape(h, w, 3), side), crop)).ravel() for h, w, p in rows]
+                pixels = list(prepare(part.select(list(prepare.columns))).reshape(part.num_rows, -1))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pixels, pa.list_(pa.float32()))], names=["file_name", "decode_ok", "pixels"])
 
-    return images.select("file_name", "decode_ok", "height", "width", "pixels").mapInArrow(apply, "file_name string, decode_ok boolean, pixels array<float>")
+    return images.select("file_name", "decode_ok", *prepare.columns).mapInArrow(apply, "file_name string, decode_ok boolean, pixels array<float>")
 
 
 def write_results(results: DataFrame, path: str, one_file: bool = False) -> None:

@@ -1,7 +1,8 @@
 """Tiles and metrics as they arrive.
 
-A directory of tiles is a stream of files; each micro-batch is decoded, embedded and classified by the same plan as a
-directory at rest. Metrics of workers are added up in event-time windows with a watermark.
+A directory of tiles is a stream of files; images.decoded_contents() turns it into a stream of decoded tiles, which the
+transforms and the model take as they take those at rest. Files whose names begin with _ or . do not appear in a stream, as
+Spark's file stream leaves them out. Metrics of workers are added up in event-time windows with a watermark.
 """
 
 from __future__ import annotations

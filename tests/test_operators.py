@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import scalars, vectors
-from quern.operators import evaluation, linear, meters, neighbours, vision
+from quern.operators import evaluation, linear, meters, neighbours, ranges, vision
 from quern.plans import catalog
 
 POINTS = [(1, 0, 0, 0), (2, 2, 0, 0), (3, 0, 2, 1), (4, -3, 0, 1), (5, 0, -4, 2), (6, 4, 0, 2), (7, 30, 1, 0), (8, 1, 30, 1)]
@@ -96,7 +96,7 @@ def test_reductions(spark):
 
 def test_runs(spark):
     rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(["x", "x", None, None, "y", "x"])], "k int, at int, v string")
-    assert [(r.v, r.length, r.until) for r in meters.runs(rows, ["at"], "v", ["k"]).orderBy("run").collect()] == [("x", 2, 2), (None, 2, 4), ("y", 1, 5), ("x", 1, 6)]
+    assert [(r.v, r.length, r.until) for r in ranges.runs(rows, ["at"], "v", ["k"]).orderBy("run").collect()] == [("x", 2, 2), (None, 2, 4), ("y", 1, 5), ("x", 1, 6)]
 
 
 @pytest.mark.parametrize(("n", "w", "want"), [(10, 3, [0, 0, 0, 1, 1, 1, 2, 2, 2, 2]), (3, 4, [3, 3, 3]), (8, 4, [0, 0, 1, 1, 2, 2, 3, 3])])
@@ -281,7 +281,7 @@ def test_truncated_weights():
 
 
 def test_steps_with_momentum(spark):
-    from quern.operators import linear
+    from quern.operators import linear, ranges
 
     rows = spark.createDataFrame([(1, [3.0, 4.0], [0.0, 1.0], [1.0, 2.0])], "id int, p array<double>, g array<double>, mu array<double>")
     got = rows.select(linear.adaptive_step(F.col("p"), F.col("g"), F.col("mu"), F.array(F.lit(1), F.lit(2)), 0.1, 0.5, 0.01).alias("s")).first().s

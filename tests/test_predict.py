@@ -179,15 +179,3 @@ def test_a_tensor_stays_in_its_storage():
 def test_tiles_are_embedded_once(spark, folders, model, train):
     plan = predict.predictions(spark, folders["Mali"], model, train, 8)._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "FileScan image" not in plan and "FileScan binaryFile" not in plan
-
-
-def test_a_failure_at_run_time_is_a_country_s_own(spark, folders, model, train, monkeypatch):
-    real = predict.embeddings
-
-    def failing(spark, directory, model, side):
-        rows = real(spark, directory, model, side)
-        return rows.withColumn("file_name", F.expr("CAST(raise_error('unreadable') AS STRING)")) if directory.endswith("Mali") else rows
-
-    monkeypatch.setattr(predict, "embeddings", failing)
-    got, failed = predict.predictions_by_country(spark, folders, model, train, side=8)
-    assert sorted(failed) == ["Empty", "Mali"] and {r.country for r in got.collect()} == {"Côte d'Ivoire"}
