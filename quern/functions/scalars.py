@@ -55,15 +55,26 @@ def frozen_gradient(gradient: Column, name: Column, epoch: Column, freeze_last_l
     return F.when((epoch < freeze_last_layer) & name.contains("last_layer"), None).otherwise(gradient)
 
 
-def cosine_schedule(spark: SparkSession, base: float, final: float, epochs: int, per_epoch: int, warmup_epochs: int = 0, start: float = 0.0) -> DataFrame:
-    """(step, value): a linear warm-up that ends at base, then half a cosine towards final."""
+def scheduled(step: Column, base: float, final: float, epochs: int, per_epoch: int, warmup_epochs: int = 0, start: float = 0.0) -> Column:
+    """The schedule's value at a step, counted from 0: a linear warm-up that ends at base, then half a cosine towards final."""
     warm, total = warmup_epochs * per_epoch, epochs * per_epoch
     if total < warm:
         raise ValueError("the warm-up is longer than the schedule")
-    step = F.col("step")
     up = F.lit(start) + step * ((base - start) / (warm - 1) if warm > 1 else 0.0)
     down = F.lit(final) + 0.5 * (base - final) * (1 + F.cos(math.pi * (step - warm) / max(1, total - warm)))
-    return spark.range(total).select(F.col("id").alias("step")).select("step", F.when(step < warm, up).otherwise(down).alias("value"))
+    return F.when(step < warm, up).otherwise(down)
+
+
+def cosine_schedule(spark: SparkSession, base: float, final: float, epochs: int, per_epoch: int, warmup_epochs: int = 0, start: float = 0.0) -> DataFrame:
+    """(step, value) of the whole schedule."""
+    value = scheduled(F.col("step"), base, final, epochs, per_epoch, warmup_epochs, start)
+    return spark.range(epochs * per_epoch).select(F.col("id").alias("step")).withColumn("value", value)
+
+
+def seeded_uniform(key: Column, seed: int = 31) -> Column:
+    """A number in [0, 1) for each key, the same for the same seed however rows are dealt: 52 bits of a digest."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def norm_cdf(x: np.ndarray) -> np.ndarray:
@@ -84,17 +95,24 @@ def with_norm_cdf(df: DataFrame, x: str, name: str) -> DataFrame:
     return df.mapInArrow(apply, schema)
 
 
-def truncated_normal(spark: SparkSession, n: int, mean: float = 0.0, std: float = 1.0, low: float = -2.0, high: float = 2.0, seed: int = 31) -> DataFrame:
-    """(id, value): n draws of a normal variable given that it lies in [low, high], by the inverse distribution function."""
+def with_truncated_normal(df: DataFrame, u: str, name: str, mean: float = 0.0, std: float = 1.0, low: float = -2.0, high: float = 2.0) -> DataFrame:
+    """df with draws of a normal variable given that it lies in [low, high], by the inverse distribution function of a uniform column; null stays null."""
     from statistics import NormalDist
 
     lo, hi = norm_cdf(np.array([(low - mean) / std, (high - mean) / std]))
+    schema = df.withColumn(name, F.lit(None).cast("double")).schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inverse = NormalDist().inv_cdf
         for batch in batches:
-            u = lo + np.asarray(batch.column(1)) * (hi - lo)
-            values = [min(high, max(low, mean + std * inverse(min(max(x, 1e-16), 1 - 1e-16)))) for x in u.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], names=["id", "value"])
+            uniform = batch.column(batch.schema.get_field_index(u)).cast(pa.float64())
+            p = np.clip(lo + uniform.fill_null(0.5).to_numpy() * (hi - lo), 1e-16, 1 - 1e-16)
+            values = [min(high, max(low, mean + std * inverse(x))) for x in p.tolist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64(), mask=uniform.is_null().to_numpy(zero_copy_only=False))], names=schema.names)
+
+    return df.mapInArrow(apply, schema)
+
 
-    return spark.range(n).select("id", F.rand(seed).alias("u")).mapInArrow(apply, "id long, value double")
+def truncated_normal(spark: SparkSession, n: int, mean: float = 0.0, std: float = 1.0, low: float = -2.0, high: float = 2.0, seed: int = 31) -> DataFrame:
+    """(id, value): n draws of a normal variable given that it lies in [low, high]."""
+    return with_truncated_normal(spark.range(n).withColumn("u", F.rand(seed)), "u", "value", mean, std, low, high).drop("u")

@@ -310,20 +310,24 @@ def u2_crop_outputs(spark, d):
 
 
 def s8_countries(spark, d):
-    return countries(spark, "tiles")
+    """Every country with its directory and the number of its tiles, customers dealt out by their key."""
+    number = F.pmod("c_custkey", F.lit(len(COUNTRIES)))
+    tiles = table(spark, d, "customer").groupBy(F.get(F.array(*map(F.lit, COUNTRIES)), number.cast("int")).alias("country")).agg(F.count("*").alias("tiles"))
+    return countries(spark, "tiles").join(tiles, "country", "left").select("country", "directory", F.coalesce("tiles", F.lit(0).cast("long")).alias("tiles"))
 
 
 # --- schedules and random numbers
 
 
 def f1_cosine_schedule(spark, d):
-    return scalars.cosine_schedule(spark, **SCHEDULE).select("step", rounded(F.col("value"), 9).alias("value"))
+    """The schedule's value at each event's step."""
+    value = scalars.scheduled(F.col("event_id") % (SCHEDULE["epochs"] * SCHEDULE["per_epoch"]), **SCHEDULE)
+    return table(spark, d, "events").select("event_id", rounded(value, 9).alias("value"))
 
 
 def f4_seeded_noise(spark, d):
-    """The same numbers for the same seed, whatever else runs."""
-    a, b = (spark.range(0, 1000, 1, 4).select("id", F.rand(31).alias("r")) for _ in range(2))
-    return a.join(b.withColumnRenamed("r", "again"), "id").agg(F.bool_and(F.col("r") == F.col("again")).alias("same"), F.count("*").alias("n"))
+    """A number for each event, the same for the same seed."""
+    return table(spark, d, "events").select("event_id", scalars.seeded_uniform(F.col("event_id"), 31).alias("noise"))
 
 
 def f3_norm_cdf(spark, d):
@@ -332,7 +336,11 @@ def f3_norm_cdf(spark, d):
 
 
 def f2_truncated_normal(spark, d):
-    return scalars.truncated_normal(spark, 10_000, 0.0, 0.02, -0.04, 0.04)
+    """Truncated normal draws of the events, from their seeded uniform numbers, and the share of the normal distribution below each."""
+    rows = table(spark, d, "events").select("event_id", scalars.seeded_uniform(F.col("event_id"), 7).alias("u"))
+    drawn = scalars.with_truncated_normal(rows, "u", "value", 0.0, 0.02, -0.04, 0.02)
+    below = scalars.with_norm_cdf(drawn.withColumn("z", F.col("value") / 0.02), "z", "p")
+    return below.select("event_id", F.col("value").between(-0.04, 0.02).alias("inside"), rounded(F.col("p"), 9).alias("p"))
 
 
 def f5_adaptive_step(spark, d):
@@ -383,6 +391,10 @@ FRAME = "OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 19 PRE
 SO_FAR = "OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 LAST_FIVE = "round(x, 6) + 0.0"
 
+def seeded(seed: int) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || event_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
 ORACLES = {
     "p1_suffix_filter": "SELECT page_id, url FROM pages WHERE lower(url) LIKE '%0'",
     "p2_basename": "SELECT page_id, list_extract(string_split(url, '/'), -1) AS name FROM pages",
@@ -447,8 +459,14 @@ ORACLES = {
     """,
     "u1_combined": "SELECT vec_id, label FROM embeddings UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id < 10",
     "u2_crop_outputs": f"WITH {E} SELECT vec_id, 0 AS crop, round(list_sum(v), 6) + 0.0 AS v FROM e UNION ALL SELECT vec_id, 1, round(list_sum(v[1:16]), 6) + 0.0 FROM e",
-    "s8_countries": "SELECT country, 'tiles/' || country AS directory FROM (VALUES " + ", ".join("('" + c.replace("'", "''") + "')" for c in COUNTRIES) + ") AS c(country)",
-    "f4_seeded_noise": "SELECT true AS same, CAST(1000 AS BIGINT) AS n",
+    "s8_countries": "SELECT country, 'tiles/' || country AS directory, count(c_custkey) AS tiles FROM (VALUES " + ", ".join(f"({i}, '" + c.replace("'", "''") + "')" for i, c in enumerate(COUNTRIES))
+    + f") AS c(i, country) LEFT JOIN customer ON c_custkey % {len(COUNTRIES)} = i GROUP BY country",
+    "f4_seeded_noise": f"SELECT event_id, {seeded(31)} AS noise FROM events",
+    "f2_truncated_normal": f"""
+        WITH RECURSIVE term AS (SELECT x, 0 AS k, x AS t FROM (VALUES (-2.0::DOUBLE), (1.0::DOUBLE)) v(x) UNION ALL SELECT x, k + 1, t * x * x / (2 * k + 3) FROM term WHERE k < 80),
+        p AS (SELECT x, 0.5 + exp(-x * x / 2) / sqrt(2 * pi()) * sum(t) AS p FROM term GROUP BY x)
+        SELECT event_id, true AS inside, round(lo.p + {seeded(7)} * (hi.p - lo.p), 9) + 0.0 AS p FROM events, p lo, p hi WHERE lo.x < 0 AND hi.x > 0
+    """,
     "f3_norm_cdf": """
         WITH RECURSIVE x AS (SELECT event_id, (event_id % 601 - 300) / 100.0::DOUBLE AS x FROM events),
         term AS (SELECT DISTINCT x, 0 AS k, x AS t FROM x UNION ALL SELECT x, k + 1, t * x * x / (2 * k + 3) FROM term WHERE k < 80),
@@ -457,7 +475,7 @@ ORACLES = {
     """,
     "u3_countries": "SELECT n_name AS country, n_name || '/' || c_custkey AS path FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "f1_cosine_schedule": """
-        SELECT step, round(CASE WHEN step < 40 THEN 0.001 + step * (0.499 / 39) ELSE 0.01 + 0.5 * 0.49 * (1 + cos(pi() * (step - 40) / 160)) END, 9) + 0.0 AS value FROM (SELECT unnest(range(0, 200)) AS step)
+        SELECT event_id, round(CASE WHEN step < 40 THEN 0.001 + step * (0.499 / 39) ELSE 0.01 + 0.5 * 0.49 * (1 + cos(pi() * (step - 40) / 160)) END, 9) + 0.0 AS value FROM (SELECT event_id, event_id % 200 AS step FROM events)
     """,
     "f5_adaptive_step": f"""
         WITH {E}, g AS (SELECT vec_id, v, CASE WHEN vec_id % 2 = 0 THEN list_transform(v, lambda x: x * x + 0.01 * x) ELSE list_transform(v, lambda x: x * x) END AS g FROM e),
