@@ -5,8 +5,9 @@ picks a few more candidates than k; those are computed again without cancellatio
 more vectors than these are as near as the k-th within rounding, as copies are, all of them are computed again.
 
 If the blocks together are under BROADCAST_BYTES, which is counted, they are broadcast and nothing is shuffled. Otherwise
-query blocks meet training blocks as rows, a task keeps the k best of all the blocks it sees, and those of all tasks are
-merged in two steps, so that no list grows with the table.
+(balls.py) blocks are balls of vectors near a pivot, a block's nearest neighbour gives each query a first k-th distance, and only
+pairs of blocks that the triangle inequality does not rule out meet as rows; their k best are merged in two steps, so that no list
+grows with the table.
 Ties of distance go to the smaller training id, ties of votes to the smaller label.
 
 places() ranks all training vectors of each query, without a limit, and returns the places of those that share its label or id.
@@ -26,40 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import matrix
+from quern.operators import balls
+from quern.operators.balls import distances, nearest, unpack
 from quern.session import shared_dir, stored
 
 K = 5
 BLOCK_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
-SPARE = 8
-#: Query blocks whose best rows a task holds, and tasks among which a query's candidates are dealt.
-HELD_BLOCKS, SALTS = 64, 64
-#: Vectors whose distances to one query are computed at a time, and pairs of a task, when all are ranked.
-NEAR_ROWS = 1024
+#: Tasks among which a query's rows are dealt.
+SALTS = 64
+#: Pairs of a task, when all are ranked.
 TASK_PAIRS = 1 << 22
 
 
-def nearest(queries: np.ndarray, ids: np.ndarray, train: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(squared distances, rows) of the k training vectors nearest to each query, by distance and then by id."""
-    squares = (train * train).sum(1)
-    rough = squares[None, :] - 2 * (queries @ train.T)
-    m = min(len(train), k + SPARE)
-    some = np.argpartition(rough, m - 1, axis=1)[:, :m] if m < len(train) else np.tile(np.arange(len(train)), (len(queries), 1))
-    exact = ((queries[:, None, :] - train[some]) ** 2).sum(2)
-    order = np.lexsort((ids[some], exact), axis=1)[:, :k]
-    d, at = np.take_along_axis(exact, order, 1), np.take_along_axis(some, order, 1)
-    if m < len(train):
-        # all that rounding may place among the k best; where they are more than m, as copies are, each is computed
-        error = 8 * (train.shape[1] + 4) * np.finfo(np.float64).eps * ((queries * queries).sum(1) + squares.max())
-        within = rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + error)[:, None]
-        for i in np.flatnonzero(within.sum(1) > m):
-            more = np.flatnonzero(within[i])
-            far = distances(queries[i], train[more])
-            first = np.lexsort((ids[more], far))[:k]
-            d[i], at[i] = far[first], more[first]
-    return d, at
-
-
 def packed(train: DataFrame) -> DataFrame:
     """(block, ids, labels, vectors): BLOCK_ROWS training rows as one row, where a partition has as many."""
 
@@ -73,11 +53,6 @@ def packed(train: DataFrame) -> DataFrame:
     return train.mapInArrow(apply, "ids binary, labels binary, vectors binary")
 
 
-def unpack(ids: bytes, labels: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(labels, np.int64), np.frombuffer(vectors, np.float64).reshape(len(i), -1)
-
-
 def neighbours(queries: DataFrame, train: DataFrame, query_id: str, train_id: str, vector: str, label: str, k: int = K) -> DataFrame:
     """(query_id, train_id, label, distance2): the k nearest of each query. Rows with a null id, label or vector take no part."""
     q = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).dropna()
@@ -107,41 +82,10 @@ def neighbours(queries: DataFrame, train: DataFrame, query_id: str, train_id: st
 
         found = q.mapInArrow(apply, ddl)
     else:
-        query_blocks = packed(q.select("q", F.lit(0).cast("long").alias("l"), "v")).withColumnsRenamed({"ids": "q_ids", "labels": "q_labels", "vectors": "q_vectors"})
-
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict[bytes, pa.RecordBatch] = {}  # by query block: k rows of each of its queries
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    q_ids, q_labels, q_vectors, *block = (c[i].as_buffer() for c in batch.columns)
-                    ids, _, vectors = unpack(q_ids, q_labels, q_vectors)
-                    new, key = rows(ids, vectors, [unpack(*block)]), q_ids.to_pybytes()
-                    best[key] = nearer(best[key], new) if key in best else new
-                    if len(best) > HELD_BLOCKS:
-                        yield best.pop(next(iter(best)))
-            yield from best.values()
-
-        def nearer(a: pa.RecordBatch, b: pa.RecordBatch) -> pa.RecordBatch:
-            both = pa.Table.from_batches([a, b]).combine_chunks()
-            order = np.lexsort([np.asarray(both.column(c)) for c in (1, 3, 0)])
-            own = np.asarray(both.column(0))[order]
-            place = np.arange(len(own)) - np.searchsorted(own, own)
-            return both.take(pa.array(order[place < k])).to_batches()[0]
-
-        # blocks of a stated query set with blocks of all rows: rows are BLOCK_ROWS vectors each
-        found = query_blocks.crossJoin(packed(t)).mapInArrow(apply, ddl)
-        for by in (["q", F.pmod(F.xxhash64("t"), F.lit(SALTS)).alias("salt")], ["q"]):
-            best = found.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "t", "l"))), 1, k).alias("best"))
-            found = best.select("q", F.inline("best")).select(*names)
+        found = balls.nearest_of_all(q, t, k)
     return found.select(F.col("q").alias(query_id), F.col("t").alias("train_id"), F.col("l").alias("label"), F.col("d").alias("distance2"))
 
 
-def distances(query: np.ndarray, train: np.ndarray) -> np.ndarray:
-    """Squared distances of all training vectors to one query."""
-    parts = [((query - train[at : at + NEAR_ROWS]) ** 2).sum(1) for at in range(0, len(train), NEAR_ROWS)]
-    return np.concatenate(parts) if parts else np.zeros(0)
-
-
 def places(queries: DataFrame, train: DataFrame, query_id: str, train_id: str, vector: str, label: str) -> DataFrame:
     """(query_id, train_id, place): where each training row of the query's label or id stands among all rows, from 0, by distance and then by id.
 

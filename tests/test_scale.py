@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import vectors
-from quern.operators import linear, neighbours, ranges
+from quern.operators import balls, linear, neighbours, ranges
 
 
 @pytest.fixture
@@ -70,6 +70,41 @@ def test_vectors_of_different_lengths_are_named(spark):
     assert vectors.matrix.__doc__
 
 
+# --- balls
+
+
+@pytest.mark.parametrize("rows", [64, 7])
+@pytest.mark.parametrize("pivots", [16, 1])
+def test_balls_find_the_nearest(spark, monkeypatch, rows, pivots):
+    monkeypatch.setattr(neighbours, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(balls, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(balls, "PIVOTS", pivots)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 5)).round(1)
+    x[50:90] = x[3]  # copies, more than a block
+    train = [(i, int(i % 4), v.tolist()) for i, v in enumerate(x)]
+    queries = [(1000 + i, v) for i, (_, _, v) in enumerate(train[::5])] + [(2000, [50.0] * 5)]
+    q, t = spark.createDataFrame(queries, "id long, v array<double>").repartition(3), spark.createDataFrame(train, "t long, label int, v array<double>").repartition(4)
+    got = sorted((r.id, r.train_id, r.label, r.distance2) for r in neighbours.neighbours(q, t, "id", "t", "v", "label", 6).collect())
+    want = []
+    for i, v in queries:
+        far = ((np.array(v) - x) ** 2).sum(1)
+        want += [(i, int(j), int(j % 4), far[j]) for j in np.lexsort((np.arange(400), far))[:6]]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and np.allclose([g[3] for g in got], [w[3] for w in sorted(want)])
+    few = neighbours.neighbours(q, t.limit(3), "id", "t", "v", "label", 6)
+    assert few.count() == 3 * len(queries) and neighbours.neighbours(q, t.limit(0), "id", "t", "v", "label", 6).count() == 0
+
+
+def test_few_blocks_of_clusters_meet(spark, monkeypatch):
+    monkeypatch.setattr(balls, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(20, 8)) * 10)[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 8))
+    rows = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "t long, l long, v array<double>").repartition(4)
+    found, computed, pairs = balls.meetings(rows.filter("t % 3 = 0").select(F.col("t").alias("q"), "v"), rows, 5)
+    assert computed.count() < pairs.count() / 2 and computed.distinct().count() == computed.count()
+    assert found.filter("q = t").count() == 1000
+
+
 # --- ranges
 
 
