@@ -7,8 +7,11 @@ different languages. Forward-backward gives every word its marginal probabilitie
 the largest sum, its score that sum's share.
 
 The model is fitted on a bounded sample: about PER_LANGUAGE different texts, chosen by their hash, of each of the LANGUAGES
-most frequent labels, and WORDS_OF_A_DOCUMENT words of each, which the executors cut out. It is some hundred thousand
-weights, whatever the corpus. Prediction reads whole texts, many at a time, without a shuffle.
+most frequent labels, and WORDS_OF_A_DOCUMENT words of each, which the executors cut out; fewer texts of each where the labels
+are so many that all would have more than WORDS_OF_THE_SAMPLE words. It is some hundred thousand weights for each label,
+whatever the corpus. Gradients are added over batches of sequences and of words, so the driver holds the weights, their sums
+and a row for each different word. Prediction reads whole texts, many at a time, without a shuffle; the chain of a long text
+is cut into segments that run side by side, each from the message that a product of its matrices passes on, which is exact.
 
 Defined results: a null text, or one without a letter (Unicode category L; a fraction or a Roman numeral sign is none), is
 `und` with score 0; a table without a labelled row gives `und` for all; repeated rows give repeated results and count once
@@ -17,6 +20,7 @@ for the sample; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 import zlib
@@ -32,10 +36,15 @@ from pyspark.sql import functions as F
 from quern.llm import hashing as H
 from quern.llm.common import chunked, small_batches
 
-#: Bound of the training sample: labels, documents of each, about, and words of a document.
+#: Bound of the training sample: labels, documents of each, about, words of a document, and words of all.
 LANGUAGES = 500
 PER_LANGUAGE = 150
 WORDS_OF_A_DOCUMENT = 400
+WORDS_OF_THE_SAMPLE = 250_000
+#: Labels beyond which weights are kept in single precision, and numbers of an array that fitting makes at a time.
+DOUBLE, CELLS = 32, 4 << 20
+#: Words of a text from which its chain is worked through in segments side by side, up to so many labels.
+LONG, SEGMENTED = 2048, 32
 BUCKETS = 1 << 16
 ROUNDS = 30
 RATE = 0.5
@@ -141,6 +150,57 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     return marginals, float(np.log(norm).sum() + top.sum()), expected
 
 
+def long_marginals(scores: np.ndarray, transitions: np.ndarray, initial: np.ndarray) -> np.ndarray:
+    """The marginals of one long sequence: segments of equal length side by side, after a rest that goes before them."""
+    n, k = scores.shape
+    size = math.isqrt(n)
+    count = n // size
+    rest = n - count * size
+    step = np.exp(transitions)
+    emit = np.exp(scores - scores.max(1)[:, None])
+    scaled = lambda x: x / x.sum(-1, keepdims=True)
+    alpha, beta = np.empty_like(emit), np.empty_like(emit)
+    # the segments' words by place: (place, segment, label)
+    inside = np.ascontiguousarray(emit[rest:].reshape(count, size, k).transpose(1, 0, 2))
+    through = np.broadcast_to(np.eye(k), (count, k, k)).copy()
+    for t in range(size):
+        through = (through @ step) * inside[t][:, None, :]
+        through /= through.max((1, 2), keepdims=True)
+    now = None
+    for t in range(rest):
+        now = alpha[t] = scaled((np.exp(initial) if now is None else now @ step) * emit[t])
+    enter = np.empty((count, k))
+    first = alpha[rest:].reshape(count, size, k)
+    for s in range(count):  # what comes into a segment; the first one of all begins with the initial weights
+        enter[s] = 0 if now is None else now
+        if now is None:
+            now = np.exp(initial - initial.max()) * inside[0, 0]
+            for t in range(1, size):
+                now = scaled((now @ step) * inside[t, 0])
+        else:
+            now = scaled(now @ through[s])
+    before = enter
+    for t in range(size):
+        after = before @ step
+        if t == 0 and not rest:
+            after[0] = np.exp(initial - initial.max())
+        before = scaled(after * inside[t])
+        first[:, t] = before
+    leave = np.empty((count, k))
+    back = np.ones(k)
+    for s in range(count - 1, -1, -1):
+        leave[s] = back
+        back = scaled(through[s] @ back)
+    last = beta[rest:].reshape(count, size, k)
+    for t in range(size - 1, -1, -1):
+        last[:, t] = leave
+        leave = scaled((leave * inside[t]) @ step.T)
+    for t in range(rest - 1, -1, -1):
+        beta[t] = back
+        back = scaled((back * emit[t]) @ step.T)
+    return scaled(alpha * beta)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -168,6 +228,16 @@ def switched(sequences: list[tuple[list[str], int]], rng: np.random.Generator) -
     return words, labels
 
 
+def pieces(sizes: np.ndarray, most: int = 0) -> list[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to `most` at most (CELLS if none is given), or of one."""
+    total, out, at = np.cumsum(sizes), [], 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (most or CELLS), "right")))
+        out.append((at, end))
+        at = end
+    return out
+
+
 def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 0) -> Model:
     """Maximum likelihood by adaptive gradient steps over the whole sample."""
     languages = sorted(set(langs))
@@ -194,7 +264,8 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 0)
     owner = np.repeat(np.arange(len(unique)), sizes)
     scale = 1 / np.sqrt(sizes)
     n = BUCKETS + len(lexicon)
-    weights, transitions, initial = np.zeros((n, k)), np.zeros((k, k)), np.zeros(k)
+    kind = np.float64 if k <= DOUBLE else np.float32
+    weights, transitions, initial = np.zeros((n, k), kind), np.zeros((k, k)), np.zeros(k)
     sums = [np.full_like(x, 1e-8) for x in (weights, transitions, initial)]
     ends = np.cumsum(lengths)
     inner = np.ones(len(of), bool)
@@ -202,15 +273,28 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 0)
     at = np.flatnonzero(inner)
     seen = np.zeros((k, k))
     np.add.at(seen, (gold[at], gold[at + 1]), 1)
-    truth = np.eye(k)[gold]
     starts = ends - lengths
+    batches, by_size = pieces(lengths * k), pieces(sizes * k)
     for _ in range(rounds):
-        marginals, _, expected = forward_backward(emissions(flat, first, weights)[of], lengths, transitions, initial)
-        error = truth - marginals
-        by_word = np.stack([np.bincount(of, error[:, j], len(unique)) for j in range(k)], 1) * scale[:, None]
-        steps = [np.stack([np.bincount(flat, by_word[owner, j], n) for j in range(k)], 1) / len(of) - PENALTY * weights]
-        steps += [(seen - expected) / len(of) - PENALTY * transitions, error[starts].sum(0) / len(of) - PENALTY * initial]
-        for x, s, g in zip((weights, transitions, initial), sums, steps, strict=True):
+        scores = np.empty((len(unique), k), kind)
+        for a, b in by_size:
+            scores[a:b] = emissions(flat[first[a] : first[a] + sizes[a:b].sum()], first[a:b] - first[a], weights)
+        by_word, expected, begun = np.zeros((len(unique), k), kind), np.zeros((k, k)), np.zeros(k)
+        for a, b in batches:
+            lo, hi = starts[a], ends[b - 1]
+            marginals, _, some = forward_backward(scores[of[lo:hi]].astype(np.float64, copy=False), lengths[a:b], transitions, initial)
+            error = np.eye(k)[gold[lo:hi]] - marginals
+            for j in range(k):
+                by_word[:, j] += np.bincount(of[lo:hi], error[:, j], len(unique))
+            expected += some
+            begun += error[starts[a:b] - lo].sum(0)
+        by_word *= scale[:, None].astype(kind)
+        for j in range(k):
+            g = np.bincount(flat, by_word[owner, j], n) / len(of) - PENALTY * weights[:, j]
+            sums[0][:, j] += g * g
+            weights[:, j] += RATE * g / np.sqrt(sums[0][:, j])
+        steps = [(seen - expected) / len(of) - PENALTY * transitions, begun / len(of) - PENALTY * initial]
+        for x, s, g in zip((transitions, initial), sums[1:], steps, strict=True):
             s += g * g
             x += RATE * g / np.sqrt(s)
     return Model(languages, weights.astype(np.float32), lexicon, transitions, initial)
@@ -224,6 +308,7 @@ def sample(df: DataFrame, text: str, lang: str, per_language: int) -> tuple[list
     counts = {r["l"]: r["n"] for r in by_label.orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
     if not counts:
         return [], []
+    per_language = max(1, min(per_language, WORDS_OF_THE_SAMPLE // (WORDS_OF_A_DOCUMENT * len(counts))))
     share = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, per_language / max(1, n))))])
     place = F.pmod(F.xxhash64("t", F.lit(7)), F.lit(1 << 30)) / F.lit(1 << 30)
 
@@ -278,8 +363,16 @@ class Labeller:
         lengths = np.array([len(w) for w in words], np.int64)
         if not lengths.sum() or not self.model.languages:
             return [np.zeros((0, 1))] * len(texts), words
-        marginals, _, _ = forward_backward(self.score(words), lengths[lengths > 0], self.model.transitions, self.model.initial)
-        return np.split(marginals, np.cumsum(lengths)[:-1]), words
+        scores = self.score(words)
+        far = (lengths >= LONG) & (len(self.model.languages) <= SEGMENTED)
+        ends = np.cumsum(lengths)
+        short = np.repeat(~far, lengths)
+        marginals = np.empty_like(scores)
+        if short.any():
+            marginals[short] = forward_backward(scores[short], lengths[~far & (lengths > 0)], self.model.transitions, self.model.initial)[0]
+        for i in np.flatnonzero(far):
+            marginals[ends[i] - lengths[i] : ends[i]] = long_marginals(scores[ends[i] - lengths[i] : ends[i]], self.model.transitions, self.model.initial)
+        return np.split(marginals, ends[:-1]), words
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         languages, scores = [], []

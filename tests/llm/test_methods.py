@@ -172,6 +172,56 @@ def test_forward_backward_against_enumeration():
     assert np.isclose(log_z, total) and np.allclose(expected, moves)
 
 
+@pytest.mark.parametrize("n", [4, 9, 10, 99, 100, 101, 2500])
+def test_long_chains_in_segments(n):
+    rng = np.random.default_rng(n)
+    scores, transitions, initial = rng.normal(size=(n, 3)) * 4, rng.normal(size=(3, 3)), rng.normal(size=3)
+    want = language_id.forward_backward(scores, np.array([n]), transitions, initial)[0]
+    assert np.allclose(language_id.long_marginals(scores, transitions, initial), want, atol=1e-10)
+
+
+def test_predictions_against_plain_loops(monkeypatch):
+    """Emissions, both passes and shares in loops over words and labels, for short texts and one in segments."""
+    monkeypatch.setattr(language_id, "LONG", 40)
+    rng = np.random.default_rng(2)
+    parts = {"aa": ["ba", "ko", "lim"], "bb": ["xur", "wiz", "ok"], "cc": ["être", "ñu", "ko"]}
+    make = lambda lang, m: " ".join("".join(rng.choice(parts[lang], 2)) for _ in range(m))
+    langs = ["aa", "bb", "cc"] * 12
+    model = language_id.fit([make(x, 30) for x in langs], langs, 8)
+    texts = [make("aa", 5), make("cc", 12) + " " + make("bb", 9), make("bb", 90), "!!", None, "ko"]
+    got = language_id.Labeller(model).predict(texts)
+    k = len(model.languages)
+    for text, lang, score in zip(texts, *got, strict=True):
+        words = language_id.words_in(text.lower()) if text else []
+        if not words:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        emit = []
+        for w in words:
+            flat, _ = language_id.features([w], model.lexicon)
+            emit.append([sum(float(model.weights[f, j]) for f in flat) / len(flat) ** 0.5 for j in range(k)])
+        a = [[model.initial[j] + emit[0][j] for j in range(k)]]
+        for e in emit[1:]:
+            a.append([np.logaddexp.reduce([a[-1][i] + model.transitions[i, j] for i in range(k)]) + e[j] for j in range(k)])
+        b = [[0.0] * k]
+        for e in emit[:0:-1]:
+            b.insert(0, [np.logaddexp.reduce([model.transitions[i, j] + e[j] + b[0][j] for j in range(k)]) for i in range(k)])
+        total = np.logaddexp.reduce(a[-1])
+        share = np.exp(np.array(a) + np.array(b) - total).sum(0) / len(words)
+        assert lang == model.languages[int(share.argmax())] and score == pytest.approx(share.max(), abs=1e-5)
+
+
+def test_batches_of_a_fit_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts, langs = [" ".join("".join(rng.choice(list("abcdef"), 4)) for _ in range(20)) for _ in range(40)], [f"l{i % 5}" for i in range(40)]
+    whole = language_id.fit(texts, langs, 4)
+    monkeypatch.setattr(language_id, "CELLS", 300)
+    cut = language_id.fit(texts, langs, 4)
+    monkeypatch.setattr(language_id, "DOUBLE", 1)
+    single = language_id.fit(texts, langs, 4)
+    assert np.allclose(whole.weights, cut.weights, atol=1e-5) and np.allclose(whole.transitions, cut.transitions) and np.allclose(whole.weights, single.weights, atol=2e-2)
+
+
 def test_code_switched_words_are_labelled():
     en, fr = "the quick brown fox jumps over the lazy dog and runs with them ", "le renard brun saute par dessus les chiens paresseux où nous étions "
     model = language_id.fit([en * 5] * 10 + [fr * 5] * 10, ["en"] * 10 + ["fr"] * 10)
