@@ -8,8 +8,8 @@ word GRAM-grams in it, so any document span equal to a window has the window's f
    windows by these words, which leaves exact hits only.
 3. Hits of a document are joined into covered stretches.
 
-The benchmark's windows are broadcast only if they number at most BROADCAST_ROWS, which is counted first; beyond that the
-joins shuffle. Fingerprints leave a task aggregated by document, and hits are gathered by document, which its words bound.
+The benchmark's windows are broadcast only if they number at most BROADCAST_ROWS and their words have at most BROADCAST_BYTES,
+both of which are counted first; beyond that the joins shuffle. Fingerprints leave a task aggregated by document, and hits are gathered by document, which its words bound.
 
 Defined results: a null text has no words; items that are null or have no words have no windows; a null item id is left
 out of the list; repeated rows are documents of their own with equal results; an empty benchmark contaminates nothing; an
@@ -27,6 +27,8 @@ from quern.llm.common import shared_dir, stored, text_column
 
 WINDOW, GRAM = 10, 5
 BROADCAST_ROWS = 1 << 20
+#: Bytes of their words, at most: words can be of any length.
+BROADCAST_BYTES = 128 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The ASCII characters that are neither letters nor digits stand between words.
 BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -101,7 +103,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     if not lengths:
         return rows.select(F.col("key").alias(key), F.size(words_of(F.col("body"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
     held = stored(windows(with_grams(items, lengths), lengths, ["item"], F.col("n")).select("item", "fingerprint", "length", "span").distinct(), f"{path}/benchmark")
-    small = held.count() <= BROADCAST_ROWS
+    n_held, size = held.agg(F.count("*"), F.sum(F.octet_length("span").cast("long") + 24)).first()
+    small = n_held <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
     sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
     # 1. one row a document, with whether any of its fingerprints is the benchmark's
