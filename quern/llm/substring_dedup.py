@@ -47,7 +47,7 @@ from quern.llm.common import BLOCK, BLOCK_DDL, block_rows, buffers, by_part, chu
 
 WINDOW, GRAM = 50, 16
 FANOUT = 3
-BATCHES = 3
+BATCHES = 4
 #: Different stretches of one least hash in a task, from which on all their windows are compared.
 HOT = 1024
 PART_BYTES = 24 << 20
