@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from quern.llm.common import forget, text_column
+from quern.llm.common import forget, small_batches, text_column
 
 #: Code points on either side of a part within which its complements must stand.
 SCOPE = 400
@@ -103,6 +103,7 @@ def link_credentials(df: DataFrame, keep: list[str], text: str = "text", scope:
 
     Start and end are in code points, end exclusive. A null text has no spans and stays null under `redact`.
     """
+    small_batches(df.sparkSession)
     schema = df.select(*keep).schema
     schema = schema.add("spans", DataType.fromDDL("array<struct<kind:string,start:int,end:int>>"), True)
     if redact:
