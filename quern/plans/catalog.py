@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scalars, vectors
 from quern.operators import evaluation, linear, meters, neighbours, ranges, vision
+from quern.plans import catalog_tiles
 from quern.sources.countries import COUNTRIES, countries
 from quern.sources.images import MEAN, STD
 
@@ -369,6 +370,7 @@ def m16_multi_scale(spark, d):
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name.split("_")[0][:1] in "psjawufm" and name.split("_")[0][1:].isdigit()}
+QUERIES |= catalog_tiles.QUERIES
 
 PIXELS = """
     whole AS (SELECT vec_id, list_concat(CAST(embedding AS DOUBLE[]), list_resize(CAST([] AS DOUBLE[]), CAST((3 - len(embedding) % 3) % 3 AS INTEGER), 0.0)) AS v FROM embeddings),
@@ -487,3 +489,4 @@ ORACLES = {
         SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(v[pos + 1] / n, 8) + 0.0 AS v FROM f, n, (SELECT unnest(range(0, 64)) AS pos)
     """,
 }
+ORACLES |= catalog_tiles.ORACLES

@@ -8,6 +8,7 @@ the model is a row of its country's failures, and the others go on.
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import Broadcast
@@ -42,6 +43,19 @@ def predictions(spark: SparkSession, directory: str, model: vision.Transformer |
     return classified(rows, train, ["file_name", "decode_ok"]).select("file_name", "prediction", "decode_ok")
 
 
+def classifier(spark: SparkSession, model: vision.Transformer | Broadcast, train: DataFrame, side: int = images.RESIZE, crop: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """What turns a batch of files' bytes (path, file_name, content), such as a micro-batch of a stream of tiles, into (file_name, decode_ok, prediction, error)."""
+    net = model if isinstance(model, Broadcast) else vision.shared(spark, model)
+    prepare = images.Prepared(side, crop or net.value.shape.side)
+
+    def classify(batch: DataFrame) -> DataFrame:
+        rows = vision.embed(images.decoded_contents(batch), ["folder", "file_name", "decode_ok"], prepare, net, errors=True)
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), f"{shared_dir(spark, 'tiles')}/embeddings")
+        return classified(rows, train, ["file_name", "decode_ok", "error"]).select("file_name", "decode_ok", "prediction", "error")
+
+    return classify
+
+
 @dataclass
 class ByCountry:
     """predictions: (country, file_name, prediction, decode_ok); failures: (country, file_name, error) of tiles; missing: countries without tiles."""

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import time
+from collections.abc import Callable
 
 from pyspark import Accumulator, Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -42,25 +43,36 @@ def log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG).parquet(f"{path}/log/*") if exists(spark, f"{path}/log") else spark.createDataFrame([], LOG)
 
 
-def embed_in_ranges(
-    spark: SparkSession, directories: list[str], model: vision.Transformer | Broadcast, path: str, ranges: int = RANGES, side: int = images.RESIZE, crop: int | None = None, counter: Accumulator | None = None
-) -> DataFrame:
-    """(folder, file_name, decode_ok, embedding, error) of all tiles, from path, after the ranges that were not done yet."""
-    net = model if isinstance(model, Broadcast) else vision.shared(spark, model)
-    crop = crop or net.value.shape.side
-    own = identity(directories, net.value, ranges, side, crop)
+def in_ranges(spark: SparkSession, path: str, own: str, ranges: int, rows_of: Callable[[int], DataFrame], most: int | None = None, unreadable: str = "false", failed: str = "false") -> bool:
+    """Writes rows_of(i) to path for each range that the log lacks, with a log row after it, `most` of them in this call at most; whether all are done.
+
+    own names the run: a log with another name is an error. unreadable and failed are conditions whose rows the log counts.
+    """
     done = {r["range"]: r["identity"] for r in log(spark, path).collect()}  # a row a range
     if set(done.values()) - {own}:
         raise ValueError(f"{path} holds a run of another model, transform, number of ranges or set of directories")
-    for i in range(ranges):
-        if i in done:
-            continue
+    left = [i for i in range(ranges) if i not in done]
+    for i in left[:most]:
         began = time.monotonic()
-        tiles = images.decoded_contents(contents(spark, directories, part=(i, ranges)))
-        rows = vision.embed(tiles, ["folder", "file_name", "decode_ok"], images.Prepared(side, crop), net, errors=True, counter=counter)
+        rows = rows_of(i)
         rows.write.mode("overwrite").parquet(f"{path}/data/range={i}")
         written = spark.read.schema(rows.schema).parquet(f"{path}/data/range={i}")
-        sums = written.agg(F.count("*").alias("tiles"), F.count(F.when(~F.col("decode_ok"), 1)).alias("unreadable"), F.count("error").alias("failed")).first()
+        sums = written.agg(F.count("*").alias("tiles"), F.count_if(F.expr(unreadable)).alias("unreadable"), F.count_if(F.expr(failed)).alias("failed")).first()
         entry = (i, sums["tiles"], sums["unreadable"], sums["failed"], time.monotonic() - began, own)
         spark.createDataFrame([entry], LOG).coalesce(1).write.mode("overwrite").parquet(f"{path}/log/{i}")
+    return most is None or len(left) <= most
+
+
+def embed_in_ranges(
+    spark: SparkSession, directories: list[str], model: vision.Transformer | Broadcast, path: str, ranges: int = RANGES, side: int = images.RESIZE, crop: int | None = None, counter: Accumulator | None = None
+) -> DataFrame:
+    """(folder, file_name, decode_ok, embedding, error) of all tiles, from path, after the ranges that were not done yet."""
+    net = model if isinstance(model, Broadcast) else vision.shared(spark, model)
+    crop = crop or net.value.shape.side
+
+    def rows_of(i: int) -> DataFrame:
+        tiles = images.decoded_contents(contents(spark, directories, part=(i, ranges)))
+        return vision.embed(tiles, ["folder", "file_name", "decode_ok"], images.Prepared(side, crop), net, errors=True, counter=counter)
+
+    in_ranges(spark, path, identity(directories, net.value, ranges, side, crop), ranges, rows_of, unreadable="NOT decode_ok", failed="error IS NOT NULL")
     return spark.read.schema("folder string, file_name string, decode_ok boolean, embedding array<float>, error string, range int").parquet(f"{path}/data").drop("range")

@@ -140,6 +140,25 @@ def _decode(content: bytes) -> np.ndarray:
     return np.repeat(255 - out[:, :, :1] if photometric == 0 else out[:, :, :1], 3, 2)
 
 
+def encode(rgb: np.ndarray, compression: int = NONE) -> bytes:
+    """An 8-bit RGB image as one strip; not compressed, or by Deflate or PackBits."""
+    h, w, _ = rgb.shape
+    data = rgb.astype(np.uint8).tobytes()
+    if compression in (DEFLATE, OLD_DEFLATE):
+        data = zlib.compress(data)
+    elif compression == PACKBITS:
+        data = b"".join(bytes([len(part) - 1]) + part for part in (data[i : i + 128] for i in range(0, len(data), 128)))
+    elif compression != NONE:
+        raise ValueError(f"compression {compression} is not written")
+    fields = [(WIDTH, w), (HEIGHT, h), (BITS, None), (COMPRESSION, compression), (PHOTOMETRIC, 2), (STRIP_OFFSETS, 8), (SAMPLES, 3), (STRIP_ROWS, h), (STRIP_BYTES, len(data)), (PLANAR, 1)]
+    body = data + b"\0" * (len(data) % 2)
+    bits_at = 8 + len(body)
+    out = struct.pack("<2sHI", b"II", 42, bits_at + 6) + body + struct.pack("<3H", 8, 8, 8) + struct.pack("<H", len(fields))
+    for tag, value in fields:
+        out += struct.pack("<HHII", tag, 3, 3, bits_at) if value is None else struct.pack("<HHII", tag, 4, 1, value)
+    return out + struct.pack("<I", 0)
+
+
 def substituted(contents: Iterator[bytes | None], side: int) -> Iterator[tuple[bool, np.ndarray]]:
     """(readable, image): a black square of this side for what cannot be read."""
     for content in contents:

@@ -106,6 +106,23 @@ def test_streamed_tiles_are_decoded_and_embedded(spark, folder, model, tmp_path)
     assert sorted(got) == ["D.TIF", "a.tif", "x y+1%.tif"] and all(np.allclose(r.embedding, want[n].embedding) for n, r in got.items())
 
 
+def test_streamed_tiles_are_classified_as_those_at_rest(spark, folder, model, train, tmp_path):
+    streaming.classified(streaming.tile_stream(spark, str(folder), 2), predict.classifier(spark, model, train, 8), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(180)
+    got = {r.file_name: (r.decode_ok, r.prediction) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r.file_name: (r.decode_ok, r.prediction) for r in predict.predictions(spark, str(folder), model, train, 8).collect()}
+    assert sorted(got) == ["D.TIF", "a.tif", "x y+1%.tif"] and all(want[n] == v for n, v in got.items())
+
+
+@pytest.mark.parametrize("compression", [rasters.NONE, rasters.DEFLATE, rasters.PACKBITS])
+def test_files_that_are_written_are_read(spark, tmp_path, compression):
+    x = np.random.default_rng(3).integers(0, 256, (7, 31, 3)).astype(np.uint8)
+    content = rasters.encode(x, compression)
+    assert (rasters.decode(content) == x).all()
+    (tmp_path / "a.tif").write_bytes(content)  # the JVM's decoder reads it as well
+    got = images.decoded(spark, str(tmp_path)).first()
+    assert got.decode_ok and (np.frombuffer(got.pixels, np.uint8).reshape(x.shape) == x).all()
+
+
 # --- the model
 
 
