@@ -21,6 +21,8 @@ SETTINGS = {
 _SHIPPED: set[str] = set()
 #: The local folder of each application whose settings name no shared one.
 _LOCAL: dict[str, str] = {}
+#: The folders of intermediate tables that each application has made.
+_MADE: dict[str, list[str]] = {}
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
@@ -59,7 +61,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quern-")
     path = context._jvm.org.apache.hadoop.fs.Path(base)
     whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return f"{re.sub('^file:/+', 'file:///', whole).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made = f"{re.sub('^file:/+', 'file:///', whole).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(context.applicationId, []).append(made)
+    return made
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this application has made so far, and returns how many folders there were.
+
+    Results are read from them when an action asks for it, so they must have been written or collected before.
+    """
+    context = spark.sparkContext
+    made = _MADE.pop(context.applicationId, [])
+    for folder in made:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return len(made)
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:

@@ -155,7 +155,8 @@ def encode(rgb: np.ndarray, compression: int = NONE) -> bytes:
     bits_at = 8 + len(body)
     out = struct.pack("<2sHI", b"II", 42, bits_at + 6) + body + struct.pack("<3H", 8, 8, 8) + struct.pack("<H", len(fields))
     for tag, value in fields:
-        out += struct.pack("<HHII", tag, 3, 3, bits_at) if value is None else struct.pack("<HHII", tag, 4, 1, value)
+        short = tag in (COMPRESSION, PHOTOMETRIC, SAMPLES, PLANAR)  # readers want these in two bytes
+        out += struct.pack("<HHII", tag, 3, 3, bits_at) if value is None else struct.pack("<HHII", tag, 3 if short else 4, 1, value)
     return out + struct.pack("<I", 0)
 
 
