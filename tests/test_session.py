@@ -11,8 +11,6 @@ def test_executors_get_the_library_whatever_the_folder(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = f"""
 import sys
-
-from quern import session
 sys.path.insert(0, {root!r})
 from quern.session import session, ship
 spark = session("local[2]", **{{"spark.ui.enabled": "false"}})
