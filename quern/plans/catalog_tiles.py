@@ -16,7 +16,7 @@ from quern.functions.vectors import doubles, matrix
 from quern.operators import balls, meters, neighbours, ranges, vision
 from quern.plans import restart
 from quern.session import shared_dir
-from quern.sources import images, rasters
+from quern.sources import checkpoints, images, rasters
 from quern.streaming import progress
 
 SIDE = 8
@@ -100,7 +100,7 @@ def p6_center_crop(spark, d):
 
 
 def p9_blurred(spark, d):
-    return sums(decoded_tiles(spark, d).filter("decode_ok"), lambda x: images.blurred(x, 1.0))
+    return sums(decoded_tiles(spark, d), lambda x: images.blurred(x, 1.0))
 
 
 def through(spark: SparkSession, d: str, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -117,12 +117,14 @@ def through(spark: SparkSession, d: str, change: Callable[[np.ndarray], np.ndarr
     return rows.select("vec_id", F.posexplode("y").alias("pos", "v")).select("vec_id", "pos", rounded(F.col("v")).alias("v"))
 
 
-#: A model over 16 tokens of 4 numbers, two heads.
-PART = vision.Shape(4, 1, 2, 4, 8, 1)
+#: A model over tokens of 4 numbers, two heads, trained for 16 x 16 images: four by four patches.
+PART = vision.Shape(4, 1, 2, 4, 16, 1)
 PART_WEIGHTS = {
     "patch.w": weights(16, 4, 7, 3, 5, 4.0), "patch.b": weights(1, 4, 0, 1, 3, 8.0)[0],
     "0.qkv.w": np.concatenate([weights(4, 4, 3, 2, 5, 1.0), weights(4, 4, 1, 3, 5, 1.0), np.eye(4)], 1), "0.qkv.b": np.zeros(12), "0.proj.w": np.eye(4), "0.proj.b": np.zeros(4),
     "0.fc1.w": weights(4, 8, 7, 3, 5, 2.0), "0.fc1.b": weights(1, 8, 0, 1, 3, 8.0)[0], "0.fc2.w": weights(8, 4, 3, 5, 7, 8.0), "0.fc2.b": np.zeros(4),
+    "0.n1.scale": np.ones(4), "0.n1.shift": np.zeros(4), "0.n2.scale": np.ones(4), "0.n2.shift": np.zeros(4), "norm.scale": np.ones(4), "norm.shift": np.zeros(4),
+    "cls": weights(1, 4, 0, 3, 5, 4.0)[0], "pos": weights(17, 4, 5, 2, 7, 8.0),
 }
 
 
@@ -143,6 +145,38 @@ def m4_perceptron(spark, d):
     return through(spark, d, lambda x: net.perceptron(x.reshape(-1, 16, 4), 0))
 
 
+def m5_block(spark, d):
+    """The vectors as 16 tokens through a whole block."""
+    net = vision.Transformer(PART, PART_WEIGHTS)
+    return through(spark, d, lambda x: net.block(x.reshape(-1, 16, 4), 0))
+
+
+def m8_tokens(spark, d):
+    """Class token, patches and interpolated positions of the vectors as 8 x 8 images, half the side that the positions are for."""
+    net = vision.Transformer(PART, PART_WEIGHTS)
+    return through(spark, d, lambda x: net.prepare(x.reshape(-1, 1, SIDE, SIDE)))
+
+
+def m7_features(spark, d):
+    """The class token after the whole model."""
+    net = vision.Transformer(PART, PART_WEIGHTS)
+    return through(spark, d, lambda x: net.features(x.reshape(-1, 1, SIDE, SIDE)))
+
+
+def m10_last_attention(spark, d):
+    """The last block's weights: head, token, token."""
+    net = vision.Transformer(PART, PART_WEIGHTS)
+    return through(spark, d, lambda x: net.last_attention(x.reshape(-1, 1, SIDE, SIDE)))
+
+
+def s3_training_table(spark, d):
+    """The embeddings kept as a training table, and what is read of it."""
+    path = shared_dir(spark, "training")
+    table(spark, d, "embeddings").select(F.col("vec_id").alias("train_id"), "embedding", "label").write.parquet(path)
+    rows = checkpoints.training_table(spark, path)
+    return rows.select("train_id", "label", rounded(F.aggregate(doubles("embedding"), F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
 def m13_projection_head(spark, d):
     layers = [(weights(64, 8, 7, 3, 5, 4.0), weights(1, 8, 0, 1, 3, 8.0)[0]), (weights(8, 4, 3, 5, 7, 8.0), weights(1, 4, 0, 2, 5, 8.0)[0])]
     return through(spark, d, lambda x: vision.projection_head(x, layers, weights(3, 4, 2, 3, 5, 1.0) + 0.5))
@@ -222,13 +256,11 @@ GREY = f"""
 """
 
 
-def summed(pixels: str, side: str, black: int | None) -> str:
+def summed(pixels: str, side: str, black: int) -> str:
     """Sums of the channels of `pixels` (vec_id, y, x, r, g, b), and rows of zeros for tiles that are black squares of side `black`."""
     channels = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}_sum, CAST(sum({c} * (y * {side} + x + 1)) AS BIGINT) AS {c}_placed" for c in "rgb")
     text = f"SELECT vec_id, true AS decode_ok, CAST({side} AS INTEGER) AS height, CAST({side} AS INTEGER) AS width, {channels} FROM {pixels} GROUP BY vec_id"
-    if black:
-        text += f" UNION ALL SELECT vec_id, false, {black}, {black}, 0, 0, 0, 0, 0, 0 FROM embeddings WHERE vec_id % {BROKEN} = 0"
-    return text
+    return text + f" UNION ALL SELECT vec_id, false, {black}, {black}, 0, 0, 0, 0, 0, 0 FROM embeddings WHERE vec_id % {BROKEN} = 0"
 
 
 #: Both resampling kernels are sums over all pairs of rows and columns with weights by distance.
@@ -256,8 +288,48 @@ def erf_half(x: str) -> str:
     return f"0.5 * {x} * (1 + sign({x}) * (1 - {poly} * exp(-{z} * {z})))"
 
 
+def normed(name: str, source: str) -> str:
+    return f"{name} AS (SELECT vec_id, t, i, (v - avg(v) OVER g) / sqrt(var_pop(v) OVER g + 1e-6) AS v FROM {source} WINDOW g AS (PARTITION BY vec_id, t))"
+
+
+def attention(name: str, source: str) -> str:
+    """Tables name_w of weights (vec_id, t, u, h, w) and name of tokens (vec_id, t, i, v)."""
+    return f"""
+        {name}_qk AS (SELECT vec_id, t, j, sum(v * {cell(3, 2, 5, 1.0, "i", "j")}) AS q, sum(v * {cell(1, 3, 5, 1.0, "i", "j")}) AS k FROM {source}, (SELECT unnest(range(0, 4)) AS j) GROUP BY vec_id, t, j),
+        {name}_s AS (SELECT a.vec_id, a.t, b.t AS u, a.j // 2 AS h, sum(a.q * b.k) / sqrt(2.0::DOUBLE) AS s FROM {name}_qk a JOIN {name}_qk b ON a.vec_id = b.vec_id AND a.j = b.j GROUP BY ALL),
+        {name}_w AS (SELECT vec_id, t, u, h, exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY vec_id, t, h) AS w FROM (SELECT *, max(s) OVER (PARTITION BY vec_id, t, h) AS m FROM {name}_s)),
+        {name} AS (SELECT w.vec_id, w.t, x.i, sum(w * v) AS v FROM {name}_w w JOIN {source} x ON w.vec_id = x.vec_id AND w.u = x.t AND w.h = x.i // 2 GROUP BY w.vec_id, w.t, x.i)"""
+
+
+def perceptron(name: str, source: str) -> str:
+    return f"""
+        {name}_a AS (SELECT vec_id, t, j, sum(v * {cell(7, 3, 5, 2.0, "i", "j")}) + (j % 3 - 1) / 8.0::DOUBLE AS a FROM {source}, (SELECT unnest(range(0, 8)) AS j) GROUP BY vec_id, t, j),
+        {name} AS (SELECT vec_id, t, o AS i, sum({erf_half("a")} * {cell(3, 5, 7, 8.0, "j", "o")}) AS v FROM {name}_a, (SELECT unnest(range(0, 4)) AS o) GROUP BY vec_id, t, o)"""
+
+
+def added(name: str, a: str, b: str) -> str:
+    return f"{name} AS (SELECT vec_id, t, i, {a}.v + {b}.v AS v FROM {a} JOIN {b} USING (vec_id, t, i))"
+
+
+def block(name: str, source: str) -> str:
+    steps = [normed(f"{name}_n1", source), attention(f"{name}_y", f"{name}_n1"), added(f"{name}_x", source, f"{name}_y"), normed(f"{name}_n2", f"{name}_x"), perceptron(f"{name}_m", f"{name}_n2"), added(name, f"{name}_x", f"{name}_m")]
+    return ",\n".join(steps)
+
+
+TOKEN_ROWS = "SELECT vec_id, CAST(t * 4 + i AS INTEGER) AS pos, round(v, 6) + 0.0 AS v FROM "
 COMPONENTS = "c AS (SELECT vec_id, pos, CAST(embedding[pos + 1] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS pos))"
 TOKENS = f"{COMPONENTS}, tok AS (SELECT vec_id, pos // 4 AS t, pos % 4 AS i, v FROM c)"
+#: The class token, and patches with positions: a cubic kernel of -0.75 over the four by four grid, two by two centres.
+PREPARED = f"""
+    {COMPONENTS}, pt AS (SELECT vec_id, pos // 8 // 4 AS r, pos % 8 // 4 AS s, pos // 8 % 4 * 4 + pos % 4 AS i, v FROM c),
+    pa AS (SELECT vec_id, r, s, j AS i, sum(v * {cell(7, 3, 5, 4.0, "i", "j")}) + (j % 3 - 1) / 8.0::DOUBLE AS v FROM pt, (SELECT unnest(range(0, 4)) AS j) GROUP BY vec_id, r, s, j),
+    ce AS (SELECT r, (r + 0.5) * (4 / 2.1::DOUBLE) - 0.5 AS m, floor((r + 0.5) * (4 / 2.1::DOUBLE) - 0.5) + o AS p FROM (SELECT unnest(range(0, 2)) AS r), (SELECT unnest(range(-1, 3)) AS o)),
+    ku AS (SELECT r, CAST(greatest(0, least(3, p)) AS INTEGER) AS h, abs(p - m) AS x FROM ce),
+    kw AS (SELECT r, h, sum(CASE WHEN x <= 1 THEN (1.25 * x - 2.25) * x * x + 1 WHEN x < 2 THEN ((-0.75 * x + 3.75) * x - 6) * x + 3 ELSE 0 END) AS w FROM ku GROUP BY r, h),
+    po AS (SELECT a.r, b.r AS s, i, sum(a.w * b.w * {cell(5, 2, 7, 8.0, "(1 + a.h * 4 + b.h)", "i")}) AS v FROM kw a, kw b, (SELECT unnest(range(0, 4)) AS i) GROUP BY a.r, b.r, i),
+    tok AS (SELECT vec_id, 1 + r * 2 + s AS t, i, pa.v + po.v AS v FROM pa JOIN po USING (r, s, i)
+            UNION ALL SELECT vec_id, 0, i, (3 * i % 5 - 2) / 4.0::DOUBLE + {cell(5, 2, 7, 8.0, "0", "i")} FROM embeddings, (SELECT unnest(range(0, 4)) AS i))
+"""
 FAR = "list_sum(list_transform(list_zip(q.v, t.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 VECTORS = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
@@ -265,22 +337,18 @@ ORACLES = {
     "s2_decoded": f"WITH {GREY} " + summed("px", str(SIDE), images.CROP),
     "p5_resized": f"WITH {GREY}, {CUBIC}, {RESAMPLED} " + summed("s", "4", 4),
     "p6_center_crop": f"WITH {GREY}, s AS (SELECT vec_id, y - 2 AS y, x - 2 AS x, r, g, b FROM px WHERE y BETWEEN 2 AND 6 AND x BETWEEN 2 AND 6) " + summed("s", "5", 5),
-    "p9_blurred": f"WITH {GREY}, {GAUSS}, {RESAMPLED} " + summed("s", str(SIDE), None),
+    "p9_blurred": f"WITH {GREY}, {GAUSS}, {RESAMPLED} " + summed("s", str(SIDE), images.CROP),
     "m2_patches": f"""
         WITH {COMPONENTS}, p AS (SELECT vec_id, pos // 8 // 4 * 2 + pos % 8 // 4 AS patch, pos // 8 % 4 * 4 + pos % 4 AS i, v FROM c)
         SELECT vec_id, CAST(patch * 4 + j AS INTEGER) AS pos, round(sum(v * {cell(7, 3, 5, 4.0, "i", "j")}) + (j % 3 - 1) / 8.0::DOUBLE, 6) + 0.0 AS v FROM p, (SELECT unnest(range(0, 4)) AS j) GROUP BY vec_id, patch, j
     """,
-    "m3_attention": f"""
-        WITH {TOKENS},
-        qk AS (SELECT vec_id, t, j, sum(v * {cell(3, 2, 5, 1.0, "i", "j")}) AS q, sum(v * {cell(1, 3, 5, 1.0, "i", "j")}) AS k FROM tok, (SELECT unnest(range(0, 4)) AS j) GROUP BY vec_id, t, j),
-        s AS (SELECT a.vec_id, a.t, b.t AS u, a.j // 2 AS h, sum(a.q * b.k) / sqrt(2.0::DOUBLE) AS s FROM qk a JOIN qk b ON a.vec_id = b.vec_id AND a.j = b.j GROUP BY ALL),
-        w AS (SELECT vec_id, t, u, h, exp(s - max(s) OVER g) / sum(exp(s - m)) OVER g AS w FROM (SELECT *, max(s) OVER (PARTITION BY vec_id, t, h) AS m FROM s) WINDOW g AS (PARTITION BY vec_id, t, h))
-        SELECT w.vec_id, CAST(w.t * 4 + i AS INTEGER) AS pos, round(sum(w * v), 6) + 0.0 AS v FROM w JOIN tok ON w.vec_id = tok.vec_id AND w.u = tok.t AND w.h = tok.i // 2 GROUP BY w.vec_id, w.t, i
-    """,
-    "m4_perceptron": f"""
-        WITH {TOKENS}, a AS (SELECT vec_id, t, j, sum(v * {cell(7, 3, 5, 2.0, "i", "j")}) + (j % 3 - 1) / 8.0::DOUBLE AS a FROM tok, (SELECT unnest(range(0, 8)) AS j) GROUP BY vec_id, t, j)
-        SELECT vec_id, CAST(t * 4 + o AS INTEGER) AS pos, round(sum({erf_half("a")} * {cell(3, 5, 7, 8.0, "j", "o")}), 6) + 0.0 AS v FROM a, (SELECT unnest(range(0, 4)) AS o) GROUP BY vec_id, t, o
-    """,
+    "m3_attention": f"WITH {TOKENS}, {attention('y', 'tok')} {TOKEN_ROWS} y",
+    "m4_perceptron": f"WITH {TOKENS}, {perceptron('y', 'tok')} {TOKEN_ROWS} y",
+    "m5_block": f"WITH {TOKENS}, {block('y', 'tok')} {TOKEN_ROWS} y",
+    "m8_tokens": f"WITH {PREPARED} {TOKEN_ROWS} tok",
+    "m7_features": f"WITH {PREPARED}, {block('y', 'tok')}, {normed('z', 'y')} {TOKEN_ROWS} z WHERE t = 0",
+    "m10_last_attention": f"WITH {PREPARED}, {normed('n', 'tok')}, {attention('y', 'n')} SELECT vec_id, CAST((h * 5 + t) * 5 + u AS INTEGER) AS pos, round(w, 6) + 0.0 AS v FROM y_w",
+    "s3_training_table": "SELECT vec_id AS train_id, CAST(label AS BIGINT) AS label, round(list_sum(CAST(embedding AS DOUBLE[])), 6) + 0.0 AS total FROM embeddings",
     "m13_projection_head": f"""
         WITH {COMPONENTS}, a AS (SELECT vec_id, j, sum(v * {cell(7, 3, 5, 4.0, "pos", "j")}) + (j % 3 - 1) / 8.0::DOUBLE AS a FROM c, (SELECT unnest(range(0, 8)) AS j) GROUP BY vec_id, j),
         b AS (SELECT vec_id, o, sum({erf_half("a")} * {cell(3, 5, 7, 8.0, "j", "o")}) + (2 * o % 5 - 2) / 8.0::DOUBLE AS b FROM a, (SELECT unnest(range(0, 4)) AS o) GROUP BY vec_id, o),
