@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import doubles, matrix
-from quern.operators import balls, meters, neighbours, ranges, vision
+from quern.operators import balls, linear, meters, neighbours, ranges, vision
 from quern.plans import restart
 from quern.session import shared_dir
 from quern.sources import checkpoints, images, rasters
@@ -169,6 +169,19 @@ def m10_last_attention(spark, d):
     return through(spark, d, lambda x: net.last_attention(x.reshape(-1, 1, SIDE, SIDE)))
 
 
+#: Shares of the mean eigenvalue, above which eigenvalues are counted.
+LEVELS = (0.2, 0.5, 0.8, 1.0, 1.3, 2.0)
+
+
+def w8_spectrum(spark, d):
+    """How many eigenvalues of the embeddings' moments lie above levels of their mean; those above the highest by subspace iteration too."""
+    rows = table(spark, d, "embeddings")
+    values = linear.Whitening.fit(rows, "embedding", 64, 0.0).values
+    top, _ = linear.top_directions(rows, "embedding", 8, close=1e-6)
+    found = [(float(x), int((values > x * values.mean()).sum()), min(8, int((top > x * values.mean()).sum()))) for x in LEVELS]
+    return spark.createDataFrame(found, "level double, above int, of_the_first_eight int")
+
+
 def s3_training_table(spark, d):
     """The embeddings kept as a training table, and what is read of it."""
     path = shared_dir(spark, "training")
@@ -348,6 +361,19 @@ ORACLES = {
     "m8_tokens": f"WITH {PREPARED} {TOKEN_ROWS} tok",
     "m7_features": f"WITH {PREPARED}, {block('y', 'tok')}, {normed('z', 'y')} {TOKEN_ROWS} z WHERE t = 0",
     "m10_last_attention": f"WITH {PREPARED}, {normed('n', 'tok')}, {attention('y', 'n')} SELECT vec_id, CAST((h * 5 + t) * 5 + u AS INTEGER) AS pos, round(w, 6) + 0.0 AS v FROM y_w",
+    # the signs of the pivots of a symmetric elimination tell how many eigenvalues lie on each side
+    "w8_spectrum": f"""
+        WITH RECURSIVE v AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        m AS (SELECT list(s ORDER BY i, j) AS m FROM (SELECT i, j, avg(v[i] * v[j]) AS s FROM v, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j) GROUP BY i, j)),
+        t AS (SELECT m, list_sum(list_transform(range(64), lambda i: m[i * 65 + 1])) / 64 AS mean FROM m),
+        e AS (
+            SELECT level, 0 AS k, 0 AS above, list_transform(range(4096), lambda p: m[p + 1] - CASE WHEN p % 65 = 0 THEN level * mean ELSE 0 END) AS m FROM t, (VALUES {", ".join(f"({x}::DOUBLE)" for x in LEVELS)}) l(level)
+            UNION ALL
+            SELECT level, k + 1, above + CASE WHEN m[k * 65 + 1] > 0 THEN 1 ELSE 0 END,
+                   list_transform(range(4096), lambda p: CASE WHEN p // 64 > k AND p % 64 > k THEN m[p + 1] - m[p // 64 * 64 + k + 1] * m[k * 64 + p % 64 + 1] / m[k * 65 + 1] ELSE m[p + 1] END) FROM e WHERE k < 64
+        )
+        SELECT level, CAST(above AS INTEGER) AS above, CAST(least(8, above) AS INTEGER) AS of_the_first_eight FROM e WHERE k = 64
+    """,
     "s3_training_table": "SELECT vec_id AS train_id, CAST(label AS BIGINT) AS label, round(list_sum(CAST(embedding AS DOUBLE[])), 6) + 0.0 AS total FROM embeddings",
     "m13_projection_head": f"""
         WITH {COMPONENTS}, a AS (SELECT vec_id, j, sum(v * {cell(7, 3, 5, 4.0, "pos", "j")}) + (j % 3 - 1) / 8.0::DOUBLE AS a FROM c, (SELECT unnest(range(0, 8)) AS j) GROUP BY vec_id, j),
