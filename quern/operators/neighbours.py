@@ -11,46 +11,54 @@ grows with the table.
 Ties of distance go to the smaller training id, ties of votes to the smaller label.
 
 places() ranks all training vectors of each query, without a limit, and returns the places of those that share its label or id.
-Past BROADCAST_BYTES it does so by counting: one pass over the pairs of blocks finds the distances of the rows that are asked
-for, which are written; a second pass meets them with every block again and counts, for each, the block's rows that come before
-it. Only those rows and their counts are shuffled, never a row for each pair.
+Blocks are written in order of their labels. A task has a group of queries and reads the blocks in place, one at a time: first
+those of its labels, whose distances it keeps in order (HELD of them at most, or one query's), then all, as matrix products, of which each row of
+another label counts for the first kept row after it. Products that rounding leaves open are computed again without cancellation.
+Only vectors are shuffled, never a row for each pair; places_of() hands a query's places to a function in the task.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import matrix
 from quern.operators import balls
 from quern.operators.balls import distances, nearest, unpack
-from quern.session import shared_dir, stored
+from quern.session import shared_dir
+from quern.sources.tile_source import place
 
 K = 5
 BLOCK_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
-#: Tasks among which a query's rows are dealt.
-SALTS = 64
-#: Pairs of a task, when all are ranked.
-TASK_PAIRS = 1 << 22
+#: Distances that a task keeps when rows are ranked, and queries that it takes at a time: at most, and at least where there are fewer than TASKS groups.
+HELD = 1 << 23
+GROUP, LEAST_GROUP, TASKS = 256, 32, 64
+#: Queries of a matrix product.
+QUERIES = 64
 
 
 def packed(train: DataFrame) -> DataFrame:
-    """(block, ids, labels, vectors): BLOCK_ROWS training rows as one row, where a partition has as many."""
+    """(low, high, ids, labels, vectors): BLOCK_ROWS training rows as one row, where a partition has as many, with the least and the largest label."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(at, BLOCK_ROWS)
-                data = [np.asarray(part.column(0)).tobytes(), np.asarray(part.column(1)).tobytes(), matrix(part.column(2)).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in data], names=["ids", "labels", "vectors"])
+                labels = np.asarray(part.column(1))
+                data = [np.asarray(part.column(0)).tobytes(), labels.tobytes(), matrix(part.column(2)).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([labels.min()]), pa.array([labels.max()]), *(pa.array([x], pa.binary()) for x in data)], names=["low", "high", "ids", "labels", "vectors"])
 
-    return train.mapInArrow(apply, "ids binary, labels binary, vectors binary")
+    return train.mapInArrow(apply, "low long, high long, ids binary, labels binary, vectors binary")
 
 
 def neighbours(queries: DataFrame, train: DataFrame, query_id: str, train_id: str, vector: str, label: str, k: int = K) -> DataFrame:
@@ -91,104 +99,158 @@ def places(queries: DataFrame, train: DataFrame, query_id: str, train_id: str, v
 
     Rows with a null id or vector take no part; a row with a null label is ranked, and its label equals no other.
     """
+
+    def of(q_id: int, ids: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+        return [np.full(len(ids), q_id), ids, place]
+
+    return places_of(queries, train, query_id, train_id, vector, label, of, f"{query_id} long, train_id long, place long")
+
+
+def places_of(queries: DataFrame, train: DataFrame, query_id: str, train_id: str, vector: str, label: str, of: Callable, ddl: str) -> DataFrame:
+    """What `of(query id, ids, places)` makes of each query's rows of places(): a list of columns, as ddl names them; nothing else leaves the task."""
     none = -(1 << 63)
 
     def columns(df: DataFrame, key: str, absent: int) -> DataFrame:
         own = F.coalesce(F.col(label).cast("long"), F.lit(absent))
         return df.select(F.col(key).cast("long").alias("i"), own.alias("l"), F.col(vector).cast("array<double>").alias("v")).dropna()
 
-    q, t = columns(queries, query_id, none), columns(train, train_id, none + 1)
-    n, most = t.agg(F.count("*"), F.max(F.size("v"))).first()
-
-    if n * ((most or 0) + 2) * 8 <= BROADCAST_BYTES:
-        shared = q.sparkSession.sparkContext.broadcast([(bytes(r.ids), bytes(r.labels), bytes(r.vectors)) for r in packed(t).collect()])
-
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            blocks = [unpack(*b) for b in shared.value]
-            if not blocks:
-                return
-            ids, labels, vectors = (np.concatenate(x) for x in zip(*blocks, strict=True))
-            by_id = np.argsort(ids, kind="stable")
-            ids, labels, vectors = ids[by_id], labels[by_id], vectors[by_id]
-            place = np.empty(len(ids), np.int64)
-            for batch in batches:
-                for q_id, q_label, query in zip(np.asarray(batch.column(0)), np.asarray(batch.column(1)), matrix(batch.column(2)), strict=True):
-                    place[np.argsort(distances(query, vectors), kind="stable")] = np.arange(len(ids))
-                    own = np.flatnonzero((labels == q_label) | (ids == q_id))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), q_id)), pa.array(ids[own]), pa.array(place[own])], names=["q", "t", "place"])
-
-        # a few blocks of a small file would else be a few tasks
-        spread = q.repartition(max(1, math.ceil(q.count() * n / TASK_PAIRS)))
-        found = spread.mapInArrow(apply, "q long, t long, place long")
-    else:
-        found = counted(q, packed(t))
-    return found.select(F.col("q").alias(query_id), F.col("t").alias("train_id"), "place")
+    return counted(columns(queries, query_id, none), columns(train, train_id, none + 1), of, ddl)
 
 
-def counted(q: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(q, t, place) of the rows that share a query's label or id, by counting the rows before them in every block."""
-    spark = q.sparkSession
-    path = shared_dir(spark, "places")
-    names = {"ids": "q_ids", "labels": "q_labels", "vectors": "q_vectors"}
-    blocks = stored(blocks, f"{path}/blocks")
+def counted(q: DataFrame, t: DataFrame, of: Callable, ddl: str) -> DataFrame:
+    """places_of() for rows (i, l, v), by counting the rows of other labels before each row of a query's label."""
+    path = shared_dir(q.sparkSession, "places")
+    dealt = t.repartitionByRange("l", "i").sortWithinPartitions("l")
+    # small row groups, as a task reads a few blocks at a time
+    packed(dealt).write.option("compression", "none").option("parquet.block.size", 8 << 20).parquet(path)
+    most = t.groupBy("l").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    n = q.count()
+    size = max(1, min(HELD // most, GROUP, max(LEAST_GROUP, n // TASKS)))
+    # a query's rows of its own id, few, for those of another label
+    own = t.join(q.select("i").distinct(), "i", "left_semi").groupBy("i").agg(F.collect_list(F.struct("l", "v")).alias("own"))
+    groups = q.join(own, "i", "left").select("i", "l", "v", "own").repartitionByRange(max(1, math.ceil(n / size)), "l", "i").sortWithinPartitions("l", "i")
+    names = [f.split()[0] for f in ddl.split(", ")]
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q_ids, q_labels, q_vectors, *block = (c[i].as_buffer() for c in batch.columns)
-                ids, labels, vectors = unpack(*block)
-                for q_id, q_label, query in zip(*unpack(q_ids, q_labels, q_vectors), strict=True):
-                    at = np.flatnonzero((labels == q_label) | (ids == q_id))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(at), q_id), ids[at], distances(query, vectors[at]))], names=["q", "t", "d"])
-
-    # blocks of a stated query set with blocks of all rows: rows are BLOCK_ROWS vectors each
-    pairs = packed(q).withColumnsRenamed(names).crossJoin(blocks)
-    wanted = stored(pairs.mapInArrow(own, "q long, t long, d double").groupBy("q", "t", "d").agg(F.count("*").alias("copies")), f"{path}/wanted")
-
-    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(query id, vector, ids, distances): a query's wanted rows of a batch, in order."""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q_ids, ids, far = (np.asarray(batch.column(c)) for c in ("q", "t", "d"))
-            vectors = batch.column("v")
-            order = np.lexsort((ids, far, q_ids))
-            for part in np.split(order, np.flatnonzero(np.diff(q_ids[order])) + 1):
-                vector = np.asarray(vectors[int(part[0])].values, np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([q_ids[part[0]]]), *(pa.array([x.tobytes()], pa.binary()) for x in (vector, ids[part], far[part]))], names=["q", "vector", "w_ids", "w_far"])
-
-    # a query's vector is joined to its wanted rows, dealt by both ids, so that a query with many of them is many tasks' work
-    asked = salted(wanted, q.select(F.col("i").alias("q"), "v")).mapInArrow(bounds, "q long, vector binary, w_ids binary, w_far binary")
-
-    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                q_id, vector, w_ids, w_far = batch.column(0)[i].as_py(), *(batch.column(c)[i].as_buffer() for c in range(1, 4))
-                ids, _, vectors = unpack(*(batch.column(c)[i].as_buffer() for c in range(4, 7)))
-                w_ids, w_far = np.frombuffer(w_ids, np.int64), np.frombuffer(w_far, np.float64)
-                n = ahead(w_ids, w_far, ids, distances(np.frombuffer(vector, np.float64), vectors))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), q_id)), pa.array(w_ids), pa.array(w_far), pa.array(n)], names=["q", "t", "d", "n"])
-
-    counts = asked.crossJoin(blocks).mapInArrow(before, "q long, t long, d double, n long").groupBy("q", "t", "d").agg(F.sum("n").alias("place"))
-    # rows of one id at one distance stand one after the other
-    once = counts.join(wanted, ["q", "t", "d"])
-    return once.select("q", "t", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("copies") - 1)).alias("place"))
-
-
-def salted(wanted: DataFrame, q: DataFrame) -> DataFrame:
-    """Wanted rows with their query's vector; a query's rows are dealt to SALTS tasks."""
-    several = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return wanted.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int")).join(several, ["q", "salt"]).select("q", "t", "d", "v")
-
-
-def ahead(w_ids: np.ndarray, w_far: np.ndarray, ids: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """How many of the rows come before each wanted one, by distance and then by id."""
-    order = np.lexsort((ids, far))
-    ids, far = ids[order], far[order]
-    low, high = np.searchsorted(far, w_far, "left"), np.searchsorted(far, w_far, "right")
-    for i in np.flatnonzero(high > low):  # rows at the same distance, itself among them
-        low[i] += np.searchsorted(ids[low[i] : high[i]], w_ids[i])
-    return low
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                for columns in ranked(Group(*(np.asarray(part.column(c)) for c in range(2)), matrix(part.column(2)), part.column(3)), path):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in of(*columns)], names=names)
+
+    return groups.mapInArrow(apply, ddl)
+
+
+def blocks_at(path: str, low: int | None = None, high: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The blocks that packed() has made, one at a time; those only whose labels meet a range, if it is given."""
+    files, root = place(path)
+    found = sorted(f.path for f in files.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet"))
+    within = None if low is None else (ds.field("low") <= int(high)) & (ds.field("high") >= int(low))
+    rows = ds.dataset(found, filesystem=files, format="parquet")
+    for batch in rows.to_batches(columns=["ids", "labels", "vectors"], filter=within, batch_size=4, batch_readahead=1, fragment_readahead=1, use_threads=False):
+        for i in range(batch.num_rows):
+            yield unpack(*(c[i].as_buffer() for c in batch.columns))
+
+
+class Group(NamedTuple):
+    """Queries that meet the blocks together, in order of their labels; own holds the training rows of each one's id."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    vectors: np.ndarray
+    own: pa.Array
+
+
+class Wanted:
+    """The rows of one label: by query, their distances in order, and how many other rows come between them."""
+
+    def __init__(self, first: int, ids: list[np.ndarray], far: list[np.ndarray]):
+        ids, far = np.concatenate(ids), np.concatenate(far, 1)
+        by_id = np.argsort(ids, kind="stable")
+        self.first, self.ids = first, ids[by_id]
+        self.order, self.before = np.empty(far.shape, np.int32), np.zeros((len(far), len(ids) + 1), np.int32)
+        #: a query's distances in order, and an infinite one that no row is beyond
+        self.far = np.full((len(far), len(ids) + 1), np.inf)
+        for i in range(len(far)):
+            d = far[i, by_id]
+            order = np.argsort(d)
+            if (np.diff(d[order]) == 0).any() or not np.isfinite(d).all():  # equal distances go by id
+                order = np.argsort(d, kind="stable")
+            self.order[i], self.far[i, :-1] = order, d[order]
+
+    def meet(self, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Counts rows of other labels, each for the first wanted row that comes after it."""
+        with np.errstate(invalid="ignore", over="ignore"):
+            squares, lengths = (vectors * vectors).sum(1), (queries * queries).sum(1)
+            error = 8 * (vectors.shape[1] + 4) * np.finfo(np.float64).eps * (lengths + squares.max())
+            for at in range(0, len(queries), QUERIES):
+                low = squares[None, :] - 2 * (queries[at : at + QUERIES] @ vectors.T) + (lengths - error)[at : at + QUERIES, None]
+                for i, least in enumerate(low, at):
+                    far = self.far[i, :-1]
+                    if not np.isfinite(error[i]):
+                        self.decide(i, queries[i], ids, vectors)
+                        continue
+                    least.sort()
+                    first = np.searchsorted(far, least)
+                    if not (self.far[i, first] <= least + 2 * error[i]).any():
+                        np.add.at(self.before[i], first, 1)
+                        continue
+                    # rows that rounding may place on either side of a wanted one are computed again, as copies are
+                    least = squares - 2 * (vectors @ queries[i]) + (lengths[i] - 2 * error[i])
+                    first = np.searchsorted(far, least)
+                    near = self.far[i, first] <= least + 4 * error[i]
+                    np.add.at(self.before[i], first[~near], 1)
+                    self.decide(i, queries[i], ids[near], vectors[near])
+
+    def decide(self, i: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        far, d = self.far[i, :-1], distances(query, vectors)
+        low, high = np.searchsorted(far, d, "left"), np.searchsorted(far, d, "right")
+        tied = high > low
+        if tied.any():  # complex numbers are in order of two keys: the distance, and the id's place among the wanted ids
+            start, end = int(low[tied].min()), int(high[tied].max())
+            keys = far[start:end] + 1j * self.order[i, start:end]
+            low[tied] = start + np.searchsorted(keys, d[tied] + 1j * (np.searchsorted(self.ids, ids[tied], "right") - 0.5))
+        np.add.at(self.before[i], low, 1)
+
+
+def ranked(group: Group, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query id, ids, places) of each query. The blocks are read twice: those with the queries' labels, and then all."""
+    ids: dict[int, list] = {}
+    far: dict[int, list] = {}
+    starts = np.append(np.flatnonzero(np.append(True, np.diff(group.labels) != 0)), len(group.labels))
+    span = {int(group.labels[a]): slice(int(a), int(b)) for a, b in itertools.pairwise(starts)}
+    for block_ids, labels, vectors in blocks_at(path, group.labels.min(), group.labels.max()):
+        for label in set(np.unique(labels).tolist()) & set(span):
+            rows = labels == label
+            ids.setdefault(label, []).append(block_ids[rows])
+            far.setdefault(label, []).append(np.stack([distances(q, vectors[rows]) for q in group.vectors[span[label]]]))
+    wanted = {label: Wanted(span[label].start, ids.pop(label), far.pop(label)) for label in list(ids)}
+
+    others = {}
+    for i, own in enumerate(group.own.to_pylist()):
+        apart = np.array([r["v"] for r in own or [] if r["l"] != group.labels[i]], np.float64)
+        if len(apart):
+            others[i] = np.sort(distances(group.vectors[i], apart))
+    ahead = {i: np.arange(len(d)) - np.searchsorted(d, d) for i, d in others.items()}
+    for block_ids, labels, vectors in blocks_at(path):
+        for label, rows in wanted.items():
+            rest = labels != label
+            if rest.any():
+                rows.meet(group.vectors[span[label]], block_ids if rest.all() else block_ids[rest], vectors if rest.all() else vectors[rest])
+        for i, far_own in others.items():
+            d = distances(group.vectors[i], vectors)
+            earlier = (block_ids < group.ids[i]) | ((block_ids == group.ids[i]) & (labels == group.labels[i]))
+            ahead[i] = ahead[i] + [int(((d < x) | ((d == x) & earlier)).sum()) for x in far_own]
+
+    for i, (q_id, label) in enumerate(zip(group.ids.tolist(), group.labels.tolist(), strict=True)):
+        found, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if label in wanted:
+            rows, own = wanted[label], i - wanted[label].first
+            found = rows.ids[rows.order[own]]
+            at = np.arange(len(found)) + np.cumsum(rows.before[own, :-1], dtype=np.int64)
+        if i in others:
+            found, at = np.append(found, np.full(len(ahead[i]), q_id)), np.append(at, ahead[i])
+        yield q_id, found, at
 
 
 def vote(found: DataFrame, query_id: str) -> DataFrame:

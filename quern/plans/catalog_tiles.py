@@ -203,10 +203,10 @@ def j1_knn_balls(spark, d):
 
 
 def j2_counted_places(spark, d):
-    """The places of the rows of a query's label among all, by counting, the way beyond what is broadcast."""
+    """The places of the rows of a query's label among all, by counting."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").cast("long").alias("l"), doubles("embedding").alias("v")).dropna()
-    found = neighbours.counted(rows.filter("i % 100 = 0"), neighbours.packed(rows))
-    return found.select(F.col("q").alias("query_id"), F.col("t").alias("db_id"), F.col("place").cast("long").alias("place"))
+    of = lambda q, ids, places: [np.full(len(ids), q), ids, places]
+    return neighbours.counted(rows.filter("i % 100 = 0"), rows, of, "query_id long, db_id long, place long")
 
 
 def s6_restarted(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import vectors
 from quern.operators import balls, linear, neighbours, ranges
+from quern.plans import catalog_tiles
 
 
 @pytest.fixture
@@ -61,6 +62,27 @@ def test_no_row_for_each_pair_is_shuffled(spark, monkeypatch):
     assert shuffled and all("own#" not in line for line in shuffled)
 
 
+def test_counted_places_meet_no_rows_in_pairs(spark, monkeypatch, tmp_path):
+    """Copies in all labels, and distances that products round: places as a plain version has them, and no plan that pairs rows or blocks."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(neighbours, "HELD", 500, raising=False)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 6)) + 50
+    x[rng.permutation(600)[:250]] = x[1]
+    x[rng.permutation(600)[:150]] += 1e-7
+    label = rng.integers(0, 4, 600)
+    rows = [(i, v, int(k)) for i, (v, k) in enumerate(zip(x.tolist(), label, strict=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = catalog_tiles.j2_counted_places(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = []
+    for q in range(0, 600, 100):
+        order = np.lexsort((np.arange(600), ((x - x[q]) ** 2).sum(1))).tolist()
+        want += [(q, int(t), order.index(t)) for t in np.flatnonzero(label == label[q])]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
 def test_vectors_of_different_lengths_are_named(spark):
     rows = spark.createDataFrame([(1, 1, [1.0]), (2, 1, [1.0, 2.0])], "id long, label int, v array<double>").coalesce(1)
     with pytest.raises(Exception, match="vectors of 1 and of 2 components"):
