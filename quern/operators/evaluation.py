@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +60,32 @@ def evaluate_ranking(ranks: DataFrame, positive: DataFrame, junk: DataFrame, ks:
     return out.select("query_id", F.coalesce("ap", F.lit(0.0)).alias("ap"), *[F.coalesce(f"p_{k}", F.lit(0.0)).alias(f"p_{k}") for k in ks])
 
 
+def sums_ddl(query: str, ks: list[int]) -> str:
+    """The columns of ranking_sums(), after the query's id."""
+    return ", ".join([f"{query} long", "terms double", *[f"p_{k} double" for k in ks]])
+
+
+def ranking_sums(positive: np.ndarray, junk: np.ndarray, ks: list[int]) -> list[float | None]:
+    """A query's sum of precision_terms() before they are divided by n_relevant, and its precisions, from 0-based places of positive and of junk rows.
+
+    The metrics of evaluate_ranking(), for places that one task has at hand; all are None without positives.
+    """
+    if not len(positive):
+        return [None] * (1 + len(ks))
+    at = np.sort(positive)
+    at = at - np.searchsorted(np.sort(junk), at)
+    j = np.arange(len(at))
+    terms = np.where(at == 0, 1.0, j / np.maximum(at, 1)) + (j + 1) / (at + 1)
+    cut = [min(int(at[-1]) + 1, k) for k in ks]
+    return [float(terms.sum() / 2), *(float((at + 1 <= c).sum() / c) for c in cut)]
+
+
+def from_sums(sums: DataFrame, query: str, relevant: DataFrame, ks: list[int]) -> DataFrame:
+    """(query, n_relevant, ap, p_<k> ...) from ranking_sums() of each query; `relevant` is (query, n_relevant), and only its queries have a row."""
+    rows = relevant.join(sums, query, "left")
+    return rows.select(query, "n_relevant", (F.col("terms") / F.col("n_relevant")).alias("ap"), *[f"p_{k}" for k in ks])
+
+
 def mean_average_precision(per_query: DataFrame) -> DataFrame:
     """One row: map and the mean of every precision; null where no query has positives."""
     return per_query.agg(F.avg("ap").alias("map"), *[F.avg(c).alias(c) for c in per_query.columns if c.startswith("p_")])

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import vectors
-from quern.operators import balls, linear, neighbours, ranges
-from quern.plans import catalog_tiles
+from quern.operators import balls, evaluation, linear, neighbours, ranges
+from quern.plans import catalog, catalog_tiles
 
 
 @pytest.fixture
@@ -83,6 +83,30 @@ def test_counted_places_meet_no_rows_in_pairs(spark, monkeypatch, tmp_path):
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("query", ["a6_mean_average_precision"])
+def test_no_row_for_each_positive_is_shuffled(spark, query):
+    """A query's places become metrics, or rows of the result, in the task that counted them."""
+    plan = catalog.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "db_id" in line]
+
+
+def test_sums_of_a_ranking_are_its_metrics(spark):
+    rng = np.random.default_rng(6)
+    ranks = [(q, p, int(t)) for q in range(4) for p, t in enumerate(rng.permutation(40))]
+    good = {(q, int(t)) for q in range(3) for t in rng.permutation(40)[:9]}
+    junk = {(q, int(t)) for q in range(4) for t in rng.permutation(40)[:5]} - good
+    key = "query_id long, db_id long"
+    out = evaluation.evaluate_ranking(spark.createDataFrame(ranks, "query_id long, place long, db_id long"), spark.createDataFrame(sorted(good), key), spark.createDataFrame(sorted(junk), key), [1, 5])
+    want = {r.query_id: (r.ap, r.p_1, r.p_5) for r in out.collect()}
+    assert sorted(want) == [0, 1, 2]
+    for q in want:
+        at, bad = (np.array([p for x, p, t in ranks if x == q and (q, t) in some]) for some in (good, junk))
+        terms, *found = evaluation.ranking_sums(at, bad, [1, 5])
+        assert [terms / 9, *found] == pytest.approx(want[q])
+    assert evaluation.ranking_sums(np.zeros(0), np.zeros(1), [1, 5]) == [None] * 3
+
+
 def test_vectors_of_different_lengths_are_named(spark):
     rows = spark.createDataFrame([(1, 1, [1.0]), (2, 1, [1.0, 2.0])], "id long, label int, v array<double>").coalesce(1)
     with pytest.raises(Exception, match="vectors of 1 and of 2 components"):
