@@ -83,7 +83,7 @@ def test_counted_places_meet_no_rows_in_pairs(spark, monkeypatch, tmp_path):
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("query", ["a6_mean_average_precision", "a6_ranking", "j2_ranked_positives"])
+@pytest.mark.parametrize("query", ["a6_mean_average_precision", "a6_ranking", "j2_ranked_positives", "a5_average_precision"])
 def test_no_row_for_each_positive_is_shuffled(spark, query):
     """A query's places become metrics, or rows of the result, in the task that counted them."""
     plan = catalog.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
