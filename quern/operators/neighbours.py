@@ -28,11 +28,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import matrix
-from quern.operators import balls
+from quern.operators import balls, ranges
 from quern.operators.balls import distances, nearest, unpack
 from quern.session import shared_dir
 from quern.sources.tile_source import place
@@ -117,6 +117,31 @@ def places_of(queries: DataFrame, train: DataFrame, query_id: str, train_id: str
     return counted(columns(queries, query_id, none), columns(train, train_id, none + 1), of, ddl)
 
 
+def own_places(train: DataFrame, asked: Column | str, train_id: str, vector: str) -> DataFrame:
+    """(query_id, train_id, place): where each training row that is asked for stands in its own ranking, without the other rows' distances.
+
+    Nothing is nearer to a vector than its copies, at distance zero, so that its place is that among the copies, by id. (Components must
+    not differ by less than 1e-154, whose square is zero; single precision has no such numbers.) Rows are put in order of vector and
+    id by ranges, however many copies a vector has. Vectors with NaN or infinite components, which have no distance to themselves, are ranked by places_of().
+    """
+    rows = train.withColumn("i", F.col(train_id).cast("long")).withColumn("v", F.transform(F.col(vector).cast("array<double>"), lambda x: x + 0.0)).dropna(subset=["i", "v"])
+    rows = rows.withColumn("asked", asked if isinstance(asked, Column) else F.expr(asked)).select("i", "v", "asked")
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    near = ranges.numbered(rows.filter(~odd), ["v", "i"], "at")
+    copies = near.groupBy("v").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    found = near.filter("asked").join(copies, "v", "left").select(F.col("i").alias("query_id"), F.col("i").alias("train_id"), (F.col("at") - F.coalesce("first", "at")).cast("long").alias("place"))
+    strange = rows.filter("asked").filter(odd)
+    if strange.isEmpty():
+        return found
+
+    def of(q_id: int, ids: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+        own = ids == q_id
+        return [np.full(own.sum(), q_id), ids[own], places[own]]
+
+    unlabelled = rows.withColumn("l", F.lit(None).cast("long"))
+    return found.unionByName(places_of(unlabelled.filter("asked").filter(odd), unlabelled, "i", "i", "v", "l", of, "query_id long, train_id long, place long"))
+
+
 def counted(q: DataFrame, t: DataFrame, of: Callable, ddl: str) -> DataFrame:
     """places_of() for rows (i, l, v), by counting the rows of other labels before each row of a query's label."""
     path = shared_dir(q.sparkSession, "places")
@@ -240,7 +265,9 @@ def ranked(group: Group, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarra
         for i, far_own in others.items():
             d = distances(group.vectors[i], vectors)
             earlier = (block_ids < group.ids[i]) | ((block_ids == group.ids[i]) & (labels == group.labels[i]))
-            ahead[i] = ahead[i] + [int(((d < x) | ((d == x) & earlier)).sum()) for x in far_own]
+            for at, x in enumerate(far_own):  # what is not a number comes last
+                less, same = (~np.isnan(d), np.isnan(d)) if np.isnan(x) else (d < x, d == x)
+                ahead[i][at] += int((less | (same & earlier)).sum())
 
     for i, (q_id, label) in enumerate(zip(group.ids.tolist(), group.labels.tolist(), strict=True)):
         found, at = np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -91,6 +91,34 @@ def test_no_row_for_each_positive_is_shuffled(spark, query):
     assert not [line for line in plan.splitlines() if "Exchange" in line and "db_id" in line]
 
 
+def test_own_places_need_no_other_rows_distances(wide, monkeypatch, tmp_path):
+    """Copies across borders of partitions, zeros of both signs, and vectors without a distance to themselves."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 3))
+    x[rng.permutation(300)[:180]] = x[5]
+    x[rng.permutation(300)[:40]] = [0.0, -0.0, 1.0]
+    x[290:295] = [-0.0, 0.0, 1.0]
+
+    def found(values):
+        path = f"{tmp_path}/{len(list(tmp_path.iterdir()))}"
+        rows = [(i, v, i % 3) for i, v in enumerate(values.tolist())]
+        wide.createDataFrame(rows[::-1], "vec_id long, embedding array<double>, label int").repartition(3).write.parquet(f"{path}/embeddings.parquet")
+        out = [tuple(r) for r in catalog.j3_ranked_junk(wide, path).collect()]
+        assert all(q == t for q, t, _ in out) and len(out) == 30
+        if np.isnan(values).any():  # no vector has a distance to it, so that ids decide
+            assert {r.db_id: r.place for r in catalog.j2_ranked_positives(wide, path).filter("query_id = 20").collect()} == {i: i for i in range(2, 300, 3) if i != 20}
+        return {q: place for q, _, place in out}
+
+    want = {q: int(((x[:q] == x[q]).all(1)).sum()) for q in range(0, 300, 10)}
+    assert max(want.values()) > 50
+    with monkeypatch.context() as m:
+        m.setattr(neighbours, "places", None)  # not asked: its work is that of all pairs
+        m.setattr(neighbours, "places_of", None, raising=False)
+        assert found(x) == want
+    x[20] = np.nan
+    assert found(x) == want | {20: 20, **{q: int(((x[:q] == x[q]).all(1)).sum()) for q in want if q != 20}}
+
+
 def test_sums_of_a_ranking_are_its_metrics(spark):
     rng = np.random.default_rng(6)
     ranks = [(q, p, int(t)) for q in range(4) for p, t in enumerate(rng.permutation(40))]
