@@ -25,6 +25,8 @@ BLOCK_ROWS = 4096
 SPARE = 8
 #: Vectors whose distances to one query are computed at a time.
 NEAR_ROWS = 1024
+#: Queries of a matrix product: a batch's size, or a block's, decides no memory.
+NEAR_QUERIES = 256
 #: Tasks among which a query's candidates are dealt.
 SALTS = 64
 #: What rounding may take from a lower bound, as a share of the numbers that it comes from.
@@ -39,8 +41,13 @@ def distances(query: np.ndarray, train: np.ndarray) -> np.ndarray:
 
 
 def nearest(queries: np.ndarray, ids: np.ndarray, train: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(squared distances, rows) of the k training vectors nearest to each query, by distance and then by id."""
+    """(squared distances, rows) of the k training vectors nearest to each query, by distance and then by id; NEAR_QUERIES queries at a time."""
     squares = (train * train).sum(1)
+    parts = [nearest_of(queries[at : at + NEAR_QUERIES], ids, train, squares, k) for at in range(0, max(1, len(queries)), NEAR_QUERIES)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def nearest_of(queries: np.ndarray, ids: np.ndarray, train: np.ndarray, squares: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     rough = squares[None, :] - 2 * (queries @ train.T)
     m = min(len(train), k + SPARE)
     some = np.argpartition(rough, m - 1, axis=1)[:, :m] if m < len(train) else np.tile(np.arange(len(train)), (len(queries), 1))

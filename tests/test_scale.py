@@ -1,6 +1,7 @@
 """Plans that hold at scale, against plain versions: counted places, runs and ordinals over ranges, top directions of many components."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -22,6 +23,23 @@ def wide(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+# --- neighbours
+
+
+def test_memory_of_nearest_does_not_go_by_the_batch():
+    """4000 queries against 4096 vectors: a matrix of all of them would be 131 MB."""
+    rng = np.random.default_rng(2)
+    train, queries = rng.normal(size=(4096, 4)), rng.normal(size=(4000, 4))
+    tracemalloc.start()
+    d, at = balls.nearest(queries, np.arange(4096), train, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    for i in range(0, 4000, 401):
+        want = np.argsort(((train - queries[i]) ** 2).sum(1), kind="stable")[:5]
+        assert at[i].tolist() == want.tolist()
+
+
 # --- places
 
 
