@@ -5,6 +5,7 @@ Each has DuckDB SQL of the same rows. Names begin with the operator's number in
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ SIDE = 8
 WORKERS = 5
 #: Rows whose tile is cut short, so that it cannot be read: those whose number leaves no rest.
 BROKEN = 97
+#: Files that are made, and rows of sums that are sent on, at a time.
+FILES = 512
 COMPRESSIONS = (rasters.NONE, rasters.DEFLATE, rasters.PACKBITS)
 
 
@@ -46,61 +49,57 @@ def grey(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", q.alias("q"))
 
 
-def tile_files(spark: SparkSession, d: str) -> DataFrame:
-    """(vec_id, path, file_name, content): a TIFF file of each vector; red is q, green its complement, blue q reversed."""
+def tile_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(folder, file_name, content) from (vec_id, q): a TIFF file of each vector; red is q, green its complement, blue q reversed."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, FILES):
+            part = batch.slice(at, FILES)
+            q, numbers = matrix(part.column(1)).astype(np.uint8), part.column(0).to_pylist()
+            rgb = np.stack([q, 255 - q, q[:, ::-1]], 2).reshape(-1, SIDE, SIDE, 3)
+            files = [rasters.encode(x, COMPRESSIONS[i % 3]) for x, i in zip(rgb, numbers, strict=True)]
+            cut = [f[:40] if i % BROKEN == 0 else f for f, i in zip(files, numbers, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(["tiles"] * len(cut)), pa.array([f"{i}.tif" for i in numbers]), pa.array(cut, pa.binary())], names=["folder", "file_name", "content"])
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                q = matrix(batch.column(1)).astype(np.uint8)
-                rgb = np.stack([q, 255 - q, q[:, ::-1]], 2).reshape(-1, SIDE, SIDE, 3)
-                files = [rasters.encode(x, COMPRESSIONS[i % 3]) for x, i in zip(rgb, batch.column(0).to_pylist(), strict=True)]
-                names = [f"{i}.tif" for i in batch.column(0).to_pylist()]
-                cut = [f[:40] if i % BROKEN == 0 else f for f, i in zip(files, batch.column(0).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"tiles/{n}" for n in names]), pa.array(names), pa.array(cut, pa.binary())], names=["vec_id", "path", "file_name", "content"])
-
-    return grey(spark, d).filter(F.size("q") == SIDE * SIDE).mapInArrow(apply, "vec_id long, path string, file_name string, content binary")
 
+def sums(spark: SparkSession, d: str, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """vec_id, decode_ok, height, width, and of each channel of the changed image the sum and the sum by place.
 
-def decoded_tiles(spark: SparkSession, d: str) -> DataFrame:
-    rows = images.decoded_contents(tile_files(spark, d))
-    return rows.withColumn("vec_id", F.regexp_extract("file_name", "^[0-9]+", 0).cast("long"))
-
-
-def sums(rows: DataFrame, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """vec_id, decode_ok, height, width, and of each channel of the changed image the sum and the sum by place."""
+    Files are made, decoded and summed one after the other in one Python worker of a task, so that no images stand in batches between three.
+    """
     names = ["vec_id", "decode_ok", "height", "width", *(f"{c}_{k}" for c in "rgb" for k in ("sum", "placed"))]
+    types = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), *[pa.int64()] * 6]
+
+    def row(tile: pa.RecordBatch) -> tuple:
+        name, ok, h, w, data = (tile.column(c)[0].as_py() for c in range(1, 6))
+        x = change(np.frombuffer(data, np.uint8).reshape(h, w, 3))
+        flat = x.reshape(-1, 3).astype(np.int64)
+        placed = (flat * np.arange(1, len(flat) + 1)[:, None]).sum(0)
+        return int(name.removesuffix(".tif")), ok, *x.shape[:2], *(v for c in range(3) for v in (int(flat[:, c].sum()), int(placed[c])))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[] for _ in range(8)]
-            for h, w, data in zip(*(batch.column(c).to_pylist() for c in range(2, 5)), strict=True):
-                x = change(np.frombuffer(data, np.uint8).reshape(h, w, 3))
-                flat = x.reshape(-1, 3).astype(np.int64)
-                placed = (flat * np.arange(1, len(flat) + 1)[:, None]).sum(0)
-                for column, value in zip(out, (*x.shape[:2], *(v for c in range(3) for v in (int(flat[:, c].sum()), int(placed[c])))), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int32() if i < 2 else pa.int64()) for i, c in enumerate(out))], names=names)
+        rows = (row(tile) for tile in images.decode(tile_files(batches)))
+        while part := list(itertools.islice(rows, FILES)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=names)
 
     ddl = "vec_id long, decode_ok boolean, height int, width int, " + ", ".join(f"{n} long" for n in names[4:])
-    return rows.select("vec_id", "decode_ok", "height", "width", "pixels").mapInArrow(apply, ddl)
+    return grey(spark, d).filter(F.size("q") == SIDE * SIDE).mapInArrow(apply, ddl)
 
 
 def s2_decoded(spark, d):
     """Every tile decoded; those that cannot be read are black."""
-    return sums(decoded_tiles(spark, d), lambda x: x)
+    return sums(spark, d, lambda x: x)
 
 
 def p5_resized(spark, d):
-    return sums(decoded_tiles(spark, d), lambda x: images.resize(x, 4))
+    return sums(spark, d, lambda x: images.resize(x, 4))
 
 
 def p6_center_crop(spark, d):
-    return sums(decoded_tiles(spark, d), lambda x: images.center_crop(x, 5))
+    return sums(spark, d, lambda x: images.center_crop(x, 5))
 
 
 def p9_blurred(spark, d):
-    return sums(decoded_tiles(spark, d), lambda x: images.blurred(x, 1.0))
+    return sums(spark, d, lambda x: images.blurred(x, 1.0))
 
 
 def through(spark: SparkSession, d: str, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

@@ -60,14 +60,15 @@ def decoded(spark: SparkSession, directories: str | list[str]) -> DataFrame:
 
 def decoded_contents(files: DataFrame) -> DataFrame:
     """The same columns from files' bytes (path, file_name, content), at rest or in a stream."""
+    return files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "file_name", "content").mapInArrow(decode, DECODED)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                for ok, rgb in rasters.substituted([batch.column(2)[i].as_py()], CROP):
-                    yield tile_row(batch.slice(i, 1).columns[:2], ok, rgb)
 
-    return files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "file_name", "content").mapInArrow(apply, DECODED)
+def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of DECODED at a time from batches of (folder, file_name, content): for a task that makes or reduces the images itself."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            for ok, rgb in rasters.substituted([batch.column(2)[i].as_py()], CROP):
+                yield tile_row(batch.slice(i, 1).columns[:2], ok, rgb)
 
 
 def tile_row(names: list[pa.Array], ok: bool, rgb: np.ndarray) -> pa.RecordBatch:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import vision
-from quern.plans import predict, restart
+from quern.plans import catalog_tiles, predict, restart
 from quern.sources import checkpoints, images, rasters, tile_source
 from quern.streaming import progress
 from quern.streaming import tiles as streaming
@@ -275,3 +275,10 @@ def test_progress_of_a_stream(spark, tmp_path):
     rows = log.table().collect()
     assert [(r.step, r.steps, r.rows) for r in rows] == [(0, 4, 10), (1, 4, 10), (2, 4, 10), (3, 4, 10)] and json.dumps(sorted(int(r.measures["most"]) for r in rows)) == "[9, 19, 29, 39]"
     assert all(r.seconds_left == pytest.approx(r.average_seconds * (4 - r.step)) for r in rows)
+
+
+def test_tiles_of_the_queries_pass_one_python_worker(spark):
+    """Making, decoding and summing tiles in a stage each of Python workers would hold three of them, and batches of images, for every core."""
+    for query in ("s2_decoded", "p5_resized", "p6_center_crop", "p9_blurred"):
+        plan = catalog_tiles.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
