@@ -36,8 +36,12 @@ BALLS = "block long, centre binary, radius double, ids binary, labels binary, ve
 
 def distances(query: np.ndarray, train: np.ndarray) -> np.ndarray:
     """Squared distances of all training vectors to one query."""
-    parts = [((query - train[at : at + NEAR_ROWS]) ** 2).sum(1) for at in range(0, len(train), NEAR_ROWS)]
-    return np.concatenate(parts) if parts else np.zeros(0)
+    out, apart = np.empty(len(train)), np.empty((min(NEAR_ROWS, len(train)), train.shape[-1]))
+    for at in range(0, len(train), NEAR_ROWS):
+        part = train[at : at + NEAR_ROWS]
+        d = np.subtract(query, part, out=apart[: len(part)])
+        np.sum(np.multiply(d, d, out=d), axis=1, out=out[at : at + NEAR_ROWS])
+    return out
 
 
 def nearest(queries: np.ndarray, ids: np.ndarray, train: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

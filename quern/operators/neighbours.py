@@ -11,9 +11,10 @@ grows with the table.
 Ties of distance go to the smaller training id, ties of votes to the smaller label.
 
 places() ranks all training vectors of each query, without a limit, and returns the places of those that share its label or id.
-Blocks are written in order of their labels. A task has a group of queries and reads the blocks in place, one at a time: first
-those of its labels, whose distances it keeps in order (HELD of them at most, or one query's), then all, as matrix products, of which each row of
-another label counts for the first kept row after it. Products that rounding leaves open are computed again without cancellation.
+Blocks are written in order of their labels. A task has a group of queries and reads the blocks in place: first, one at a time,
+those of its labels, whose distances it keeps in order (HELD of them at most, or one query's), then all, some of them together (MEET_BYTES), as
+matrix products. A query's products are sorted with its kept distances, which shows how many rows of other labels come before each.
+Products that rounding leaves open are computed again without cancellation.
 Only vectors are shuffled, never a row for each pair; places_of() hands a query's places to a function in the task.
 """
 
@@ -43,8 +44,8 @@ BROADCAST_BYTES = 64 << 20
 #: Distances that a task keeps when rows are ranked, and queries that it takes at a time: at most, and at least where there are fewer than TASKS groups.
 HELD = 1 << 23
 GROUP, LEAST_GROUP, TASKS = 256, 32, 64
-#: Queries of a matrix product.
-QUERIES = 64
+#: Queries of a matrix product, and bytes of vectors that meet a group of queries together.
+QUERIES, MEET_BYTES = 32, 64 << 20
 
 
 def packed(train: DataFrame) -> DataFrame:
@@ -187,55 +188,128 @@ class Group(NamedTuple):
 
 
 class Wanted:
-    """The rows of one label: by query, their distances in order, and how many other rows come between them."""
+    """The rows of one label: by query, their distances in order, and how many other rows come before each of them."""
 
     def __init__(self, first: int, ids: list[np.ndarray], far: list[np.ndarray]):
         ids, far = np.concatenate(ids), np.concatenate(far, 1)
         by_id = np.argsort(ids, kind="stable")
         self.first, self.ids = first, ids[by_id]
-        self.order, self.before = np.empty(far.shape, np.int32), np.zeros((len(far), len(ids) + 1), np.int32)
-        #: a query's distances in order, and an infinite one that no row is beyond
-        self.far = np.full((len(far), len(ids) + 1), np.inf)
+        self.order, self.ahead, self.far = np.empty(far.shape, np.int32), np.zeros(far.shape, np.int32), far
+        #: how many distances of a query are finite; the others come last
+        self.finite = np.isfinite(far).sum(1).tolist()
         for i in range(len(far)):
             d = far[i, by_id]
-            order = np.argsort(d)
-            if (np.diff(d[order]) == 0).any() or not np.isfinite(d).all():  # equal distances go by id
-                order = np.argsort(d, kind="stable")
-            self.order[i], self.far[i, :-1] = order, d[order]
-
-    def meet(self, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Counts rows of other labels, each for the first wanted row that comes after it."""
-        with np.errstate(invalid="ignore", over="ignore"):
-            squares, lengths = (vectors * vectors).sum(1), (queries * queries).sum(1)
-            error = 8 * (vectors.shape[1] + 4) * np.finfo(np.float64).eps * (lengths + squares.max())
-            for at in range(0, len(queries), QUERIES):
-                low = squares[None, :] - 2 * (queries[at : at + QUERIES] @ vectors.T) + (lengths - error)[at : at + QUERIES, None]
-                for i, least in enumerate(low, at):
-                    far = self.far[i, :-1]
-                    if not np.isfinite(error[i]):
-                        self.decide(i, queries[i], ids, vectors)
-                        continue
-                    least.sort()
-                    first = np.searchsorted(far, least)
-                    if not (self.far[i, first] <= least + 2 * error[i]).any():
-                        np.add.at(self.before[i], first, 1)
-                        continue
-                    # rows that rounding may place on either side of a wanted one are computed again, as copies are
-                    least = squares - 2 * (vectors @ queries[i]) + (lengths[i] - 2 * error[i])
-                    first = np.searchsorted(far, least)
-                    near = self.far[i, first] <= least + 4 * error[i]
-                    np.add.at(self.before[i], first[~near], 1)
-                    self.decide(i, queries[i], ids[near], vectors[near])
+            order = np.argsort(d) if self.finite[i] == len(d) else np.argsort(d, kind="stable")
+            new = d[order][1:] != d[order][:-1]
+            if self.finite[i] == len(d) and not new.all():  # equal distances go by id
+                order = np.sort(np.append(0, np.cumsum(new)) * len(d) + order) % len(d)
+            self.order[i], far[i] = order, d[order]
+
+    def count(self, i: int, query: np.ndarray, rough: np.ndarray, error: float, rows: Callable) -> None:
+        """Counts rows whose distances are within error/2 of rough; rows(mask) are the ids and vectors of some of them."""
+        far = self.far[i, : self.finite[i]]
+        before, open_ = merged(far, rough, error)
+        if open_ is not None:
+            # rows that rounding may place on either side of a wanted one are computed again, as copies are
+            self.decide(i, query, *rows(open_))
+            rough = rough[~open_]
+            before, _ = merged(far, rough, -1.0)
+        self.ahead[i, : len(far)] += before
+        self.ahead[i, len(far) :] += np.isfinite(rough).sum()
 
     def decide(self, i: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-        far, d = self.far[i, :-1], distances(query, vectors)
+        far, d = self.far[i], distances(query, vectors)
         low, high = np.searchsorted(far, d, "left"), np.searchsorted(far, d, "right")
         tied = high > low
         if tied.any():  # complex numbers are in order of two keys: the distance, and the id's place among the wanted ids
             start, end = int(low[tied].min()), int(high[tied].max())
             keys = far[start:end] + 1j * self.order[i, start:end]
             low[tied] = start + np.searchsorted(keys, d[tied] + 1j * (np.searchsorted(self.ids, ids[tied], "right") - 0.5))
-        np.add.at(self.before[i], low, 1)
+        self.ahead[i] += np.cumsum(np.bincount(low, minlength=len(far) + 1)[:-1])
+
+
+def merged(far: np.ndarray, rough: np.ndarray, error: float) -> tuple[np.ndarray, np.ndarray | None]:
+    """How many of `rough` come before each of `far`, which is in order and finite, and a mask of those of `rough` that are within error of one, if any is.
+
+    All are sorted together, with those of `far` marked by the last bit, which changes less than rounding does.
+    """
+    n = len(rough)
+    both = np.empty(n + len(far) + 2)
+    bits = both.view(np.int64)
+    both[:n], both[n:-2], both[-2:] = rough, far, (-np.inf, np.inf)
+    bits[:n] &= -2
+    bits[n:-2] |= 1
+    both.sort()
+    marked = (bits & 1).astype(bool)
+    before = np.flatnonzero(marked) - np.arange(1, len(far) + 1)
+    tight = (both[1:] - both[:-1] <= error) & (marked[1:] != marked[:-1])
+    if not tight.any():
+        return before, None
+    at = np.flatnonzero(tight)
+    ends = np.append(np.unique(np.where(marked[at], both[at], both[at + 1])), np.nan)
+    return before, ends[np.searchsorted(ends, rough - 2 * error)] <= rough + 2 * error
+
+
+def together(blocks: Iterator[tuple], most: int) -> Iterator[list[tuple]]:
+    """Blocks in lists of at most `most` bytes of vectors, or of one block."""
+    held, size = [], 0
+    for block in blocks:
+        if held and size + block[2].nbytes > most:
+            yield held
+            held, size = [], 0
+        held.append(block)
+        size += block[2].nbytes
+    if held:
+        yield held
+
+
+def meet(group: Group, wanted: dict[int, Wanted], blocks: list[tuple]) -> None:
+    """Counts the rows of some blocks for the wanted rows of every query, but those of the query's own label."""
+    if len(wanted) == 1:
+        blocks = [b for b in blocks if (b[1] != next(iter(wanted))).any()]
+    if not blocks or not wanted:
+        return
+    labels = np.concatenate([b[1] for b in blocks])
+    ends = np.cumsum([len(b[0]) for b in blocks]).tolist()
+
+    def rows(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [(b[0][m], b[2][m]) for b, m in zip(blocks, np.split(some, ends[:-1]), strict=True) if m.any()]
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+    with np.errstate(invalid="ignore", over="ignore"):
+        squares = np.concatenate([np.einsum("ij,ij->i", b[2], b[2]) for b in blocks])
+        lengths = (group.vectors * group.vectors).sum(1)
+        # vectors without a length, and a few that are much longer than others, would leave all open
+        apart = odd = ~np.isfinite(squares)
+        long = ~(squares <= 100 * np.median(squares))
+        apart = long if long.sum() * 64 <= len(long) else apart
+        most = 4 * (lengths + squares[~apart].max(initial=0.0))
+        error = 4 * (group.vectors.shape[1] + 4) * np.finfo(np.float64).eps * most + np.finfo(np.float64).tiny
+        products = np.empty((min(QUERIES, len(lengths)), len(squares)))
+        label = None
+        for at in range(0, len(lengths), QUERIES):
+            part = -2 * group.vectors[at : at + QUERIES]
+            for block, end in zip(blocks, ends, strict=True):
+                np.matmul(part, block[2].T, out=products[: len(part), end - len(block[0]) : end])
+            for i, rough in enumerate(products[: len(part)], at):
+                if group.labels[i] not in wanted:
+                    continue
+                if label != group.labels[i]:
+                    label = group.labels[i]
+                    kept = wanted[int(label)]
+                    other = labels != label
+                    # what is infinite comes before no wanted row
+                    added = np.where(other & ~apart, squares, np.inf)
+                own = i - kept.first
+                exact = other if not np.isfinite(most[i]) else other & apart
+                if exact.any():
+                    kept.decide(own, group.vectors[i], *rows(exact))
+                if np.isfinite(most[i]):
+                    rough += added
+                    rough += lengths[i]
+                    if odd.any():
+                        rough[odd] = np.inf
+                    kept.count(own, group.vectors[i], rough, error[i], rows)
 
 
 def ranked(group: Group, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -247,8 +321,9 @@ def ranked(group: Group, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarra
     for block_ids, labels, vectors in blocks_at(path, group.labels.min(), group.labels.max()):
         for label in set(np.unique(labels).tolist()) & set(span):
             rows = labels == label
+            same = vectors if rows.all() else vectors[rows]
             ids.setdefault(label, []).append(block_ids[rows])
-            far.setdefault(label, []).append(np.stack([distances(q, vectors[rows]) for q in group.vectors[span[label]]]))
+            far.setdefault(label, []).append(np.stack([distances(q, same) for q in group.vectors[span[label]]]))
     wanted = {label: Wanted(span[label].start, ids.pop(label), far.pop(label)) for label in list(ids)}
 
     others = {}
@@ -257,24 +332,22 @@ def ranked(group: Group, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarra
         if len(apart):
             others[i] = np.sort(distances(group.vectors[i], apart))
     ahead = {i: np.arange(len(d)) - np.searchsorted(d, d) for i, d in others.items()}
-    for block_ids, labels, vectors in blocks_at(path):
-        for label, rows in wanted.items():
-            rest = labels != label
-            if rest.any():
-                rows.meet(group.vectors[span[label]], block_ids if rest.all() else block_ids[rest], vectors if rest.all() else vectors[rest])
-        for i, far_own in others.items():
+    for blocks in together(blocks_at(path), MEET_BYTES):
+        meet(group, wanted, blocks)
+        for (i, far_own), (block_ids, labels, vectors) in itertools.product(others.items(), blocks):
             d = distances(group.vectors[i], vectors)
             earlier = (block_ids < group.ids[i]) | ((block_ids == group.ids[i]) & (labels == group.labels[i]))
             for at, x in enumerate(far_own):  # what is not a number comes last
                 less, same = (~np.isnan(d), np.isnan(d)) if np.isnan(x) else (d < x, d == x)
                 ahead[i][at] += int((less | (same & earlier)).sum())
+        del blocks  # before the next ones are read
 
     for i, (q_id, label) in enumerate(zip(group.ids.tolist(), group.labels.tolist(), strict=True)):
         found, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if label in wanted:
             rows, own = wanted[label], i - wanted[label].first
             found = rows.ids[rows.order[own]]
-            at = np.arange(len(found)) + np.cumsum(rows.before[own, :-1], dtype=np.int64)
+            at = np.arange(len(found)) + rows.ahead[own]
         if i in others:
             found, at = np.append(found, np.full(len(ahead[i]), q_id)), np.append(at, ahead[i])
         yield q_id, found, at

@@ -4,6 +4,7 @@ import itertools
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,52 @@ def test_counted_places_meet_no_rows_in_pairs(spark, monkeypatch, tmp_path):
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
 
 
+def group_of(rows, labels, path, monkeypatch, size=None):
+    """A group of the first queries over blocks of three rows each that a list stands for, and the blocks."""
+    order = np.argsort(labels, kind="stable")
+    blocks = [(order[at : at + 3], labels[order[at : at + 3]], rows[order[at : at + 3]]) for at in range(0, len(rows), 3)]
+    monkeypatch.setattr(neighbours, "blocks_at", lambda path, low=None, high=None: iter([b for b in blocks if low is None or (b[1].max() >= low and b[1].min() <= high)]))
+    q = np.arange(size or len(rows))
+    q = q[np.argsort(labels[q], kind="stable")]
+    return neighbours.Group(q, labels[q], rows[q], pa.array([[]] * len(q), pa.list_(pa.int64())))
+
+
+def test_products_are_sorted_and_not_searched_one_block_at_a_time(monkeypatch):
+    """The rows of many blocks meet a query in one sort; only what rounding leaves open is searched for."""
+    rng = np.random.default_rng(9)
+    x, labels = rng.normal(size=(300, 5)), rng.integers(0, 3, 300)
+    group = group_of(x, labels, None, monkeypatch, 60)
+    searched, plain = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *args, **kw: searched.append(np.size(v)) or plain(a, v, *args, **kw))
+    found = {q: dict(zip(ids.tolist(), at.tolist(), strict=True)) for q, ids, at in neighbours.ranked(group, None)}
+    assert sum(searched) < 60 * 200 / 10  # 200 rows of other labels for each query
+    for q in range(60):
+        order = np.lexsort((np.arange(300), ((x - x[q]) ** 2).sum(1))).tolist()
+        assert found[q] == {int(t): order.index(t) for t in np.flatnonzero(labels == labels[q])}
+
+
+@pytest.mark.parametrize("most", [neighbours.HELD, 1])
+@pytest.mark.parametrize("kind", ["copies", "tiny", "zeros", "long", "odd"])
+def test_places_of_vectors_that_rounding_leaves_open(monkeypatch, kind, most):
+    monkeypatch.setattr(neighbours, "MEET_BYTES", most, raising=False)
+    rng = np.random.default_rng(10)
+    x, labels = rng.normal(size=(240, 4)), rng.integers(0, 4, 240)
+    x[rng.permutation(240)[:90]] = x[3]
+    x[rng.permutation(240)[:60]] *= 1 + 1e-15
+    if kind == "tiny":
+        x *= 1e-161
+    if kind == "zeros":
+        x[rng.permutation(240)[:200]] = 0
+    if kind == "long":
+        x[rng.permutation(240)[:3]] *= 1e9
+    if kind == "odd":
+        x[rng.permutation(240)[:9], 1] = np.repeat([np.nan, np.inf, 1e200], 3)
+    with np.errstate(all="ignore"):
+        for q, ids, at in neighbours.ranked(group_of(x, labels, None, monkeypatch), None):
+            order = np.lexsort((np.arange(240), ((x - x[q]) ** 2).sum(1))).tolist()
+            assert dict(zip(ids.tolist(), at.tolist(), strict=True)) == {int(t): order.index(t) for t in np.flatnonzero(labels == labels[q])}
+
+
 @pytest.mark.parametrize("query", ["a6_mean_average_precision", "a6_ranking", "j2_ranked_positives", "a5_average_precision"])
 def test_no_row_for_each_positive_is_shuffled(spark, query):
     """A query's places become metrics, or rows of the result, in the task that counted them."""
