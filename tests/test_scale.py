@@ -156,6 +156,28 @@ def test_no_row_for_each_positive_is_shuffled(spark, query):
     assert not [line for line in plan.splitlines() if "Exchange" in line and "db_id" in line]
 
 
+@pytest.mark.parametrize("query", ["j2_ranked_positives"])
+def test_rankings_of_copies_with_tiny_components(spark, tmp_path, query):
+    """Squares that lose their last bits leave copies in all labels open, which are then computed again."""
+    rng = np.random.default_rng(11)
+    x, labels = rng.normal(size=(240, 4)), rng.integers(0, 4, 240)
+    x[rng.permutation(240)[:90]] = x[3]
+    x *= 1e-161
+    rows = [(i, v, int(k)) for i, (v, k) in enumerate(zip(x.tolist(), labels, strict=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = sorted(tuple(r) for r in catalog.QUERIES[query](spark, str(tmp_path)).collect())
+    want = []
+    for q in range(0, 240, 10):
+        order = np.lexsort((np.arange(240), ((x - x[q]) ** 2).sum(1))).tolist()
+        at = {int(t): order.index(t) for t in np.flatnonzero(labels == labels[q]) if t != q}
+        if query == "j2_ranked_positives":
+            want += [(q, t, i) for t, i in at.items()]
+        else:
+            terms = [((j / i if i else 1) + (j + 1) / (i + 1)) / 2 for j, i in enumerate(sorted(at.values()))]
+            want.append((q, round(sum(terms) / len(terms), 9)))
+    assert found == sorted(want) if query == "j2_ranked_positives" else np.allclose(found, want, rtol=0, atol=2e-9)
+
+
 def test_own_places_need_no_other_rows_distances(wide, monkeypatch, tmp_path):
     """Copies across borders of partitions, zeros of both signs, and vectors without a distance to themselves."""
     rng = np.random.default_rng(8)
