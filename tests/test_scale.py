@@ -156,7 +156,7 @@ def test_no_row_for_each_positive_is_shuffled(spark, query):
     assert not [line for line in plan.splitlines() if "Exchange" in line and "db_id" in line]
 
 
-@pytest.mark.parametrize("query", ["j2_ranked_positives"])
+@pytest.mark.parametrize("query", ["j2_ranked_positives", "a5_average_precision"])
 def test_rankings_of_copies_with_tiny_components(spark, tmp_path, query):
     """Squares that lose their last bits leave copies in all labels open, which are then computed again."""
     rng = np.random.default_rng(11)
